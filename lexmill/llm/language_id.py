@@ -130,7 +130,7 @@ class ByteGRU:
                 self.p[k] -= lr * (m[k] / (1 - 0.9**i)) / (np.sqrt(v[k] / (1 - 0.99**i)) + 1e-8)
         return loss
 
-    def pooled(self, raw: np.ndarray, off: np.ndarray, chunk: int = 2048) -> np.ndarray:
+    def pooled(self, raw: np.ndarray, off: np.ndarray, chunk: int = 512) -> np.ndarray:
         """Mean position probabilities of each text; zeros for texts without a byte."""
         n = np.diff(off)
         segs = -(-n // SEGMENT)
