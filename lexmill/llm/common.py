@@ -153,3 +153,25 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def binary_list(arrays: list[np.ndarray]) -> pa.Array:
     return pa.array([a.tobytes() for a in arrays], pa.binary())
+
+
+SPACE = np.zeros(256, bool)
+SPACE[[9, 10, 11, 12, 13, 32]] = True
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
+
+
+def word_hashes(raw: np.ndarray, off: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words (runs without ASCII white space) of all texts in order, and each word's text."""
+    if not len(raw):
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    gap = SPACE[raw]
+    border = np.zeros(len(raw) + 1, bool)
+    border[off] = True
+    start = np.flatnonzero(~gap & (np.concatenate([[True], gap[:-1]]) | border[:-1]))
+    end = np.flatnonzero(~gap & (np.concatenate([gap[1:], [True]]) | border[1:])) + 1
+    p, inv = powers(len(raw) + 1)
+    run = np.zeros(len(raw) + 1, np.uint64)
+    np.cumsum(BYTE[LOWER[raw] if lower else raw] * p[: len(raw)], out=run[1:])
+    h = mix((run[end] - run[start]) * inv[start] + (end - start).astype(np.uint64))
+    return h, np.searchsorted(off, start, side="right") - 1
