@@ -55,12 +55,7 @@ def crc32_mod(col: str | Column, n: int) -> Column:
     return F.pmod(F.crc32(F.col(col).cast("string") if isinstance(col, str) else col.cast("string")), F.lit(n))
 
 
-def rename_clashing(df: DataFrame, names: list[str]) -> DataFrame:
-    """Only the named columns, so that extra columns of the input cannot clash with computed ones."""
-    return df.select(*[F.col(f"`{n}`") for n in names])
-
-
-def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
+def map_batches(df: DataFrame, fn, schema: str | T.StructType) -> DataFrame:
     """mapInArrow over pandas-free batches: fn(pa.RecordBatch) -> pa.RecordBatch | pa.Table | None."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,6 +68,17 @@ def map_batches(df: DataFrame, fn, schema: str) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
+def append_columns(df: DataFrame, column: str, fn, fields: list[tuple[str, T.DataType]]) -> DataFrame:
+    """All columns of df and new ones: fn(pa.Array of ``column``) -> arrays. One narrow pass."""
+    at = df.columns.index(column)
+    schema = T.StructType([*df.schema.fields, *(T.StructField(n, k) for n, k in fields)])
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([*batch.columns, *fn(batch.column(at))], names=[*batch.schema.names, *(n for n, _ in fields)])
+
+    return map_batches(df, run, schema)
+
+
 def global_order(df: DataFrame, by: list[str], scratch: Scratch, weight: str | None = None) -> DataFrame:
     """Adds ``rank`` (0, 1, ... in the order of ``by``) and, given ``weight``, ``before`` (its running sum
     over all earlier rows).

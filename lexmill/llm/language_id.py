@@ -17,9 +17,9 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import crc32_mod, map_batches, text_bytes
+from .common import append_columns, crc32_mod, map_batches, text_bytes
 
 SEGMENT = 128
 LETTER = re.compile(r"[^\W\d_]")
@@ -211,5 +211,20 @@ def identify(docs: DataFrame, model: LanguageModel, text: str = "text", key: str
     return map_batches(docs.select(docs[key].cast("long").alias(key), docs[text].alias("text")), run, f"{key} long, lang_pred string, score double")
 
 
+def keep_known(docs: DataFrame, model: LanguageModel, least: float = 0.5, text: str = "text") -> DataFrame:
+    """The rows of docs, all their columns, whose language is predicted with at least ``least``; without a
+    learned language nothing can be rejected, and all rows stay."""
+    if model.net is None:
+        return docs
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a few kB
+
+    def predict(column: pa.Array) -> list[pa.Array]:
+        name, score = shared.value.predict(column)
+        return [pa.array(name, pa.string()), pa.array(score)]
+
+    told = append_columns(docs, text, predict, [("_lang", T.StringType()), ("_sure", T.DoubleType())])
+    return told.where((F.col("_lang") != "und") & (F.col("_sure") >= least)).drop("_lang", "_sure")
+
+
 def held_out(key: str = "doc_id"):
     return crc32_mod(key, 4) == 2

@@ -15,9 +15,9 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import BYTE, crc32_mod, map_batches, mix, powers, text_bytes
+from .common import BYTE, append_columns, crc32_mod, map_batches, mix, powers, text_bytes
 
 #: The bound of the labelled sample: so many rows of each label, by the hash of the id.
 PER_CLASS = 1500
@@ -162,5 +162,12 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", key: str = "
     return map_batches(docs.select(docs[key].cast("long").alias(key), docs[text].alias("text")), run, f"{key} long, score double")
 
 
+def keep_good(docs: DataFrame, model: QualityModel, least: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows of docs, all their columns, that score at least ``least``."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded, as in score()
+    scored = append_columns(docs, text, lambda c: [pa.array(shared.value.score(c))], [("_quality", T.DoubleType())])
+    return scored.where(F.col("_quality") >= least).drop("_quality")
+
+
 def held_out(key: str = "doc_id"):
     return crc32_mod(key, 5) == 0

@@ -33,6 +33,29 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(read(spark, sf_dir, "documents"))
 
 
+def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import dedup_lines
+
+    done = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    cut = F.transform(F.coalesce("_removed", F.array().cast("array<struct<first:int,last:int>>")), lambda r: F.struct(r["first"].cast("long").alias("first"), r["last"].cast("long").alias("last")))
+    return done.select("doc_id", F.col("_removed").isNotNull().alias("changed"), cut.alias("removed_lines"), F.length("text").cast("long").alias("n_chars_left"), F.col("text"))
+
+
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import build_tree, read_back
+
+    convs = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    odd = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], "conv_id long, turn long, role string, text string")
+    return read_back(*build_tree(convs.unionByName(extra)))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import fingerprints
+
+    return fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .prefix_counts import token_counts
 
