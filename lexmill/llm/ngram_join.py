@@ -36,6 +36,8 @@ from .components import components
 SKETCH_BITS, BLOCK_BITS = 22, 16
 #: Bits of the filter of ids to verify: a constant 8 MB; beyond its capacity it only lets more through.
 ID_BITS = 26
+#: Bits of the parity bitmap of the suffix filter.
+PARITY = 512
 SALTS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
@@ -117,53 +119,44 @@ def prefix_length(n, num: int, den: int):
 
 
 def _prefixes(docs: DataFrame, n: int, sketch: np.ndarray, num: int, den: int) -> DataFrame:
-    """(id, sig, n, keys, rests): the prefix, rarest first, and after each key how many of the later n-grams
-    fall into each quarter of the hash range (16 bits a quarter; -1 where that is not enough)."""
+    """(id, sig, n, keys, bits): the prefix, rarest first, and for each of PARITY hash ranges one bit that says
+    whether it holds an odd number of the set's n-grams."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)  # constant size
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         counts = shared.value
-        row, sig, size, keys, rests = [], [], [], [], []
+        row, sig, size, keys, bits = [], [], [], [], []
         for a, sets in _batches(batch, n):
             for i, s in enumerate(sets):
                 m = len(s)
                 if not m:
                     continue
                 order = np.argsort((np.minimum(counts[_slot(s)], (1 << 24) - 1).astype(np.uint64) << np.uint64(40)) | (s >> np.uint64(24)), kind="stable")
-                s2 = s[order]
-                k = prefix_length(m, num, den)
-                if m < 1 << 15:
-                    quarter = np.uint64(1) << ((s2 >> np.uint64(62)) * np.uint64(16))
-                    rest = (quarter.sum() - np.cumsum(quarter[:k])).view(np.int64)
-                else:
-                    rest = np.full(k, -1, np.int64)
                 row.append(a + i)
                 sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 size.append(m)
-                keys.append(s2[:k].view(np.int64))
-                rests.append(rest)
+                keys.append(s[order[: prefix_length(m, num, den)]].view(np.int64))
+                odd = np.bincount((s % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1
+                bits.append(np.packbits(odd.astype(bool)).view(np.int64))
         flat = lambda x: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(y) for y in x])]), pa.int32()), pa.array(np.concatenate(x) if x else np.zeros(0, np.int64)))
-        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(sig, pa.binary()), pa.array(size, pa.int64()), flat(keys), flat(rests)], names=["id", "sig", "n", "keys", "rests"])
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row, pa.int64())), pa.array(sig, pa.binary()), pa.array(size, pa.int64()), flat(keys), flat(bits)], names=["id", "sig", "n", "keys", "bits"])
 
-    return map_batches(docs, run, "id long, sig binary, n long, keys array<long>, rests array<long>")
-
-
-def _quarter(c: Column, q: int) -> Column:
-    return F.shiftrightunsigned(c, 16 * q).bitwiseAND(F.lit(0xFFFF))
+    return map_batches(docs, run, "id long, sig binary, n long, keys array<long>, bits array<long>")
 
 
 def _possible(a: str, b: str, num: int, den: int) -> Column:
-    """Length, positional and suffix filters of a pair at a shared prefix n-gram; columns {n, pos, rest}."""
+    """Length and positional filters of a pair at a shared prefix n-gram; columns {n, pos}."""
     na, nb = F.col(f"{a}n"), F.col(f"{b}n")
-    after = F.least(na - F.col(f"{a}pos"), nb - F.col(f"{b}pos")) - 1
-    ra, rb = F.col(f"{a}rest"), F.col(f"{b}rest")
-    later = sum((F.least(_quarter(ra, q), _quarter(rb, q)) for q in range(4)), F.lit(0))
-    least = (na + nb) * num  # (num + den) * overlap >= num * (|a| + |b|)
-    return (
-        (F.least(na, nb) * den >= F.greatest(na, nb) * num)
-        & ((after + 1) * (num + den) >= least)
-        & ((ra < 0) | (rb < 0) | ((later + 1) * (num + den) >= least))
-    )
+    after = F.least(na - F.col(f"{a}pos"), nb - F.col(f"{b}pos"))  # this n-gram and those after it
+    return (F.least(na, nb) * den >= F.greatest(na, nb) * num) & (after * (num + den) >= (na + nb) * num)
+
+
+def _near(a: str, b: str, num: int, den: int) -> Column:
+    """Suffix filter, by Hamming distance: every hash range whose parities differ holds an n-gram that the
+    other set lacks, and of those a pair that links has (|a| + |b|) (1 - t) / (1 + t) at most."""
+    x, y = F.col(f"{a}bits"), F.col(f"{b}bits")
+    apart = sum((F.bit_count(x[i].bitwiseXOR(y[i])) for i in range(PARITY // 64)), F.lit(0))
+    return apart * (num + den) <= (F.col(f"{a}n") + F.col(f"{b}n")) * (den - num)
 
 
 def _verify(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> DataFrame:
@@ -229,35 +222,36 @@ def ngram_join(documents: DataFrame, n: int = 5, num: int = 3, den: int = 4, tex
     classes = scratch.save(rows.where("sig is not null and id is not null").groupBy("sig").agg(F.min("id").alias("rep")))
     prefixes = scratch.save(
         _prefixes(docs, n, sketch, num, den).alias("p").join(classes.alias("c"), (F.col("p.id") == F.col("c.rep")) & (F.col("p.sig") == F.col("c.sig")))
-        .select("id", "n", "keys", "rests")
+        .select("id", "n", "keys", "bits")
     )
-    entries = prefixes.select("id", "n", F.posexplode(F.arrays_zip("keys", "rests")).alias("pos", "e")).select(F.col("e.keys").alias("key"), "id", "n", F.col("pos").cast("long").alias("pos"), F.col("e.rests").alias("rest"))
-    shuffled = F.xxhash64(F.lit(29), "id")  # the leader of a bucket: the same in as many buckets as possible
+    shuffled = F.xxhash64(F.lit(29), "id")  # the leader of a bucket: the same document in as many buckets as possible
     leaders = scratch.save(
-        prefixes.select("id", F.explode("keys").alias("key"))
-        .groupBy("key").agg(F.min(F.struct(shuffled.alias("h"), F.col("id").alias("lid"))).alias("l"), F.max(shuffled).alias("top"))
-        .where("l.h <> top").select("key", F.col("l.lid").alias("lid"))
+        prefixes.select(F.explode("keys").alias("key"), shuffled.alias("h"))
+        .groupBy("key").agg(F.min("h").alias("lead"), F.max("h").alias("top"))
+        .where("lead <> top").select("key", "lead")
     )
+    entries = prefixes.select("id", "n", F.posexplode("keys").alias("pos", "key")).select("key", "id", "n", F.col("pos").cast("long").alias("pos"))
     shared = scratch.save(entries.join(leaders, "key"))
-    lead = scratch.save(shared.where("id = lid").select("key", F.col("n").alias("l_n"), F.col("pos").alias("l_pos"), F.col("rest").alias("l_rest")))
-    first = shared.where("id <> lid").join(lead, "key").where(_possible("", "l_", num, den)).select(F.least("id", "lid").alias("a"), F.greatest("id", "lid").alias("b"))
-    tried = scratch.save(first.distinct())
+    lead = scratch.save(shared.where(shuffled == F.col("lead")).select("key", F.col("id").alias("lid"), F.col("n").alias("l_n"), F.col("pos").alias("l_pos")))
+    met = shared.where(shuffled != F.col("lead")).join(lead, "key").where(_possible("", "l_", num, den))
+    met = scratch.save(met.select(F.least("id", "lid").alias("a"), F.greatest("id", "lid").alias("b")).distinct())
+    about = prefixes.select("id", "n", "bits")
+    side = lambda p: about.select(F.col("id").alias(p), F.col("n").alias(f"{p}_n"), F.col("bits").alias(f"{p}_bits"))
+    tried = scratch.save(met.join(side("a"), "a").join(side("b"), "b").where(_near("a_", "b_", num, den)).select("a", "b"))
     links = _verify(docs, tried, n, num, den, scratch)
     label = scratch.save(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch))
     # What is left: pairs of one bucket in different components. One of such two is outside the bucket's most common one.
-    marked = scratch.save(
-        shared.drop("lid").join(label, "id", "left").select("key", "id", "n", "pos", "rest", F.coalesce("component", "id").alias("label"))
-    )
+    marked = scratch.save(shared.drop("lead").join(label, "id", "left").select("key", "id", "n", "pos", F.coalesce("component", "id").alias("label")))
     counted = scratch.save(marked.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1").drop("labels"))
-    mixed = scratch.save(marked.join(counted, "key"))
-    few = mixed.where("label <> most").select("key", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "pos", "rest", "label")])
+    mixed = scratch.save(marked.join(counted, "key").join(about.select("id", "bits"), "id"))
+    few = mixed.where("label <> most").select("key", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "pos", "bits", "label")])
     short = lambda p: F.col(f"{p}pos") < F.col(f"{p}n") - F.ceil(F.col(f"{p}n") * (2 * num) / (num + den)) + 1
     smaller_x = F.struct("x_n", "x_id") < F.struct("n", "id")
     second = (
         mixed.join(few, "key")
         .where((F.col("label") != F.col("x_label")) & ((F.col("label") == F.col("most")) | (F.col("x_id") < F.col("id"))))
         .where(F.when(smaller_x, short("x_")).otherwise(short("")))
-        .where(_possible("", "x_", num, den))
+        .where(_possible("", "x_", num, den) & _near("", "x_", num, den))
         .select(F.least("id", "x_id").alias("a"), F.greatest("id", "x_id").alias("b"))
     )
     rest = scratch.save(second.distinct())
@@ -265,5 +259,5 @@ def ngram_join(documents: DataFrame, n: int = 5, num: int = 3, den: int = 4, tex
     links = links.unionByName(_verify(docs, rest, n, num, den, scratch))
     comp = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
     known = scratch.save(classes.join(comp, F.col("rep") == F.col("id"), "left").select("sig", F.coalesce("component", "rep").alias("component_id")))
-    scratch.drop(shared, lead, marked, counted, mixed, prefixes, leaders)
+    scratch.drop(shared, lead, met, marked, counted, mixed, prefixes, leaders)
     return rows.join(known, "sig", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
