@@ -10,6 +10,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from .common import read
 
 
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sentencepiece_lattice import decode, encode
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    both = decode(encode(read(spark, sf_dir, "documents"), path), path)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+
+
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import fit, held_out, score
 
