@@ -27,7 +27,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import Scratch, map_batches, mix, text_bytes, word_hashes
 from .components import components
@@ -36,6 +36,8 @@ from .components import components
 SKETCH_BITS, BLOCK_BITS = 22, 16
 #: Bits of the filter of ids to verify: a constant 8 MB; beyond its capacity it only lets more through.
 ID_BITS = 26
+#: So many earlier n-grams of a document tell whether a pair has met before; more only save repeated looks.
+LOOK_BACK = 5
 #: Bits of the parity bitmap of the suffix filter.
 PARITY = 512
 SALTS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
@@ -243,15 +245,17 @@ def ngram_join(documents: DataFrame, n: int = 5, num: int = 3, den: int = 4, tex
     # What is left: pairs of one bucket in different components. One of such two is outside the bucket's most common one.
     marked = scratch.save(shared.drop("lead").join(label, "id", "left").select("key", "id", "n", "pos", F.coalesce("component", "id").alias("label")))
     counted = scratch.save(marked.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1").drop("labels"))
-    mixed = scratch.save(marked.join(counted, "key").join(about.select("id", "bits"), "id"))
-    few = mixed.where("label <> most").select("key", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "pos", "bits", "label")])
+    # A pair is looked at where it first meets: rows know their document's last few such n-grams before this one.
+    before = Window.partitionBy("id").orderBy("pos").rowsBetween(-LOOK_BACK, -1)
+    mixed = scratch.save(marked.join(counted, "key").join(about.select("id", "bits"), "id").withColumn("before", F.collect_list("key").over(before)))
+    few = mixed.where("label <> most").select("key", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "pos", "bits", "label", "before")])
     short = lambda p: F.col(f"{p}pos") < F.col(f"{p}n") - F.ceil(F.col(f"{p}n") * (2 * num) / (num + den)) + 1
     smaller_x = F.struct("x_n", "x_id") < F.struct("n", "id")
     second = (
         mixed.join(few, "key")
         .where((F.col("label") != F.col("x_label")) & ((F.col("label") == F.col("most")) | (F.col("x_id") < F.col("id"))))
         .where(F.when(smaller_x, short("x_")).otherwise(short("")))
-        .where(_possible("", "x_", num, den) & _near("", "x_", num, den))
+        .where(_possible("", "x_", num, den) & _near("", "x_", num, den) & ~F.arrays_overlap("before", "x_before"))
         .select(F.least("id", "x_id").alias("a"), F.greatest("id", "x_id").alias("b"))
     )
     rest = scratch.save(second.distinct())
