@@ -79,11 +79,12 @@ def fingerprints(documents: DataFrame, text: str = "text", key: str = "doc_id")
     docs = documents.select(F.col(key).cast("long").alias("d"), F.coalesce(F.col(text), F.lit("")).alias("t"))
     nxt = successors(docs, scratch)
     heads = (
-        docs.join(nxt.select(F.col("d").alias("of"), F.col("next").alias("d"), "most"), "d")
+        docs.where("d is not null").join(nxt.select(F.col("d").alias("of"), F.col("next").alias("d"), "most"), "d")
         .select(F.col("of").alias("d"), F.substring(F.col("t"), F.lit(1), F.col("most").cast("int")).alias("head"))
         .groupBy("d").agg(F.min("head").alias("head"))
     )
-    both = docs.join(heads, "d", "left")
+    # Both joins with the texts read the same exchange: rows without an id, which have no next, go beside it.
+    both = docs.where("d is not null").join(heads, "d").unionByName(docs.where("d is null").withColumn("head", F.lit(None).cast("string")))
     n = F.length("t")
     part = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("t"), F.lit(1), n - part), F.substring(F.coalesce("head", F.lit("")), F.lit(1), part))
