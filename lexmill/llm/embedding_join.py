@@ -95,15 +95,16 @@ def _join(threshold: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", column: str = "embedding", most_pivots: int = 64) -> DataFrame:
-    """key, n_links, component_id, kept for every row of vectors."""
+def near_vectors(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", column: str = "embedding", most_pivots: int = 64, cell_rows: int = 4096) -> DataFrame:
+    """key, n_links, component_id, kept for every row of vectors. One pivot for each cell_rows distinct vectors,
+    most_pivots at most."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
     r = math.acos(threshold) + 1e-9
     rows = scratch.save(prepare(vectors, key, column))
     classes = scratch.save(rows.where("sig is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")))
     total = classes.count()
-    pivots = _unit([x["v"] for x in classes.orderBy(F.xxhash64("sig"), "sig").limit(max(1, min(most_pivots, total // 4096))).collect()]) if total else np.zeros((0, 1))
+    pivots = _unit([x["v"] for x in classes.orderBy(F.xxhash64("sig"), "sig").limit(max(1, min(most_pivots, total // cell_rows))).collect()]) if total else np.zeros((0, 1))
     dims = pivots.shape[1]
 
     def homes(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -222,8 +222,8 @@ def keep_known(docs: DataFrame, model: LanguageModel, least: float = 0.5, text:
         name, score = shared.value.predict(column)
         return [pa.array(name, pa.string()), pa.array(score)]
 
-    told = append_columns(docs, text, predict, [("_lang", T.StringType()), ("_sure", T.DoubleType())])
-    return told.where((F.col("_lang") != "und") & (F.col("_sure") >= least)).drop("_lang", "_sure")
+    told = append_columns(docs, text, predict, [("__lexmill_lang", T.StringType()), ("__lexmill_sure", T.DoubleType())])
+    return told.where((F.col("__lexmill_lang") != "und") & (F.col("__lexmill_sure") >= least)).drop("__lexmill_lang", "__lexmill_sure")
 
 
 def held_out(key: str = "doc_id"):

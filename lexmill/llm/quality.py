@@ -165,8 +165,8 @@ def score(docs: DataFrame, model: QualityModel, text: str = "text", key: str = "
 def keep_good(docs: DataFrame, model: QualityModel, least: float = 0.3, text: str = "text") -> DataFrame:
     """The rows of docs, all their columns, that score at least ``least``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded, as in score()
-    scored = append_columns(docs, text, lambda c: [pa.array(shared.value.score(c))], [("_quality", T.DoubleType())])
-    return scored.where(F.col("_quality") >= least).drop("_quality")
+    scored = append_columns(docs, text, lambda c: [pa.array(shared.value.score(c))], [("__lexmill_quality", T.DoubleType())])
+    return scored.where(F.col("__lexmill_quality") >= least).drop("__lexmill_quality")
 
 
 def held_out(key: str = "doc_id"):
