@@ -39,7 +39,7 @@ ID_BITS = 26
 #: So many earlier n-grams of a document tell whether a pair has met before; more only save repeated looks.
 LOOK_BACK = 5
 #: Bits of the parity bitmap of the suffix filter.
-PARITY = 512
+PARITY = 1024
 SALTS = mix(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 
 
