@@ -32,13 +32,10 @@ def _mean(a: Column) -> Column:
     return F.when(F.size(a) == 0, F.lit(0.0)).otherwise(_sum(a) / F.size(a))
 
 
-def _spread(a: Column, power: int, mean: Column) -> Column:
-    return _sum(a, lambda x: F.pow(x - mean, F.lit(power)))
-
-
 def _std(a: Column) -> Column:
-    """Population deviation; 0 for fewer than two values."""
-    return F.when(F.size(a) < 2, F.lit(0.0)).otherwise(F.sqrt(_spread(a, 2, _mean(a)) / F.size(a)))
+    """Population deviation; 0 for fewer than two values. The mean is bound: inside a lambda it would be computed anew
+    for every element."""
+    return F.when(F.size(a) < 2, F.lit(0.0)).otherwise(_bind(_mean(a), lambda m: F.sqrt(_sum(a, lambda x: F.pow(x - m, F.lit(2))) / F.size(a))))
 
 
 def _skew(a: Column) -> Column:
