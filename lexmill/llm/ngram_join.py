@@ -36,6 +36,8 @@ from .components import components
 SKETCH_BITS, BLOCK_BITS = 22, 16
 #: Bits of the filter of ids to verify: a constant 8 MB; beyond its capacity it only lets more through.
 ID_BITS = 26
+#: Orders that leaders are chosen by, a power of two.
+LEADERS = 4
 #: So many earlier n-grams of a document tell whether a pair has met before; more only save repeated looks.
 LOOK_BACK = 5
 #: Bits of the parity bitmap of the suffix filter.
@@ -163,7 +165,7 @@ def _near(a: str, b: str, num: int, den: int) -> Column:
 
 def _verify(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int, scratch: Scratch) -> DataFrame:
     """The pairs (a, b) whose whole sets reach the threshold."""
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+    ids = pairs.select(F.col("a").alias("id")).distinct().unionByName(pairs.select(F.col("b").alias("id")).distinct())
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(1 << ID_BITS, bool)
@@ -226,9 +228,11 @@ def ngram_join(documents: DataFrame, n: int = 5, num: int = 3, den: int = 4, tex
         _prefixes(docs, n, sketch, num, den).alias("p").join(classes.alias("c"), (F.col("p.id") == F.col("c.rep")) & (F.col("p.sig") == F.col("c.sig")))
         .select("id", "n", "keys", "bits")
     )
-    shuffled = F.xxhash64(F.lit(29), "id")  # the leader of a bucket: the same document in as many buckets as possible
+    # Buckets share a few leaders, each the least document in one of LEADERS orders: documents of one group that do not
+    # reach one leader mostly reach another, and a document is compared with a few at most.
+    shuffled = F.xxhash64(F.lit(29), F.col("key").bitwiseAND(F.lit(LEADERS - 1)), "id")
     leaders = scratch.save(
-        prefixes.select(F.explode("keys").alias("key"), shuffled.alias("h"))
+        prefixes.select("id", F.explode("keys").alias("key")).select("key", shuffled.alias("h"))
         .groupBy("key").agg(F.min("h").alias("lead"), F.max("h").alias("top"))
         .where("lead <> top").select("key", "lead")
     )
