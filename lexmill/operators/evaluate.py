@@ -25,29 +25,29 @@ def score_counts(df: DataFrame, by: list[str], label: str = "label", score: str
 def cumulative(df: DataFrame, by: list[str], label: str = "label", score: str = "p") -> DataFrame:
     """score_counts with ctp and cfp (scores at least this one), pos and neg (whole group), and whether the
     point stays when collinear points of the curve are dropped."""
-    counts = score_counts(df, by, label, score).withColumn("bucket", F.least(F.greatest(F.floor(F.col("score") * BUCKETS), F.lit(-1)), F.lit(BUCKETS)))
-    per = counts.groupBy(*by, "bucket").agg(F.sum("tp").alias("btp"), F.sum("fp").alias("bfp"), F.max("score").alias("top"), F.min("score").alias("low"))
+    counts = score_counts(df, by, label, score).withColumn("_bucket", F.least(F.greatest(F.floor(F.col("score") * BUCKETS), F.lit(-1)), F.lit(BUCKETS)))
+    per = counts.groupBy(*by, "_bucket").agg(F.sum("tp").alias("btp"), F.sum("fp").alias("bfp"), F.max("score").alias("top"), F.min("score").alias("low"))
     # The neighbours of a bucket's border scores lie in the buckets next to it.
-    edge = counts.groupBy(*by, "bucket").agg(F.max_by(F.struct("tp", "fp"), "score").alias("first"))
+    edge = counts.groupBy(*by, "_bucket").agg(F.max_by(F.struct("tp", "fp"), "score").alias("first"))
     group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    down = group.orderBy(F.desc("bucket"))
+    down = group.orderBy(F.desc("_bucket"))
     before = down.rowsBetween(Window.unboundedPreceding, -1)
     buckets = (
-        per.join(edge, [*by, "bucket"])
+        per.join(edge, [*by, "_bucket"])
         .withColumn("atp", F.coalesce(F.sum("btp").over(before), F.lit(0)))
         .withColumn("afp", F.coalesce(F.sum("bfp").over(before), F.lit(0)))
         .withColumn("pos", F.sum("btp").over(group))
         .withColumn("neg", F.sum("bfp").over(group))
         .withColumn("below", F.lead("first").over(down))
         .withColumn("above", F.lag("low").over(down))
-        .select(*by, "bucket", "atp", "afp", "pos", "neg", "below", "above")
+        .select(*by, "_bucket", "atp", "afp", "pos", "neg", "below", "above")
     )
-    inner = Window.partitionBy(*by, "bucket").orderBy(F.desc("score"))
+    inner = Window.partitionBy(*by, "_bucket").orderBy(F.desc("score"))
     run = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     joined = (
         counts.withColumn("ctp", F.sum("tp").over(run)).withColumn("cfp", F.sum("fp").over(run))
         .withColumn("after", F.lead(F.struct("tp", "fp")).over(inner)).withColumn("inside", F.lag("score").over(inner))
-        .join(buckets, [*by, "bucket"])
+        .join(buckets, [*by, "_bucket"])
     )
     nxt = F.coalesce("after", "below")
     return joined.select(

@@ -393,6 +393,20 @@ def score_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(d.select("id", numeric.logit(F.col("p")).alias("logit"), numeric.sigmoid(F.col("p")).alias("sigmoid"), numeric.smooth_label(F.col("label"), 0.1).alias("smoothed")))
 
 
+@query(f"WITH {SCORED_SQL}, lb AS (SELECT *, least(floor(length(text) / 1000), 5)::INT AS bucket FROM scored), {_metrics_sql('bucket', 'lb')} SELECT bucket, {_METRIC_COLUMNS} FROM m JOIN r USING (bucket) JOIN e USING (bucket)")
+def metrics_by_length_bucket(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = scored(spark, sf_dir).withColumn("bucket", F.least(F.floor(F.length("text") / 1000), F.lit(5)).cast("int"))
+    return _round(evaluate.binary_metrics(d, ["bucket"]))
+
+
+@query(f"WITH {SCORED_SQL}, d AS (SELECT *, doc_rank % 3 AS part FROM (SELECT *, ord AS doc_rank FROM scored)), {_metrics_sql('part', 'd')} SELECT round(a.roc_auc, 6) AS train_auc, round(b.roc_auc, 6) AS dev_auc, round(a.roc_auc - b.roc_auc, 6) AS auc_gap, n AS humans, round(1.0::DOUBLE / n, 6) AS fpr_resolution FROM r a, r b, (SELECT count(*) AS n FROM d WHERE part = 1 AND label = 0) WHERE a.part = 0 AND b.part = 1")
+def fit_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = scored(spark, sf_dir)
+    train, dev = d.where("ord % 3 = 0"), d.where("ord % 3 = 1")
+    humans = dev.where("label = 0").agg(F.count("*").alias("humans"))
+    return _round(models.fit_gap(evaluate.binary_metrics(train), evaluate.binary_metrics(dev).join(F.broadcast(humans))))  # one row
+
+
 _HISTORY = [(1, 0.80, 0.70, 0.10), (2, 0.82, 0.71, 0.20), (3, None, 0.99, 0.0), (4, 0.82, 0.71, 0.20), (5, 0.81, 0.90, 0.05), (6, 0.79, 0.90, 0.05)]
 _HISTORY_SQL = "h AS (SELECT * FROM (VALUES (1, 0.80::DOUBLE, 0.70::DOUBLE, 0.10::DOUBLE), (2, 0.82, 0.71, 0.20), (3, NULL, 0.99, 0.0), (4, 0.82, 0.71, 0.20), (5, 0.81, 0.90, 0.05), (6, 0.79, 0.90, 0.05)) t(epoch, roc_auc, pr_auc, human_fpr))"
 

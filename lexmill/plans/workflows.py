@@ -57,6 +57,52 @@ def seal_cohort(rows: DataFrame, base: str, pairs: int, seed: int, metadata: dic
     return write_dataset(numbered, base, metadata | {"source_snapshot_sha256": snapshot, "selection_seed": seed})
 
 
+def baseline_run(df: DataFrame, base: str, variant: str = "word", threshold: float = 0.5) -> dict:
+    """Fits a TF-IDF baseline on train, evaluates development and stores text-free calibration predictions.
+    df: records with a split; sealed rows are refused."""
+    from ..operators import models
+
+    if df.where("sealed").limit(1).count():
+        raise ValueError("sealed rows may not be used to fit or score")
+    score = models.train_tfidf(df.where("split = 'train'"), variant)
+    development = score(df.where("split = 'development'")).select("id", "label", F.col("probability").alias("p"))
+    metrics = evaluate.binary_metrics(development, None, threshold).first().asDict()
+    files.write_predictions(score(df.where("split = 'calibration'")), f"{base}/calibration_predictions.jsonl")
+    report = {"variant": variant, "development": metrics}
+    files.write_json(report, f"{base}/report.json")
+    return report
+
+
+def calibration_report(predictions: DataFrame, rows: DataFrame, base: str, folds: int = 5, caps: tuple[float, ...] = (0.01, 0.02, 0.05)) -> dict:
+    """Joins predictions to their rows (checked), and reports ranking metrics, the Platt scaler, cross-fitted
+    calibration by lineage and the operating points with source-level false-positive rates."""
+    from ..operators import calibrate
+
+    joined = calibrate.checked_join(predictions, rows).withColumn("p", F.col("probability")).persist()
+    try:
+        slope, intercept = calibrate.fit_platt(joined)
+        crossfit = calibrate.crossfit_platt(joined, folds)
+        report = {
+            "ranking": evaluate.binary_metrics(joined).first().asDict(),
+            "platt": {"slope": slope, "intercept": intercept},
+            "crossfit": evaluate.binary_metrics(crossfit.select("label", F.col("calibrated").alias("p"))).first().asDict(),
+            "operating_points": calibrate.operating_points(joined, list(caps)),
+        }
+    finally:
+        joined.unpersist()
+    files.write_json(report, f"{base}/calibration.json")
+    return report
+
+
+def fit_diagnostics(train: DataFrame, development: DataFrame, iterations: int = 1000, seed: int = 0) -> dict:
+    """Train and development AUC, their gap, the resolution of the human rate, and the bootstrap interval."""
+    from ..operators import models
+
+    dev = evaluate.binary_metrics(development).withColumn("humans", F.lit(development.where("label = 0").count()))
+    gap = models.fit_gap(evaluate.binary_metrics(train), dev).first().asDict()
+    return gap | {"bootstrap": evaluate.bootstrap_auc(development, iterations, seed).first().asDict()}
+
+
 def external_report(scored: DataFrame, threshold: float) -> dict[str, DataFrame]:
     """Metrics at a frozen threshold: aggregate, by scenario and by scenario family."""
     return {

@@ -219,3 +219,24 @@ def test_preflight(spark):
         audit.preflight(rec(spark, *rows, {"split": "development"}), ["raw_ai"])
     with pytest.raises(audit.AuditError, match="lacks"):
         audit.preflight(rec(spark, *rows), ["llm_edit"])
+
+
+def test_baseline_and_calibration(spark, tmp_path):
+    rng = __import__("random").Random(1)
+    rows = []
+    for i in range(120):
+        y = i % 2
+        words = " ".join(rng.choice(["human", "voice", "walk", "rain"] if y == 0 and rng.random() < 0.8 else ["model", "delve", "tapestry", "rain"]) for _ in range(12))
+        rows.append({"id": f"b{i}", "lineage_id": f"g{i // 2}", "text": words + f" number{i}", "label": y, "source": f"s{i % 3}", "split": ["train", "development", "calibration"][i // 40]})
+    df = rec(spark, *rows)
+    report = workflows.baseline_run(df, str(tmp_path))
+    assert report["development"]["roc_auc"] > 0.7
+    stored = files.read_predictions(spark, str(tmp_path / "calibration_predictions.jsonl"))
+    assert stored.columns == ["id", "label", "probability"] and stored.count() == 40
+    out = workflows.calibration_report(stored, df.where("split = 'calibration'"), str(tmp_path), folds=4)
+    assert [p["max_fpr"] for p in out["operating_points"]] == [0.01, 0.02, 0.05] and set(out["operating_points"][0]["source_human_fpr"]) == {"s0", "s1", "s2"}
+    scored = stored.withColumn("p", F.col("probability"))
+    gap = workflows.fit_diagnostics(scored, scored, 50, 3)
+    assert gap["auc_gap"] == 0 and gap["bootstrap"]["low"] <= gap["bootstrap"]["median"] <= gap["bootstrap"]["high"]
+    with pytest.raises(ValueError, match="sealed"):
+        workflows.baseline_run(rec(spark, {"split": "sealed_test", "sealed": True}), str(tmp_path))
