@@ -22,7 +22,13 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from .common import append_columns, crc32_mod, map_batches, text_bytes
 
 SEGMENT = 128
-LETTER = re.compile(r"[^\W\d_]")
+_COMMON = re.compile("[A-Za-z]")
+
+
+def has_letter(text: str | None) -> bool:
+    return bool(text) and (_COMMON.search(text) is not None or any(map(str.isalpha, text)))
+
+
 
 
 class ByteGRU:
@@ -158,7 +164,7 @@ class LanguageModel:
 
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray]:
         texts = column.to_pylist()
-        letters = np.array([bool(t and LETTER.search(t)) for t in texts], bool)
+        letters = np.array([has_letter(t) for t in texts], bool)
         if self.net is None or not letters.any():
             return ["und"] * len(texts), np.zeros(len(texts))
         p = self.net.pooled(*text_bytes(column))
