@@ -11,11 +11,10 @@ from .common import read
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .sentencepiece_lattice import decode, encode
+    from .sentencepiece_lattice import encode
 
-    path = public_tokenizers.path("piece_bpe_32k.model")
-    both = decode(encode(read(spark, sf_dir, "documents"), path), path)
-    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+    made = encode(read(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), digest=True)
+    return made.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", "decoded_sha256")
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

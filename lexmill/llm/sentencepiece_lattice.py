@@ -1,8 +1,8 @@
 """SentencePiece encoding and decoding through a relational lattice.
 
-A text becomes "▁" and its characters, blanks as "▁"; no piece holds a "▁" after another character, so
-words ("▁"s and what follows up to the next) are encoded on their own. Every distinct word's substrings
-up to the longest piece are exploded and joined by equality to the piece table; the edges found are
+A text becomes "▁" and its characters, blanks as "▁". Where two neighbours stand side by side in no piece, no
+piece can cross, so the text is cut there into words, which are encoded on their own. Every distinct
+word's substrings up to the longest piece are exploded and joined by equality to the piece table; the edges found are
 grouped by word and folded by a Spark higher-order aggregate:
 
 * fold "merge", for BPE models: edges in descending score; an edge whose span is exactly two current
@@ -23,15 +23,14 @@ result.
 
 from __future__ import annotations
 
-import re
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-CHUNK, LONG, MARK = 24_000_000, 60, "▁"
-_WORDS = re.compile("▁+[^▁]*")
+CHUNK, LONG, MARK = 10_000_000, 60, "▁"
 _MODELS: dict = {}
 
 
@@ -44,96 +43,141 @@ def library(path: str):
 
 
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
-    """piece, id, score of the ordinary pieces: as many rows as the model's vocabulary."""
+    """piece, id, score, rank (of the score, equal scores alike) of the ordinary pieces: as many rows as the model's vocabulary."""
     m = library(path)
     skip = lambda i: m.is_unknown(i) or m.is_control(i) or m.is_byte(i) or m.is_unused(i)
     rows = [(m.id_to_piece(i), i, float(m.get_score(i))) for i in range(m.get_piece_size()) if not skip(i)]
-    return spark.createDataFrame(rows, "piece string, id int, score double")
+    rank = {s: r for r, s in enumerate(sorted({s for _, _, s in rows}, reverse=True))}
+    return spark.createDataFrame([(p, i, s, rank[s]) for p, i, s in rows], "piece string, id int, score double, rank int")
 
 
-def words_of(text: str) -> list[str]:
-    if not text:
-        return []
-    if "  " not in text and MARK not in text and text[0] != " ":
-        return [MARK + w for w in text.split(" ")]
-    return _WORDS.findall(MARK + text.replace(" ", MARK))
+class Cutter:
+    """Cuts texts between characters that are neighbours in no piece. Pairs with a character beyond EDGE are never
+    cut, which is always right."""
 
+    EDGE = 0x250
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int, carry: str) -> DataFrame:
-    """word, n, carry and edges: all (s = -score, i, k, id) with word[i:k] a piece, in descending score, then from
-    the left. words: one row a word, already distinct; its partitioning is kept."""
+    def __init__(self, path: str):
+        m = library(path)
+        n = self.EDGE + 1
+        self.joint = np.zeros((n + 1, n + 1), bool)
+        self.joint[n - 1, : n - 1] = self.joint[: n - 1, n - 1] = self.joint[n - 1, n - 1] = True
+        for i in range(m.get_piece_size()):
+            if not (m.is_unknown(i) or m.is_control(i) or m.is_byte(i)):
+                c = self._classes(m.id_to_piece(i))
+                self.joint[c[:-1], c[1:]] = True
+
+    def _classes(self, text: str) -> np.ndarray:
+        c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
+        return np.where(c == ord(MARK), self.EDGE + 1, np.minimum(c, self.EDGE))
+
+    def words(self, text: str) -> list[str]:
+        if not text:
+            return []
+        s = MARK + text.replace(" ", MARK)
+        c = self._classes(s)
+        at = (np.flatnonzero(~self.joint[c[:-1], c[1:]]) + 1).tolist()
+        return [s[a:b] for a, b in zip([0, *at], [*at, len(s)], strict=True)]
+
+
+_CUTTERS: dict[str, Cutter] = {}
+
+
+def cutter(path: str) -> Cutter:
+    if path not in _CUTTERS:
+        _CUTTERS[path] = Cutter(path)
+    return _CUTTERS[path]
+
+
+def by_library(words: list[str], path: str) -> list[np.ndarray]:
+    """The library's ids of words as they stand inside a text. A newline, which no piece of the model holds, takes
+    the blank that the library puts first; both are dropped again."""
+    m = library(path)
+    return [np.array(x[2:], np.int32) for x in m.encode(["\n" + w.replace(MARK, " ") for w in words], num_threads=1)]
+
+
+def lattice(words: DataFrame, pieces: DataFrame, longest: int, carry: str, least: int, edge: Column) -> DataFrame:
+    """word, carry and edges: ``edge`` for all i, k, rank, score with i:k of the word a piece of ``least`` or more
+    characters, sorted. words: one row a word, already distinct; its partitioning is kept, so grouping needs
+    no exchange. The carried column rides on one row a word, which meets the empty piece."""
     n = F.length("word")
-    starts = words.where(n <= LONG).select("word", carry, n.alias("n"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
-    spans = starts.select("word", carry, "n", "i", F.explode(F.sequence(F.col("i") + 1, F.least(F.col("n"), F.col("i") + longest))).alias("k"))
-    found = spans.withColumn("piece", F.substring("word", F.col("i") + 1, F.col("k") - F.col("i"))).join(F.broadcast(pieces), "piece")  # bounded: one vocabulary
-    bit = lambda c: F.call_function("shiftleft", F.lit(1).cast("long"), c)
-    ends = bit(F.col("i")).bitwiseOR(bit(F.col("k")))
-    edge = F.struct((-F.col("score")).alias("s"), "i", "k", "id", ends.alias("ends"), (bit(F.col("k")) - bit(F.col("i") + 1)).alias("inner"))
-    return found.groupBy("word").agg(F.first("n").alias("n"), F.first(carry).alias(carry), F.sort_array(F.collect_list(edge)).alias("edges"))
+    starts = words.where(n <= LONG).select("word", carry, n.alias("n"), F.explode(F.sequence(F.lit(-1), F.greatest(n - least, F.lit(-1)))).alias("i"))
+    last = F.when(F.col("i") < 0, F.lit(-1)).otherwise(F.least(F.col("n"), F.col("i") + longest))
+    spans = starts.select("word", F.when(F.col("i") < 0, F.col(carry)).alias(carry), "i", F.explode(F.sequence(F.when(F.col("i") < 0, F.lit(-1)).otherwise(F.col("i") + least), last)).alias("k"))
+    piece = F.when(F.col("i") < 0, F.lit("")).otherwise(F.coalesce(F.substring("word", F.col("i") + 1, F.col("k") - F.col("i")), F.lit("")))  # never null: no filter computes it again
+    table = pieces.select("piece", "rank", "score").unionByName(pieces.sparkSession.createDataFrame([("", 0, 0.0)], "piece string, rank int, score double"))
+    found = spans.withColumn("piece", piece).join(F.broadcast(table), "piece")  # bounded: one vocabulary
+    return found.groupBy("word").agg(F.first(carry, ignorenulls=True).alias(carry), F.sort_array(F.collect_list(F.when(F.col("i") >= 0, edge))).alias("edges"))
 
 
 def _bind(value: Column, fn) -> Column:
     return F.element_at(F.transform(F.array(value), fn), 1)
 
 
-def _ids(edges: Column, bounds: Column) -> Column:
-    def one(p: Column, x: Column) -> Column:
-        q = F.get(bounds, x + 1)
-        return F.get(F.filter(edges, lambda e: (e["i"] == p) & (e["k"] == q)), F.lit(0))["id"]
+_LATE = 62
 
-    return F.slice(F.transform(bounds, one), F.lit(1), F.size(bounds) - 1)
 
+def merge_edge() -> Column:
+    """An edge as one number, in the order of joins: the rank of its score, then i and k (six bits each)."""
+    return F.shiftleft(F.col("rank").cast("long"), 12).bitwiseOR(F.shiftleft(F.col("i").cast("long"), 6)).bitwiseOR(F.col("k").cast("long"))
 
-def fold_merge(n: Column, edges: Column) -> Column:
-    """The ids of a word (null where a character is no piece), or null if the order of joins is in doubt."""
-    fits = lambda mask, e: (mask.bitwiseAND(e["ends"]) == e["ends"]) & (F.bit_count(mask.bitwiseAND(e["inner"])) == 1)
 
-    def folded(multi: Column) -> Column:
-        start = F.struct((F.call_function("shiftleft", F.lit(1).cast("long"), n + 1) - 1).alias("mask"), F.lit(False).alias("late"))
+def fold_merge(word: Column, edges: Column) -> Column:
+    """The borders of a word's pieces as bits, or null if the order of joins is in doubt."""
+    one, none, late = F.lit(1).cast("long"), F.lit(0).cast("long"), F.lit(1 << _LATE).cast("long")
+    bit = lambda c: F.call_function("shiftleft", one, c.cast("int"))
+    first = lambda e: F.shiftright(e, 6).bitwiseAND(F.lit(63).cast("long"))
+    last = lambda e: e.bitwiseAND(F.lit(63).cast("long"))
+    inner = lambda e: bit(last(e)) - bit(first(e) + 1)
 
-        def step(a: Column, x: Column) -> Column:
-            e = F.get(multi, x)
-            left = a["mask"].bitwiseAND(F.bitwise_not(e["inner"]))
-            late = F.exists(F.slice(multi, F.lit(1), x), lambda b: fits(left, b))
-            return F.when(fits(a["mask"], e), F.struct(left.alias("mask"), (a["late"] | late).alias("late"))).otherwise(a)
+    def fits(mask: Column, e: Column) -> Column:
+        return (F.bit_count(mask.bitwiseAND(inner(e))) == 1) & (mask.bitwiseAND(bit(first(e))) != 0) & (mask.bitwiseAND(bit(last(e))) != 0)
 
-        return F.aggregate(F.filter(F.sequence(F.lit(0), F.size(multi)), lambda x: x < F.size(multi)), start, step)
+    def step(mask: Column, e: Column) -> Column:
+        def joined(left: Column) -> Column:
+            return left.bitwiseOR(F.when(F.exists(edges, lambda b: (b < e) & fits(left, b)), late).otherwise(none))
 
-    def cut(a: Column) -> Column:
-        bounds = F.filter(F.sequence(F.lit(0), n), lambda p: F.call_function("shiftright", a["mask"], p).bitwiseAND(F.lit(1).cast("long")) == 1)
-        return F.when(~a["late"], _bind(bounds, lambda b: _ids(edges, b)))
+        return F.when(fits(mask, e), _bind(mask.bitwiseAND(F.bitwise_not(inner(e))), joined)).otherwise(mask)
 
-    return _bind(_bind(F.filter(edges, lambda e: e["k"] - e["i"] > 1), folded), cut)
+    mask = F.aggregate(edges, bit(F.length(word) + 1) - 1, step)
+    return _bind(mask, lambda m: F.when(m.bitwiseAND(late) == 0, m))
 
 
-def fold_viterbi(n: Column, edges: Column) -> Column:
-    """The ids on the path of the greatest score sum; null if there is no path. Ties go to the longer last piece."""
+def fold_viterbi(word: Column, edges: Column) -> Column:
+    """The borders of the pieces on the path of the greatest score sum as bits; null if there is no path. The first of
+    equal paths stays. Unigram tables hold single characters as edges, too."""
     low = F.lit(float("-inf"))
+    one = F.lit(1).cast("long")
 
-    def forward(sorted_: Column) -> Column:
-        start = F.transform(F.sequence(F.lit(0), n), lambda p: F.struct(F.when(p == 0, F.lit(0.0)).otherwise(low).alias("best"), F.lit(-1).alias("back")))
+    def forward(by_end: Column) -> Column:
+        start = F.transform(F.sequence(F.lit(0), F.length(word)), lambda p: F.struct(F.when(p == 0, F.lit(0.0)).otherwise(low).alias("best"), F.when(p == 0, one).otherwise(F.lit(0).cast("long")).alias("bits")))
 
         def step(a: Column, e: Column) -> Column:
-            score = F.get(a, e["e"]["i"])["best"] - e["e"]["s"]
-            return F.transform(a, lambda v, p: F.when((p == e["e"]["k"]) & (score > v["best"]), F.struct(score.alias("best"), e["e"]["i"].alias("back"))).otherwise(v))
+            before = F.get(a, e["i"])
+            score = before["best"] + e["score"]
+            bits = before["bits"].bitwiseOR(F.call_function("shiftleft", one, e["k"]))
+            return F.transform(a, lambda v, p: F.when((p == e["k"]) & (score > v["best"]), F.struct(score.alias("best"), bits.alias("bits"))).otherwise(v))
 
-        return F.aggregate(sorted_, start, step)
+        return F.aggregate(by_end, start, step)
 
-    def backward(a: Column) -> Column:
-        start = F.array(n)
-        path = F.aggregate(F.sequence(F.lit(1), n), start, lambda b, _: F.when(F.get(b, F.lit(0)) > 0, F.concat(F.array(F.get(a, F.get(b, F.lit(0)))["back"]), b)).otherwise(b))
-        return F.when(F.get(a, n)["best"] > low, _bind(path, lambda b: _ids(edges, b)))
-
-    by_end = F.sort_array(F.transform(edges, lambda e: F.struct(e["k"].alias("k"), e["i"].alias("i"), e.alias("e"))))
-    return _bind(_bind(by_end, forward), backward)
+    return _bind(forward(edges), lambda a: F.when(F.element_at(a, -1)["best"] > low, F.element_at(a, -1)["bits"]))
 
 
 FOLDS = {"merge": fold_merge, "viterbi": fold_viterbi}
 
 
 def encode_words(words: DataFrame, pieces: DataFrame, longest: int, carry: str, fold: str = "merge") -> DataFrame:
-    """word, carry, ids for distinct words."""
-    return lattice(words, pieces, longest, carry).select("word", carry, FOLDS[fold](F.col("n"), F.col("edges")).alias("ids"))
+    """word, carry, borders (bit p: a piece begins or ends at character p) for distinct words."""
+    made = lattice(words, pieces, longest, carry, 1, F.struct("k", "i", "score")) if fold == "viterbi" else lattice(words, pieces, longest, carry, 2, merge_edge())
+    return made.select("word", carry, FOLDS[fold](F.col("word"), F.col("edges")).alias("borders"))
+
+
+def cut(word: str, borders: int | None) -> list[str] | None:
+    """The pieces of a word between its borders."""
+    if borders is None:
+        return None
+    at = [p for p in range(len(word) + 1) if borders >> p & 1]
+    return [word[a:b] for a, b in zip(at, at[1:], strict=False)]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordBatch]]:
@@ -157,7 +201,11 @@ def _pack(batch: pa.Table | pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _chunk_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _chunk_words(path: str):
+    return lambda batches: _distinct(cutter(path), batches)
+
+
+def _distinct(cut_: Cutter, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, chunk): the distinct words of each chunk, sorted."""
     now, seen = None, set()
 
@@ -173,7 +221,7 @@ def _chunk_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             now, seen = chunk, set()
         for t in part.column(1).to_pylist():
             if t:
-                seen.update(words_of(t))
+                seen.update(cut_.words(t))
     yield from told()
 
 
@@ -194,9 +242,26 @@ def _chunk_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield told()
 
 
-def _chunk_dictionaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(chunk, blob): the encodings each chunk needs, packed."""
+def _chunk_dictionaries(path: str):
+    return lambda batches: _dictionaries(path, batches)
+
+
+def _dictionaries(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(chunk, blob): the encodings each chunk needs, packed. Words in doubt or with characters that are no piece
+    are left out, for the library."""
     held, rows = [], 0
+    m = library(path)
+    known = {m.id_to_piece(i): i for i in range(m.get_piece_size()) if not (m.is_unknown(i) or m.is_control(i) or m.is_byte(i) or m.is_unused(i))}
+
+    def encoded(b: pa.RecordBatch) -> pa.RecordBatch:
+        out, keep = [], []
+        for r, (w, bits) in enumerate(zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True)):
+            ids = [known.get(p) for p in cut(w, bits) or ()]
+            if ids and None not in ids:
+                out.append(ids)
+                keep.append(r)
+        some = b.take(pa.array(keep, pa.int64()))
+        return pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(out, pa.list_(pa.int32()))], names=["word", "chunks", "ids"])
 
     def told() -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held).combine_chunks()
@@ -211,8 +276,8 @@ def _chunk_dictionaries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Record
         yield pa.RecordBatch.from_arrays([pa.array(out_c, pa.int64()), pa.array(out_b, pa.binary())], names=["chunk", "blob"])
 
     for b in batches:
-        held.append(b)
-        rows += b.num_rows
+        held.append(encoded(b))
+        rows += held[-1].num_rows
         if rows >= 100_000:
             yield from told()
             held, rows = [], 0
@@ -225,34 +290,43 @@ def _unpack(blobs: pa.ChunkedArray) -> Iterator[pa.Table]:
         yield pa.ipc.open_stream(b.as_buffer()).read_all()
 
 
-def _apply(path: str, key: str):
+def _pieces_as_bytes(path: str) -> np.ndarray:
+    m = library(path)
+    one = lambda i: bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else b"" if m.is_control(i) or m.is_unknown(i) else m.id_to_piece(i).replace(MARK, " ").encode()
+    return np.array([one(i) for i in range(m.get_piece_size())], object)
+
+
+def _joined(table: np.ndarray, ids: np.ndarray) -> str:
+    t = b"".join(table[ids]).decode("utf-8", "replace")
+    return t[1:] if t.startswith(" ") else t
+
+
+def _apply(path: str, key: str, digest: bool):
     def run(texts: pa.Table, known: pa.Table) -> pa.Table:
-        model = library(path)
+        cut_ = cutter(path)
+        table = _pieces_as_bytes(path) if digest else None
         index: dict[str, int] = {}
         starts, sizes, values, at = [], [], [], 0
         for t in _unpack(known.column("blob")):
             ids = t.column("ids").combine_chunks()
-            whole = np.array([x is not None and None not in x for x in ids.to_pylist()], bool) if ids.null_count or ids.flatten().null_count else np.ones(len(t), bool)
-            off, flat = ids.offsets.to_numpy(), ids.values.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int32)
-            for w, good in zip(t.column("word").to_pylist(), whole.tolist(), strict=True):
-                if good:
-                    index[w] = len(index)
-            starts.append(off[:-1][whole] + at)
-            sizes.append(np.diff(off)[whole])
+            off, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+            for w in t.column("word").to_pylist():
+                index[w] = len(index)
+            starts.append(off[:-1] + at)
+            sizes.append(np.diff(off))
             values.append(flat)
             at += len(flat)
         start = np.concatenate(starts or [np.zeros(0, np.int64)]).astype(np.int64)
         size = np.concatenate(sizes or [np.zeros(0, np.int64)]).astype(np.int64)
         value = np.concatenate(values or [np.zeros(0, np.int32)])
-        keys, lists = [], []
+        keys, lists, digests = [], [], []
         for t in _unpack(texts.column("blob")):
-            for a in range(0, len(t), 512):
-                part = t.slice(a, 512)
-                split = [words_of(x or "") for x in part.column(1).to_pylist()]
+            keys.append(t.column(0))
+            for a in range(0, len(t), 128):
+                split = [cut_.words(x) for x in t.column(1).slice(a, 128).to_pylist()]
                 new = [w for w in set().union(*split) if w not in index]
-                if new:  # a word of "▁"s and characters stands alone at a text's start without its first "▁"
-                    more = [np.array(x, np.int32) for x in model.encode([w[1:].replace(MARK, " ") for w in new], num_threads=1)]
-                    more = [m if w[1:] else np.array([model.piece_to_id(MARK)], np.int32) for w, m in zip(new, more, strict=True)]
+                if new:
+                    more = by_library(new, path)
                     for w in new:
                         index[w] = len(index)
                     n = np.array([len(m) for m in more], np.int64)
@@ -265,54 +339,40 @@ def _apply(path: str, key: str):
                 flat = value[np.repeat(start[which] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
                 words = np.cumsum([len(s) for s in split])
                 cuts = np.concatenate([[0], np.concatenate([[0], ends])[words]]).astype(np.int32)
-                keys.append(part.column(0))
                 lists.append(pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat, pa.int32())))
+                if digest:
+                    digests += [hashlib.sha256(_joined(table, flat[i:j]).encode()).hexdigest() for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]
         none = pa.array([], pa.list_(pa.int32()))
-        return pa.table({key: pa.concat_arrays([c for k in keys for c in k.chunks]) if keys else pa.array([], pa.int64()), "ids": pa.concat_arrays(lists) if lists else none})
+        out = {key: pa.concat_arrays([c for k in keys for c in k.chunks]) if keys else pa.array([], pa.int64()), "ids": pa.concat_arrays(lists) if lists else none}
+        return pa.table(out | ({"decoded_sha256": pa.array(digests, pa.string())} if digest else {}))
 
     return run
 
 
-def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", fold: str = "merge") -> DataFrame:
-    """key, ids for every row."""
+def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id", fold: str = "merge", digest: bool = False) -> DataFrame:
+    """key, ids for every row; ``digest``: also decoded_sha256, of the text that the ids decode to."""
     spark = docs.sparkSession
     src = docs.select(docs[key].cast("long").alias(key), docs[text].alias("text"))
     pieces = piece_table(spark, path)
     m = library(path)
     longest = max(len(m.id_to_piece(i)) for i in range(m.get_piece_size()) if not m.is_byte(i))
-    words = src.mapInArrow(_chunk_words, "word string, chunk long").groupBy("word").agg(F.collect_list("chunk").alias("chunks"))
-    known = encode_words(words, pieces, longest, "chunks", fold).mapInArrow(_chunk_dictionaries, "chunk long, blob binary")
+    words = src.mapInArrow(_chunk_words(path), "word string, chunk long").groupBy("word").agg(F.collect_list("chunk").alias("chunks"))
+    known = encode_words(words, pieces, longest, "chunks", fold).mapInArrow(_chunk_dictionaries(path), "chunk long, blob binary")
     texts = src.mapInArrow(_chunk_texts, "chunk long, blob binary")
-    return texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_apply(path, key), f"{key} long, ids array<int>")
-
-
-def decode_ids(ids: list[int], path: str) -> str:
-    """The text of a token sequence: pieces end to end, byte pieces as UTF-8, "▁" as blanks, without the first."""
-    m = library(path)
-    out = bytearray()
-    for i in ids:
-        p = m.id_to_piece(i)
-        if m.is_byte(i):
-            out.append(int(p[3:5], 16))
-        elif not (m.is_control(i) or m.is_unknown(i)):
-            out += p.replace(MARK, " ").encode()
-    text = out.decode("utf-8", "replace")
-    return text[1:] if text.startswith(" ") else text
+    schema = f"{key} long, ids array<int>" + ", decoded_sha256 string" * digest
+    return texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_apply(path, key, digest), schema)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", key: str = "doc_id") -> DataFrame:
-    """key, ids, text for every row: one narrow pass with the piece table in each worker."""
+    """key, ids, text for every row: pieces end to end, byte pieces as UTF-8, "▁" as blanks, without the first.
+    One narrow pass with the piece table in each worker."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = library(path)
-        n = m.get_piece_size()
-        table = np.array([bytes([int(m.id_to_piece(i)[3:5], 16)]) if m.is_byte(i) else b"" if m.is_control(i) or m.is_unknown(i) else m.id_to_piece(i).replace(MARK, " ").encode() for i in range(n)], object)
+        table = _pieces_as_bytes(path)
         for b in batches:
-            lists = b.column(1)
-            out = []
-            for x in lists:
-                t = b"".join(table[x.values.to_numpy(zero_copy_only=False)]).decode("utf-8", "replace") if x.is_valid and len(x.values) else ""
-                out.append(t[1:] if t.startswith(" ") else t)
-            yield pa.RecordBatch.from_arrays([b.column(0), lists, pa.array(out, pa.string())], names=[key, ids, "text"])
+            for a in range(0, b.num_rows, 256):
+                part = b.slice(a, 256)
+                out = [_joined(table, x.values.to_numpy(zero_copy_only=False)) if x.is_valid and len(x.values) else "" for x in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.string())], names=[key, ids, "text"])
 
     return df.select(key, ids).mapInArrow(run, f"{key} long, {ids} array<int>, text string")

@@ -97,17 +97,17 @@ def test_sentencepiece(spark, odd, none, docs):
         back = sorted(r["text"] for r in sentencepiece_lattice.decode(made, PIECES).collect())
         assert back == sorted((r[1] or "").replace("▁", " ") for r in df.collect())
     assert sentencepiece_lattice.encode(odd, PIECES).columns == ["doc_id", "ids"]
+    told = sentencepiece_lattice.encode(odd, PIECES, digest=True)
+    assert sorted(r[2] for r in told.collect()) == sorted(hashlib.sha256((t or "").encode()).hexdigest() for _, t in ODD)
     assert sentencepiece_lattice.encode(none, PIECES).count() == 0
 
 
 def test_viterbi_fold(spark):
     rng = random.Random(9)
     vocab = {c: -3.0 - i / 10 for i, c in enumerate("abc")} | {"".join(rng.choice("abc") for _ in range(rng.randint(2, 4))): -rng.random() * 8 for _ in range(20)}
-    table = spark.createDataFrame([(p, i, s) for i, (p, s) in enumerate(vocab.items())], "piece string, id int, score double")
-    ids = {p: i for i, p in enumerate(vocab)}
+    table = spark.createDataFrame([(p, i, s, 0) for i, (p, s) in enumerate(vocab.items())], "piece string, id int, score double, rank int")
     words = sorted({"".join(rng.choice("abc") for _ in range(rng.randint(1, 9))) for _ in range(40)} | {"axb"})
-    got = {r["word"]: r["ids"] for r in sentencepiece_lattice.encode_words(spark.createDataFrame([(w, 0) for w in words], "word string, c int"), table, 4, "c", "viterbi").collect()}
-    score = {i: vocab[p] for p, i in ids.items()}
+    got = {r["word"]: sentencepiece_lattice.cut(r["word"], r["borders"]) for r in sentencepiece_lattice.encode_words(spark.createDataFrame([(w, 0) for w in words], "word string, c int"), table, 4, "c", "viterbi").collect()}
 
     def best(w):
         if not w:
@@ -118,7 +118,7 @@ def test_viterbi_fold(spark):
         if w == "axb":
             assert got[w] is None
         else:
-            assert sum(score[i] for i in got[w]) == pytest.approx(best(w))
+            assert "".join(got[w]) == w and sum(vocab[p] for p in got[w]) == pytest.approx(best(w))
 
 
 def test_token_counts(spark, odd, none, docs):
