@@ -13,6 +13,7 @@ FUNCTION_WORDS = (
     "she so that the their them they this to us was we were with you your"
 ).split()
 PER_100 = {"newline_per_100_words": "\n", "semicolon_per_100_words": ";", "colon_per_100_words": ":", "hyphen_per_100_words": "-", "comma_per_100_words": ",", "exclamation_per_100_words": "!", "question_per_100_words": "?"}
+#: The features, in order.
 NAMES = [
     "word_count", "sentence_count", "sentence_length_mean", "sentence_length_std", "sentence_length_skew", "paragraph_count", "paragraph_length_std", "type_token_ratio",
     "hapax_rate", "word_length_mean", "word_length_std", "repeated_token_rate", "contraction_rate", "function_word_ratio", *PER_100, "character_entropy_mean", "character_entropy_std",

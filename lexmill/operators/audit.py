@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.text import canonical, shingles, strip
 
 SPLITS = ["train", "development", "calibration", "sealed_test"]
+#: Rules in the order of their ranks.
 RULES = {
     1: "duplicate_id", 2: "unknown_split", 3: "sealed_test_flags", 4: "sealed_elsewhere", 5: "lineage_crosses_splits", 6: "blank_text",
     7: "exact_duplicate", 8: "near_duplicate", 9: "missing_parent", 10: "parent_crosses_splits",

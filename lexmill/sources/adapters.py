@@ -8,6 +8,7 @@ from ..functions.text import canonical, literal_variants_of, normalize, strip
 from ..operators.records import COLUMNS, require, to_records
 from ..operators.sampling import first_wins, hash_rank
 
+#: Columns that hold models' edits, and the models.
 EDITORS = {"llama-3.1-70b_edits": "llama-3.1-70b", "gpt-4o_edits": "gpt-4o"}
 
 
@@ -68,6 +69,7 @@ def edit_records(variants: DataFrame, split: Column) -> DataFrame:
     )
 
 
+#: The columns of the paired source.
 RAID = ["id", "source_id", "adv_source_id", "model", "attack", "domain", "generation"]
 
 
