@@ -196,7 +196,7 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
 
 def _pack(batch: pa.Table | pa.RecordBatch) -> bytes:
     sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as w:
         w.write(batch)
     return sink.getvalue().to_pybytes()
 
@@ -251,6 +251,7 @@ def _dictionaries(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
     are left out, for the library."""
     held, rows = [], 0
     m = library(path)
+    small = pa.uint16() if m.get_piece_size() <= 1 << 16 else pa.int32()
     known = {m.id_to_piece(i): i for i in range(m.get_piece_size()) if not (m.is_unknown(i) or m.is_control(i) or m.is_byte(i) or m.is_unused(i))}
 
     def encoded(b: pa.RecordBatch) -> pa.RecordBatch:
@@ -261,10 +262,10 @@ def _dictionaries(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
                 out.append(ids)
                 keep.append(r)
         some = b.take(pa.array(keep, pa.int64()))
-        return pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(out, pa.list_(pa.int32()))], names=["word", "chunks", "ids"])
+        return pa.RecordBatch.from_arrays([some.column(0), some.column(1), pa.array(out, pa.list_(small))], names=["word", "chunks", "ids"])
 
     def told() -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(held).combine_chunks()
+        t = pa.Table.from_batches(held).sort_by("word").combine_chunks()  # in order, words pack well
         lists = t.column("chunks").combine_chunks()
         chunk, parent = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(t)), np.diff(lists.offsets.to_numpy()))
         order = np.argsort(chunk, kind="stable")
@@ -309,7 +310,7 @@ def _apply(path: str, key: str, digest: bool):
         starts, sizes, values, at = [], [], [], 0
         for t in _unpack(known.column("blob")):
             ids = t.column("ids").combine_chunks()
-            off, flat = ids.offsets.to_numpy(), ids.values.to_numpy()
+            off, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype(np.int32)
             for w in t.column("word").to_pylist():
                 index[w] = len(index)
             starts.append(off[:-1] + at)
