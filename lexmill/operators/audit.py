@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import canonical, shingles, strip
+from ..session import spread
 
 SPLITS = ["train", "development", "calibration", "sealed_test"]
 #: Rules in the order of their ranks.
@@ -32,7 +33,7 @@ def near_pairs(df: DataFrame, threshold: float = 0.85, across: bool = True, key:
     shares one of the first n - ceil(t n) + 1 shingles, and survivors are checked on whole shingles."""
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be over 0 and at most 1")
-    sets = df.select(F.col(key).alias("k"), F.col(split).alias("s"), shingles(canonical(F.col(text))).alias("g")).where(F.size("g") > 0)
+    sets = spread(df.select(key, split, text)).select(F.col(key).alias("k"), F.col(split).alias("s"), shingles(canonical(F.col(text))).alias("g")).where(F.size("g") > 0)
     each = sets.select("k", "s", F.size("g").alias("n"), F.explode("g").alias("x")).select("k", "s", "n", F.xxhash64("x").alias("h"))
     known = each.groupBy("h").agg(F.count("*").alias("df"), F.min("s").alias("s0"), F.max("s").alias("s1"))
     if across:  # a shingle of one split alone joins nothing, but keeps its place in the order
@@ -56,14 +57,14 @@ def near_pairs(df: DataFrame, threshold: float = 0.85, across: bool = True, key:
 
 def exact_pairs(df: DataFrame, key: str = "id", text: str = "text", split: str = "split") -> DataFrame:
     """Rows whose canonical text occurs in more than one split, with the first row of that text (by ord)."""
-    d = df.withColumn("_c", F.sha2(canonical(F.col(text)), 256))
+    d = spread(df).withColumn("_c", F.sha2(canonical(F.col(text)), 256))
     groups = d.groupBy("_c").agg(F.min_by(F.struct(F.col(key).alias("id"), F.col(split).alias("split")), "ord").alias("first"), F.count_distinct(split).alias("_n")).where("_n > 1")
     return d.join(groups.drop("_n"), "_c").where(F.col(split) != F.col("first.split"))
 
 
 def contamination(corpus: DataFrame, benchmark: DataFrame, key: str, item: str, text: str = "text", n: int = 5) -> DataFrame:
     """key, item, shared: distinct word shingles that a document shares with a benchmark item."""
-    s = lambda df, k: df.select(F.col(k).alias(k), F.explode(shingles(canonical(F.col(text)), n)).alias("x")).select(k, F.xxhash64("x").alias("h"))
+    s = lambda df, k: spread(df.select(k, text)).select(F.col(k).alias(k), F.explode(shingles(canonical(F.col(text)), n)).alias("x")).select(k, F.xxhash64("x").alias("h"))
     return s(corpus, key).join(s(benchmark, item), "h").groupBy(key, item).agg(F.count("*").alias("shared"))
 
 

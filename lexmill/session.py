@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def get_session(app: str = "lexmill", master: str | None = None, **conf: str) -> SparkSession:
@@ -19,3 +19,10 @@ def get_session(app: str = "lexmill", master: str | None = None, **conf: str) ->
     }.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores: an input of fewer partitions than cores is dealt out anew before costly row-wise work; a
+    large one, already in many, is left as it is, without a shuffle."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n) if not df.isStreaming and df.rdd.getNumPartitions() < n else df
