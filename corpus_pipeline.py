@@ -27,7 +27,7 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts later repeated runs of lines out of the texts; no row goes."""
-    cut = line_dedup.dedup_lines(docs)
+    cut = line_dedup.dedup_runs(docs)
     return cut.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 

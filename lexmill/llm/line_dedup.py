@@ -1,19 +1,23 @@
-"""Line deduplication by winnowing, in DataFrame functions only.
+"""Line deduplication by hashed windows of lines, in DataFrame functions only.
 
 A text is cut after every newline and every sentence end followed by a blank; the pieces, put together
-again, are the text. From the hashes of these lines, the minima of all windows of WINDOW consecutive
-lines are selected as fingerprints, and with them every line of at least MIN_CHARS / (WINDOW - 1)
-characters. So every run of at least MIN_CHARS characters holds a fingerprint, whatever is around it:
-with WINDOW lines or more it holds a whole window, with fewer one of them is long enough.
-
-Each fingerprint is joined to its earliest occurrence in (doc_id, line) order, or to the one before it
-in the same document. Such a match fixes an offset between two documents; along it the match is
-extended both ways over all equal lines, and a run of at least MIN_CHARS characters is deleted from
-the later document. First occurrences stay.
-
-Semantics: lines are equal if they agree but for blanks at their ends; null text stays null, empty text
-empty, and both remove nothing; rows that repeat both id and text are one document and are treated
-alike; extra columns are kept; an empty table gives an empty result.
+again, are the text. dedup_runs deletes every run of at least MIN_CHARS characters of lines (as long as
+they are in this text) that stands earlier in (doc_id, line) order, in any document or in the same one.
+
+Of every line, the shortest window of MIN_CHARS characters that begins with it and the shortest that ends
+with it are hashed as wholes; together they cover every run, and a window that is deleted is equal to its
+source from end to end, so each key needs its earliest occurrence only. So that both sides choose the
+same windows, lines are measured as their text and one end; the missing end of a text's last line is
+met by windows of one character more. Windows that reach MIN_CHARS only by further blanks are looked for
+in a second pass, at every place where their first line stands. First occurrences stay.
+
+dedup_lines is winnowing with one source a fingerprint: minima of WINDOW consecutive line hashes and long
+lines are joined to their earliest occurrence (in the same document, to the one before) and extended. It
+misses runs whose fingerprint stands elsewhere earlier; no query uses it.
+
+Semantics: lines are equal if they agree but for blanks at their ends; blank lines alone are no run;
+null text stays null, empty text empty, and both remove nothing; rows that repeat both id and text are
+one document and are treated alike; extra columns are kept; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -114,8 +118,100 @@ def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, window: int =
     source = base.select(F.col("d").alias("sd"), F.col("hs").alias("b"))
     other = scratch.save(matches.where("not own").join(source, "sd")).join(target, ["d", "k"]).select("d", "k", runs(F.col("b")).alias("r"))
     gone = scratch.save(own.unionByName(other).where(F.size("r") > 0))
-    gone = gone.groupBy(F.col("d").alias("__lexmill_d"), F.col("k").alias("__lexmill_k")).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("r")))).alias("_removed"))
-    same = (documents[key] == gone["__lexmill_d"]) & (mark == gone["__lexmill_k"])
+    return _cut(documents, gone.groupBy("d", "k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("r")))).alias("_removed")), text, key)
+
+
+def _spans(sizes: Column, least: int) -> Column:
+    """For every line, the number of lines from it on that hold ``least`` characters (a), and one more (b); 0 if the text ends before."""
+
+    def count(xs: Column) -> Column:
+        start = F.struct(F.lit(0).alias("s"), F.lit(0).alias("a"), F.lit(0).alias("b"))
+        step = lambda s, x: F.struct((s["s"] + x).alias("s"), (s["a"] + (s["s"] < least).cast("int")).alias("a"), (s["b"] + (s["s"] <= least).cast("int")).alias("b"))
+        end = lambda s: F.struct(F.when(s["s"] >= least, s["a"]).otherwise(0).alias("a"), F.when(s["s"] > least, s["b"]).otherwise(0).alias("b"))
+        return F.aggregate(xs, start, step, end)
+
+    # Few lines are nearly always enough; the empty piece at a text's end is the only one without a character.
+    far = lambda i: F.element_at(F.transform(F.array(count(F.slice(sizes, i + 1, 4))), lambda s: F.when(s["b"] > 0, s).otherwise(count(F.slice(sizes, i + 1, least + 2)))), 1)
+    return F.transform(sizes, lambda _, i: far(i))
+
+
+def _windows(sizes: Column, least: int) -> Column:
+    """The distinct windows (pos, n) that _spans gives from every line on and back from every line, as pos * (least + 3) + n."""
+    n, code = F.size(sizes), lambda pos, k: pos.cast("long") * (least + 3) + k
+    pair = lambda pos_a, pos_b, s: F.array(F.when(s["a"] > 0, code(pos_a, s["a"])), F.when(s["b"] > 0, code(pos_b, s["b"])))
+    on = F.transform(_spans(sizes, least), lambda s, i: pair(i, i, s))
+    back = F.transform(_spans(F.reverse(sizes), least), lambda s, i: pair(n - i - s["a"], n - i - s["b"], s))
+    return F.filter(F.array_distinct(F.flatten(F.concat(on, back))), lambda x: x.isNotNull())
+
+
+def _total(sizes: Column, pos: Column, n: Column) -> Column:
+    return F.aggregate(F.slice(sizes, pos + 1, n), F.lit(0), lambda s, x: s + x)
+
+
+def _keyed(base: DataFrame, codes: Column, min_chars: int) -> DataFrame:
+    """d, k, key, pos, n of the windows of each text; enough: they hold min_chars; again: the key stands before in this text."""
+
+    def window(x: Column) -> Column:
+        pos, n = F.floor(x / (min_chars + 3)).cast("int"), F.pmod(x, F.lit(min_chars + 3)).cast("int")
+        part = F.slice("hs", pos + 1, n)
+        return F.when(F.exists(part, lambda h: h != _BLANK), F.struct(F.xxhash64(part).alias("key"), pos.alias("pos"), n.alias("n"), (_total(F.col("ln"), pos, n) >= min_chars).alias("enough")))
+
+    def linked(a: Column) -> Column:
+        return F.transform(a, lambda x, i: F.struct(x["key"].alias("key"), x["pos"].alias("pos"), x["n"].alias("n"), x["enough"].alias("enough"), F.coalesce(F.get(a, i - 1)["key"] == x["key"], F.lit(False)).alias("again")))
+
+    made = F.array_sort(F.filter(F.transform(codes, window), lambda x: x.isNotNull()))
+    return base.select("d", "k", F.inline(F.element_at(F.transform(F.array(made), linked), 1)))
+
+
+def _repeats(windows: DataFrame, scratch: Scratch) -> DataFrame:
+    """d, k, pos, n of the windows that stand earlier in the corpus."""
+    once = windows.where("not again")
+    first = scratch.save(once.groupBy("key").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("key", "lo"))
+    across = once.where("enough").join(first, "key").where("d > lo")
+    return across.select("d", "k", "pos", "n").unionByName(windows.where("enough and again").select("d", "k", "pos", "n"))
+
+
+def _merged(ranges: Column) -> Column:
+    """Sorted [first, last] ranges, those that overlap or touch as one."""
+    empty = F.array().cast("array<struct<first:int,last:int>>")
+    start = F.struct(F.lit(None).cast("struct<first:int,last:int>").alias("open"), empty.alias("out"))
+
+    def step(s: Column, r: Column) -> Column:
+        o = s["open"]
+        meets = r["first"] <= o["last"] + 1
+        grown = F.struct(o["first"].alias("first"), F.greatest(o["last"], r["last"]).alias("last"))
+        return F.struct(F.when(meets, grown).otherwise(r).alias("open"), F.when(meets | o.isNull(), s["out"]).otherwise(F.array_append(s["out"], o)).alias("out"))
+
+    return F.aggregate(ranges, start, step, lambda s: F.array_append(s["out"], s["open"]))
+
+
+def dedup_runs(documents: DataFrame, min_chars: int = MIN_CHARS, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of documents, all their columns, with every run that stands earlier cut out of ``text``; plus (in place
+    of an extra column of that name) ``_removed``: the removed line numbers as an array of [first, last], null where nothing went."""
+    scratch = Scratch(documents.sparkSession, "lines")
+    split = documents.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).cast("long").alias("d"), F.xxhash64(F.col(text)).alias("k"), lines(F.col(text)).alias("l"))
+    measure = lambda x: F.length(F.btrim(x, F.lit(" \t\r\n"))) + 1
+    base = scratch.save(split.select("d", "k", F.transform("l", _line_hash).alias("hs"), F.transform("l", F.length).alias("ln"), F.transform("l", measure).alias("cn")))
+    gone = _repeats(scratch.save(_keyed(base, _windows(F.col("cn"), min_chars), min_chars)), scratch)
+    # Windows that hold min_chars only with blanks that the plain measure leaves out.
+    padded = base.where(F.exists(F.zip_with("ln", "cn", lambda a, b: a > b), lambda x: x))
+    pos = lambda x: F.floor(x / (min_chars + 3)).cast("int")
+    n = lambda x: F.pmod(x, F.lit(min_chars + 3)).cast("int")
+    odd = F.filter(_windows(F.col("ln"), min_chars), lambda x: _total(F.col("ln"), pos(x), n(x)) > _total(F.col("cn"), pos(x), n(x)))
+    wanted = scratch.save(padded.select(F.explode(F.transform(odd, lambda x: F.struct(F.get("hs", pos(x)).alias("h"), n(x).alias("n")))).alias("w")).select("w.h", "w.n").distinct())
+    if not wanted.isEmpty():
+        places = base.select("d", "k", F.posexplode("hs").alias("pos", "h")).join(wanted, "h")
+        codes = places.groupBy("d", "k").agg(F.collect_set(F.col("pos").cast("long") * (min_chars + 3) + F.col("n")).alias("codes"))
+        fits = F.filter("codes", lambda x: pos(x) + n(x) <= F.size("hs"))
+        gone = gone.unionByName(_repeats(scratch.save(_keyed(base.join(codes, ["d", "k"]), fits, min_chars)), scratch))
+    ranges = F.collect_set(F.struct(F.col("pos").alias("first"), (F.col("pos") + F.col("n") - 1).alias("last")))
+    return _cut(documents, scratch.save(gone.groupBy("d", "k").agg(ranges.alias("r")).select("d", "k", _merged(F.array_sort("r")).alias("_removed"))), text, key)
+
+
+def _cut(documents: DataFrame, gone: DataFrame, text: str, key: str) -> DataFrame:
+    """documents without the lines that ``gone`` (d, k, _removed) names."""
+    gone = gone.select(F.col("d").alias("__lexmill_d"), F.col("k").alias("__lexmill_k"), "_removed")
+    same = (documents[key] == gone["__lexmill_d"]) & (F.xxhash64(F.col(text)) == gone["__lexmill_k"])
     # The same plan at every size: texts are shuffled once, whatever the share of documents that change.
     joined = documents.drop("_removed").join(gone.hint("merge"), same, "left")
     left = F.filter(lines(F.col(text)), lambda x, i: ~F.exists("_removed", lambda r: (i >= r["first"]) & (i <= r["last"])))

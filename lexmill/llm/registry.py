@@ -41,9 +41,9 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .line_dedup import dedup_lines
+    from .line_dedup import dedup_runs
 
-    done = dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    done = dedup_runs(read(spark, sf_dir, "documents").select("doc_id", "text"))
     cut = F.transform(F.coalesce("_removed", F.array().cast("array<struct<first:int,last:int>>")), lambda r: F.struct(r["first"].cast("long").alias("first"), r["last"].cast("long").alias("last")))
     return done.select("doc_id", F.col("_removed").isNotNull().alias("changed"), cut.alias("removed_lines"), F.length("text").cast("long").alias("n_chars_left"), F.col("text"))
 

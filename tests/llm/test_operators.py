@@ -327,6 +327,61 @@ def test_repeated_passage_is_caught(spark):
     assert passage in got[0] and all("shared3" not in got[i] and f"document {i} " in got[i] for i in range(1, 30))
 
 
+def brute_runs(rows, min_chars):
+    """Every run of min_chars that stands earlier, by comparing with all earlier places of each of its lines."""
+    cut = lambda t: re.split(r"(?<=\n)|(?<=[.!?] )", t)
+    core = {i: [x.strip(" \t\r\n") for x in cut(t)] for i, t in rows}
+    places, out = collections.defaultdict(list), {}
+    for i in sorted(core):
+        for p, c in enumerate(core[i]):
+            places[c].append((i, p))
+    for i, t in rows:
+        own, gone = cut(t), set()
+        shifts = {(j, p - q) for p, c in enumerate(core[i]) if c for j, q in places[c] if (j, q) < (i, p)}
+        for j, s in shifts:
+            run = []
+            for p in range(len(own) + 1):
+                if p < len(own) and 0 <= p - s < len(core[j]) and core[i][p] == core[j][p - s]:
+                    run.append(p)
+                else:
+                    if sum(len(own[q]) for q in run) >= min_chars:
+                        gone |= set(run)
+                    run = []
+        out[i] = "".join(x for p, x in enumerate(own) if p not in gone)
+    return out
+
+
+def removed_runs(spark, rows):
+    return {r["doc_id"]: r["text"] for r in line_dedup.dedup_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+
+
+def test_runs_whose_lines_stand_alone_earlier(spark, docs):
+    """Any line of a passage may stand alone in an earlier document."""
+    parts = [f"Line {i} of the passage, of some seventy characters, neither less nor {i}.\n" for i in range(4)]
+    rows = [(i, f"Alone in document {i}.\n{x}And more of {i}.\n") for i, x in enumerate(parts)] + [(i, f"Begin {i}.\n{''.join(parts)}End {i}.\n") for i in (10, 11)]
+    assert removed_runs(spark, rows) == dict(rows) | {11: "Begin 11.\nEnd 11.\n"}
+
+
+def test_runs_against_all_earlier_places(spark, docs, odd, none):
+    rng = random.Random(4)
+    words = lambda k: " ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randint(0, 30)) for _ in range(k))
+    pool = [words(rng.randint(1, 12)) + rng.choice([".", "!", "", "?"]) for _ in range(40)] + ["", "x" * 147, "y" * 148, "z" * 149]
+    ends = ["\n", "\n", "\n", "\n", "\r\n", "   \n", "\n    "]
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    for i in range(150):
+        start, plain = rng.randrange(36), rng.random() < 0.6
+        lines = pool[start : start + rng.randint(2, 9)] + [f"own {i} line"] + [rng.choice(pool) for _ in range(rng.randint(0, 6))]
+        text = "".join(x + ("\n" if plain else rng.choice(ends)) for x in lines)
+        rows.append((1000 + i, text.rstrip() if rng.random() < 0.5 else text))
+    assert removed_runs(spark, rows) == brute_runs(rows, line_dedup.MIN_CHARS)
+    out = line_dedup.dedup_runs(odd)
+    assert sorted(out.columns) == sorted(odd.columns) and out.count() == len(ODD) and line_dedup.dedup_runs(none).count() == 0
+    texts = collections.defaultdict(list)
+    for r in out.collect():
+        texts[r["doc_id"]].append(r["text"])
+    assert texts[1] == [None] and texts[2] == [""] and texts[6] == ["", ""] and texts[12] == [ODD[13][1]]
+
+
 def test_fingerprints(spark, docs, odd, none):
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
     got = {r["doc_id"]: r for r in fingerprints.fingerprints(docs).collect()}
