@@ -382,6 +382,17 @@ def test_runs_against_all_earlier_places(spark, docs, odd, none):
     assert texts[1] == [None] and texts[2] == [""] and texts[6] == ["", ""] and texts[12] == [ODD[13][1]]
 
 
+@pytest.mark.parametrize("lone", range(3))
+def test_runs_whose_lines_repeat_in_a_document(spark, lone):
+    """Any line of a passage may stand alone too, in the copy, in the source, or between two copies of one document."""
+    parts = [f"Short line {i} of a passage, of fifty or more characters.\n" for i in range(3)]
+    run, x = "".join(parts), parts[lone]
+    rows = [(1, f"First.\n{run}Last.\n"), (2, f"{x}Own words.\n{run}The end.\n"), (3, f"{x}Three.\n{run.upper()}{x.upper()}Between.\n{run.upper()}End three.\n")]
+    assert removed_runs(spark, rows) == dict(rows) | {2: f"{x}Own words.\nThe end.\n", 3: f"{x}Three.\n{run.upper()}{x.upper()}Between.\nEnd three.\n"}
+    rows = [(1, f"{x}First.\n{run}Last.\n"), (2, f"Own words.\n{run}The end.\n")]
+    assert removed_runs(spark, rows) == dict(rows) | {2: "Own words.\nThe end.\n"}
+
+
 def test_fingerprints(spark, docs, odd, none):
     rows = sorted((r["doc_id"], r["text"]) for r in docs.collect())
     got = {r["doc_id"]: r for r in fingerprints.fingerprints(docs).collect()}
