@@ -34,3 +34,19 @@ def test_entry(spark):
     df = __spark_entry__.entry(spark)
     assert df.count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_tfidf_vectors_keep_every_term(spark):
+    """One column a term: the weights are those of the long form, none merged."""
+    from pyspark.sql import functions as F
+
+    from lexmill.operators import features
+
+    df = spark.createDataFrame([("a", " ".join(f"w{i}" for i in range(3000))), ("b", " ".join(f"w{i % 500}" for i in range(700))), ("c", "")], "id string, text string")
+    got = {r["id"]: r["features"] for r in features.tfidf_vectors(df, df, features.word_ngrams).collect()}
+    want = features.tfidf(df, features.word_ngrams(F.col("text"))).collect()
+    assert all(v.size == len({r["term"] for r in want}) for v in got.values()) and got["c"].numNonzeros() == 0
+    for key in "ab":
+        assert sorted(round(float(x), 9) for x in got[key].values) == sorted(round(r["weight"], 9) for r in want if r["id"] == key)
+    new = spark.createDataFrame([("n", "w1 w2 unseen")], "id string, text string")
+    assert features.tfidf_vectors(df, new, features.word_ngrams).first()["features"].numNonzeros() == 3
