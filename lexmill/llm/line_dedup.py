@@ -1,23 +1,24 @@
-"""Line deduplication by hashed windows of lines, in DataFrame functions only.
+"""Line deduplication by window fingerprints of line hashes, in DataFrame functions only.
 
 A text is cut after every newline and every sentence end followed by a blank; the pieces, put together
-again, are the text. dedup_runs deletes every run of at least MIN_CHARS characters of lines (as long as
-they are in this text) that stands earlier in (doc_id, line) order, in any document or in the same one.
-
-Of every line, the shortest window of MIN_CHARS characters that begins with it and the shortest that ends
-with it are hashed as wholes; together they cover every run, and a window that is deleted is equal to its
-source from end to end, so each key needs its earliest occurrence only. So that both sides choose the
-same windows, lines are measured as their text and one end; the missing end of a text's last line is
-met by windows of one character more. Windows that reach MIN_CHARS only by further blanks are looked for
-in a second pass, at every place where their first line stands. First occurrences stay.
-
-dedup_lines is winnowing with one source a fingerprint: minima of WINDOW consecutive line hashes and long
-lines are joined to their earliest occurrence (in the same document, to the one before) and extended. It
-misses runs whose fingerprint stands elsewhere earlier; no query uses it.
+again, are the text. A line's size is its characters without blanks at its ends, plus one. dedup_lines
+deletes every run of lines of a size of at least MIN_CHARS that stands earlier in (doc_id, text hash,
+line) order, in any document or in the same one. It is complete: a run is found wherever else its lines
+stand, too, and however short or common they are.
+
+Fingerprints are the windows of line hashes that begin, or end, with a line and are the least to reach
+MIN_CHARS, hashed as wholes. As in winnowing, every run of that size holds one at least, chosen by its own
+lines alone; but no minimum of a few line hashes stands for a window, since it would be shared with other,
+shorter runs, whose earliest place hides the others. Both kinds of windows together reach to a run's ends,
+which is the extension both ways. So a fingerprint needs its earliest occurrence only: one partial
+aggregate finds it, one join of positions the later ones, whose lines go. First occurrences stay.
 
 Semantics: lines are equal if they agree but for blanks at their ends; blank lines alone are no run;
-null text stays null, empty text empty, and both remove nothing; rows that repeat both id and text are
-one document and are treated alike; extra columns are kept; an empty table gives an empty result.
+null text stays null, empty text empty, rows without an id stay as they are; rows that repeat an id with
+other texts are documents of their own, in the order of their text hashes; rows that repeat both id and
+text are one document and are treated alike; long texts are read whole, at a cost in proportion to
+their length; extra columns are kept; an empty table gives an empty result. Lines and windows are told
+by 64-bit hashes.
 """
 
 from __future__ import annotations
@@ -26,9 +27,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .common import Scratch
 
-MIN_CHARS, WINDOW = 150, 3
+MIN_CHARS = 150
 _MARK = "\x01"
-_BLANK = 2**63 - 1
+_BLOCK = 32
 
 
 def lines(text: Column) -> Column:
@@ -40,135 +41,49 @@ def lines(text: Column) -> Column:
     return F.when(F.contains(text, F.lit(_MARK)), odd).otherwise(F.split(marked, _MARK, -1))
 
 
-def _line_hash(line: Column) -> Column:
-    core = F.btrim(line, F.lit(" \t\r\n"))
-    return F.when(core == "", F.lit(_BLANK)).otherwise(F.xxhash64(core))
-
-
-def selected(hashes: Column, sizes: Column, window: int, min_chars: int) -> Column:
-    """The fingerprints of a text: position (from 0), hash, and the position before it of the same hash, if any."""
-    n = F.size(hashes)
-    minima = F.when(n >= window, F.transform(F.sequence(F.lit(1), n - window + 1), lambda i: F.array_min(F.slice(hashes, i, window)))).otherwise(F.array().cast("array<bigint>"))
-    long = -(-min_chars // (window - 1))
-
-    def pick(minima: Column) -> Column:
-        def chosen(h: Column, i: Column) -> Column:
-            out = F.get(sizes, i) >= long
-            for k in range(window):
-                out = out | F.coalesce(F.get(minima, i - k) == h, F.lit(False))
-            return (h != _BLANK) & out
-
-        marked = F.transform(hashes, lambda h, i: F.when(chosen(h, i), F.struct(h.alias("h"), i.alias("pos"))))
-        return F.array_sort(F.filter(marked, lambda x: x.isNotNull()))
-
-    def linked(a: Column) -> Column:
-        def link(x: Column, i: Column) -> Column:
-            last = F.get(a, i - 1)
-            return F.struct(x["pos"].alias("pos"), x["h"].alias("h"), F.when(last["h"] == x["h"], last["pos"]).alias("before"))
-
-        return F.transform(a, link)
-
-    # The minima, then the sorted fingerprints, are computed once, bound by the lambdas.
-    prints = F.element_at(F.transform(F.array(minima), pick), 1)
-    return F.element_at(F.transform(F.array(prints), linked), 1)
-
-
-def _runs(a: Column, sizes: Column, b: Column, shift: Column, matched: Column, min_chars: int) -> Column:
-    """Maximal runs [first, last] of positions p with a[p] = b[p - shift], of at least min_chars characters.
-    ``matched``: positions where a fingerprint matched; unless one of these lines is long enough or has an
-    equal neighbour, there is no such run and nothing is walked through."""
-    empty = F.array().cast("array<struct<first:int,last:int>>")
-    start = F.struct(F.lit(-1).alias("at"), F.lit(0).cast("bigint").alias("chars"), empty.alias("out"))
-    equal = lambda p: F.coalesce((p >= shift) & (F.get(a, p) == F.get(b, p - shift)), F.lit(False))
-
-    def step(s: Column, p: Column) -> Column:
-        same = equal(p)
-        closed = F.when(s["chars"] >= min_chars, F.array_append(s["out"], F.struct(s["at"].alias("first"), (p - 1).alias("last")))).otherwise(s["out"])
-        return F.struct(
-            F.when(~same, F.lit(-1)).when(s["at"] < 0, p).otherwise(s["at"]).alias("at"),
-            F.when(same, s["chars"] + F.coalesce(F.get(sizes, p), F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias("chars"),
-            F.when(same, s["out"]).otherwise(closed).alias("out"),
-        )
-
-    promising = F.exists(matched, lambda p: (F.get(sizes, p) >= min_chars) | equal(p + 1) | equal(p - 1))
-    return F.when(promising, F.aggregate(F.sequence(F.lit(0), F.size(a)), start, step, lambda s: s["out"])).otherwise(empty)
-
-
-def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, window: int = WINDOW, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The rows of documents, all their columns, with later repeated runs cut out of ``text``; plus (in place
-    of an extra column of that name) ``_removed``: the removed line numbers as an array of [first, last], null where nothing went."""
-    scratch = Scratch(documents.sparkSession, "lines")
-    mark = F.xxhash64(F.col(text))
-    split = documents.where(F.col(key).isNotNull() & (F.length(text) >= min_chars)).select(F.col(key).cast("long").alias("d"), mark.alias("k"), lines(F.col(text)).alias("l"))
-    hashed = split.select("d", "k", F.transform("l", _line_hash).alias("hs"), F.transform("l", F.length).alias("ln"))
-    base = scratch.save(hashed.withColumn("prints", selected(F.col("hs"), F.col("ln"), window, min_chars)))
-    prints = base.select("d", "k", F.explode(F.filter("prints", lambda x: x["before"].isNull())).alias("e")).select("d", "k", F.col("e.pos").alias("pos"), F.col("e.h").alias("h"))
-    where = F.struct("d", "pos")
-    first = scratch.save(
-        prints.groupBy("h").agg(F.min(where).alias("f"), F.max(where).alias("z"))
-        .where("f <> z").select("h", F.col("f.d").alias("sd"), F.col("f.pos").alias("sp"))
-    )
-    columns = ["d", "k", "sd", "own", "shift", "pos"]
-    inside = base.select("d", "k", F.explode(F.filter("prints", lambda x: x["before"].isNotNull())).alias("e")).select("d", "k", F.col("d").alias("sd"), F.lit(True).alias("own"), (F.col("e.pos") - F.col("e.before")).alias("shift"), F.col("e.pos").alias("pos"))
-    across = prints.join(first, "h").where("sd <> d").select("d", "k", "sd", F.lit(False).alias("own"), (F.col("pos") - F.col("sp")).alias("shift"), "pos")
-    matches = scratch.save(inside.select(columns).unionByName(across.select(columns)).groupBy("d", "k", "sd", "own", "shift").agg(F.collect_set("pos").alias("at")))
-    target = base.select("d", "k", "hs", "ln")
-    runs = lambda b: _runs(F.col("hs"), F.col("ln"), b, F.col("shift"), F.col("at"), min_chars)
-    own = matches.where("own").join(target, ["d", "k"]).select("d", "k", runs(F.col("hs")).alias("r"))
-    source = base.select(F.col("d").alias("sd"), F.col("hs").alias("b"))
-    other = scratch.save(matches.where("not own").join(source, "sd")).join(target, ["d", "k"]).select("d", "k", runs(F.col("b")).alias("r"))
-    gone = scratch.save(own.unionByName(other).where(F.size("r") > 0))
-    return _cut(documents, gone.groupBy("d", "k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("r")))).alias("_removed")), text, key)
-
-
-def _spans(sizes: Column, least: int) -> Column:
-    """For every line, the number of lines from it on that hold ``least`` characters (a), and one more (b); 0 if the text ends before."""
-
-    def count(xs: Column) -> Column:
-        start = F.struct(F.lit(0).alias("s"), F.lit(0).alias("a"), F.lit(0).alias("b"))
-        step = lambda s, x: F.struct((s["s"] + x).alias("s"), (s["a"] + (s["s"] < least).cast("int")).alias("a"), (s["b"] + (s["s"] <= least).cast("int")).alias("b"))
-        end = lambda s: F.struct(F.when(s["s"] >= least, s["a"]).otherwise(0).alias("a"), F.when(s["s"] > least, s["b"]).otherwise(0).alias("b"))
-        return F.aggregate(xs, start, step, end)
-
-    # Few lines are nearly always enough; the empty piece at a text's end is the only one without a character.
-    far = lambda i: F.element_at(F.transform(F.array(count(F.slice(sizes, i + 1, 4))), lambda s: F.when(s["b"] > 0, s).otherwise(count(F.slice(sizes, i + 1, least + 2)))), 1)
-    return F.transform(sizes, lambda _, i: far(i))
-
-
-def _windows(sizes: Column, least: int) -> Column:
-    """The distinct windows (pos, n) that _spans gives from every line on and back from every line, as pos * (least + 3) + n."""
-    n, code = F.size(sizes), lambda pos, k: pos.cast("long") * (least + 3) + k
-    pair = lambda pos_a, pos_b, s: F.array(F.when(s["a"] > 0, code(pos_a, s["a"])), F.when(s["b"] > 0, code(pos_b, s["b"])))
-    on = F.transform(_spans(sizes, least), lambda s, i: pair(i, i, s))
-    back = F.transform(_spans(F.reverse(sizes), least), lambda s, i: pair(n - i - s["a"], n - i - s["b"], s))
-    return F.filter(F.array_distinct(F.flatten(F.concat(on, back))), lambda x: x.isNotNull())
-
-
-def _total(sizes: Column, pos: Column, n: Column) -> Column:
-    return F.aggregate(F.slice(sizes, pos + 1, n), F.lit(0), lambda s, x: s + x)
-
-
-def _keyed(base: DataFrame, codes: Column, min_chars: int) -> DataFrame:
-    """d, k, key, pos, n of the windows of each text; enough: they hold min_chars; again: the key stands before in this text."""
-
-    def window(x: Column) -> Column:
-        pos, n = F.floor(x / (min_chars + 3)).cast("int"), F.pmod(x, F.lit(min_chars + 3)).cast("int")
-        part = F.slice("hs", pos + 1, n)
-        return F.when(F.exists(part, lambda h: h != _BLANK), F.struct(F.xxhash64(part).alias("key"), pos.alias("pos"), n.alias("n"), (_total(F.col("ln"), pos, n) >= min_chars).alias("enough")))
-
-    def linked(a: Column) -> Column:
-        return F.transform(a, lambda x, i: F.struct(x["key"].alias("key"), x["pos"].alias("pos"), x["n"].alias("n"), x["enough"].alias("enough"), F.coalesce(F.get(a, i - 1)["key"] == x["key"], F.lit(False)).alias("again")))
-
-    made = F.array_sort(F.filter(F.transform(codes, window), lambda x: x.isNotNull()))
-    return base.select("d", "k", F.inline(F.element_at(F.transform(F.array(made), linked), 1)))
-
-
-def _repeats(windows: DataFrame, scratch: Scratch) -> DataFrame:
-    """d, k, pos, n of the windows that stand earlier in the corpus."""
-    once = windows.where("not again")
-    first = scratch.save(once.groupBy("key").agg(F.min("d").alias("lo"), F.max("d").alias("hi")).where("lo < hi").select("key", "lo"))
-    across = once.where("enough").join(first, "key").where("d > lo")
-    return across.select("d", "k", "pos", "n").unionByName(windows.where("enough and again").select("d", "k", "pos", "n"))
+def _cores(text: Column) -> Column:
+    """The lines of a text without the blanks at their ends."""
+    marked = F.replace(text, F.lit("\n"), F.lit(_MARK))
+    for end in (".", "!", "?"):
+        marked = F.replace(marked, F.lit(end + " "), F.lit(end + _MARK))
+    odd = F.contains(text, F.lit(_MARK)) | F.contains(text, F.lit("\r")) | F.contains(text, F.lit("\t"))
+    slow = F.transform(lines(text), lambda x: F.btrim(x, F.lit(" \t\r\n")))
+    return F.when(odd, slow).otherwise(F.transform(F.split(marked, _MARK, -1), lambda x: F.trim(x)))
+
+
+def _running(sizes: Column) -> Column:
+    """0 and the running sums of sizes, in blocks, so that the cost stays in proportion to their number."""
+    last = lambda a: F.element_at(a, -1)
+    sums = lambda xs: F.aggregate(xs, F.array(F.lit(0)), lambda a, x: F.array_append(a, last(a) + x))
+
+    def joined(blocks: Column) -> Column:
+        before = sums(F.transform(blocks, last))
+        shift = lambda offsets: F.flatten(F.transform(blocks, lambda b, i: F.transform(F.slice(b, 2, _BLOCK), lambda x: x + F.get(offsets, i))))
+        return F.concat(F.array(F.lit(0)), F.element_at(F.transform(F.array(before), shift), 1))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(sizes) - 1) / _BLOCK).cast("int")), lambda i: sums(F.slice(sizes, i * _BLOCK + 1, _BLOCK)))
+    many = F.element_at(F.transform(F.array(blocks), joined), 1)
+    return F.when(F.size(sizes) <= _BLOCK, sums(sizes)).otherwise(many)
+
+
+def _windows(base: DataFrame, least: int) -> DataFrame:
+    """d, k, key, pos, n of the fingerprints of each text: the least windows that begin with a line, and those that end
+    with one. One row a line in generated code, where the arrays are only looked into."""
+    c, i = (lambda at: F.get("c", at)), F.col("i")
+    at = base.select("d", "k", "hs", "c", F.explode(F.sequence(F.lit(0), F.size("hs") - 1)).alias("i"))
+    at = at.withColumns({"on": F.lit(0), "back": F.lit(0)})
+    for b in reversed(range(least.bit_length())):  # lines from here on, and back from here, that stay under least
+        on, back = F.col("on") + (1 << b), F.col("back") + (1 << b)
+        at = at.withColumns({
+            "on": F.when(c(i + on) - c(i) < least, on).otherwise(F.col("on")),
+            "back": F.when((back <= i) & (c(i + 1) - c(F.greatest(i + 1 - back, F.lit(0))) < least), back).otherwise(F.col("back")),
+        })
+    first = i - F.col("back")
+    # So many lines would all be blank. A window that begins and ends with its line is told once.
+    begins = F.when((F.col("on") + 1 < least) & (i + F.col("on") < F.size("hs")), F.struct(i.alias("pos"), (F.col("on") + 1).alias("n")))
+    ends = F.when((F.col("back") + 1 < least) & (c(i + 1) - c(first) >= least) & (c(i) - c(first) >= least), F.struct(first.alias("pos"), (F.col("back") + 1).alias("n")))
+    some = at.select("d", "k", "hs", F.inline(F.array(begins, ends))).where("n is not null")
+    return some.select("d", "k", F.xxhash64(F.slice("hs", F.col("pos") + 1, F.col("n"))).alias("key"), "pos", "n")
 
 
 def _merged(ranges: Column) -> Column:
@@ -185,27 +100,28 @@ def _merged(ranges: Column) -> Column:
     return F.aggregate(ranges, start, step, lambda s: F.array_append(s["out"], s["open"]))
 
 
-def dedup_runs(documents: DataFrame, min_chars: int = MIN_CHARS, text: str = "text", key: str = "doc_id") -> DataFrame:
+def _kept(all_lines: Column, removed: Column) -> Column:
+    """The lines outside sorted, disjoint ranges."""
+    start = lambda i: F.when(i == 0, F.lit(0)).otherwise(F.get(removed, i - 1)["last"] + 1)
+    end = lambda i: F.coalesce(F.get(removed, i)["first"], F.size(all_lines))
+    return F.flatten(F.transform(F.sequence(F.lit(0), F.size(removed)), lambda i: F.slice(all_lines, start(i) + 1, end(i) - start(i))))
+
+
+def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of documents, all their columns, with every run that stands earlier cut out of ``text``; plus (in place
     of an extra column of that name) ``_removed``: the removed line numbers as an array of [first, last], null where nothing went."""
     scratch = Scratch(documents.sparkSession, "lines")
-    split = documents.where(F.col(key).isNotNull() & (F.length(text) > 0)).select(F.col(key).cast("long").alias("d"), F.xxhash64(F.col(text)).alias("k"), lines(F.col(text)).alias("l"))
-    measure = lambda x: F.length(F.btrim(x, F.lit(" \t\r\n"))) + 1
-    base = scratch.save(split.select("d", "k", F.transform("l", _line_hash).alias("hs"), F.transform("l", F.length).alias("ln"), F.transform("l", measure).alias("cn")))
-    gone = _repeats(scratch.save(_keyed(base, _windows(F.col("cn"), min_chars), min_chars)), scratch)
-    # Windows that hold min_chars only with blanks that the plain measure leaves out.
-    padded = base.where(F.exists(F.zip_with("ln", "cn", lambda a, b: a > b), lambda x: x))
-    pos = lambda x: F.floor(x / (min_chars + 3)).cast("int")
-    n = lambda x: F.pmod(x, F.lit(min_chars + 3)).cast("int")
-    odd = F.filter(_windows(F.col("ln"), min_chars), lambda x: _total(F.col("ln"), pos(x), n(x)) > _total(F.col("cn"), pos(x), n(x)))
-    wanted = scratch.save(padded.select(F.explode(F.transform(odd, lambda x: F.struct(F.get("hs", pos(x)).alias("h"), n(x).alias("n")))).alias("w")).select("w.h", "w.n").distinct())
-    if not wanted.isEmpty():
-        places = base.select("d", "k", F.posexplode("hs").alias("pos", "h")).join(wanted, "h")
-        codes = places.groupBy("d", "k").agg(F.collect_set(F.col("pos").cast("long") * (min_chars + 3) + F.col("n")).alias("codes"))
-        fits = F.filter("codes", lambda x: pos(x) + n(x) <= F.size("hs"))
-        gone = gone.unionByName(_repeats(scratch.save(_keyed(base.join(codes, ["d", "k"]), fits, min_chars)), scratch))
+    known = documents.where(F.col(key).isNotNull() & (F.length(text) >= min_chars - 1))
+    cores = known.select(F.col(key).cast("long").alias("d"), F.xxhash64(F.col(text)).alias("k"), _cores(F.col(text)).alias("x"))
+    measured = cores.select("d", "k", F.transform("x", lambda x: F.xxhash64(x)).alias("hs"), F.transform("x", lambda x: F.length(x) + 1).alias("ln"))
+    base = scratch.save(measured.select("d", "k", "hs", _running(F.col("ln")).alias("c")))
+    windows = _windows(base, min_chars)
+    where = F.struct("d", "k", "pos")
+    first = windows.groupBy("key").agg(F.min(where).alias("lo"), F.max(where).alias("hi")).where("lo < hi").select("key", "lo")
+    later = windows.join(first, "key").where(where > F.col("lo"))
     ranges = F.collect_set(F.struct(F.col("pos").alias("first"), (F.col("pos") + F.col("n") - 1).alias("last")))
-    return _cut(documents, scratch.save(gone.groupBy("d", "k").agg(ranges.alias("r")).select("d", "k", _merged(F.array_sort("r")).alias("_removed"))), text, key)
+    gone = scratch.save(later.groupBy("d", "k").agg(ranges.alias("r")).select("d", "k", _merged(F.array_sort("r")).alias("_removed")))
+    return _cut(documents, gone, text, key)
 
 
 def _cut(documents: DataFrame, gone: DataFrame, text: str, key: str) -> DataFrame:
@@ -214,6 +130,6 @@ def _cut(documents: DataFrame, gone: DataFrame, text: str, key: str) -> DataFram
     same = (documents[key] == gone["__lexmill_d"]) & (F.xxhash64(F.col(text)) == gone["__lexmill_k"])
     # The same plan at every size: texts are shuffled once, whatever the share of documents that change.
     joined = documents.drop("_removed").join(gone.hint("merge"), same, "left")
-    left = F.filter(lines(F.col(text)), lambda x, i: ~F.exists("_removed", lambda r: (i >= r["first"]) & (i <= r["last"])))
+    left = F.element_at(F.transform(F.array(lines(F.col(text))), lambda all_: _kept(all_, F.col("_removed"))), 1)
     kept = [c for c in documents.columns if c != "_removed"]
     return joined.withColumn(text, F.when(F.col("_removed").isNull(), F.col(text)).otherwise(F.array_join(left, ""))).select(*kept, "_removed")

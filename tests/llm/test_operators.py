@@ -255,78 +255,6 @@ def test_ngram_join_of_edited_copies(spark):
     assert both(ngram_join.ngram_join(df), "doc_id", "n_shingles", "component_id") == brute_groups(rows)
 
 
-def brute_lines(rows, min_chars, window):
-    """Fingerprints, sources and extension by the definition, one document after another."""
-    cut = lambda t: re.split(r"(?<=\n)|(?<=[.!?] )", t)
-    core = {i: [x.strip(" \t\r\n") for x in cut(t)] for i, t in rows if t and len(t) >= min_chars}
-    size = {i: [len(x) for x in cut(t)] for i, t in rows if i in core}
-    order = {c: h for c, h in line_hashes.items()}
-    prints, first = {}, {}
-    for i in sorted(core):
-        h, got = [order[c] for c in core[i]], set()
-        for a in range(len(h) - window + 1):
-            least = min(h[a : a + window])
-            got |= {p for p in range(a, a + window) if h[p] == least}
-        got |= {p for p, s in enumerate(size[i]) if s >= -(-min_chars // (window - 1))}
-        prints[i] = sorted(p for p in got if core[i][p])
-        for p in prints[i]:
-            first.setdefault(core[i][p], (i, p))
-    out = {}
-    for i in core:
-        seen, shifts = {}, set()
-        for p in prints[i]:
-            c = core[i][p]
-            if c in seen:
-                shifts.add((i, p - seen[c]))
-            elif first[c][0] != i:
-                shifts.add((first[c][0], p - first[c][1]))
-            seen[c] = p
-        gone = set()
-        for j, s in shifts:
-            run = []
-            for p in range(len(core[i]) + 1):
-                if p < len(core[i]) and 0 <= p - s < len(core[j]) and core[i][p] == core[j][p - s]:
-                    run.append(p)
-                else:
-                    if sum(size[i][q] for q in run) >= min_chars:
-                        gone |= set(run)
-                    run = []
-        out[i] = "".join(x for p, x in enumerate(cut(dict(rows)[i])) if p not in gone)
-    return {i: out.get(i, t) for i, t in rows}
-
-
-line_hashes: dict = {}
-
-
-def test_line_dedup(spark, docs, odd, none):
-    rng = random.Random(4)
-    pool = [" ".join(rng.choice(["alpha", "beta", "gamma", "delta"]) + str(rng.randint(0, 30)) for _ in range(rng.randint(1, 12))) + rng.choice([". ", "!\n", "\n", "? "]) for _ in range(60)]
-    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
-    for i in range(60):
-        start = rng.randrange(50)
-        rows.append((1000 + i, "".join(pool[start : start + rng.randint(2, 9)] + [f"own {i} line. "] + [rng.choice(pool) for _ in range(4)])))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    cores = {x.strip(" \t\r\n") for _, t in rows for x in re.split(r"(?<=\n)|(?<=[.!?] )", t)}
-    line_hashes.update((r[0], r[1]) for r in spark.createDataFrame([(c,) for c in cores], "c string").select("c", line_dedup._line_hash(F.col("c"))).collect())
-    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(df).collect()}
-    assert got == brute_lines(rows, line_dedup.MIN_CHARS, line_dedup.WINDOW)
-    assert sum(len(t) for t in got.values()) < sum(len(t) for _, t in rows)
-    out = line_dedup.dedup_lines(odd)
-    assert sorted(out.columns) == sorted(odd.columns) and out.count() == len(ODD)
-    texts = collections.defaultdict(list)
-    for r in out.collect():
-        texts[r["doc_id"]].append(r["text"])
-    assert texts[1] == [None] and texts[2] == [""] and texts[6] == ["", ""] and texts[12] == [ODD[13][1]] and len(texts[5][0]) == len("A long sentence about nothing that goes on. ")
-    assert line_dedup.dedup_lines(none).count() == 0
-
-
-def test_repeated_passage_is_caught(spark):
-    passage = " ".join(f"shared{i}" for i in range(25)) + ". " + " ".join(f"more{i}" for i in range(30)) + "."
-    rows = [(i, f"Own words of document {i} at the start. {passage} And own words {i * 7} at its end.") for i in range(30)]
-    got = {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert passage in got[0] and all("shared3" not in got[i] and f"document {i} " in got[i] for i in range(1, 30))
-
-
 def brute_runs(rows, min_chars):
     """Every run of min_chars that stands earlier, by comparing with all earlier places of each of its lines."""
     cut = lambda t: re.split(r"(?<=\n)|(?<=[.!?] )", t)
@@ -344,15 +272,34 @@ def brute_runs(rows, min_chars):
                 if p < len(own) and 0 <= p - s < len(core[j]) and core[i][p] == core[j][p - s]:
                     run.append(p)
                 else:
-                    if sum(len(own[q]) for q in run) >= min_chars:
+                    if sum(len(core[i][q]) + 1 for q in run) >= min_chars:
                         gone |= set(run)
                     run = []
         out[i] = "".join(x for p, x in enumerate(own) if p not in gone)
     return out
 
 
+def test_repeated_passage_is_caught(spark):
+    passage = " ".join(f"shared{i}" for i in range(25)) + ". " + " ".join(f"more{i}" for i in range(30)) + ". "
+    rows = [(i, f"Own words of document {i} at the start. {passage}And own words {i * 7} at its end.") for i in range(30)]
+    got = removed_runs(spark, rows)
+    assert passage in got[0] and all(got[i] == dict(rows)[i].replace(passage, "") for i in range(1, 30))
+
+
+def test_runs_found_nowhere_else_whole(spark):
+    """Each line of a run stands alone in an earlier document; the run itself in one other only. Rows of one id with
+    other texts are documents of their own."""
+    s = [f"Sentence {i} is of some seventy-five characters, neither fewer nor more {i}. " for i in range(4)]
+    rows = [(i, x) for i, x in enumerate(s)] + [(10, "".join(s)), (11, "".join(s) + "End.")]
+    assert removed_runs(spark, rows) == dict(rows) | {11: "End."}
+    df = spark.createDataFrame([(7, "A. " + "".join(s)), (7, "B. " + "".join(s)), (7, "B. " + "".join(s))], "doc_id long, text string")
+    got = sorted(r["text"] for r in line_dedup.dedup_lines(df).collect())
+    cut = [x for x in ("A. ", "B. ") if x in got]
+    assert len(cut) == 1 and len(got) == 3 and got.count(cut[0]) == (1 if cut == ["A. "] else 2)
+
+
 def removed_runs(spark, rows):
-    return {r["doc_id"]: r["text"] for r in line_dedup.dedup_runs(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    return {r["doc_id"]: r["text"] for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
 
 
 def test_runs_whose_lines_stand_alone_earlier(spark, docs):
@@ -373,9 +320,12 @@ def test_runs_against_all_earlier_places(spark, docs, odd, none):
         lines = pool[start : start + rng.randint(2, 9)] + [f"own {i} line"] + [rng.choice(pool) for _ in range(rng.randint(0, 6))]
         text = "".join(x + ("\n" if plain else rng.choice(ends)) for x in lines)
         rows.append((1000 + i, text.rstrip() if rng.random() < 0.5 else text))
+    tiny = [f"w{i % 7}. " for i in range(60)]
+    rows += [(2000 + i, "".join(tiny[i : i + 40]) + f"end {i}. " + "".join(tiny[3:30])) for i in range(5)]
+    rows += [(3000, "".join(f"L{i}.\n" for i in range(1500))), (3001, "x. " + "".join(f"L{i}.\n" for i in range(300, 1300)) + "y."), (3002, "\tA tab before" + "z" * 140 + "\n"), (3003, "A tab before" + "z" * 140)]
     assert removed_runs(spark, rows) == brute_runs(rows, line_dedup.MIN_CHARS)
-    out = line_dedup.dedup_runs(odd)
-    assert sorted(out.columns) == sorted(odd.columns) and out.count() == len(ODD) and line_dedup.dedup_runs(none).count() == 0
+    out = line_dedup.dedup_lines(odd)
+    assert sorted(out.columns) == sorted(odd.columns) and out.count() == len(ODD) and line_dedup.dedup_lines(none).count() == 0
     texts = collections.defaultdict(list)
     for r in out.collect():
         texts[r["doc_id"]].append(r["text"])

@@ -3,14 +3,13 @@
 from __future__ import annotations
 
 import collections
-import re
 import zlib
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
-from test_operators import BYTE_BPE, ODD, brute_groups, brute_lines, line_hashes
+from test_operators import BYTE_BPE, ODD, brute_groups, brute_runs
 
 import corpus_pipeline
 from lexmill.llm import language_id, line_dedup, packing, quality
@@ -26,9 +25,7 @@ def test_against_plain_steps(spark):
     kept = docs.where(F.col("doc_id").isin([r["doc_id"] for r in rows]))
     told = language_id.fit(kept).predict(pa.array([r["text"] for r in rows]))
     rows = [r for r, n, s in zip(rows, *told, strict=True) if n != "und" and s >= 0.5]
-    cores = {x.strip(" \t\r\n") for r in rows for x in re.split(r"(?<=\n)|(?<=[.!?] )", r["text"])}
-    line_hashes.update((r[0], r[1]) for r in spark.createDataFrame([(c,) for c in cores], "c string").select("c", line_dedup._line_hash(F.col("c"))).collect())
-    texts = brute_lines([(r["doc_id"], r["text"]) for r in rows], line_dedup.MIN_CHARS, line_dedup.WINDOW)
+    texts = brute_runs([(r["doc_id"], r["text"]) for r in rows], line_dedup.MIN_CHARS)
     stay = [i for i, _, c in brute_groups(list(texts.items())) if i == c]
     want = collections.Counter()
     t = packing.tokens(BYTE_BPE)
