@@ -117,7 +117,8 @@ def dedup_lines(documents: DataFrame, min_chars: int = MIN_CHARS, text: str = "t
     base = scratch.save(measured.select("d", "k", "hs", _running(F.col("ln")).alias("c")))
     windows = _windows(base, min_chars)
     where = F.struct("d", "k", "pos")
-    first = windows.groupBy("key").agg(F.min(where).alias("lo"), F.max(where).alias("hi")).where("lo < hi").select("key", "lo")
+    # Written, so that both sides of the join are plain exchanges, of which skewed partitions can be split.
+    first = scratch.save(windows.groupBy("key").agg(F.min(where).alias("lo"), F.max(where).alias("hi")).where("lo < hi").select("key", "lo"))
     later = windows.join(first, "key").where(where > F.col("lo"))
     ranges = F.collect_set(F.struct(F.col("pos").alias("first"), (F.col("pos") + F.col("n") - 1).alias("last")))
     gone = scratch.save(later.groupBy("d", "k").agg(ranges.alias("r")).select("d", "k", _merged(F.array_sort("r")).alias("_removed")))
