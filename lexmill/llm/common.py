@@ -6,7 +6,6 @@ executor are written as Parquet below ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,10 +15,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; only where that is unset (as in tests) a temporary one."""
+    """The folder of ``spark.checkpoint.dir``. Where that is unset, a folder below the warehouse in local mode, which one
+    machine alone can read; on a cluster, an error."""
     where = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not where:
-        where = "file://" + tempfile.mkdtemp(prefix="lexmill-checkpoint-")
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = f"{spark.conf.get('spark.sql.warehouse.dir')}/lexmill-checkpoint"
         spark.sparkContext.setCheckpointDir(where)
     return where.rstrip("/")
 
@@ -157,6 +159,17 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[off[0] : off[-1]], off - off[0]
 
 
+def slices(column: pa.Array, rows: int = 512, size: int = 1 << 19) -> Iterator[tuple[int, int]]:
+    """(first row, number of rows) of runs of at most ``rows`` rows and ``size`` bytes of text, one row at least: bounds
+    what is worked on at once, whatever the batch."""
+    _, off = text_bytes(column)
+    a = 0
+    while a < len(column):
+        b = max(a + 1, min(a + rows, int(np.searchsorted(off, off[a] + size, side="right")) - 1))
+        yield a, b - a
+        a = b
+
+
 def binary_list(arrays: list[np.ndarray]) -> pa.Array:
     return pa.array([a.tobytes() for a in arrays], pa.binary())
 

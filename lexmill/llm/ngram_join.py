@@ -29,7 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .common import Scratch, map_batches, mix, text_bytes, word_hashes
+from .common import Scratch, map_batches, mix, slices, text_bytes, word_hashes
 from .components import components
 
 #: Counters of the frequency sketch, in blocks: a constant 16 MB, whatever the corpus.
@@ -65,9 +65,9 @@ def shingle_sets(raw: np.ndarray, off: np.ndarray, n: int = 5) -> list[np.ndarra
     return out
 
 
-def _batches(batch: pa.RecordBatch, n: int, size: int = 512) -> Iterator[tuple[int, list[np.ndarray]]]:
-    for a in range(0, batch.num_rows, size):
-        yield a, shingle_sets(*text_bytes(batch.column(1).slice(a, size)), n)
+def _batches(batch: pa.RecordBatch, n: int) -> Iterator[tuple[int, list[np.ndarray]]]:
+    for a, k in slices(batch.column(1)):
+        yield a, shingle_sets(*text_bytes(batch.column(1).slice(a, k)), n)
 
 
 def _slot(h: np.ndarray) -> np.ndarray:
@@ -88,8 +88,8 @@ def _describe(docs: DataFrame, n: int) -> DataFrame:
                 for s in sets:
                     size.append(len(s))
                     sig.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
-                if sets:
-                    sketch += np.bincount(_slot(np.concatenate(sets)), minlength=len(sketch)).astype(np.uint32)
+                at, times = np.unique(_slot(np.concatenate(sets)), return_counts=True)
+                sketch[at] += times.astype(np.uint32)
             k = batch.num_rows
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
         blocks = [(b, sketch[b << BLOCK_BITS : (b + 1) << BLOCK_BITS]) for b in range(1 << (SKETCH_BITS - BLOCK_BITS))]
@@ -168,11 +168,12 @@ def _verify(docs: DataFrame, pairs: DataFrame, n: int, num: int, den: int, scrat
     ids = pairs.select(F.col("a").alias("id")).distinct().unionByName(pairs.select(F.col("b").alias("id")).distinct())
 
     def bits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros(1 << ID_BITS, bool)
+        seen = np.zeros(1 << (ID_BITS - 3), np.uint8)
         for batch in batches:
-            seen[_id_slot(batch.column(0).to_numpy())] = True
+            slot = _id_slot(batch.column(0).to_numpy())
+            np.bitwise_or.at(seen, slot >> 3, (128 >> (slot & 7)).astype(np.uint8))
         if seen.any():
-            packed = np.packbits(seen).reshape(1 << (SKETCH_BITS - BLOCK_BITS), -1)
+            packed = seen.reshape(1 << (SKETCH_BITS - BLOCK_BITS), -1)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(packed), dtype=np.int32)), pa.array([zlib.compress(x.tobytes(), 1) for x in packed], pa.binary())], names=["block", "bits"])
 
     def union(group: pa.Table) -> pa.Table:
