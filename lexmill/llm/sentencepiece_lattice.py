@@ -30,6 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .common import slices, text_bytes
+
 CHUNK, LONG, MARK = 10_000_000, 60, "▁"
 _MODELS: dict = {}
 
@@ -52,8 +54,8 @@ def piece_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 class Cutter:
-    """Cuts texts between characters that are neighbours in no piece. Pairs with a character beyond EDGE are never
-    cut, which is always right."""
+    """Cuts texts between characters that are neighbours in no piece: by a table of pairs below EDGE, and by a sorted
+    list of the pieces' other pairs."""
 
     EDGE = 0x250
 
@@ -61,22 +63,41 @@ class Cutter:
         m = library(path)
         n = self.EDGE + 1
         self.joint = np.zeros((n + 1, n + 1), bool)
-        self.joint[n - 1, : n - 1] = self.joint[: n - 1, n - 1] = self.joint[n - 1, n - 1] = True
+        wide = set()
         for i in range(m.get_piece_size()):
             if not (m.is_unknown(i) or m.is_control(i) or m.is_byte(i)):
-                c = self._classes(m.id_to_piece(i))
+                points = self._points(m.id_to_piece(i))
+                c = self._classes(points)
                 self.joint[c[:-1], c[1:]] = True
+                wide.update(self._pairs(points)[(c[:-1] == self.EDGE) | (c[1:] == self.EDGE)].tolist())
+        self.joint[self.EDGE] = self.joint[:, self.EDGE] = False
+        self.wide = np.array(sorted(wide), np.uint64)
+
+    @staticmethod
+    def _points(text: str) -> np.ndarray:
+        return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+    @staticmethod
+    def _pairs(points: np.ndarray) -> np.ndarray:
+        p = points.astype(np.uint64)
+        return (p[:-1] << np.uint64(32)) | p[1:]
 
-    def _classes(self, text: str) -> np.ndarray:
-        c = np.frombuffer(text.encode("utf-32-le"), np.uint32)
-        return np.where(c == ord(MARK), self.EDGE + 1, np.minimum(c, self.EDGE))
+    def _classes(self, points: np.ndarray) -> np.ndarray:
+        return np.where(points == ord(MARK), self.EDGE + 1, np.minimum(points, self.EDGE))
 
     def words(self, text: str) -> list[str]:
         if not text:
             return []
         s = MARK + text.replace(" ", MARK)
-        c = self._classes(s)
-        at = (np.flatnonzero(~self.joint[c[:-1], c[1:]]) + 1).tolist()
+        points = self._points(s)
+        c = self._classes(points)
+        joint = self.joint[c[:-1], c[1:]]
+        odd = c == self.EDGE
+        if odd.any() and len(self.wide):
+            at = np.flatnonzero(odd[:-1] | odd[1:])
+            pairs = self._pairs(points)[at]
+            joint[at] = self.wide[np.minimum(np.searchsorted(self.wide, pairs), len(self.wide) - 1)] == pairs
+        at = (np.flatnonzero(~joint) + 1).tolist()
         return [s[a:b] for a, b in zip([0, *at], [*at, len(s)], strict=True)]
 
 
@@ -96,18 +117,18 @@ def by_library(words: list[str], path: str) -> list[np.ndarray]:
     return [np.array(x[2:], np.int32) for x in m.encode(["\n" + w.replace(MARK, " ") for w in words], num_threads=1)]
 
 
-def lattice(words: DataFrame, pieces: DataFrame, longest: int, carry: str, least: int, edge: Column) -> DataFrame:
-    """word, carry and edges: ``edge`` for all i, k, rank, score with i:k of the word a piece of ``least`` or more
+def lattice(words: DataFrame, pieces: DataFrame, longest: int, carry: str, least: int, edge: Column, by: list[str]) -> DataFrame:
+    """by (word and what else tells rows apart), carry and edges: ``edge`` for all i, k, rank, score with i:k of the word a piece of ``least`` or more
     characters, sorted. words: one row a word, already distinct; its partitioning is kept, so grouping needs
     no exchange. The carried column rides on one row a word, which meets the empty piece."""
     n = F.length("word")
-    starts = words.where(n <= LONG).select("word", carry, n.alias("n"), F.explode(F.sequence(F.lit(-1), F.greatest(n - least, F.lit(-1)))).alias("i"))
+    starts = words.where(n <= LONG).select(*by, carry, n.alias("n"), F.explode(F.sequence(F.lit(-1), F.greatest(n - least, F.lit(-1)))).alias("i"))
     last = F.when(F.col("i") < 0, F.lit(-1)).otherwise(F.least(F.col("n"), F.col("i") + longest))
-    spans = starts.select("word", F.when(F.col("i") < 0, F.col(carry)).alias(carry), "i", F.explode(F.sequence(F.when(F.col("i") < 0, F.lit(-1)).otherwise(F.col("i") + least), last)).alias("k"))
+    spans = starts.select(*by, F.when(F.col("i") < 0, F.col(carry)).alias(carry), "i", F.explode(F.sequence(F.when(F.col("i") < 0, F.lit(-1)).otherwise(F.col("i") + least), last)).alias("k"))
     piece = F.when(F.col("i") < 0, F.lit("")).otherwise(F.coalesce(F.substring("word", F.col("i") + 1, F.col("k") - F.col("i")), F.lit("")))  # never null: no filter computes it again
     table = pieces.select("piece", "rank", "score").unionByName(pieces.sparkSession.createDataFrame([("", 0, 0.0)], "piece string, rank int, score double"))
     found = spans.withColumn("piece", piece).join(F.broadcast(table), "piece")  # bounded: one vocabulary
-    return found.groupBy("word").agg(F.first(carry, ignorenulls=True).alias(carry), F.sort_array(F.collect_list(F.when(F.col("i") >= 0, edge))).alias("edges"))
+    return found.groupBy(*by).agg(F.first(carry, ignorenulls=True).alias(carry), F.sort_array(F.collect_list(F.when(F.col("i") >= 0, edge))).alias("edges"))
 
 
 def _bind(value: Column, fn) -> Column:
@@ -166,9 +187,10 @@ def fold_viterbi(word: Column, edges: Column) -> Column:
 FOLDS = {"merge": fold_merge, "viterbi": fold_viterbi}
 
 
-def encode_words(words: DataFrame, pieces: DataFrame, longest: int, carry: str, fold: str = "merge") -> DataFrame:
-    """word, carry, borders (bit p: a piece begins or ends at character p) for distinct words."""
-    made = lattice(words, pieces, longest, carry, 1, F.struct("k", "i", "score")) if fold == "viterbi" else lattice(words, pieces, longest, carry, 2, merge_edge())
+def encode_words(words: DataFrame, pieces: DataFrame, longest: int, carry: str, fold: str = "merge", by: tuple[str, ...] = ("word",)) -> DataFrame:
+    """word, carry, borders (bit p: a piece begins or ends at character p) for words, distinct in ``by``."""
+    least, edge = (1, F.struct("k", "i", "score")) if fold == "viterbi" else (2, merge_edge())
+    made = lattice(words, pieces, longest, carry, least, edge, list(by))
     return made.select("word", carry, FOLDS[fold](F.col("word"), F.col("edges")).alias("borders"))
 
 
@@ -186,12 +208,13 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, pa.RecordB
 
     pid, sub, size = TaskContext.get().partitionId(), 0, 0
     for batch in batches:
-        for a in range(0, batch.num_rows, 256):
-            part = batch.slice(a, 256)
-            if size > CHUNK:
+        off = text_bytes(batch.column(1))[1]
+        for a, k in slices(batch.column(1), 256):
+            now = int(off[a + k] - off[a])
+            if size and size + now > CHUNK:
                 sub, size = sub + 1, 0
-            size += sum(len(t) for t in part.column(1).to_pylist() if t)
-            yield (pid << 24) | sub, part
+            size += now
+            yield (pid << 24) | sub, batch.slice(a, k)
 
 
 def _pack(batch: pa.Table | pa.RecordBatch) -> bytes:
@@ -233,7 +256,7 @@ def _chunk_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return pa.RecordBatch.from_arrays([pa.array([now], pa.int64()), pa.array([_pack(pa.Table.from_batches(parts).combine_chunks())], pa.binary())], names=["chunk", "blob"])
 
     for chunk, part in _chunks(batches):
-        if parts and (chunk != now or len(parts) >= 16):
+        if parts and (chunk != now or len(parts) >= 24):
             yield told()
             parts = []
         now = chunk
@@ -279,7 +302,7 @@ def _dictionaries(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
     for b in batches:
         held.append(encoded(b))
         rows += held[-1].num_rows
-        if rows >= 100_000:
+        if rows >= 40_000:
             yield from told()
             held, rows = [], 0
     if rows:
@@ -323,8 +346,9 @@ def _apply(path: str, key: str, digest: bool):
         keys, lists, digests = [], [], []
         for t in _unpack(texts.column("blob")):
             keys.append(t.column(0))
-            for a in range(0, len(t), 128):
-                split = [cut_.words(x) for x in t.column(1).slice(a, 128).to_pylist()]
+            column = t.column(1).combine_chunks()
+            for a, k in slices(column, 128, 1 << 18):
+                split = [cut_.words(x) for x in column.slice(a, k).to_pylist()]
                 new = [w for w in set().union(*split) if w not in index]
                 if new:
                     more = by_library(new, path)
@@ -357,8 +381,10 @@ def encode(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id",
     pieces = piece_table(spark, path)
     m = library(path)
     longest = max(len(m.id_to_piece(i)) for i in range(m.get_piece_size()) if not m.is_byte(i))
-    words = src.mapInArrow(_chunk_words(path), "word string, chunk long").groupBy("word").agg(F.collect_list("chunk").alias("chunks"))
-    known = encode_words(words, pieces, longest, "chunks", fold).mapInArrow(_chunk_dictionaries(path), "chunk long, blob binary")
+    # A word is encoded once for every 4,096 scan tasks, so that the list of chunks of a common word is bounded.
+    part = F.shiftright("chunk", 24 + 12).alias("part")
+    words = src.mapInArrow(_chunk_words(path), "word string, chunk long").groupBy("word", part).agg(F.collect_list("chunk").alias("chunks"))
+    known = encode_words(words, pieces, longest, "chunks", fold, ("word", "part")).mapInArrow(_chunk_dictionaries(path), "chunk long, blob binary")
     texts = src.mapInArrow(_chunk_texts, "chunk long, blob binary")
     schema = f"{key} long, ids array<int>" + ", decoded_sha256 string" * digest
     return texts.groupBy("chunk").cogroup(known.groupBy("chunk")).applyInArrow(_apply(path, key, digest), schema)
