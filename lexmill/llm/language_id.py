@@ -8,7 +8,8 @@ bounded sample of windows, from a fixed seed.
 
 Semantics: texts that are null or hold no letter get ``und`` with score 0; without any labelled
 text nothing is learned and every text gets ``und``; repeated rows each get a row; ties between
-languages go to the first in sorted order; extra columns are ignored.
+languages go to the first in sorted order; long texts are read whole; an empty table gives an empty
+result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from .common import append_columns, crc32_mod, map_batches, text_bytes
 
@@ -173,37 +174,46 @@ class LanguageModel:
         return [self.languages[b] if ok else "und" for b, ok in zip(best.tolist(), letters.tolist(), strict=True)], score
 
 
-def fit(docs: DataFrame, per_language: int = 400, windows: int = 6, width: int = 64, text: str = "text", lang: str = "lang", key: str = "doc_id") -> LanguageModel:
-    """Learns from at most about ``per_language`` texts of each value of lang (the bound of the sample;
-    chosen by the hash of the id) and ``windows`` windows of each."""
+def fit(docs: DataFrame, per_language: int = 400, windows: int = 6, width: int = 64, text: str = "text", lang: str = "lang", key: str = "doc_id", languages: int = 256) -> LanguageModel:
+    """Learns from at most ``per_language`` texts of each value of lang, those of the least hashes of id and text (the
+    bound of the sample; equal rows are one, and each value has one text at least), and ``windows`` windows of each;
+    of the ``languages`` most frequent values."""
     rows = docs.select(docs[key].alias("k"), docs[text].alias("t"), docs[lang].alias("l")).where("t is not null and l is not null and length(t) > 0")
-    counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().collect()}
-    languages = sorted(counts)
-    if not languages:
+    counts = {r["l"]: r["count"] for r in rows.groupBy("l").count().orderBy(F.col("count").desc(), "l").limit(languages).collect()}
+    names = sorted(counts)
+    if not names:
         return LanguageModel([], None)
-    rate = F.create_map(*[F.lit(x) for n in languages for x in (n, min(1.0, per_language / counts[n]))])[F.col("l")]
-    part = F.pmod(F.xxhash64(F.lit(17), "k"), F.lit(1 << 30)) / float(1 << 30)
+    hashed = rows.withColumn("h", F.xxhash64(F.lit(17), "k", "t"))
+    # Twice the share that is wanted, then exactly the least hashes; the very least is always in.
+    rate = F.create_map(*[F.lit(x) for n in names for x in (n, min(1.0, 2 * per_language / counts[n]))])[F.col("l")]
+    part = F.pmod("h", F.lit(1 << 30)) / float(1 << 30)
+    order = Window.partitionBy("l").orderBy(F.pmod("h", F.lit(1 << 30)), "h")
+    some = hashed.where(part < rate).select("l", "h").unionByName(hashed.where(F.col("l").isin(names)).groupBy("l").agg(F.min("h").alias("h"))).distinct()
+    chosen = some.withColumn("r", F.row_number().over(order)).where(F.col("r") <= per_language).drop("r")
 
     def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
-        name, out = [], []
-        for k, t, n in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        name, which, out = [], [], []
+        for n, h, t in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             b = t.encode()
-            rng = np.random.default_rng(abs(hash(int(k or 0))) % 2**32)
+            rng = np.random.default_rng(h % 2**32)
             for at in rng.integers(0, max(1, len(b) - width + 1), windows).tolist():
                 out.append(b[at : at + width])
                 name.append(n)
-        return pa.RecordBatch.from_arrays([pa.array(name), pa.array(out, pa.binary())], names=["l", "w"])
+                which.append(h)
+        return pa.RecordBatch.from_arrays([pa.array(name, pa.string()), pa.array(which, pa.int64()), pa.array(out, pa.binary())], names=["l", "h", "w"])
 
-    sample = sorted(map(tuple, map_batches(rows.where(part < rate), cut, "l string, w binary").collect()))
+    # chosen: at most per_language rows a language, languages at most.
+    found = map_batches(hashed.join(F.broadcast(chosen), ["l", "h"]).select("l", "h", "t"), cut, "l string, h long, w binary")
+    sample = sorted((r["l"], w) for r in found.groupBy("l", "h").agg(F.collect_set("w").alias("ws")).collect() for w in r["ws"])
     size = np.array([len(w) for _, w in sample])
     x = np.zeros((width, len(sample)), np.uint8)
     for i, (_, w) in enumerate(sample):
         x[: len(w), i] = np.frombuffer(w, np.uint8)
     mask = np.arange(width)[:, None] < size
-    y = np.array([languages.index(n) for n, _ in sample])
-    net = ByteGRU(len(languages))
+    y = np.array([names.index(n) for n, _ in sample])
+    net = ByteGRU(len(names))
     net.train(x, mask, y)
-    return LanguageModel(languages, net)
+    return LanguageModel(names, net)
 
 
 def identify(docs: DataFrame, model: LanguageModel, text: str = "text", key: str = "doc_id") -> DataFrame:
