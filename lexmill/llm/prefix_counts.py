@@ -11,22 +11,24 @@ words at once in numpy; pretokens never share tokens, so a text's count at a pre
 its whole pretokens plus the count inside the last, cut one.
 
 Semantics: null text counts as empty (0 tokens); repeated rows each get a row; extra columns are
-ignored; special strings inside texts count one token, as the library does by default.
+ignored; special strings inside texts count one token, as the library does by default; long texts are counted
+whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
 import json
 import re
-from itertools import accumulate, chain
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BYTE, map_batches, mix, powers
+from .common import BYTE, map_batches, mix, powers, slices
 
-EOW = np.uint64(0xA5A5F00DDEADBEEF)
+#: Stands for a special string among pretokens; no pretoken holds a blank.
+SPECIAL = " special"
 #: Characters for which Python's own classes and lower() agree with the library's; other texts are
 #: split by the library's normalizer and pre-tokenizer.
 PLAIN = re.compile(r"[\x09-\x0d\x20-\x7eÀ-ÿ]*")
@@ -107,7 +109,7 @@ class PrefixCounter:
         ends_a, ids_a = np.array(ends), np.array(ids)
         self.inner = _Table(h[~ends_a], ids_a[~ends_a])
         self.final = _Table(h[ends_a], ids_a[ends_a]) if suffix else self.inner
-        self.cache_size, self.cache = cache, {}
+        self.cache_size, self.cache = cache, {SPECIAL: 1}
 
     @staticmethod
     def _hash(words: list[bytes]) -> np.ndarray:
@@ -190,37 +192,38 @@ class PrefixCounter:
         found = self.library.pre_tokenizer.pre_tokenize_str(self.library.normalizer.normalize_str(text))
         return [bytes(self.letters[c] for c in s).decode("utf-8", "surrogateescape") for s, _ in found]
 
-    def pieces(self, text: str) -> tuple[list[str], int]:
-        """Pretokens of a whole text and its number of special strings."""
-        if self.special_re is None or "<|" not in text:
-            return self.pretokens(text), 0
-        parts = self.special_re.split(text)
-        return list(chain.from_iterable(map(self.pretokens, parts))), len(parts) - 1
+    def pieces(self, text: str) -> list[str]:
+        """Pretokens of a whole text, in order; a special string is one, marked."""
+        if not any(s in text for s in self.special):
+            return self.pretokens(text)
+        out, at = [], 0
+        for m in self.special_re.finditer(text):
+            out += self.pretokens(text[at : m.start()])
+            out.append(SPECIAL)
+            at = m.end()
+        return out + self.pretokens(text[at:])
 
     def learn(self, words: set[str]) -> None:
         """Puts the counts of words not yet known into the bounded cache."""
         new = words - self.cache.keys()
         if len(self.cache) + len(new) > self.cache_size:
-            self.cache.clear()
-            new = words
+            self.cache = {SPECIAL: 1}
+            new = words - {SPECIAL}
         if new:
             new = list(new)
             out, off = self.prefixes([w.encode("utf-8", "surrogateescape") for w in new], every=False)
             self.cache.update(zip(new, out[off[1:] - 1].tolist(), strict=True))
 
     def counts(self, texts: list[str], limit: int = 0) -> list[tuple[int, int, int]]:
-        """For each text: its count, and the leading whole pretokens and their tokens that fit in limit.
-        Texts with special strings report 0, 0 for the latter unless they fit as a whole."""
+        """For each text: its count, and the leading whole pretokens and their tokens that fit in limit."""
         split = [self.pieces(t) for t in texts]
-        self.learn(set().union(*(s for s, _ in split)) if split else set())
+        self.learn(set().union(*split))
         out = []
-        for s, extra in split:
+        for s in split:
             run = list(map(self.cache.__getitem__, s))
-            total = sum(run) + extra
+            total = sum(run)
             if total <= limit:
                 out.append((total, len(s), total))
-            elif extra:
-                out.append((total, 0, 0))
             else:
                 cum = np.fromiter(accumulate(run), np.int64, len(run))
                 k = int(np.searchsorted(cum, limit, side="right"))
@@ -229,11 +232,12 @@ class PrefixCounter:
 
     def count_prefix(self, text: str, chars: int) -> int:
         """The exact count of text[:chars], from the prefix table of its cut pretoken."""
-        words, extra = self.pieces(text[:chars])
-        if not words:
-            return extra
-        table, off = self.prefixes([w.encode("utf-8", "surrogateescape") for w in words])
-        return int(table[off[1:] - 1].sum()) + extra
+        words = self.pieces(text[:chars])
+        plain = [w.encode("utf-8", "surrogateescape") for w in words if w is not SPECIAL]
+        if not plain:
+            return len(words)
+        table, off = self.prefixes(plain)
+        return int(table[off[1:] - 1].sum()) + len(words) - len(plain)
 
 
 _COUNTERS: dict[str, PrefixCounter] = {}
@@ -257,8 +261,8 @@ def token_counts(docs: DataFrame, path: str, limit: int = 2048, text: str = "tex
         c = counter(path)
         out = []
         texts = [t or "" for t in batch.column(1).to_pylist()]
-        for at in range(0, len(texts), 1024):
-            out += c.counts(texts[at : at + 1024], limit)
+        for at, k in slices(batch.column(1), 1024, 1 << 22):
+            out += c.counts(texts[at : at + k], limit)
         n = np.array([x[0] for x in out], np.int64)
         return pa.RecordBatch.from_arrays(
             [
