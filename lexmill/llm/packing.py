@@ -9,7 +9,7 @@ by their rank among the documents of their length, a distributed numbering.
 
 Semantics: null text is an empty document (one end token); repeated rows are packed as rows of their
 own; only documents over the limit are cut, from their end into whole pieces, so that the first piece
-may be shorter; an empty table gives an empty result.
+may be shorter; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -134,12 +134,11 @@ def best_fit(histogram: dict[int, int], limit: int) -> Counter:
     return Counter({p: c for group in rest.values() for p, c in group.items()})
 
 
-def local_search(bins: Counter, limit: int, effort: int = 200_000) -> Counter:
-    """Empties underfull bins by moves and exchanges that raise the sum of squared fills. ``effort`` bounds
-    the pairs of bins looked at; what it leaves untried costs fill, never documents."""
+def local_search(bins: Counter, limit: int) -> Counter:
+    """Empties underfull bins by moves and exchanges that raise the sum of squared fills. It ends when no fewer bins can
+    hold the tokens, or after a round over all underfull bins that empties none."""
     bins = Counter(bins)
     least = ceil(sum(sum(p) * c for p, c in bins.items()) / limit)
-    count = sum(bins.values())
 
     def change(old: tuple, new: tuple) -> None:
         bins[old] -= 1
@@ -148,35 +147,38 @@ def local_search(bins: Counter, limit: int, effort: int = 200_000) -> Counter:
         if new:
             bins[new] += 1
 
+    def pairs(p: tuple) -> list[tuple[int, int]]:
+        """The different pairs of documents of a bin: of lengths, since equal ones are alike."""
+        times = Counter(p)
+        sizes = sorted(times)
+        return [(x, y) for i, x in enumerate(sizes) for y in sizes[i:] if x != y or times[x] > 1]
+
     def step(s: tuple) -> tuple | None:
         """One improving step for a bin of pattern s; its new pattern, or None."""
-        nonlocal effort
         fill = sum(s)
         others = sorted((b for b in bins if limit > sum(b) >= fill and (b != s or bins[b] > 1)), key=sum, reverse=True)
+        single, double = sorted(set(s), reverse=True), pairs(s)
         for b in others:  # move
             gap = limit - sum(b)
-            if (x := next((x for x in s if x <= gap), 0)) :
+            if (x := next((x for x in single if x <= gap), 0)) :
                 return swap(s, b, (x,), ())
         best = None
         for b in others:
-            effort -= 1
             gap = limit - sum(b)
             items = sorted(set(b))
-            for x in set(s):  # one for one: b gains x - y
+            for x in single:  # one for one: b gains x - y
                 i = bisect_left(items, x - gap)
                 if i < len(items) and items[i] < x and (best is None or x - items[i] > best[0]):
                     best = (x - items[i], b, (x,), (items[i],))
-            for i, x in enumerate(s):  # two of s for one of b
-                for x2 in s[i + 1 : i + 40]:
-                    k = bisect_left(items, x + x2 - gap)
-                    if k < len(items) and items[k] < x + x2 and (best is None or x + x2 - items[k] > best[0]):
-                        best = (x + x2 - items[k], b, (x, x2), (items[k],))
-            for i, y in enumerate(b[:40]):  # one of s for two of b
-                for y2 in b[i + 1 : 40]:
-                    for x in set(s):
-                        if 0 < x - y - y2 <= gap and (best is None or x - y - y2 > best[0]):
-                            best = (x - y - y2, b, (x,), (y, y2))
-            if effort <= 0 or best and best[0] == gap:
+            for x, x2 in double:  # two of s for one of b
+                k = bisect_left(items, x + x2 - gap)
+                if k < len(items) and items[k] < x + x2 and (best is None or x + x2 - items[k] > best[0]):
+                    best = (x + x2 - items[k], b, (x, x2), (items[k],))
+            for y, y2 in pairs(b):  # one of s for two of b
+                k = bisect_left(single, -(y + y2 + gap), key=lambda v: -v)
+                if k < len(single) and (x := single[k]) > y + y2 and (best is None or x - y - y2 > best[0]):
+                    best = (x - y - y2, b, (x,), (y, y2))
+            if best and best[0] == gap:
                 break
         return swap(s, *best[1:]) if best else None
 
@@ -191,20 +193,12 @@ def local_search(bins: Counter, limit: int, effort: int = 200_000) -> Counter:
         change(b, tuple(sorted(new_b.elements(), reverse=True)))
         return s2
 
-    while effort > 0 and count > least:
-        under = sorted((b for b in bins if sum(b) < limit), key=sum)
-        done = False
-        for s in under[:50]:
-            moved = False
-            while s and effort > 0 and (n := step(s)) is not None:
-                s, moved = n, True
-            if moved:
-                done = True
-                break
-        now = sum(bins.values())
-        if not done or effort <= 0:
+    while (count := sum(bins.values())) > least:
+        for s in sorted((b for b in bins if sum(b) < limit), key=sum):
+            while s and s in bins and (n := step(s)) is not None:
+                s = n
+        if sum(bins.values()) == count:
             break
-        count = now
     return bins
 
 
