@@ -12,9 +12,11 @@ cell. Cells join on their own, in blocks of bounded size: no group grows with a
 vectors are collapsed first, so copies are counted, not compared. A block returns link counts and
 a spanning forest of what it found, never its pairs.
 
-Semantics: vectors that are null, zero, of another length than the pivots, or hold a null or
-non-finite component link with nothing and form components of their own; repeated rows count as
-vectors of their own; an empty table gives an empty result.
+Vectors of each length have pivots, and so cells, of their own.
+
+Semantics: vectors that are null, zero, or hold a null or non-finite component link with nothing and
+form components of their own, and so do vectors of different lengths with each other; repeated rows
+count as vectors of their own; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -96,31 +98,40 @@ def _join(threshold: float):
 
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", column: str = "embedding", most_pivots: int = 64, cell_rows: int = 4096) -> DataFrame:
-    """key, n_links, component_id, kept for every row of vectors. One pivot for each cell_rows distinct vectors,
-    most_pivots at most."""
+    """key, n_links, component_id, kept for every row of vectors. One pivot for each cell_rows distinct vectors
+    of a length, one at least, most_pivots at most."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
     r = math.acos(threshold) + 1e-9
     rows = scratch.save(prepare(vectors, key, column))
     classes = scratch.save(rows.where("sig is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")))
-    total = classes.count()
-    pivots = _unit([x["v"] for x in classes.orderBy(F.xxhash64("sig"), "sig").limit(max(1, min(most_pivots, total // cell_rows))).collect()]) if total else np.zeros((0, 1))
-    dims = pivots.shape[1]
+    sizes = sorted((r["n"], r["count"]) for r in classes.groupBy(F.length("v").alias("n")).count().collect())  # one row a length of vectors
+    pivots, first, count = {}, {}, 0
+    for n, total in sizes:
+        some = classes.where(F.length("v") == n).orderBy(F.xxhash64("sig"), "sig").limit(max(1, min(most_pivots, total // cell_rows)))
+        pivots[n], first[n] = _unit([x["v"] for x in some.collect()]), count
+        count += len(pivots[n])
 
     def homes(batch: pa.RecordBatch) -> pa.RecordBatch:
-        angle = np.arccos(np.clip(_unit(batch.column(2).to_pylist()) @ pivots.T, -1, 1))
-        home = angle.argmin(1)
+        blobs = batch.column(2).to_pylist()
+        length = np.array([len(v) for v in blobs])
+        home, least, at, angles = np.zeros(len(blobs), np.int32), np.zeros(len(blobs)), np.zeros(len(blobs), np.int32), [None] * len(blobs)
+        for n in np.unique(length).tolist():
+            who = np.flatnonzero(length == n)
+            angle = np.arccos(np.clip(_unit([blobs[i] for i in who]) @ pivots[n].T, -1, 1))
+            home[who], least[who], at[who] = first[n] + angle.argmin(1), angle.min(1), first[n]
+            for i, a in zip(who.tolist(), angle, strict=True):
+                angles[i] = a
         return pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(home.astype(np.int32)), pa.array(angle.min(1)), pa.array(list(angle), pa.list_(pa.float64()))],
-            names=["rep", "n", "v", "home", "angle", "angles"],
+            [*batch.columns, pa.array(home), pa.array(least), pa.array(at), pa.array(angles, pa.list_(pa.float64()))],
+            names=["rep", "n", "v", "home", "angle", "at", "angles"],
         )
 
-    same = classes.where(F.length("v") == 8 * dims)
-    placed = scratch.save(map_batches(same.select("rep", "n", "v"), homes, "rep long, n long, v binary, home int, angle double, angles array<double>"))
+    placed = scratch.save(map_batches(classes.select("rep", "n", "v"), homes, "rep long, n long, v binary, home int, angle double, at int, angles array<double>"))
     cells = {x["home"]: (x["m"], x["w"]) for x in placed.groupBy("home").agg(F.count("*").alias("m"), F.max("angle").alias("w")).collect()}  # one row a pivot
-    reach = F.array(*[F.lit(cells.get(j, (0, -9.0))[1] + r) for j in range(len(pivots))])
+    reach = F.array(*[F.lit(cells.get(j, (0, -9.0))[1] + r) for j in range(count)]) if count else F.array().cast("array<double>")
     near = F.filter(
-        F.transform(F.col("angles"), lambda a, j: F.when((a <= F.get(reach, j)) & (a <= F.col("angle") + 2 * r), j)), lambda j: j.isNotNull()
+        F.transform(F.col("angles"), lambda a, j: F.when((a <= F.get(reach, F.col("at") + j)) & (a <= F.col("angle") + 2 * r), F.col("at") + j)), lambda j: j.isNotNull()
     )
     seen = placed.select("rep", "n", "v", "home", F.explode(near).alias("cell"))
     far = {x["cell"]: x["count"] for x in placed.select(F.explode(near).alias("cell")).groupBy("cell").count().collect()}  # one row a pivot
