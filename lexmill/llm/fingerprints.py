@@ -2,14 +2,16 @@
 
 A k-mer of K units is chosen if the least hash of its inner S-mers lies at its first or last place.
 That depends on the k-mer alone, so an edit elsewhere never changes which k-mers of a passage are
-chosen: they are context-free anchors. Units are words; in texts under SHORT characters, characters.
+chosen: they are context-free anchors. Units are words, and the characters of words over LONG characters
+(scripts without blanks), whatever the text's length.
 The fingerprint is the SIZE least hashes of the distinct chosen k-mers (32 bits each, as hex digits),
 and the likeness of two fingerprints estimates the Jaccard similarity of the chosen sets.
 
 Semantics: null text is empty; texts with fewer than K units have their whole unit sequence as the one
-k-mer; the fingerprint of a text without units is ''; two empty fingerprints have likeness 1, one
-gives 0; equal texts have equal fingerprints; rows that repeat an id share a next document, and where
-the next id repeats, its least head counts.
+k-mer; long texts are read whole; the fingerprint of a text without units is ''; two empty fingerprints
+have likeness 1, one gives 0; equal texts have equal fingerprints; rows that repeat an id share a next
+document, and where the next id repeats, its least head counts; extra columns are ignored; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -18,13 +20,14 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import Scratch
 
-K, S, SIZE, SHORT = 6, 2, 64, 160
+K, S, SIZE, LONG = 4, 2, 64, 24
 
 
 def anchors(text: Column) -> Column:
     """The sorted array of the SIZE least distinct closed-syncmer hashes, 32 bits each."""
     words = F.filter(F.split(F.translate(text, "\t\n\x0b\f\r", "     "), " ", -1), lambda w: w != "")
-    units = F.when(F.length(text) < SHORT, F.filter(F.split(text, "", -1), lambda c: c != "")).otherwise(words)
+    letters = lambda w: F.filter(F.split(w, "", -1), lambda c: c != "")
+    units = F.flatten(F.transform(words, lambda w: F.when(F.length(w) > LONG, letters(w)).otherwise(F.array(w))))
     empty = F.array().cast("array<bigint>")
     hashes = F.transform(units, lambda w: F.xxhash64(w))
 
