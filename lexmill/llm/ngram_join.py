@@ -15,8 +15,10 @@ far are left, and in each bucket these need the documents outside the bucket's m
 component. No link between different components is lost, so components are exact.
 
 Semantics: A-Z are lower-cased, words are runs without ASCII white space; a text of fewer words than n is
-one n-gram, one without words or null has an empty set and links with nothing; rows that repeat an
-id count as one document in links, each with its own set size; an empty table gives an empty result.
+one n-gram, one without words or null has an empty set and links with nothing; long texts are taken
+whole; rows that repeat an id count as one document in links, each with its own set size; rows without
+an id take the group of their text, if it has one; extra columns are ignored; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -75,13 +77,13 @@ def _slot(h: np.ndarray) -> np.ndarray:
 
 
 def _describe(docs: DataFrame, n: int) -> DataFrame:
-    """(id, n, sig) a document, and at each task's end its part of the sketch as (block, part, counts)."""
+    """(id, n, sig, mark) a document, and at each task's end its part of the sketch as (block, part, counts)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         sketch = np.zeros(1 << SKETCH_BITS, np.uint32)
-        names = ["id", "n", "sig", "block", "part", "counts"]
+        names = ["id", "n", "sig", "mark", "block", "part", "counts"]
         for batch in batches:
             size, sig = [], []
             for _, sets in _batches(batch, n):
@@ -91,13 +93,13 @@ def _describe(docs: DataFrame, n: int) -> DataFrame:
                 at, times = np.unique(_slot(np.concatenate(sets)), return_counts=True)
                 sketch[at] += times.astype(np.uint32)
             k = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(size, pa.int64()), pa.array(sig, pa.binary()), batch.column(2), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
         blocks = [(b, sketch[b << BLOCK_BITS : (b + 1) << BLOCK_BITS]) for b in range(1 << (SKETCH_BITS - BLOCK_BITS))]
         blocks = [(b, zlib.compress(c.tobytes(), 1)) for b, c in blocks if c.any()]
         k, part = len(blocks), TaskContext.get().partitionId() % 64
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array([b for b, _ in blocks], pa.int32()), pa.array([part] * k, pa.int32()), pa.array([c for _, c in blocks], pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.nulls(k, pa.int64()), pa.array([b for b, _ in blocks], pa.int32()), pa.array([part] * k, pa.int32()), pa.array([c for _, c in blocks], pa.binary())], names=names)
 
-    return docs.mapInArrow(run, "id long, n long, sig binary, block int, part int, counts binary")
+    return docs.mapInArrow(run, "id long, n long, sig binary, mark long, block int, part int, counts binary")
 
 
 def _add_up(group: pa.Table) -> pa.Table:
@@ -219,11 +221,32 @@ def _id_slot(ids: np.ndarray) -> np.ndarray:
 
 def ngram_join(documents: DataFrame, n: int = 5, num: int = 3, den: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, n_shingles, component_id for every row; documents link at a Jaccard similarity >= num / den."""
+    return _groups(documents, n, num, den, text, key).select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id")
+
+
+def keep_one(documents: DataFrame, n: int = 5, num: int = 3, den: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The rows of documents, all their columns, of which one stays of each group of near duplicates: that of the least
+    id, and of the least text hash among rows of one id. Rows are told by id and text, so a text that has no near
+    duplicate stays even if another row of its id goes, and of equal rows one stays. Texts without words all stay."""
+    groups = Scratch(documents.sparkSession, "groups").save(_groups(documents, n, num, den, text, key).where("n > 0 and component_id is not null"))
+    stays = groups.where("id is not null").groupBy("component_id").agg(F.min(F.struct("id", "mark")).alias("s"))
+    told = groups.groupBy("component_id", "id", "mark").agg(F.count("*").alias("times")).join(stays, "component_id")
+    own = F.coalesce(F.struct("id", "mark") == F.col("s"), F.lit(False))
+    told = told.where(~own | (F.col("times") > 1)).select(F.col("id").alias("__lexmill_id"), F.col("mark").alias("__lexmill_mark"), own.alias("__lexmill_own"))
+    marked = documents.withColumn("__lexmill_text", F.xxhash64(F.col(text)))
+    same = F.col(key).eqNullSafe(F.col("__lexmill_id")) & (F.col("__lexmill_text") == F.col("__lexmill_mark"))
+    single = marked.join(told, same, "left_anti")
+    several = marked.join(told.where("__lexmill_own"), same, "left_semi").dropDuplicates([key, "__lexmill_text"])
+    return single.unionByName(several).drop("__lexmill_text")
+
+
+def _groups(documents: DataFrame, n: int, num: int, den: int, text: str, key: str) -> DataFrame:
+    """id, mark (hash of the text), n, component_id for every row."""
     scratch = Scratch(documents.sparkSession, "ngrams")
     docs = documents.select(documents[key].cast("long").alias("id"), documents[text].alias("text"))
-    described = scratch.save(_describe(docs, n))
+    described = scratch.save(_describe(docs.withColumn("mark", F.xxhash64("text")), n))
     sketch = _sketch(described.where("block is not null"))
-    rows = described.where("block is null").select("id", "n", "sig")
+    rows = described.where("block is null").select("id", "n", "sig", "mark")
     classes = scratch.save(rows.where("sig is not null and id is not null").groupBy("sig").agg(F.min("id").alias("rep")))
     prefixes = scratch.save(
         _prefixes(docs, n, sketch, num, den).alias("p").join(classes.alias("c"), (F.col("p.id") == F.col("c.rep")) & (F.col("p.sig") == F.col("c.sig")))
@@ -269,4 +292,4 @@ def ngram_join(documents: DataFrame, n: int = 5, num: int = 3, den: int = 4, tex
     comp = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
     known = scratch.save(classes.join(comp, F.col("rep") == F.col("id"), "left").select("sig", F.coalesce("component", "rep").alias("component_id")))
     scratch.drop(shared, lead, met, marked, counted, mixed, prefixes, leaders)
-    return rows.join(known, "sig", "left").select(F.col("id").alias(key), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return rows.join(known, "sig", "left").select("id", "mark", "n", F.coalesce("component_id", "id").alias("component_id"))

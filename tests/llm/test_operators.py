@@ -134,6 +134,25 @@ def test_token_counts(spark, odd, none, docs):
     assert prefix_counts.token_counts(none, WORD_BPE).count() == 0
 
 
+def test_budget_counts_special_strings():
+    c = prefix_counts.counter(WORD_BPE)
+    got = c.counts(["hello world " * 3000 + "<|endoftext|> end", "<|endoftext|> " * 5 + "end", "a <|endoftext|> b"], 4)
+    assert got == [(6002, 4, 4), (6, 4, 4), (3, 3, 3)]
+
+
+def test_words_of_all_scripts_are_short(docs):
+    """Texts of scripts without blanks are cut, too, so that their words pass the lattice, and no cut changes the ids."""
+    sp, c = pieces(), sentencepiece_lattice.cutter(PIECES)
+    rng = random.Random(1)
+    ranges = [(32, 127), (0xA0, 0x250), (0x370, 0x600), (0x4E00, 0x9FFF), (32, 33)]
+    texts = ["日本語の文章はとても長いですが、単語は短い。" * 5, "Привет мир, как дела?", "مرحبا بالعالم كيف"] + ["".join(chr(rng.randrange(*rng.choice(ranges))) for _ in range(80)) for _ in range(100)]
+    for t in texts:
+        words = c.words(t)
+        assert [int(i) for x in sentencepiece_lattice.by_library(words, PIECES) for i in x] == sp.encode(t) and max(map(len, words)) <= sentencepiece_lattice.LONG
+    held = [w for r in docs.collect() for w in c.words(r["text"])]
+    assert sum(len(w) > sentencepiece_lattice.LONG for w in held) == 0
+
+
 def test_every_prefix(docs):
     c = prefix_counts.counter(WORD_BPE)
     text = docs.first()["text"][:160] + " don't STOP!! 日本 <|endoftext|> Ünï"
@@ -193,6 +212,44 @@ def test_language(spark, odd, none):
     assert {r["lang_pred"] for r in language_id.identify(odd, empty).collect()} == {"und"}
 
 
+def test_language_sample_of_equal_ids(spark):
+    """However the ids repeat, the sample is neither empty nor unbounded."""
+    for key in (None, 1, 2, 3):
+        df = spark.createDataFrame([(key, f"The same words in row {i % 1000}", "en") for i in range(3000)], "doc_id long, text string, lang string")
+        model = language_id.fit(df, per_language=20)
+        assert model.languages == ["en"] and {r["lang_pred"] for r in language_id.identify(df, model).collect()} == {"en"}
+    same = spark.createDataFrame([(1, "One text", "en")] * 3000 + [(2, "Un texte", "fr")], "doc_id long, text string, lang string")
+    assert language_id.fit(same, per_language=20).languages == ["en", "fr"]
+
+
+def test_pooling_over_segments():
+    """A document's distribution is the mean over its positions, segment by segment, both directions from zero states."""
+    rng = np.random.default_rng(2)
+    net = language_id.ByteGRU(3, hidden=4)
+    sizes = [0, 1, 127, 128, 129, 400]
+    raw = rng.integers(0, 256, sum(sizes)).astype(np.uint8)
+    off = np.concatenate([[0], np.cumsum(sizes)])
+    sigmoid = lambda v: 1 / (1 + np.exp(-v))
+
+    def run(x, k):
+        h, out = np.zeros(4), []
+        for b in x:
+            a, u = net.p["X"][k][b], h @ net.p["U"][k]
+            z, r = sigmoid(a[:4] + u[:4]), sigmoid(a[4:8] + u[4:8])
+            h = h + z * (np.tanh(a[8:] + r * u[8:]) - h)
+            out.append(h)
+        return np.array(out)
+
+    got = net.pooled(raw, off)
+    for i, n in enumerate(sizes):
+        total = np.zeros(3)
+        for a in range(off[i], off[i] + n, language_id.SEGMENT):
+            x = raw[a : min(a + language_id.SEGMENT, off[i] + n)]
+            logits = run(x, 0) @ net.p["O"][0] + run(x[::-1], 1)[::-1] @ net.p["O"][1] + net.p["b"]
+            total += (np.exp(logits) / np.exp(logits).sum(1, keepdims=True)).sum(0)
+        assert got[i] == pytest.approx(total / max(n, 1), abs=1e-4)
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     net = language_id.ByteGRU(3, hidden=3)
@@ -362,6 +419,51 @@ def test_fingerprints(spark, docs, odd, none):
     assert {r["fingerprint"] for r in rows if r["doc_id"] == 2} == {""} and len({r["fingerprint"] for r in rows if r["doc_id"] in (5, 6)}) == 1
 
 
+def test_fingerprints_by_definition(spark, docs):
+    """Anchors and likeness by plain loops over the same hashes."""
+    import struct
+
+    import xxhash
+
+    def whole(xs):
+        h = 42
+        for x in xs:
+            h = xxhash.xxh64_intdigest(struct.pack("<Q", x), h)
+        return h
+
+    def signed(x):
+        return x - 2**64 if x >= 2**63 else x
+
+    def anchors(text):
+        words = [w for w in re.split("[ \t\n\x0b\f\r]", text) if w]
+        units = [xxhash.xxh64_intdigest(u.encode(), 42) for w in words for u in (w if len(w) > fingerprints.LONG else [w])]
+        k, s = fingerprints.K, fingerprints.S
+        if len(units) < k:
+            return [whole(units) >> 32] if units else []
+        inner = [whole(units[i : i + s]) for i in range(len(units) - s + 1)]
+        out = set()
+        for i in range(len(units) - k + 1):
+            part = [signed(x) for x in inner[i : i + k - s + 1]]
+            if min(part) in (part[0], part[-1]):
+                out.add(whole(inner[i : i + k : s]) >> 32)
+        return sorted(out)[: fingerprints.SIZE]
+
+    def likeness(a, b):
+        least = sorted(set(a) | set(b))[: fingerprints.SIZE]
+        return sum(x in a and x in b for x in least) / len(least) if least else 1.0
+
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()] + [(10**6, "x" * 400), (10**6 + 1, "日本語" * 40), (10**6 + 2, "a b c"), (10**6 + 3, ""), (10**6 + 4, "Short text of 178 characters " * 6), (10**6 + 5, "hi")]
+    rows.sort()
+    got = {r["doc_id"]: r for r in fingerprints.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for at, (i, t) in enumerate(rows):
+        k = len(t) // 4
+        following = rows[(at + 1) % len(rows)][1]
+        a, e, b = anchors(t), anchors(t[: len(t) - k] + following[:k]), anchors(following)
+        assert got[i]["fingerprint"] == "".join(f"{x:08x}" for x in a) and got[i]["edited_fingerprint"] == "".join(f"{x:08x}" for x in e)
+        assert got[i]["near_edited"] == pytest.approx(likeness(a, e)) and got[i]["near_next"] == pytest.approx(likeness(a, b))
+    assert got[10**6 + 4]["near_edited"] > 0.2  # its edited text is much shorter
+
+
 def test_syncmers_are_context_free(spark):
     words = [f"w{i * i % 97}x{i}" for i in range(200)]
     rows = [(0, " ".join(words)), (1, " ".join(["other"] * 30 + words[40:]))]
@@ -400,6 +502,17 @@ def test_cells_join_independently(spark, monkeypatch):
     assert any(n for _, n, _ in plain)
 
 
+def test_vectors_of_many_lengths(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=2)]) for i in range(10)] + [(100 + i, [float(x) for x in v]) for i, v in enumerate(np.repeat(rng.normal(size=(20, 5)), 6, axis=0) + rng.normal(size=(120, 5)) * 0.1)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    unit = {i: np.array(v) / np.linalg.norm(v) for i, v in rows}
+    links = {i: sum(j != i and len(u) == len(w) and float(u @ w) >= 0.9 for j, w in unit.items()) for i, u in unit.items()}
+    for cell_rows in (4096, 20):
+        assert dict(both(embedding_join.near_vectors(df, 0.9, cell_rows=cell_rows), "vec_id", "n_links")) == links
+    assert sum(links[i] for i in range(10)) and sum(links.values())
+
+
 # --- 6 and 9: formatting and packing -----------------------------------------------------------------------------
 
 
@@ -461,8 +574,8 @@ def test_packing(spark, docs, odd, none):
 
 def test_local_search_empties_bins():
     rng = random.Random(1)
-    for n in (30, 200):
-        h = collections.Counter(rng.randint(200, 1200) for _ in range(n))
+    for n, low, high in ((30, 200, 1200), (200, 200, 1200), (600, 600, 1100)):
+        h = collections.Counter(rng.randint(low, high) for _ in range(n))
         a = packing.best_fit(h, 2048)
         b = packing.local_search(a, 2048)
         held = collections.Counter()
@@ -472,6 +585,7 @@ def test_local_search_empties_bins():
                 held[x] += c
         assert held == h and sum(b.values()) <= sum(a.values())
         assert sum(sum(p) ** 2 * c for p, c in b.items()) >= sum(sum(p) ** 2 * c for p, c in a.items())
+    assert sum(b.values()) < sum(a.values())  # the last one: the search empties bins that best fit leaves
     assert sum(packing.plan({1000: 2, 1048: 2}, 2048).values()) == 2
 
 

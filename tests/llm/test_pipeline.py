@@ -49,3 +49,14 @@ def test_stages_on_odd_rows(spark, stage):
     else:
         assert out.where("offset + length > 2048").count() == 0
     assert fn(spark, df.limit(0), SF).count() == 0
+
+
+def test_rows_of_one_id_are_told_by_text(spark):
+    """A text without a near duplicate stays even if another row of its id goes; of equal rows one stays."""
+    a, b = ("one two three four five six seven eight", "nine ten eleven twelve thirteen fourteen")
+    rows = [(5, a), (9, a), (9, b), (7, a), (7, "alone " * 9), (7, "alone " * 9), (3, ""), (3, ""), (None, b), (None, "no id but words of its own here"), (4, None)]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    out = corpus_pipeline.STAGES[3][1](spark, df, SF)
+    got = collections.Counter((r["doc_id"], r["text"]) for r in out.collect())
+    assert out.columns == df.columns
+    assert got == collections.Counter([(5, a), (9, b), (7, "alone " * 9), (3, ""), (3, ""), (None, "no id but words of its own here"), (4, None)])
