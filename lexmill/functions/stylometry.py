@@ -6,6 +6,7 @@ from pyspark.sql import Column, functions as F
 
 from .text import SPACES, strip
 
+#: What counts as a word.
 WORD = r"[A-Za-z]+(?:'[A-Za-z]+)?"
 #: The function words counted by function_word_ratio.
 FUNCTION_WORDS = (

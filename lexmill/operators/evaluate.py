@@ -8,6 +8,8 @@ a bucket), so that no window holds all distinct scores of a group.
 from __future__ import annotations
 
 import math
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -16,6 +18,13 @@ from ..functions.numeric import ratio
 BUCKETS = 1024
 
 
+def null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
+    """left joined with right on columns whose nulls are equal to each other; the columns once."""
+    same = [F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}")) for c in on]
+    found = left.alias("_l").join(right.alias("_r"), reduce(and_, same))
+    return found.select(*[F.col(f"_l.{c}") for c in left.columns], *[F.col(f"_r.{c}") for c in right.columns if c not in on])
+
+
 def score_counts(df: DataFrame, by: list[str], label: str = "label", score: str = "p") -> DataFrame:
     """by, score, tp, fp: labels 1 and 0 at each distinct score."""
     y = F.col(label)
@@ -33,7 +42,7 @@ def cumulative(df: DataFrame, by: list[str], label: str = "label", score: str =
     down = group.orderBy(F.desc("_bucket"))
     before = down.rowsBetween(Window.unboundedPreceding, -1)
     buckets = (
-        per.join(edge, [*by, "_bucket"])
+        null_safe(per, edge, [*by, "_bucket"])
         .withColumn("atp", F.coalesce(F.sum("btp").over(before), F.lit(0)))
         .withColumn("afp", F.coalesce(F.sum("bfp").over(before), F.lit(0)))
         .withColumn("pos", F.sum("btp").over(group))
@@ -44,11 +53,11 @@ def cumulative(df: DataFrame, by: list[str], label: str = "label", score: str =
     )
     inner = Window.partitionBy(*by, "_bucket").orderBy(F.desc("score"))
     run = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = (
+    placed = (
         counts.withColumn("ctp", F.sum("tp").over(run)).withColumn("cfp", F.sum("fp").over(run))
         .withColumn("after", F.lead(F.struct("tp", "fp")).over(inner)).withColumn("inside", F.lag("score").over(inner))
-        .join(buckets, [*by, "_bucket"])
     )
+    joined = null_safe(placed, buckets, [*by, "_bucket"])
     nxt = F.coalesce("after", "below")
     return joined.select(
         *by, "score", "tp", "fp", (F.col("atp") + F.col("ctp")).alias("ctp"), (F.col("afp") + F.col("cfp")).alias("cfp"), "pos", "neg",
@@ -105,7 +114,7 @@ def confusion(df: DataFrame, by: list[str], threshold: float = 0.5, label: str =
 
 
 def binary_metrics(df: DataFrame, by: list[str] | None = None, threshold: float = 0.5, label: str = "label", score: str = "p") -> DataFrame:
-    """All metrics of each group. Ranking metrics are null for one class, human_fpr without negatives;
+    """All metrics of each group, a null key being a group of its own. Ranking metrics are null for one class, human_fpr without negatives;
     precision, recall and F1 are 0 where undefined."""
     by = by or []
     key = by or ["_all"]
@@ -116,7 +125,7 @@ def binary_metrics(df: DataFrame, by: list[str] | None = None, threshold: float
         *key, "n", ((tp + tn) / F.col("n")).alias("accuracy"), ratio(tp, tp + fp).alias("precision"), ratio(tp, tp + fn).alias("recall"), ratio(2 * tp, 2 * tp + fp + fn).alias("f1"),
         F.when(fp + tn > 0, fp / (fp + tn)).alias("human_fpr"), "brier",
     )
-    out = base.join(ranking(cumulative(src, key, label, score), key), key).join(expected_calibration_error(src, key, label, score), key)
+    out = null_safe(null_safe(base, ranking(cumulative(src, key, label, score), key), key), expected_calibration_error(src, key, label, score), key)
     return out if by else out.drop("_all")
 
 

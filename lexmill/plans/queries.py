@@ -11,7 +11,7 @@ from ..functions.stylometry import FUNCTION_WORDS, NAMES, PER_100
 from ..operators import audit, calibrate, evaluate, features, models, records, sampling
 from ..sources import adapters, files
 from ..streaming.argmin import best_rows, run_once
-from .fixtures import CONV_SQL, CORPUS_SQL, LABELLED_SQL, SCORED_SQL, SEED, UNIT, canon_sql, conversations, corpus, labelled, scored, table
+from .fixtures import CONV_SQL, CORPUS_SQL, LABELLED_SQL, PROMPTS_SQL, SCORED_SQL, SEED, UNIT, canon_sql, conversations, corpus, labelled, prompts, scored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -165,19 +165,14 @@ def weighted_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- groups, parents, pairs -------------------------------------------------------------------------------
 
 
-@query(f"WITH {CONV_SQL} SELECT group_id, variant, provenance, text, (row_number() OVER (PARTITION BY group_id ORDER BY ord) - 1)::INT AS ordinal FROM conv WHERE trim(text) <> ''")
+@query(f"WITH {PROMPTS_SQL} SELECT group_id, text, label, variant, provenance, ordinal FROM variants")
 def variant_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = conversations(spark, sf_dir).where(tx.strip(F.col("text")) != "")
-    g = c.groupBy("group_id").agg(F.sort_array(F.collect_list(F.struct("ord", "variant", "provenance", "text"))).alias("v"))
-    return g.select("group_id", F.posexplode("v").alias("ordinal", "v")).select("group_id", "v.variant", "v.provenance", "v.text", "ordinal")
+    return adapters.edit_variants(prompts(spark, sf_dir))
 
 
-@query(f"WITH {CONV_SQL} SELECT group_id, ord, CASE WHEN provenance = 'llm_edit' THEN 'conv:' || group_id || ':' || min(ord) FILTER (provenance = 'raw_ai') OVER (PARTITION BY group_id) END AS parent_id FROM conv")
+@query(f"WITH {PROMPTS_SQL}, r AS (SELECT *, 'beemo:' || group_id || ':' || variant || ':' || ordinal AS id FROM variants) SELECT id, 'beemo:' || group_id AS lineage_id, label, provenance, CASE WHEN provenance IN ('expert_edited_ai', 'llm_edited_ai') THEN min(id) FILTER (provenance = 'raw_ai') OVER (PARTITION BY group_id) END AS parent_id FROM r")
 def parent_attach(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = conversations(spark, sf_dir)
-    first = c.where("provenance = 'raw_ai'").groupBy("group_id").agg(F.min("ord").alias("first"))
-    parent = F.concat_ws(":", F.lit("conv"), F.col("group_id").cast("string"), F.col("first").cast("string"))
-    return c.join(first, "group_id", "left").select("group_id", "ord", F.when((F.col("provenance") == "llm_edit") & F.col("first").isNotNull(), parent).alias("parent_id"))
+    return adapters.edit_records(adapters.edit_variants(prompts(spark, sf_dir)), F.lit("train")).select("id", "lineage_id", "label", "provenance", "parent_id")
 
 
 @query(f"WITH {LABELLED_SQL} SELECT 'gradtex:' || (row_number() OVER (ORDER BY ord) - 1) AS id, 1 - label AS label, source AS scenario, CASE WHEN ord % 3 = 0 THEN 'human' ELSE 'model' || ord % 3 END AS generator_model FROM labelled WHERE domain = 'en'")
@@ -248,7 +243,7 @@ _NEAR_SQL = f"""c AS (SELECT doc_id, split, string_split({canon_sql()}, ' ') AS
  s AS (SELECT doc_id, split, len(g) AS n, unnest(g) AS x FROM g), p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.n AS na, b.n AS nb, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id AND a.split <> b.split GROUP BY ALL)"""
 
 
-@query(f"WITH {CORPUS_SQL}, nd AS (SELECT ord AS doc_id, split, text FROM corpus), {_NEAR_SQL} SELECT a, b, round(c / (na + nb - c)::DOUBLE, 6) AS jaccard FROM p WHERE c / (na + nb - c)::DOUBLE >= 0.85")
+@query(f"WITH {CORPUS_SQL}, nd AS (SELECT ord AS doc_id, split, text FROM corpus WHERE trim(text, chr(32) || chr(10)) <> ''), {_NEAR_SQL} SELECT a, b, round(c / (na + nb - c)::DOUBLE, 6) AS jaccard FROM p WHERE c / (na + nb - c)::DOUBLE >= 0.85")
 def audit_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(audit.near_pairs(corpus(spark, sf_dir), 0.85, key="ord").select("a", "b", "jaccard"))
 
@@ -268,9 +263,12 @@ def benchmark_contamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), "doc_id", "item_id")
 
 
-@query(f"WITH {CORPUS_SQL} SELECT split, count(*) FILTER (source = 'src0') AS src0, count(*) FILTER (source = 'src1') AS src1 FROM corpus WHERE source IN ('src0', 'src1') GROUP BY split")
+@query(f"WITH {CORPUS_SQL} SELECT split, source, count(corpus.ord) AS n FROM (SELECT DISTINCT split FROM corpus) CROSS JOIN (SELECT DISTINCT source FROM corpus) LEFT JOIN corpus USING (split, source) GROUP BY split, source")
 def split_source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.split_source_counts(corpus(spark, sf_dir).where("source in ('src0', 'src1')"), ["src0", "src1"])
+    d = corpus(spark, sf_dir)
+    sources = sorted(r[0] for r in d.select("source").distinct().collect())  # columns of the report
+    wide = records.split_source_counts(d, sources)
+    return wide.select("split", F.inline(F.array(*[F.struct(F.lit(s).alias("source"), F.col(f"`{s}`").cast("long").alias("n")) for s in sources])))
 
 
 @query(f"WITH {CORPUS_SQL} SELECT ord, id, lineage_id, source, split, sealed, train_eligible, parent_id FROM corpus")
@@ -468,11 +466,11 @@ def feature_norm_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return features.fit_normalizer(_style(spark, sf_dir)).select("feature", F.round("mean", 5).alias("mean"), F.round("scale", 5).alias("scale"))
 
 
-@query(f"WITH {_STYLE_SQL} SELECT doc_id, {', '.join(f'round(({n} - avg({n}) OVER ()) / (CASE WHEN stddev_pop({n}) OVER () = 0 THEN 1 ELSE stddev_pop({n}) OVER () END), 4) AS {n}' for n in NAMES[:8])} FROM style")
+@query(f"WITH {_STYLE_SQL} SELECT doc_id, {', '.join(f'round(({n} - avg({n}) OVER ()) / (CASE WHEN stddev_pop({n}) OVER () = 0 THEN 1 ELSE stddev_pop({n}) OVER () END), 4) AS {n}' for n in NAMES)} FROM style")
 def feature_zscores(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = _style(spark, sf_dir)
-    z = features.normalize_features(f, features.fit_normalizer(f, NAMES[:8]), NAMES[:8])
-    return z.select("doc_id", *[F.round(n, 4).alias(n) for n in NAMES[:8]])
+    z = features.normalize_features(f, features.fit_normalizer(f))
+    return z.select("doc_id", *[F.round(n, 4).alias(n) for n in NAMES])
 
 
 _TFIDF = """tf AS (SELECT id, term, count(*)::DOUBLE AS tf FROM t GROUP BY ALL), df AS (SELECT term, count(*)::DOUBLE AS df FROM tf GROUP BY 1),

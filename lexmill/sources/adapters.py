@@ -103,11 +103,16 @@ def family_pairs(best: DataFrame, split: str = "sealed_test") -> DataFrame:
 
 def external_rows(df: DataFrame, order: str, part: str = "C") -> DataFrame:
     """id, text, label, scenario, scenario_family, generator_model of one test part; the source marks human as
-    1, here it is 0. Ids are ordinals among kept rows in input order."""
+    1, here it is 0. Ids are ordinals among kept rows in input order, numbered by range partitions: one row a
+    partition tells how many rows stand before it."""
     require(df, ["text", "binary_label", "test_split", "scenario", "scenario_family"])
     model = F.col("generator_model") if "generator_model" in df.columns else F.lit(None).cast("string")
-    kept = df.where(F.col("test_split") == part)
-    return kept.select(
-        F.concat(F.lit("gradtex:"), (F.row_number().over(Window.orderBy(order)) - 1).cast("string")).alias("id"), "text", (1 - F.col("binary_label").cast("int")).alias("label"),
+    kept = df.where(F.col("test_split") == part).repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id())
+    sizes = sorted((r["_p"], r["count"]) for r in kept.groupBy("_p").count().collect())
+    before = [(p, sum(n for _, n in sizes[:i])) for i, (p, _) in enumerate(sizes)]
+    starts = df.sparkSession.createDataFrame(before or [(-1, 0)], "_p int, _s long")
+    inner = F.row_number().over(Window.partitionBy("_p").orderBy(order)) - 1
+    return kept.withColumn("_i", inner).join(F.broadcast(starts), "_p").select(
+        F.concat(F.lit("gradtex:"), (F.col("_s") + F.col("_i")).cast("string")).alias("id"), "text", (1 - F.col("binary_label").cast("int")).alias("label"),
         "scenario", "scenario_family", F.coalesce(F.nullif(model, F.lit("")), F.lit("human")).alias("generator_model"),
     )

@@ -4,6 +4,7 @@ import math
 
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from lexmill.functions import numeric
 from lexmill.operators import calibrate, evaluate
@@ -100,3 +101,20 @@ def test_windows(spark):
     assert f(12) == [[1, 2, 3, 4], [5, 6, 7, 8], [9, 10, 11, 12]]
     assert f(2) == [[1, 2, 0, 0], [0, 0, 0, 0], [0, 0, 0, 0]]
     assert numeric.warmup_cosine(0, 100, 10) == pytest.approx(0.1) and numeric.warmup_cosine(100, 100, 10) == pytest.approx(0)
+
+
+def test_null_keys_are_groups(spark):
+    """Rows whose source or label is null lose neither their metrics, nor their weights, nor their split."""
+    from lexmill.operators import evaluate, sampling
+
+    rows = [(f"r{i}", s, y, (i * 7 % 10) / 10) for i, (s, y) in enumerate([("a", 0), ("a", 1), ("a", 1), (None, 0), (None, 1), (None, 0), (None, 1)])]
+    df = spark.createDataFrame(rows, "id string, source string, label int, p double")
+    got = {r["source"]: r for r in evaluate.binary_metrics(df, ["source"]).collect()}
+    assert set(got) == {"a", None} and got[None]["n"] == 4
+    assert got[None]["roc_auc"] == 0.75  # .1 and .5 against .8 and .2: all pairs in order but (.5, .2)
+    weights = {r["id"]: r["weight"] for r in sampling.source_label_weights(df).collect()}
+    assert weights == {"r0": 1.0, "r1": 0.5, "r2": 0.5, "r3": 0.5, "r4": 0.5, "r5": 0.5, "r6": 0.5}
+    odd = df.withColumn("label", F.when(F.col("id") != "r6", F.col("label")))
+    assert sampling.stratified_split(odd, 1).count() == sampling.group_split(odd, 1, "source").count() == len(rows)
+    mass = sampling.hierarchical_weights(df, {"x": 1.0}, F.lit("x"), "source").collect()
+    assert len(mass) == len(rows) and abs(sum(r["weight"] for r in mass) - 1) < 1e-12

@@ -27,29 +27,30 @@ def test_text(spark):
     assert [len(x) for x in one(spark, ["a b c d e f", "a b", "", "a a a a a a a"], tx.shingles)] == [2, 1, 0, 1]
 
 
-def style(text):
-    """The features by their plain definitions."""
-    w = [x.casefold() for x in re.findall(stylometry.WORD, text)]
-    d = max(len(w), 1)
-    mean = lambda v: sum(v) / len(v) if v else 0.0
-    std = lambda v: math.sqrt(mean([(x - mean(v)) ** 2 for x in v])) if len(v) > 1 else 0.0
-    count = lambda s: float(len(re.findall(stylometry.WORD, s)))
-    s = [count(x) for x in re.split("[.!?]+", text) if x.strip()]
-    p = [count(x) for x in re.split(r"\n\s*\n", text) if x.strip()]
-    wins = [text[i : i + 128] for i in range(0, max(len(text), 1), 128)]
-    ent = [-sum(x.count(c) / len(x) * math.log2(x.count(c) / len(x)) for c in set(x)) if x else 0.0 for x in wins]
-    skew = mean([((x - mean(s)) / std(s)) ** 3 for x in s]) if std(s) else 0.0
-    types = set(w)
-    return [len(w), len(s), mean(s), std(s), skew, len(p), std(p), len(types) / d, sum(w.count(t) == 1 for t in types) / d, mean([len(x) for x in w]), std([len(x) for x in w]),
-            1 - len(types) / d, sum("'" in x for x in w) / d, sum(x in stylometry.FUNCTION_WORDS for x in w) / d, *[100 * text.count(c) / d for c in stylometry.PER_100.values()], mean(ent), std(ent)]
+#: Values worked out by hand.
+STYLE = {
+    # 12 words in sentences of 2, 6 and 4 and paragraphs of 8 and 4; lengths 5 8 4 3 6 1 1 1 3 9 5 2; "the", "a" and "it" are function words.
+    "Short sentence! It's the second; a - b: c?\n\nNew paragraph, isn't it?\n": dict(
+        word_count=12, sentence_count=3, sentence_length_mean=4, sentence_length_std=math.sqrt(8 / 3), sentence_length_skew=0, paragraph_count=2, paragraph_length_std=2, type_token_ratio=1, hapax_rate=1,
+        word_length_mean=4, word_length_std=math.sqrt(80 / 12), repeated_token_rate=0, contraction_rate=2 / 12, function_word_ratio=3 / 12, newline_per_100_words=25, semicolon_per_100_words=100 / 12,
+        colon_per_100_words=100 / 12, hyphen_per_100_words=100 / 12, comma_per_100_words=100 / 12, exclamation_per_100_words=100 / 12, question_per_100_words=200 / 12, character_entropy_std=0,
+    ),
+    "": dict.fromkeys(stylometry.NAMES, 0) | {"repeated_token_rate": 1},
+    "...": dict(word_count=0, sentence_count=0, paragraph_count=1, character_entropy_mean=0),
+    "One. Two. Three four five six.": dict(sentence_count=3, sentence_length_mean=2, sentence_length_std=math.sqrt(2), sentence_length_skew=math.sqrt(0.5)),
+    "The cat the": dict(word_count=3, type_token_ratio=2 / 3, hapax_rate=1 / 3, repeated_token_rate=1 / 3, function_word_ratio=2 / 3, word_length_mean=3, word_length_std=0),
+    "a" * 128 + "ab": dict(word_count=1, word_length_mean=130, character_entropy_mean=0.5, character_entropy_std=0.5),  # windows of 0 and 1 bit
+    "abcd" * 32: dict(character_entropy_mean=2, character_entropy_std=0),
+    "One x.\n \nTwo": dict(paragraph_count=2, paragraph_length_std=0.5),
+}
 
 
 def test_stylometry(spark):
-    texts = ["Short sentence! It's the second; a - b: c?\n\nNew paragraph, isn't it?\n", "", "...", "word " * 90, "Ünï cödé. x\n \ny"]
+    texts = list(STYLE)
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
-    got = {r["id"]: list(r)[1:] for r in features.stylometric_features(df).collect()}
-    for i, t in enumerate(texts):
-        assert got[i] == pytest.approx([float(x) for x in style(t)], abs=1e-9)
+    for r in features.stylometric_features(df).collect():
+        want = STYLE[texts[r["id"]]]
+        assert {k: r[k] for k in want} == pytest.approx({k: float(v) for k, v in want.items()}, abs=1e-9)
     stats = {r["feature"]: r for r in features.fit_normalizer(spark.createDataFrame([(0.0, 2.0), (2.0, 2.0)], "a double, b double"), ["a", "b"]).collect()}
     assert (stats["a"]["mean"], stats["a"]["scale"], stats["b"]["scale"]) == (1.0, 1.0, 1.0)
 
