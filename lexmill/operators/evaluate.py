@@ -159,6 +159,26 @@ def best_thresholds(df: DataFrame, caps: list[float], by: list[str] | None = Non
     return capped.groupBy(*key, "max_fpr").agg(best.alias("b")).select(*by, "max_fpr", "b.threshold", "b.recall", "b.fpr")
 
 
+def subtype_report(df: DataFrame, subtypes: list[str], max_fpr: float = 0.05, label: str = "label", score: str = "p", provenance: str = "provenance") -> DataFrame:
+    """subtype, the metrics of binary_metrics over the negatives and the rows of that provenance, and at the best threshold
+    within ``max_fpr``: threshold, tpr_at_cap, fpr_at_cap, false_positives. A subtype without both classes is an error."""
+    kinds = F.filter(F.array(*[F.lit(s) for s in subtypes]), lambda s: (F.col(label) == 0) | (s == F.col(provenance)))
+    frame = df.select(label, score, F.explode(kinds).alias("subtype"))
+    classes = frame.groupBy("subtype").agg(F.count_distinct(label).alias("n"), F.count_if(F.col(label) == 0).alias("negatives"))
+    seen = {r["subtype"]: r["n"] for r in classes.collect()}  # one row a subtype asked for
+    lacking = [s for s in subtypes if seen.get(s, 0) != 2]
+    if lacking:
+        raise ValueError(f"subtypes without both classes: {lacking}")
+    points = best_thresholds(frame, [max_fpr], ["subtype"], label, score).drop("max_fpr")
+    at = points.join(classes, "subtype").select("subtype", "threshold", F.col("recall").alias("tpr_at_cap"), F.col("fpr").alias("fpr_at_cap"), F.round(F.col("fpr") * F.col("negatives")).cast("long").alias("false_positives"))
+    return binary_metrics(frame, ["subtype"], 0.5, label, score).join(at, "subtype")
+
+
+def selection_metrics(report: DataFrame, subtypes: list[str]) -> DataFrame:
+    """One row: macro_auc and macro_partial_auc of a subtype_report over the subtypes that checkpoints are chosen by."""
+    return report.where(F.col("subtype").isin(subtypes)).agg(F.avg("roc_auc").alias("macro_auc"), F.avg("partial_auc").alias("macro_partial_auc"))
+
+
 def source_fpr(df: DataFrame, thresholds: DataFrame, source: str = "source", label: str = "label", score: str = "p") -> DataFrame:
     """max_fpr, source, human_fpr at each operating point (one row a point: bounded by the caps asked for)."""
     return (

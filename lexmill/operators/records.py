@@ -78,6 +78,11 @@ def split_source_counts(df: DataFrame, sources: list[str]) -> DataFrame:
     return df.groupBy("split").agg(*[F.count_if(F.col("source") == s).alias(s) for s in sources])
 
 
+def assembly_report(df: DataFrame, grouped: str, group: str = "lineage_id") -> DataFrame:
+    """split, n, groups: rows of each split, and distinct groups among its rows of the source ``grouped``."""
+    return df.groupBy("split").agg(F.count("*").alias("n"), F.count_distinct(F.when(F.col("source") == grouped, F.col(group))).alias("groups"))
+
+
 def prepare_report(df: DataFrame, text: str = "text", label: str = "label") -> DataFrame:
     """One row: input, blank, duplicate and class counts of raw labelled texts."""
     from ..functions.text import strip

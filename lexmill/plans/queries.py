@@ -271,6 +271,11 @@ def split_source_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.select("split", F.inline(F.array(*[F.struct(F.lit(s).alias("source"), F.col(f"`{s}`").cast("long").alias("n")) for s in sources])))
 
 
+@query(f"WITH {CORPUS_SQL} SELECT split, count(*) AS n, count(DISTINCT lineage_id) FILTER (source = 'src0') AS groups FROM corpus GROUP BY split")
+def assembly_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return records.assembly_report(corpus(spark, sf_dir), "src0")
+
+
 @query(f"WITH {CORPUS_SQL} SELECT ord, id, lineage_id, source, split, sealed, train_eligible, parent_id FROM corpus")
 def metadata_manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.public_rows(corpus(spark, sf_dir))
@@ -328,6 +333,14 @@ def macro_subtype_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(evaluate.ranking(frame, ["subtype"]).agg(F.avg("roc_auc").alias("macro_auc"), F.avg("partial_auc").alias("macro_partial_auc")))
 
 
+@query(f"""WITH {SCORED_SQL}, sub AS (SELECT k.subtype, s.* FROM scored s, (VALUES ('expert_edit'), ('raw_ai')) k(subtype) WHERE label = 0 OR provenance = k.subtype), {_metrics_sql('subtype', 'sub')},
+pts AS (SELECT subtype, ctp / pos AS tpr, cfp / neg AS fpr, neg, p AS cap FROM c WHERE cfp / neg <= 0.05 UNION ALL SELECT subtype, 0.0, 0.0, max(neg), 2.0 FROM c GROUP BY subtype),
+best AS (SELECT * FROM pts QUALIFY row_number() OVER (PARTITION BY subtype ORDER BY tpr DESC, fpr, cap) = 1)
+SELECT subtype, {_METRIC_COLUMNS}, round(tpr, 6) AS tpr_at_cap, round(fpr, 6) AS fpr_at_cap, round(fpr * neg)::BIGINT AS false_positives FROM m JOIN r USING (subtype) JOIN e USING (subtype) JOIN best USING (subtype)""")
+def development_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(evaluate.subtype_report(scored(spark, sf_dir), ["expert_edit", "raw_ai"]).drop("threshold"))
+
+
 @query(f"WITH {SCORED_SQL} SELECT count(*) FILTER (label = 0 AND p < 0.5) AS tn, count(*) FILTER (label = 0 AND p >= 0.5) AS fp, count(*) FILTER (label = 1 AND p < 0.5) AS fn, count(*) FILTER (label = 1 AND p >= 0.5) AS tp FROM scored")
 def confusion_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.confusion(scored(spark, sf_dir), []).select("tn", "fp", "fn", "tp")
@@ -505,13 +518,32 @@ def tfidf_lr_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.predictions(models.train_tfidf(d.where("split = 'train'"))(d.where("split <> 'train'")))
 
 
+def _with_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = sampling.stratified_split(labelled(spark, sf_dir), SEED)
+    return d.join(features.stylometric_features(d), "id")
+
+
 @query()
 def mlp_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = sampling.stratified_split(labelled(spark, sf_dir), SEED)
-    x = d.join(features.stylometric_features(d), "id").persist()
+    x = _with_style(spark, sf_dir)
     return models.predictions(models.train_structural(x.where("split = 'train'"))(x.where("split <> 'train'")))
 
 
+@query()
+def fusion_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _with_style(spark, sf_dir)
+    return models.predictions(models.train_fusion(x.where("split = 'train'"))(x.where("split <> 'train'")))
+
+
+@query()
+def encoded_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    d = labelled(spark, sf_dir)
+    stats = features.fit_normalizer(features.stylometric_features(d))
+    return features.encoded_windows(d, public_tokenizers.path("byte_bpe_50k.json"), 256, stats)
+
+
 @query()
 def platt_crossfit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibrate.crossfit_platt(scored(spark, sf_dir).select("id", "source", "label", "p"), 5, "source")

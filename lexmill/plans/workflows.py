@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..operators import audit, evaluate, records, sampling
 from ..sources import adapters, files
@@ -17,6 +17,28 @@ def control_dataset(pairs: DataFrame, groups: DataFrame, per_class: int, seed: i
     return sample.unionByName(adapters.edit_records(variants.withColumnRenamed("split", "_split"), F.col("_split")))
 
 
+def mixed_dataset(pairs: DataFrame, groups: DataFrame, base: str, per_class: int, seed: int, threshold: float = 0.85, sources: tuple[str, str] = ("padben", "beemo")) -> dict:
+    """control_dataset, held to the boundary audit and written as one shuffled folder a role; reports rows, rows of each
+    source (pairs, groups; 0 where there are none) and prompt groups of each role."""
+    df = control_dataset(pairs, groups, per_class, seed).persist()  # the audit, the writer and the report each read it
+    try:
+        checked = audit.audit_boundaries(df.withColumn("ord", F.xxhash64("id")), threshold)
+        files.write_roles(sampling.shuffled(df, seed), base, records.ROLES)
+        by_source = {r["split"]: {s: r[s] for s in sources} for r in records.split_source_counts(df, list(sources)).collect()}
+        rows = {r["split"]: r for r in records.assembly_report(df, sources[1]).collect()}
+    finally:
+        df.unpersist()
+    zero = dict.fromkeys(sources, 0)
+    report = {
+        "seed": seed, "per_class": per_class, "rows_checked": checked,
+        "split_counts": {r: rows[r]["n"] if r in rows else 0 for r in records.ROLES},
+        "source_counts": {r: by_source.get(r, zero) for r in records.ROLES},
+        "groups": {r: rows[r]["groups"] if r in rows else 0 for r in records.ROLES},
+    }
+    files.write_json(report, f"{base}/report.json")
+    return report
+
+
 def check_sealed_metadata(metadata: dict) -> None:
     missing = [k for k in SEALED_METADATA if not metadata.get(k)]
     if missing or not (metadata.get("raw_download_sha256") or metadata.get("source_snapshot_sha256")):
@@ -43,9 +65,7 @@ def write_dataset(df: DataFrame, base: str, metadata: dict, threshold: float = 0
 def seal_cohort(rows: DataFrame, base: str, pairs: int, seed: int, metadata: dict) -> dict:
     """Best candidates, a digest of them in order, the first families in hash order, then write_dataset.
     Refuses to overwrite and to seal fewer families than asked for."""
-    import os
-
-    if os.path.exists(f"{base}/manifest.json"):
+    if files.exists(f"{base}/manifest.json"):
         raise FileExistsError(f"{base} is sealed already")
     best = adapters.best_candidates(rows).persist()
     snapshot = records.table_digest(best.select("source_id", "role", "row"), ["source_id", "role"])
@@ -94,6 +114,57 @@ def calibration_report(predictions: DataFrame, rows: DataFrame, base: str, folds
     return report
 
 
+def check_inputs(spark: SparkSession, base: str, out: str, mix: dict[str, float], stratum: Column, required_positive: list[str], resume: bool = False) -> dict:
+    """What a training run must know first, without a look at sealed data: every role is there, no lineage is in two,
+    evaluation roles have both labels and every required positive provenance, the weights of the first step can be
+    made, and the output is empty (unless resumed). Counts by role and the SHA-256 of each role's files."""
+    for role in records.ROLES:
+        if not files.exists(f"{base}/{role}.jsonl"):
+            raise FileNotFoundError(f"{base}/{role}.jsonl is missing")
+    if not resume and files.exists(f"{out}/run_manifest.json"):
+        raise FileExistsError(f"{out} holds a run already")
+    parts = files.read_partitions(spark, base)
+    rows = parts["train"]
+    for role in records.ROLES[1:]:
+        rows = rows.unionByName(parts[role])
+    counts = audit.preflight(rows, required_positive)
+    weighted = sampling.hierarchical_weights(parts["train"], mix, stratum)  # raises for strata that do not fit the mix
+    mass = weighted.agg(F.sum("weight")).first()[0]
+    hashes = {role: {r["path"]: r["sha256"] for r in files.file_manifest(spark, f"{base}/{role}.jsonl").collect()} for role in records.ROLES}  # one row a file
+    return {"partition_counts": counts, "partition_sha256": hashes, "train_weight": mass}
+
+
+def start_run(base: str, inputs: dict, config: dict) -> None:
+    """Writes what a run is made from; a second run into the same folder is an error."""
+    if files.exists(f"{base}/run_manifest.json"):
+        raise FileExistsError(f"{base} holds a run already")
+    files.write_json({"preflight": inputs, "training_config": config}, f"{base}/run_manifest.json")
+
+
+def finish_run(history: DataFrame, keys: list[str], base: str) -> dict:
+    """Summary of a run's history: the best epoch with its metrics, and the last one."""
+    best = evaluate.best_epoch(history, keys).first().asDict()
+    summary = {"best_epoch": best["epoch"], "completed_epoch": history.agg(F.max("epoch")).first()[0]} | {f"best_{k}": best[k] for k in keys}
+    files.write_json(best, f"{base}/development_metrics.json")
+    files.write_json(summary, f"{base}/summary.json")
+    return summary
+
+
+def calibrate_saved(spark: SparkSession, rows: DataFrame, folder: str, max_fpr: float = 0.05, partition: str = "calibration") -> dict:
+    """Scores calibration rows with a saved model whose features are checked, and stores its operating threshold."""
+    from ..operators import calibrate, features, models
+
+    score = models.load_structural(spark, folder)
+    flat = rows.join(features.stylometric_features(rows), "id")
+    scored = score(flat).withColumn("p", F.col("probability")).persist()
+    try:
+        record = calibrate.operating_points(scored, [max_fpr])[0] | {"partition": partition, "variant": "structural"}
+    finally:
+        scored.unpersist()
+    files.write_json(record, f"{folder}/calibration.json")
+    return record
+
+
 def fit_diagnostics(train: DataFrame, development: DataFrame, iterations: int = 1000, seed: int = 0) -> dict:
     """Train and development AUC, their gap, the resolution of the human rate, and the bootstrap interval."""
     from ..operators import models
@@ -112,23 +183,46 @@ def external_report(scored: DataFrame, threshold: float) -> dict[str, DataFrame]
 
 
 def main(argv: list[str] | None = None) -> None:
-    """python -m lexmill.plans.workflows audit|manifest PATH: audit records, or print a file manifest."""
+    """python -m lexmill.plans.workflows COMMAND ...: audit PATH, manifest PATH, baseline ROWS OUT, calibrate PREDICTIONS
+    ROWS OUT, operating-point ROWS MODEL, seal ROWS OUT METADATA. Tables are Parquet, predictions JSON lines."""
     import argparse
 
     from ..session import get_session
 
     p = argparse.ArgumentParser()
-    p.add_argument("command", choices=["audit", "manifest"])
-    p.add_argument("path")
-    p.add_argument("--threshold", type=float, default=0.85)
+    sub = p.add_subparsers(dest="command", required=True)
+
+    def command(name: str, *paths: str) -> argparse.ArgumentParser:
+        c = sub.add_parser(name)
+        for x in paths:
+            c.add_argument(x)
+        return c
+
+    command("audit", "path").add_argument("--threshold", type=float, default=0.85)
+    command("manifest", "path")
+    command("baseline", "rows", "out").add_argument("--variant", choices=["word", "char"], default="word")
+    command("calibrate", "predictions", "rows", "out").add_argument("--folds", type=int, default=5)
+    command("operating-point", "rows", "model").add_argument("--max-fpr", type=float, default=0.05)
+    seal = command("seal", "rows", "out", "metadata")
+    seal.add_argument("--pairs", type=int, default=2500)
+    seal.add_argument("--seed", type=int, default=20260904)
     a = p.parse_args(argv)
     spark: SparkSession = get_session()
+    table = spark.read.parquet
     if a.command == "audit":
-        df = spark.read.parquet(a.path)
+        df = table(a.path)
         print(audit.audit(df if "ord" in df.columns else df.withColumn("ord", F.xxhash64("id")), a.threshold))
-    else:
+    elif a.command == "manifest":
         for r in files.file_manifest(spark, a.path).orderBy("path").toLocalIterator():
             print(r["sha256"], r["bytes"], r["path"])
+    elif a.command == "baseline":
+        print(baseline_run(table(a.rows), a.out, a.variant))
+    elif a.command == "calibrate":
+        print(calibration_report(files.read_predictions(spark, a.predictions), table(a.rows), a.out, a.folds))
+    elif a.command == "operating-point":
+        print(calibrate_saved(spark, table(a.rows), a.model, a.max_fpr))
+    else:
+        print(seal_cohort(table(a.rows), a.out, a.pairs, a.seed, files.read_json(a.metadata))["manifest_sha256"])
 
 
 if __name__ == "__main__":

@@ -22,7 +22,10 @@ def get_session(app: str = "lexmill", master: str | None = None, **conf: str) ->
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """df over all cores: an input of fewer partitions than cores is dealt out anew before costly row-wise work; a
-    large one, already in many, is left as it is, without a shuffle."""
+    """df over all cores: a scan of fewer splits than cores is dealt out anew before costly row-wise work; a large one,
+    already in many, is left as it is, without a shuffle. Behind an exchange adaptive execution sizes the partitions,
+    and asking for their number would run the stages before it, so such a df is left alone."""
+    if df.isStreaming or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n) if not df.isStreaming and df.rdd.getNumPartitions() < n else df
+    return df.repartition(n) if df.rdd.getNumPartitions() < n else df

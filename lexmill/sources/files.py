@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
@@ -46,14 +44,42 @@ def read_predictions(spark: SparkSession, path: str) -> DataFrame:
     return read_jsonl(spark, path, "id string, label int, probability double")
 
 
+def _file_system(path: str):
+    """The JVM, the Hadoop file system of a path, and the path in it: local and remote bases alike."""
+    spark = SparkSession.active()
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return spark._jvm, where.getFileSystem(spark._jsc.hadoopConfiguration()), where
+
+
+def exists(path: str) -> bool:
+    _, fs, where = _file_system(path)
+    return fs.exists(where)
+
+
 def write_json(value, path: str) -> None:
-    """A report: sorted keys, indented, ending in a newline; put in place at once."""
-    folder = os.path.dirname(os.path.abspath(path))
-    os.makedirs(folder, exist_ok=True)
-    fd, part = tempfile.mkstemp(dir=folder)
-    with os.fdopen(fd, "w", encoding="utf-8") as f:
-        f.write(json.dumps(value, sort_keys=True, indent=2, ensure_ascii=False) + "\n")
-    os.replace(part, path)
+    """A report: sorted keys, indented, ending in a newline; written beside its place and put there at once."""
+    jvm, fs, where = _file_system(path)
+    fs.mkdirs(where.getParent())
+    part = where.suffix(".part")
+    out = fs.create(part, True)
+    try:
+        out.write(bytearray((json.dumps(value, sort_keys=True, indent=2, ensure_ascii=False) + "\n").encode()))
+    finally:
+        out.close()
+    options = jvm.org.apache.hadoop.fs.Options.Rename
+    over = SparkSession.active().sparkContext._gateway.new_array(options, 1)
+    over[0] = options.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), fs.getConf())
+    context.rename(fs.makeQualified(part), fs.makeQualified(where), over)
+
+
+def read_json(path: str):
+    jvm, fs, where = _file_system(path)
+    stream = fs.open(where)
+    try:
+        return json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+    finally:
+        stream.close()
 
 
 def append_history(df: DataFrame, path: str) -> None:
