@@ -529,21 +529,6 @@ def mlp_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.predictions(models.train_structural(x.where("split = 'train'"))(x.where("split <> 'train'")))
 
 
-@query()
-def fusion_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    x = _with_style(spark, sf_dir)
-    return models.predictions(models.train_fusion(x.where("split = 'train'"))(x.where("split <> 'train'")))
-
-
-@query()
-def encoded_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import public_tokenizers
-
-    d = labelled(spark, sf_dir)
-    stats = features.fit_normalizer(features.stylometric_features(d))
-    return features.encoded_windows(d, public_tokenizers.path("byte_bpe_50k.json"), 256, stats)
-
-
 @query()
 def platt_crossfit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calibrate.crossfit_platt(scored(spark, sf_dir).select("id", "source", "label", "p"), 5, "source")
