@@ -29,8 +29,9 @@ def _violation(rule: int, df: DataFrame, other: Column | None = None, other_spli
 
 def near_pairs(df: DataFrame, threshold: float = 0.85, across: bool = True, key: str = "id", text: str = "text", split: str = "split") -> DataFrame:
     """a, b, split_a, split_b, jaccard of all pairs (of different splits, if ``across``) whose 5-word shingles
-    reach the threshold. Exact, by prefix filtering: sets are ordered rarest first, a pair that links
-    shares one of the first n - ceil(t n) + 1 shingles, and survivors are checked on whole shingles."""
+    reach the threshold. Exact, by prefix and positional filtering: sets are ordered rarest first, a pair that links
+    shares one of the first n - ceil(t n) + 1 shingles, at the first of which enough of both sets is still to come,
+    and survivors are checked on whole shingles."""
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be over 0 and at most 1")
     sets = spread(df.select(key, split, text)).select(F.col(key).alias("k"), F.col(split).alias("s"), shingles(canonical(F.col(text))).alias("g")).where(F.size("g") > 0)
@@ -42,9 +43,10 @@ def near_pairs(df: DataFrame, threshold: float = 0.85, across: bool = True, key:
         live = known.withColumn("live", F.col("df") > 1)
     ranked = each.join(live.select("h", "df", "live"), "h").groupBy("k", "s", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h", "live"))).alias("o"))
     prefix = F.slice(F.col("o"), F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).cast("int"))
-    heads = ranked.select("k", "s", "n", F.explode(F.filter(prefix, lambda e: e["live"])).alias("e")).select("k", "s", "n", F.col("e.h").alias("h"))
+    heads = ranked.select("k", "s", "n", F.posexplode(prefix).alias("at", "e")).where("e.live").select("k", "s", (F.col("n") - F.col("at")).alias("left"), "n", F.col("e.h").alias("h"))
     a, b = heads.alias("a"), heads.alias("b")
-    pairs = a.join(b, "h").where((F.col("a.k") < F.col("b.k")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(threshold) - 1e-9))
+    needed = (F.col("a.n") + F.col("b.n")) * F.lit(threshold / (1 + threshold)) - 1e-6  # shared shingles of a pair that links
+    pairs = a.join(b, "h").where((F.col("a.k") < F.col("b.k")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(threshold) - 1e-9) & (F.least("a.left", "b.left") >= needed))
     if across:
         pairs = pairs.where(F.col("a.s") != F.col("b.s"))
     pairs = pairs.select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct()

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.numeric import logit, sigmoid
+from ..session import settled
 from . import evaluate
 
 
@@ -35,17 +36,50 @@ def fit_platt(df: DataFrame, label: str = "label", score: str = "p") -> tuple[fl
     return float(m.coefficients[0]), float(m.intercept)
 
 
-def group_folds(df: DataFrame, folds: int, group: str) -> DataFrame:
-    """group, fold: groups by descending size (ties by descending name), each to the lightest fold so far. The
-    greedy rule is sequential, so the group sizes, not the rows, come to the driver."""
-    sizes = df.groupBy(group).count().collect()
-    load = [0] * folds
-    out = []
-    for name, n in sorted(((r[0], r[1]) for r in sizes), key=lambda x: (x[1], x[0]), reverse=True):
-        k = load.index(min(load))
-        load[k] += n
-        out.append((name, k))
-    return df.sparkSession.createDataFrame(out, f"`{group}` {df.schema[group].dataType.simpleString()}, fold int")
+def _shares(load: list[int], size: int, m: int) -> list[int]:
+    """How many of m groups of one size each fold takes, if each group goes to the lightest fold so far, the first of ties."""
+    under = lambda t: [max(0, -((x - t) // size)) for x in load]  # noqa: E731 - groups put where the fold was under t
+    low, high = min(load), min(load) + size * m + 1
+    while high - low > 1:
+        mid = (low + high) // 2
+        low, high = (mid, high) if sum(under(mid)) <= m else (low, mid)
+    out = under(low)
+    rest = m - sum(out)
+    for f, x in enumerate(load):
+        if rest and x + out[f] * size == low:
+            out[f], rest = out[f] + 1, rest - 1
+    return out
+
+
+def group_folds(df: DataFrame, folds: int, group: str, chunk: int = 100_000) -> DataFrame:
+    """group, fold: groups by descending size (ties by descending name, null last), each to the lightest fold so far.
+    The greedy rule is sequential, but among groups of one size it depends on their number only: the driver sees one
+    row a size and range partition, and works out how many of a size each fold takes. The places of a fold in the order
+    of a size follow from the loads before it, and groups are joined to them by size and rank."""
+    spark, down = df.sparkSession, F.col("_g").desc_nulls_last()
+    sizes = df.groupBy(F.col(group).alias("_g")).agg(F.count("*").alias("_size"))
+    placed = settled(sizes.repartitionByRange(F.desc("_size"), down).withColumn("_p", F.spark_partition_id()))
+    found = sorted(((r["_size"], r["_p"], r["count"]) for r in placed.groupBy("_size", "_p").count().collect()), key=lambda r: (-r[0], r[1]))
+    starts, total = [], {}
+    for size, p, n in found:
+        starts.append((size, p, total.get(size, 0)))
+        total[size] = total.get(size, 0) + n
+    load, rows = [0] * folds, []
+    for size, m in total.items():  # sizes descend
+        take = _shares(load, size, m)
+        for f, n in enumerate(take):
+            rows += [(size, f, a, min(n, a + chunk) - 1, load, take) for a in range(0, n, chunk)]
+        load = [x + n * size for x, n in zip(load, take, strict=True)]
+    table = spark.createDataFrame(rows, "_size long, fold int, _a long, _z long, _load array<long>, _take array<long>")
+    level = F.get("_load", F.col("fold")) + F.col("_j") * F.col("_size")  # of the fold when it takes its group j
+    before = F.lit(0)
+    for g in range(folds):
+        gap = (level - F.get("_load", F.lit(g))) / F.col("_size")
+        before = before + F.least(F.greatest(F.when(F.col("fold") > g, F.floor(gap) + 1).otherwise(F.ceil(gap)), F.lit(0)), F.get("_take", F.lit(g)))
+    places = table.withColumn("_j", F.explode(F.sequence("_a", "_z"))).select("_size", "fold", before.alias("_rank"))
+    rank = F.col("_s") + F.row_number().over(Window.partitionBy("_p", "_size").orderBy(down)) - 1
+    ranked = placed.join(spark.createDataFrame(starts, "_size long, _p int, _s long"), ["_size", "_p"]).select("_g", "_size", rank.alias("_rank"))
+    return ranked.join(places, ["_size", "_rank"]).select(F.col("_g").alias(group), "fold")
 
 
 def crossfit_platt(df: DataFrame, folds: int = 5, group: str = "lineage_id", label: str = "label", score: str = "p") -> DataFrame:
@@ -55,7 +89,7 @@ def crossfit_platt(df: DataFrame, folds: int = 5, group: str = "lineage_id", lab
     k = min(folds, n)
     if k < 2:
         raise ValueError("cross-fitting needs at least two groups")
-    rows = df.join(group_folds(df, k, group), group)
+    rows = evaluate.null_safe(df, group_folds(df, k, group), [group])
     parts = []
     for i in range(k):
         train = rows.where(F.col("fold") != i)

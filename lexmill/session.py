@@ -21,6 +21,19 @@ def get_session(app: str = "lexmill", master: str | None = None, **conf: str) ->
     return b.getOrCreate()
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """df cut from its lineage by a reliable checkpoint. Range partitions are dealt by a sample that differs from job to
+    job, so whatever numbers them must see one dealing only, also when an executor is lost. The folder is that of
+    ``spark.checkpoint.dir``; unset, a folder below the warehouse in local mode, and an error on a cluster."""
+    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        where = spark.conf.get("spark.checkpoint.dir", None)
+        if not where and not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(where or f"{spark.conf.get('spark.sql.warehouse.dir')}/lexmill-checkpoint")
+    return df.checkpoint()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores: a scan of fewer splits than cores is dealt out anew before costly row-wise work; a large one,
     already in many, is left as it is, without a shuffle. Behind an exchange adaptive execution sizes the partitions,

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.text import canonical, literal_variants_of, normalize, strip
 from ..operators.records import COLUMNS, require, to_records
 from ..operators.sampling import first_wins, hash_rank
+from ..session import settled
 
 #: Columns that hold models' edits, and the models.
 EDITORS = {"llama-3.1-70b_edits": "llama-3.1-70b", "gpt-4o_edits": "gpt-4o"}
@@ -107,7 +108,7 @@ def external_rows(df: DataFrame, order: str, part: str = "C") -> DataFrame:
     partition tells how many rows stand before it."""
     require(df, ["text", "binary_label", "test_split", "scenario", "scenario_family"])
     model = F.col("generator_model") if "generator_model" in df.columns else F.lit(None).cast("string")
-    kept = df.where(F.col("test_split") == part).repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id())
+    kept = settled(df.where(F.col("test_split") == part).repartitionByRange(F.col(order)).withColumn("_p", F.spark_partition_id()))
     sizes = sorted((r["_p"], r["count"]) for r in kept.groupBy("_p").count().collect())
     before = [(p, sum(n for _, n in sizes[:i])) for i, (p, _) in enumerate(sizes)]
     starts = df.sparkSession.createDataFrame(before or [(-1, 0)], "_p int, _s long")

@@ -118,3 +118,19 @@ def test_null_keys_are_groups(spark):
     assert sampling.stratified_split(odd, 1).count() == sampling.group_split(odd, 1, "source").count() == len(rows)
     mass = sampling.hierarchical_weights(df, {"x": 1.0}, F.lit("x"), "source").collect()
     assert len(mass) == len(rows) and abs(sum(r["weight"] for r in mass) - 1) < 1e-12
+
+
+def test_group_folds_are_greedy(spark):
+    """Against the plain loop: descending size, ties by descending name, each group to the lightest fold."""
+    import random
+
+    rng = random.Random(3)
+    sizes = {f"g{i:03}": rng.choice([1, 1, 1, 2, 2, 3, 5, 9]) for i in range(90)} | {None: 2}
+    df = spark.createDataFrame([(g,) for g, n in sizes.items() for _ in range(n)], "g string")
+    load, want = [0] * 4, {}
+    for g, n in sorted(sizes.items(), key=lambda x: (x[1], x[0] is not None, x[0] or ""), reverse=True):
+        want[g] = load.index(min(load))
+        load[want[g]] += n
+    got = calibrate.group_folds(df, 4, "g", chunk=7).collect()
+    assert len(got) == len(want) and {r["g"]: r["fold"] for r in got} == want
+    assert calibrate.group_folds(df.limit(0), 4, "g").count() == 0
