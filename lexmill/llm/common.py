@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F, types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -117,6 +117,19 @@ def global_order(df: DataFrame, by: list[str], scratch: Scratch, weight: str | N
     return out.select(*cols, (F.col("_r0") + F.col("_idx")).alias("rank"), *([(F.col("_c0") + F.col("_cum")).alias("before")] if weight else []))
 
 
+def group_order(df: DataFrame, key: str, by: list[str], scratch: Scratch) -> DataFrame:
+    """Adds ``at`` (0, 1, ... within the value of ``key``, which is not null, in the order of ``by``, nulls first) and ``total``
+    (rows of that value). Range partitions are sorted and numbered on their own; then the places of a key's parts follow
+    from one row for each key and partition. No task sees all rows of a key."""
+    local = scratch.save(df.repartitionByRange(key, *by).sortWithinPartitions(key, *by).withColumn("_m", F.monotonically_increasing_id()))
+    local = local.withColumn("_pid", F.shiftright("_m", 33))
+    parts = local.groupBy(key, "_pid").agg(F.min("_m").alias("_first"), F.count("*").alias("_n"))
+    whole = Window.partitionBy(key)
+    before = F.coalesce(F.sum("_n").over(whole.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = parts.withColumn("_start", before).withColumn("total", F.sum("_n").over(whole)).drop("_n")
+    return local.join(starts, [key, "_pid"]).withColumn("at", F.col("_start") + F.col("_m") - F.col("_first")).drop("_m", "_pid", "_first", "_start")
+
+
 # --- text as numpy arrays -------------------------------------------------------------------------
 
 _RNG = np.random.default_rng(0x5EED)
