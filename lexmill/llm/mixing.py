@@ -112,6 +112,8 @@ def mix(docs: DataFrame, weights: list[int], share: float, most: int = 2) -> Dat
     dual = balance(counts, wanted, most, scratch).select("key", "lam")
     known = wanted.join(dual, "key", "left")
     placed = group_order(sizes.withColumn("_down", -F.col("size")), "key", ["_down", "doc_id"], scratch)
-    rated = placed.join(known, "key").select("key", F.floor(F.col("at") / CHUNK).alias("chunk"), "at", "doc_id", "size", "source_size", "target", F.coalesce(_rate(most), F.lit(0.0)).alias("rate"))
+    placed = scratch.save(placed.select("key", F.floor(F.col("at") / CHUNK).alias("chunk"), "at", "doc_id", "size"))
+    heads = placed.where(F.col("at") % CHUNK == 0).select("key", "chunk").join(known, "key")  # sources meet runs, not documents
+    rated = placed.join(heads, ["key", "chunk"]).withColumn("rate", F.coalesce(_rate(most), F.lit(0.0)))
     made = rated.groupBy("key", "chunk").applyInPandas(_copies(most), "doc_id long, size long, source_size long, target double, rate double, copies int")
     return made.withColumn("taken", F.col("copies") * F.col("size"))
