@@ -12,11 +12,15 @@ cell. Cells join on their own, in blocks of bounded size: no group grows with a
 vectors are collapsed first, so copies are counted, not compared. A block returns link counts and
 a spanning forest of what it found, never its pairs.
 
-Vectors of each length have pivots, and so cells, of their own.
-
-Semantics: vectors that are null, zero, or hold a null or non-finite component link with nothing and
-form components of their own, and so do vectors of different lengths with each other; repeated rows
-count as vectors of their own; extra columns are ignored; an empty table gives an empty result.
+Vectors of each length have pivots, and so cells, of their own: one for each cell_rows vectors, as long as those that all tasks
+get take PIVOT_BYTES. Beyond that cells grow, and are joined in more blocks: the result is the same. Angles to pivots are worked out
+twice, once for the home cells and their radii and once for the cells in reach, and never stored.
+
+Semantics: vectors that are null, empty, zero, or hold a null or non-finite component link with nothing and
+form components of their own, and so do vectors of different lengths with each other. All other doubles count, from the least to the
+greatest: vectors are scaled by a power of two before they are measured. Repeated rows count as vectors of their own. Rows without an id link
+like others; their component is the least id reachable, null if there is none, and they are never kept. Extra columns are ignored; an
+empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -32,6 +36,8 @@ from .common import Scratch, map_batches
 from .components import components
 
 HOME_BLOCK, FAR_BLOCK = 2048, 8192
+#: What the pivots of one length of vectors may take in every task.
+PIVOT_BYTES = 1 << 24
 
 
 def _unit(blobs: list[bytes]) -> np.ndarray:
@@ -39,8 +45,17 @@ def _unit(blobs: list[bytes]) -> np.ndarray:
     return v / np.linalg.norm(v, axis=1, keepdims=True)
 
 
+def scaled(v: np.ndarray) -> np.ndarray:
+    """v times the power of two that brings its largest component below 1, where squares neither over- nor underflow."""
+    return np.ldexp(v, -int(np.frexp(np.abs(v).max())[1]))
+
+
+def _angles(blobs: list[bytes], pivots: np.ndarray) -> np.ndarray:
+    return np.arccos(np.clip(_unit(blobs) @ pivots.T, -1, 1))
+
+
 def prepare(vectors: DataFrame, key: str, column: str) -> DataFrame:
-    """(id, sig, v): usable vectors as bytes and their digest; null for the others."""
+    """(id, sig, v): usable vectors, scaled, as bytes and the digest of what they were; null for the others."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         sig, blob = [], []
@@ -48,11 +63,10 @@ def prepare(vectors: DataFrame, key: str, column: str) -> DataFrame:
             v = None
             if x.is_valid and len(x) and not x.values.null_count:
                 v = x.values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0
-                norm = np.linalg.norm(v)
-                if not (np.isfinite(v).all() and np.isfinite(norm) and norm > 0):
+                if not (np.isfinite(v).all() and v.any()):
                     v = None
-            blob.append(None if v is None else v.tobytes())
-            sig.append(None if v is None else hashlib.blake2b(blob[-1], digest_size=16).digest())
+            sig.append(None if v is None else hashlib.blake2b(v.tobytes(), digest_size=16).digest())
+            blob.append(None if v is None else scaled(v).tobytes())
         return pa.RecordBatch.from_arrays([batch.column(0), pa.array(sig, pa.binary()), pa.array(blob, pa.binary())], names=["id", "sig", "v"])
 
     src = vectors.select(vectors[key].cast("long").alias("id"), vectors[column].cast("array<double>").alias("e"))
@@ -63,7 +77,7 @@ def _join(threshold: float):
     def run(group: pa.Table) -> pa.Table:
         side = group.column("side").to_numpy()
         home, far = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        ids, n = group.column("rep").to_numpy(), group.column("n").to_numpy()
+        ids, n = group.column("node").to_numpy(), group.column("n").to_numpy()
         blobs = group.column("v").to_pylist()
         out_u, out_v, out_n = [], [], []
         if len(home) and len(far):
@@ -83,10 +97,10 @@ def _join(threshold: float):
                 by_col = np.argsort(col, kind="stable")
                 cols, first_c = np.unique(col[by_col], return_index=True)
                 while True:  # least label over both sides of what was found here
-                    before = label_a[used].sum()
-                    label_a[used] = np.minimum(label_a[used], np.minimum.reduceat(label_b[col], first))
+                    before = label_a[used]
+                    label_a[used] = np.minimum(before, np.minimum.reduceat(label_b[col], first))
                     label_b[cols] = np.minimum(label_b[cols], np.minimum.reduceat(label_a[row[by_col]], first_c))
-                    if label_a[used].sum() == before:
+                    if (label_a[used] == before).all():
                         break
                 out_u += [ia[used], ib[cols]]
                 out_v += [label_a[used], label_b[cols]]
@@ -97,64 +111,76 @@ def _join(threshold: float):
     return run
 
 
-def near_vectors(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", column: str = "embedding", most_pivots: int = 64, cell_rows: int = 4096) -> DataFrame:
-    """key, n_links, component_id, kept for every row of vectors. One pivot for each cell_rows distinct vectors
-    of a length, one at least, most_pivots at most."""
+def near_vectors(vectors: DataFrame, threshold: float = 0.9, key: str = "vec_id", column: str = "embedding", cell_rows: int = 4096, seen: dict | None = None) -> DataFrame:
+    """key, n_links, component_id, kept for every row of vectors. seen: gets the numbers of pivots, of classes of equal vectors and of their replicas."""
     spark = vectors.sparkSession
     scratch = Scratch(spark, "vectors")
     r = math.acos(threshold) + 1e-9
     rows = scratch.save(prepare(vectors, key, column))
-    classes = scratch.save(rows.where("sig is not null").groupBy("sig").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")))
+    classes = rows.where("sig is not null").groupBy("sig").agg(F.min("id").alias("least"), F.count("*").alias("n"), F.first("v").alias("v"))
+    classes = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()))
     sizes = sorted((r["n"], r["count"]) for r in classes.groupBy(F.length("v").alias("n")).count().collect())  # one row a length of vectors
     pivots, first, count = {}, {}, 0
     for n, total in sizes:
-        some = classes.where(F.length("v") == n).orderBy(F.xxhash64("sig"), "sig").limit(max(1, min(most_pivots, total // cell_rows)))
+        some = classes.where(F.length("v") == n).orderBy(F.xxhash64("sig"), "sig").limit(max(1, min(total // cell_rows, PIVOT_BYTES // n)))
         pivots[n], first[n] = _unit([x["v"] for x in some.collect()]), count
         count += len(pivots[n])
 
-    def homes(batch: pa.RecordBatch) -> pa.RecordBatch:
+    def alike(batch: pa.RecordBatch):
+        """(rows, first pivot, angles) of runs of rows of one length, as many as 2**22 angles allow."""
         blobs = batch.column(2).to_pylist()
         length = np.array([len(v) for v in blobs])
-        home, least, at, angles = np.zeros(len(blobs), np.int32), np.zeros(len(blobs)), np.zeros(len(blobs), np.int32), [None] * len(blobs)
         for n in np.unique(length).tolist():
             who = np.flatnonzero(length == n)
-            angle = np.arccos(np.clip(_unit([blobs[i] for i in who]) @ pivots[n].T, -1, 1))
-            home[who], least[who], at[who] = first[n] + angle.argmin(1), angle.min(1), first[n]
-            for i, a in zip(who.tolist(), angle, strict=True):
-                angles[i] = a
-        return pa.RecordBatch.from_arrays(
-            [*batch.columns, pa.array(home), pa.array(least), pa.array(at), pa.array(angles, pa.list_(pa.float64()))],
-            names=["rep", "n", "v", "home", "angle", "at", "angles"],
-        )
-
-    placed = scratch.save(map_batches(classes.select("rep", "n", "v"), homes, "rep long, n long, v binary, home int, angle double, at int, angles array<double>"))
+            step = max(1, (1 << 22) // len(pivots[n]))
+            for a in range(0, len(who), step):
+                yield who[a : a + step], first[n], _angles([blobs[i] for i in who[a : a + step]], pivots[n])
+
+    def homes(batch: pa.RecordBatch) -> pa.RecordBatch:
+        home, least = np.zeros(batch.num_rows, np.int32), np.zeros(batch.num_rows)
+        for who, at, angle in alike(batch):
+            home[who], least[who] = at + angle.argmin(1), angle.min(1)
+        return pa.RecordBatch.from_arrays([*batch.columns, pa.array(home), pa.array(least)], names=["node", "n", "v", "home", "angle"])
+
+    placed = scratch.save(map_batches(classes.select("node", "n", "v"), homes, "node long, n long, v binary, home int, angle double"))
     cells = {x["home"]: (x["m"], x["w"]) for x in placed.groupBy("home").agg(F.count("*").alias("m"), F.max("angle").alias("w")).collect()}  # one row a pivot
-    reach = F.array(*[F.lit(cells.get(j, (0, -9.0))[1] + r) for j in range(count)]) if count else F.array().cast("array<double>")
-    near = F.filter(
-        F.transform(F.col("angles"), lambda a, j: F.when((a <= F.get(reach, F.col("at") + j)) & (a <= F.col("angle") + 2 * r), F.col("at") + j)), lambda j: j.isNotNull()
-    )
-    seen = placed.select("rep", "n", "v", "home", F.explode(near).alias("cell"))
-    far = {x["cell"]: x["count"] for x in placed.select(F.explode(near).alias("cell")).groupBy("cell").count().collect()}  # one row a pivot
+    radius = np.array([cells.get(j, (0, -9.0))[1] for j in range(count)])
+
+    def reached(batch: pa.RecordBatch) -> pa.RecordBatch:
+        least, found = batch.column(4).to_numpy(), [None] * batch.num_rows
+        for who, at, angle in alike(batch):
+            near = (angle <= radius[at : at + angle.shape[1]] + r) & (angle <= least[who, None] + 2 * r)
+            for i, x in zip(who.tolist(), near, strict=True):
+                found[i] = (at + np.flatnonzero(x)).astype(np.int32)
+        return pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(found, pa.list_(pa.int32()))], names=["node", "n", "v", "home", "near"])
+
+    spread = scratch.save(map_batches(placed, reached, "node long, n long, v binary, home int, near array<int>"))
+    replicas = spread.select("node", "n", "v", "home", F.explode("near").alias("cell"))
+    far = {x["cell"]: x["count"] for x in spread.select(F.explode("near").alias("cell")).groupBy("cell").count().collect()}  # one row a pivot
+    if seen is not None:
+        seen |= {"pivots": count, "classes": sum(n for _, n in sizes), "replicas": sum(far.values())}
     blocks = [(j, -(-m // HOME_BLOCK), max(1, -(-far.get(j, 0) // FAR_BLOCK))) for j, (m, _) in cells.items()]
     lookup = spark.createDataFrame(blocks or [(-1, 1, 1)], "cell int, hs int, fs int")
-    salt = F.xxhash64(F.lit(5), "rep")
+    salt = F.xxhash64(F.lit(5), "node")
     home_rows = (
-        placed.withColumnRenamed("home", "cell").join(F.broadcast(lookup), "cell")  # one row a pivot
-        .select("cell", F.pmod(salt, F.col("hs")).alias("hb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("fs").cast("long") - 1)).alias("fb"), F.lit(0).alias("side"), "rep", "n", "v")
+        spread.withColumnRenamed("home", "cell").join(F.broadcast(lookup), "cell")  # one row a pivot
+        .select("cell", F.pmod(salt, F.col("hs")).alias("hb"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("fs").cast("long") - 1)).alias("fb"), F.lit(0).alias("side"), "node", "n", "v")
     )
     far_rows = (
-        seen.join(F.broadcast(lookup), "cell")
-        .select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("hs").cast("long") - 1)).alias("hb"), F.pmod(salt, F.col("fs")).alias("fb"), F.lit(1).alias("side"), "rep", "n", "v")
+        replicas.join(F.broadcast(lookup), "cell")
+        .select("cell", F.explode(F.sequence(F.lit(0).cast("long"), F.col("hs").cast("long") - 1)).alias("hb"), F.pmod(salt, F.col("fs")).alias("fb"), F.lit(1).alias("side"), "node", "n", "v")
     )
     found = scratch.save(home_rows.unionByName(far_rows).groupBy("cell", "hb", "fb").applyInArrow(_join(threshold), "u long, v long, links long"))
-    links = found.groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("links"))
-    comp = components(found.select("u", "v"), scratch).withColumnRenamed("id", "rep").groupBy("rep").agg(F.min("component").alias("component"))
-    known = scratch.save(
-        classes.select("sig", "rep", F.col("n")).join(links, "rep", "left").join(comp, "rep", "left")
-        .select("sig", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
+    links = found.groupBy(F.col("u").alias("node")).agg(F.sum("links").alias("links"))
+    comp = components(found.select("u", "v"), scratch).withColumnRenamed("id", "node").groupBy("node").agg(F.min("component").alias("component"))
+    joined = scratch.save(
+        classes.select("sig", "node", "least", "n").join(links, "node", "left").join(comp, "node", "left")
+        .select("sig", "least", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "node").alias("component"))
     )
+    ids = joined.groupBy("component").agg(F.min("least").alias("component_id"))
+    known = scratch.save(joined.join(ids, "component").select("sig", "n_links", "component_id", F.lit(True).alias("usable")))
     return (
         rows.select("id", "sig").join(known, "sig", "left")
-        .select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
-        .withColumn("kept", F.col(key) == F.col("component_id"))
+        .select(F.col("id").alias(key), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.when(F.col("usable"), F.col("component_id")).otherwise(F.col("id")).alias("component_id"))
+        .withColumn("kept", F.coalesce(F.col(key) == F.col("component_id"), F.lit(False)))
     )
