@@ -1,14 +1,15 @@
 """Quality scores by similarity-weighted votes of the nearest labelled texts in a latent-semantic space.
 
-Terms are trigrams of character classes (letters by case, digits, each punctuation mark), and how
+Terms are trigrams of character classes (letters by case, digits, punctuation marks in 43 groups), and how
 often words repeat; a text is the square roots of its term shares, weighted by inverse document
 frequency. A truncated singular value decomposition of a bounded labelled sample gives the latent
 space. The labelled vectors are broadcast (at most 2 * PER_CLASS of them); every document is
 compared with all of them in exact blocked cosine products.
 
 Semantics: texts that are null or hold no word score 0 (rejected); without labelled rows every other
-text scores 0.5; ids labelled twice take the lower label; labels other than 0 and 1 are ignored;
-neighbours tied with the last one all vote; repeated rows each get a row.
+text scores 0.5; ids labelled twice take the lower label; labels other than 0 and 1, null ids and ids without a row are ignored;
+of rows of one labelled id one is learned from, that of the least term counts; neighbours tied with the last one all vote; repeated rows each get
+a row, and so do rows without an id. Texts are scored whole, 256 at a time; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -126,19 +127,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, text: st
         at_a = pa.array(at, pa.int64())
         return pa.RecordBatch.from_arrays([batch.column(0).take(at_a), batch.column(2).take(at_a), pa.array(where, pa.binary()), pa.array(count, pa.binary())], names=["k", "y", "w", "c"])
 
-    got = sorted(map(tuple, map_batches(rows.select(F.col("k").cast("long").alias("k"), "t", F.col("y").cast("int").alias("y")), run, "k long, y int, w binary, c binary").collect()))
-    unique: dict = {}
-    for k, y, w, c in got:
-        unique.setdefault(k, (y, w, c))
-    if not unique:
+    counted = map_batches(rows.select(F.col("k").cast("long").alias("k"), "t", F.col("y").cast("int").alias("y")), run, "k long, y int, w binary, c binary")
+    got = sorted((r["k"], *r["v"]) for r in counted.groupBy("k").agg(F.min(F.struct("y", "w", "c")).alias("v")).collect())  # one row a sampled id
+    if not got:
         return QualityModel(None, None, None)
-    x = np.zeros((len(unique), TERMS), np.float32)
-    y = np.array([v[0] for v in unique.values()], np.float64)
-    for i, (_, w, c) in enumerate(unique.values()):
+    x = np.zeros((len(got), TERMS), np.float32)
+    y = np.array([r[1] for r in got], np.float64)
+    for i, (_, _, w, c) in enumerate(got):
         x[i, np.frombuffer(w, np.int16)] = np.frombuffer(c, np.float32)
     idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
     a = weigh(x) * idf
-    mean = a.mean(0)
     rng = np.random.default_rng(3)
     dims = min(DIMS, *a.shape)
     q = rng.normal(size=(TERMS, dims + 16)).astype(np.float32)
@@ -146,7 +144,6 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, text: st
         q, _ = np.linalg.qr(a.T @ (a @ q))
     u, s, vt = np.linalg.svd(a @ q, full_matrices=False)
     space = (idf[:, None] * (q @ vt.T)[:, :dims]).astype(np.float32)
-    del mean
     model = QualityModel(space, None, y)
     model.vectors = model.latent(x).astype(np.float32)
     return model
