@@ -58,7 +58,7 @@ class ByteTokens:
             try:
                 return np.array(self.fast.encode(text, allowed_special="all"), np.uint32)
             except BaseException as e:  # a panic of the engine's regex on odd, huge texts
-                if isinstance(e, KeyboardInterrupt | SystemExit | MemoryError):
+                if type(e).__name__ != "PanicException" and not isinstance(e, ValueError):
                     raise
         return np.array(self.library.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -135,17 +135,18 @@ def best_fit(histogram: dict[int, int], limit: int) -> Counter:
 
 
 def local_search(bins: Counter, limit: int) -> Counter:
-    """Empties underfull bins by moves and exchanges that raise the sum of squared fills. It ends when no fewer bins can
+    """Empties underfull bins by moves and exchanges that raise the sum of squared fills, each made by all pairs of bins of the
+    same two patterns at once: the work depends on the patterns, not on the bins. It ends when no fewer bins can
     hold the tokens, or after a round over all underfull bins that empties none."""
     bins = Counter(bins)
     least = ceil(sum(sum(p) * c for p, c in bins.items()) / limit)
 
-    def change(old: tuple, new: tuple) -> None:
-        bins[old] -= 1
+    def change(old: tuple, new: tuple, times: int) -> None:
+        bins[old] -= times
         if not bins[old]:
             del bins[old]
         if new:
-            bins[new] += 1
+            bins[new] += times
 
     def pairs(p: tuple) -> list[tuple[int, int]]:
         """The different pairs of documents of a bin: of lengths, since equal ones are alike."""
@@ -189,8 +190,9 @@ def local_search(bins: Counter, limit: int) -> Counter:
         new_b.subtract(take)
         new_b.update(give)
         s2 = tuple(sorted(new_s.elements(), reverse=True))
-        change(s, s2)
-        change(b, tuple(sorted(new_b.elements(), reverse=True)))
+        times = min(bins[s], bins[b]) if s != b else bins[s] // 2  # so many equal pairs of bins take the step at once
+        change(s, s2, times)
+        change(b, tuple(sorted(new_b.elements(), reverse=True)), times)
         return s2
 
     while (count := sum(bins.values())) > least:
