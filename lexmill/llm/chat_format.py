@@ -6,15 +6,17 @@ emitted once, every node knows the position ids of its tokens (its distance from
 conversation stood alone) and the stream intervals of its ancestors, which are all it may attend to.
 
 Depth-first order is the order of (first conversation through a node, depth), with conversations
-sorted by their paths; both orders are numbered in range partitions, so a first turn that a third of
-all conversations share makes no large task.
+sorted by their paths; both orders are numbered in range partitions. Where turns meet their nodes, those of a node with more than
+HOT conversations are salted, a part of HOT each, and the node is repeated for each part: a first turn that a third of
+all conversations share makes no large task. There are at most (turns / HOT) such nodes, and only they are broadcast.
 
 Template: system <<SYS>>...<</SYS>>, user [INST]...[/INST], assistant <s>...</s>, any other role
 <<ROLE>>role<<TEXT>>...<</ROLE>>. Inside texts and roles a backslash goes before each backslash, < and
 [, so no text can hold a control string, and reading back undoes it.
 
-Semantics: null text and null role are empty; turns sort by turn, role, text, so repeated rows are
-turns of their own; extra columns are ignored; an empty table gives an empty result.
+Semantics: null text and null role are empty; turns sort by turn, role, text, null turns first, so repeated rows are
+turns of their own; a row without a conv_id is a conversation of its own; texts are formatted whole, whatever their length; extra columns are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,6 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from .common import Scratch, global_order, map_batches
 
+HOT = 50_000
 MARKS = {"system": ("<<SYS>>", "<</SYS>>"), "user": ("[INST]", "[/INST]"), "assistant": ("<s>", "</s>")}
 _BODY = r"([^\\<\[]*(?:\\.[^\\<\[]*)*)"
 _TURN = re.compile(rf"(<<SYS>>|\[INST\]|<s>|<<ROLE>>{_BODY}<<TEXT>>){_BODY}(?:<</SYS>>|\[/INST\]|</s>|<</ROLE>>)", re.DOTALL)
@@ -80,15 +83,21 @@ def build_tree(conversations: DataFrame, scratch: Scratch | None = None) -> tupl
     loss_from, loss_to (within the node), attends (stream intervals of its ancestors, root first).
     paths: conv_no, conv_id, spans (the stream intervals that make up the conversation, in order)."""
     scratch = scratch or Scratch(conversations.sparkSession, "chat")
-    convs = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.struct("turn", "role", "text").alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("t"))
+    alone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id()).alias("alone")
+    convs = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), alone, F.struct("turn", "role", "text").alias("t")).groupBy("conv_id", "alone").agg(F.sort_array(F.collect_list("t")).alias("t")).drop("alone")
     schema = "conv_id long, turns array<struct<key:string,seg:string,position:bigint,loss_from:bigint,loss_to:bigint>>"
     rendered = map_batches(convs, _render_all, schema).withColumn("path", F.transform("turns", lambda t: t["key"]))
     ordered = scratch.save(global_order(rendered, ["path", "conv_id"], scratch).select(F.col("rank").alias("conv_no"), "conv_id", "turns"))
     turns = ordered.select("conv_no", F.posexplode("turns").alias("depth", "t")).select("conv_no", "depth", F.col("t.key").alias("node"), "t")
-    first = scratch.save(turns.groupBy("node").agg(F.min("conv_no").alias("first")))
-    own = turns.join(first, "node").where("conv_no = first").select("node", "conv_no", "depth", F.length("t.seg").cast("long").alias("n_tokens"), "t.position", "t.loss_from", "t.loss_to", F.col("t.seg").alias("text"))
+    first = scratch.save(turns.groupBy("node").agg(F.min("conv_no").alias("first"), F.ceil(F.count("*") / HOT).cast("int").alias("parts")))
+    hot = scratch.save(first.where("parts > 1").select("node", "parts"))
+    part = F.pmod("conv_no", F.coalesce("parts", F.lit(1))).cast("int").alias("part")
+    turns = turns.join(F.broadcast(hot), "node", "left").select("conv_no", "depth", "node", "t", part)  # at most turns / HOT rows
+    parted = first.select("node", "first", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    own = turns.join(parted, ["node", "part"]).where("conv_no = first").select("node", "conv_no", "depth", F.length("t.seg").cast("long").alias("n_tokens"), "t.position", "t.loss_from", "t.loss_to", F.col("t.seg").alias("text"))
     nodes = scratch.save(global_order(own, ["conv_no", "depth"], scratch, weight="n_tokens").drop("rank").withColumnRenamed("before", "start"))
-    spans = turns.select("conv_no", "depth", "node").join(nodes.select("node", "start", "n_tokens"), "node")
+    places = nodes.join(first.select("node", "parts"), "node").select("node", "start", "n_tokens", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    spans = turns.select("conv_no", "depth", "node", "part").join(places, ["node", "part"])
     span = F.struct("depth", F.col("start").alias("from"), (F.col("start") + F.col("n_tokens")).alias("to"))
     paths = scratch.save(spans.groupBy("conv_no").agg(F.sort_array(F.collect_list(span)).alias("spans")).join(ordered.select("conv_no", "conv_id"), "conv_no"))
     around = nodes.join(paths.select("conv_no", "spans"), "conv_no")
@@ -103,7 +112,10 @@ def build_tree(conversations: DataFrame, scratch: Scratch | None = None) -> tupl
 def read_back(nodes: DataFrame, paths: DataFrame) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, from the stream alone."""
     spans = paths.select("conv_no", "conv_id", F.explode("spans").alias("s")).select("conv_no", "conv_id", F.col("s.depth").alias("depth"), F.col("s.from").alias("start"))
-    parts = spans.join(nodes.select("start", "text", "loss_from", "loss_to"), "start")
+    hot = spans.groupBy("start").agg(F.ceil(F.count("*") / HOT).cast("int").alias("parts")).where("parts > 1")
+    spans = spans.join(F.broadcast(hot), "start", "left").withColumn("part", F.pmod("conv_no", F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")  # at most turns / HOT rows
+    emitted = nodes.join(F.broadcast(hot), "start", "left").select("start", "text", "loss_from", "loss_to", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)).alias("part"))
+    parts = spans.join(emitted, ["start", "part"])
     whole = parts.groupBy("conv_no", "conv_id").agg(F.sort_array(F.collect_list(F.struct("depth", "text", "loss_from", "loss_to"))).alias("p"))
 
     def digest(batch: pa.RecordBatch) -> pa.RecordBatch:
