@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import canonical, shingles, strip
-from ..session import spread
+from ..session import settled, spread
 
 SPLITS = ["train", "development", "calibration", "sealed_test"]
 #: Rules in the order of their ranks.
@@ -27,26 +31,57 @@ def _violation(rule: int, df: DataFrame, other: Column | None = None, other_spli
     )
 
 
+#: Buckets of the frequency sketch by which shingles are ordered, and 64-bit words of the bitmaps that sets are compared by.
+SKETCH, WORDS = 1 << 17, 8
+
+
+def _hashed_sets(df: DataFrame, key: str, text: str, n: int = 5) -> DataFrame:
+    """key and g, the 64-bit hashes of the distinct shingles of the canonical text."""
+    return spread(df).select(*[c for c in df.columns if c != text], F.array_distinct(F.transform(shingles(canonical(F.col(text)), n), lambda x: F.xxhash64(x))).alias("g"))
+
+
 def near_pairs(df: DataFrame, threshold: float = 0.85, across: bool = True, key: str = "id", text: str = "text", split: str = "split") -> DataFrame:
     """a, b, split_a, split_b, jaccard of all pairs (of different splits, if ``across``) whose 5-word shingles
-    reach the threshold. Exact, by prefix and positional filtering: sets are ordered rarest first, a pair that links
-    shares one of the first n - ceil(t n) + 1 shingles, at the first of which enough of both sets is still to come,
-    and survivors are checked on whole shingles."""
+    reach the threshold. Exact, by filters that lose none: sets are ordered rarest first (by a sketch of constant size, any common order will do),
+    a pair that links shares one of the first n - ceil(t n) + 1 shingles, at the first of which enough of both sets is
+    still to come; and as bitmaps of the parities of both sets differ in no more bits than the sets in shingles, pairs whose
+    bitmaps differ too much are not looked at. Only prefixes are shuffled; survivors are checked on whole sets."""
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be over 0 and at most 1")
-    sets = spread(df.select(key, split, text)).select(F.col(key).alias("k"), F.col(split).alias("s"), shingles(canonical(F.col(text))).alias("g")).where(F.size("g") > 0)
-    each = sets.select("k", "s", F.size("g").alias("n"), F.explode("g").alias("x")).select("k", "s", "n", F.xxhash64("x").alias("h"))
-    known = each.groupBy("h").agg(F.count("*").alias("df"), F.min("s").alias("s0"), F.max("s").alias("s1"))
-    if across:  # a shingle of one split alone joins nothing, but keeps its place in the order
-        live = known.withColumn("live", (F.col("df") > 1) & (F.col("s0") != F.col("s1")))
-    else:
-        live = known.withColumn("live", F.col("df") > 1)
-    ranked = each.join(live.select("h", "df", "live"), "h").groupBy("k", "s", "n").agg(F.sort_array(F.collect_list(F.struct("df", "h", "live"))).alias("o"))
-    prefix = F.slice(F.col("o"), F.lit(1), (F.col("n") - F.ceil(F.col("n") * F.lit(threshold) - 1e-9) + 1).cast("int"))
-    heads = ranked.select("k", "s", "n", F.posexplode(prefix).alias("at", "e")).where("e.live").select("k", "s", (F.col("n") - F.col("at")).alias("left"), "n", F.col("e.h").alias("h"))
+    sets = settled(_hashed_sets(df.select(F.col(key).alias("k"), F.col(split).alias("s"), F.col(text).alias("t")), "k", "t").where(F.size("g") > 0))
+    often = np.zeros(SKETCH, np.int64)
+    for b, n in sets.select(F.pmod(F.explode("g"), F.lit(SKETCH)).alias("b")).groupBy("b").count().collect():  # at most SKETCH rows
+        often[b] = n
+
+    def prefixes(batches):
+        for batch in batches:
+            row, left, size, hashes, maps = [], [], [], [], []
+            for i, g in enumerate(batch.column(2)):
+                h = g.values.to_numpy()
+                count = often[h % SKETCH]
+                first = np.lexsort((h, count))[: len(h) - math.ceil(len(h) * threshold - 1e-9) + 1]
+                live = count[first] > 1  # others are in this set alone
+                at = np.flatnonzero(live)
+                bits = np.bincount((h % (64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+                row.append(np.full(len(at), i))
+                left.append(len(h) - at)
+                size.append(np.full(len(at), len(h)))
+                hashes.append(h[first][live])
+                maps.append(np.repeat(np.packbits(bits.astype(np.uint8)).view("<i8")[None, :], len(at), axis=0))
+            if row:
+                m = np.concatenate(maps)
+                at = pa.array(np.concatenate(row))
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(at), batch.column(1).take(at), pa.array(np.concatenate(left)), pa.array(np.concatenate(size)), pa.array(np.concatenate(hashes)), *[pa.array(np.ascontiguousarray(m[:, w])) for w in range(WORDS)]],
+                    names=["k", "s", "left", "n", "h", *[f"m{w}" for w in range(WORDS)]],
+                )
+
+    kinds = {f.name: f.dataType.simpleString() for f in sets.schema}
+    heads = sets.select("k", "s", "g").mapInArrow(prefixes, f"k {kinds['k']}, s {kinds['s']}, left long, n long, h long, " + ", ".join(f"m{w} long" for w in range(WORDS)))
     a, b = heads.alias("a"), heads.alias("b")
     needed = (F.col("a.n") + F.col("b.n")) * F.lit(threshold / (1 + threshold)) - 1e-6  # shared shingles of a pair that links
-    pairs = a.join(b, "h").where((F.col("a.k") < F.col("b.k")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(threshold) - 1e-9) & (F.least("a.left", "b.left") >= needed))
+    apart = sum((F.bit_count(F.col(f"a.m{w}").bitwiseXOR(F.col(f"b.m{w}"))) for w in range(1, WORDS)), F.bit_count(F.col("a.m0").bitwiseXOR(F.col("b.m0"))))
+    pairs = a.join(b, "h").where((F.col("a.k") < F.col("b.k")) & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * F.lit(threshold) - 1e-9) & (F.least("a.left", "b.left") >= needed) & ((F.col("a.n") + F.col("b.n") - apart) / 2 >= needed))
     if across:
         pairs = pairs.where(F.col("a.s") != F.col("b.s"))
     pairs = pairs.select(F.col("a.k").alias("a"), F.col("b.k").alias("b")).distinct()
@@ -64,10 +99,13 @@ def exact_pairs(df: DataFrame, key: str = "id", text: str = "text", split: str =
     return d.join(groups.drop("_n"), "_c").where(F.col(split) != F.col("first.split"))
 
 
-def contamination(corpus: DataFrame, benchmark: DataFrame, key: str, item: str, text: str = "text", n: int = 5) -> DataFrame:
-    """key, item, shared: distinct word shingles that a document shares with a benchmark item."""
-    s = lambda df, k: spread(df.select(k, text)).select(F.col(k).alias(k), F.explode(shingles(canonical(F.col(text)), n)).alias("x")).select(k, F.xxhash64("x").alias("h"))
-    return s(corpus, key).join(s(benchmark, item), "h").groupBy(key, item).agg(F.count("*").alias("shared"))
+def contamination(corpus: DataFrame, benchmark: DataFrame, key: str, item: str, text: str = "text", n: int = 5, most: int = 1 << 20) -> DataFrame:
+    """key, item, shared: distinct word shingles that a document shares with a benchmark item. A benchmark of at most ``most``
+    shingles goes to the documents, which then are not shuffled before their shingles are counted; a larger one is joined by hash."""
+    s = lambda df, k: _hashed_sets(df.select(F.col(k).alias(k), F.col(text).alias("t")), k, "t", n).select(k, F.explode("g").alias("h"))
+    items = settled(s(benchmark, item))
+    found = s(corpus, key).join(F.broadcast(items) if items.count() <= most else items, "h")  # 16 bytes a shingle
+    return found.groupBy(key, item).agg(F.count("*").alias("shared"))
 
 
 def lineage_overlap(df: DataFrame, lineage: str = "lineage_id", role: str = "split") -> DataFrame:
@@ -82,20 +120,21 @@ def parents(df: DataFrame) -> DataFrame:
 
 
 def violations(df: DataFrame, threshold: float = 0.85, near: bool = True) -> DataFrame:
-    """All violations of the ten rules as rows. df: canonical records with an input ordinal ``ord``."""
+    """All violations of the ten rules as rows. df: canonical records with an input ordinal ``ord``. What is null keeps no rule:
+    a null split is unknown, a null flag is the wrong one, and a null text is blank."""
     if not 0 < threshold <= 1:
         raise ValueError("the threshold must be over 0 and at most 1")
     first_id = df.groupBy("id").agg(F.min("ord").alias("_o"), F.count("*").alias("_n")).where("_n > 1")
     first_split = df.groupBy("lineage_id").agg(F.min_by(F.struct("id", "split"), "ord").alias("_f"), F.count_distinct("split").alias("_n")).where("_n > 1")
-    sealed = F.col("split") == "sealed_test"
+    sealed = F.coalesce(F.col("split") == "sealed_test", F.lit(False))
     lineage = df.join(first_split, "lineage_id").where(F.col("split") != F.col("_f.split"))
     exact = exact_pairs(df)
     child = parents(df)
     out = [
         _violation(1, df.join(first_id, "id").where("ord > _o"), F.col("id")),
-        _violation(2, df.where(~F.col("split").isin(SPLITS))),
-        _violation(3, df.where(sealed & (~F.col("sealed") | F.col("train_eligible")))),
-        _violation(4, df.where(~sealed & F.col("sealed"))),
+        _violation(2, df.where(~F.coalesce(F.col("split").isin(SPLITS), F.lit(False)))),
+        _violation(3, df.where(sealed & ~F.coalesce(F.col("sealed") & ~F.col("train_eligible"), F.lit(False)))),
+        _violation(4, df.where(~sealed & F.coalesce("sealed", F.lit(True)))),
         _violation(5, lineage, F.col("_f.id"), F.col("_f.split")),
         _violation(6, df.where(strip(F.col("text")) == "")),
         _violation(7, exact, F.col("first.id"), F.col("first.split")),

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.numeric import logit, sigmoid
@@ -11,29 +10,75 @@ from ..session import settled
 from . import evaluate
 
 
-def checked_join(predictions: DataFrame, rows: DataFrame, key: str = "id", label: str = "label") -> DataFrame:
-    """rows with probability; ids must be the same and unique on both sides, labels too, probabilities in [0, 1]."""
-    p = predictions.select(F.col(key), F.col(label).alias("_pl"), F.col("probability"))
-    full = rows.withColumn("_left", F.lit(True)).join(p.withColumn("_right", F.lit(True)), key, "full_outer")
-    bad = full.where(F.col("_left").isNull() | F.col("_right").isNull() | (F.col(label) != F.col("_pl")) | F.col("probability").isNull() | ~F.col("probability").between(0, 1))
-    twice = p.groupBy(key).count().where("count > 1")
-    if bad.limit(1).count() or twice.limit(1).count():
-        raise ValueError("predictions and rows do not match")
-    return rows.join(p.drop("_pl"), key)
-
-
 def join_problems(predictions: DataFrame, rows: DataFrame, key: str = "id", label: str = "label") -> DataFrame:
-    """key and problem (missing, foreign, label) of everything that checked_join would refuse."""
-    full = rows.select(F.col(key), F.col(label).alias("_a")).join(predictions.select(F.col(key), F.col(label).alias("_b")), key, "full_outer")
-    problem = F.when(F.col("_b").isNull(), "missing").when(F.col("_a").isNull(), "foreign").when(F.col("_a") != F.col("_b"), "label")
+    """key and problem of every id that checked_join would refuse: missing (no prediction), foreign (no row; a null id is
+    both), repeated (on either side), label (different, or null on either side)."""
+    side = lambda df, n: df.groupBy(key).agg(F.count("*").alias(f"_n{n}"), F.min(label).alias(f"_y{n}"))
+    full = side(rows, "a").join(side(predictions, "b"), key, "full_outer")
+    same = F.coalesce(F.col("_ya") == F.col("_yb"), F.lit(False))
+    problem = F.when(F.col("_nb").isNull(), "missing").when(F.col("_na").isNull(), "foreign").when((F.col("_na") > 1) | (F.col("_nb") > 1), "repeated").when(~same, "label")
     return full.select(key, problem.alias("problem")).where("problem is not null")
 
 
+def checked_join(predictions: DataFrame, rows: DataFrame, key: str = "id", label: str = "label") -> DataFrame:
+    """rows with probability; ids must be the same and unique on both sides, labels equal and not null, probabilities in [0, 1]."""
+    outside = predictions.where(~F.coalesce(F.col("probability").between(0, 1), F.lit(False)))
+    if outside.limit(1).count() or join_problems(predictions, rows, key, label).limit(1).count():
+        raise ValueError("predictions and rows do not match")
+    return rows.join(predictions.select(key, "probability"), key)
+
+
+def _points(df: DataFrame, fold, label: str, score: str) -> DataFrame:
+    """_f (fold), _x (logit), _y, _n: what the fits need, one row a distinct score of a fold."""
+    return settled(df.groupBy(fold.alias("_f"), logit(F.col(score)).alias("_x"), F.col(label).cast("double").alias("_y")).agg(F.count("*").alias("_n")))
+
+
+def _newton(points: DataFrame, models: list[int], l2: float = 1e-6, steps: int = 100) -> np.ndarray:
+    """slope and intercept of each model, logistic regressions on all points but those of its own fold, the slope penalised
+    by l2 / 2 of its square. One aggregate is a Newton step of all models: it sums loss, gradient and Hessian by model, and a
+    step that does not lessen a model's loss is halved."""
+
+    def sums(theta: np.ndarray) -> np.ndarray:
+        table = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.lit(float(a)).alias("a"), F.lit(float(b)).alias("b")) for m, (a, b) in zip(models, theta, strict=True)]))
+        x, y, n = F.col("_x"), F.col("_y"), F.col("_n")
+        z = F.col("_t.a") * x + F.col("_t.b")
+        p = sigmoid(z)
+        h = n * p * (1 - p)
+        loss = n * (F.greatest(z, F.lit(0.0)) - y * z + F.log1p(F.exp(-F.abs(z))))
+        parts = [loss, n * (p - y) * x, n * (p - y), h * x * x, h * x, h, n * y, n * (1 - y)]
+        got = points.select("*", table.alias("_t")).where("_t.m <> _f").groupBy("_t.m").agg(*[F.sum(c).alias(f"s{i}") for i, c in enumerate(parts)]).collect()  # one row a model
+        by = {r["m"]: list(r)[1:] for r in got}
+        if any(m not in by or not by[m][6] or not by[m][7] for m in models):
+            raise ValueError("a training part has one class only")
+        out = np.array([by[m] for m in models], float)
+        out[:, 0] += l2 * theta[:, 0] ** 2 / 2
+        out[:, 1] += l2 * theta[:, 0]
+        out[:, 3] += l2
+        return out
+
+    theta = np.zeros((len(models), 2))
+    at = sums(theta)
+    step = None
+    for _ in range(steps):
+        if step is None:
+            det = at[:, 3] * at[:, 5] - at[:, 4] ** 2
+            det = np.where(det > 0, det, np.finfo(float).tiny)
+            step = np.stack([at[:, 5] * at[:, 1] - at[:, 4] * at[:, 2], at[:, 3] * at[:, 2] - at[:, 4] * at[:, 1]], 1) / det[:, None]
+        if (np.abs(step) <= 1e-11 * (1 + np.abs(theta))).all():
+            break
+        new = sums(theta - step)
+        worse = ~(new[:, 0] <= at[:, 0] + 1e-12 * (1 + np.abs(at[:, 0])))
+        if worse.any():
+            step = np.where(worse[:, None], step / 2, step)
+        else:
+            theta, at, step = theta - step, new, None
+    return theta
+
+
 def fit_platt(df: DataFrame, label: str = "label", score: str = "p") -> tuple[float, float]:
     """slope and intercept of a logistic regression on the logit of the score, with L2 strength 1 / 1e6."""
-    d = VectorAssembler(inputCols=["_x"], outputCol="_f").transform(df.select(F.col(label).cast("double").alias("_y"), logit(F.col(score)).alias("_x")))
-    m = LogisticRegression(featuresCol="_f", labelCol="_y", regParam=1e-6 / max(1, d.count()), elasticNetParam=0.0, standardization=False, maxIter=1000, tol=1e-10).fit(d)
-    return float(m.coefficients[0]), float(m.intercept)
+    slope, intercept = _newton(_points(df, F.lit(-1), label, score), [0])[0].tolist()
+    return slope, intercept
 
 
 def _shares(load: list[int], size: int, m: int) -> list[int]:
@@ -83,24 +128,15 @@ def group_folds(df: DataFrame, folds: int, group: str, chunk: int = 100_000) ->
 
 
 def crossfit_platt(df: DataFrame, folds: int = 5, group: str = "lineage_id", label: str = "label", score: str = "p") -> DataFrame:
-    """df with fold and calibrated: each fold is scaled by a fit on the others. Errors: under two groups, or a
-    training part of one class."""
-    n = df.select(group).distinct().count()
-    k = min(folds, n)
+    """df with fold and calibrated: each fold is scaled by a fit on the others, all fits in the same passes. Errors: under
+    two groups, or a training part of one class."""
+    k = df.select(group).distinct().limit(folds).count()
     if k < 2:
         raise ValueError("cross-fitting needs at least two groups")
-    rows = evaluate.null_safe(df, group_folds(df, k, group), [group])
-    parts = []
-    for i in range(k):
-        train = rows.where(F.col("fold") != i)
-        if train.select(label).distinct().count() < 2:
-            raise ValueError("a training part has one class only")
-        slope, intercept = fit_platt(train, label, score)
-        parts.append(rows.where(F.col("fold") == i).withColumn("calibrated", sigmoid(F.lit(slope) * logit(F.col(score)) + F.lit(intercept))))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    rows = settled(evaluate.null_safe(df, group_folds(df, k, group), [group]))
+    theta = _newton(_points(rows, F.col("fold"), label, score), list(range(k)))
+    slope, intercept = (F.get(F.array(*[F.lit(float(v)) for v in theta[:, i]]), F.col("fold")) for i in (0, 1))
+    return rows.withColumn("calibrated", sigmoid(slope * logit(F.col(score)) + intercept))
 
 
 def operating_points(df: DataFrame, caps: list[float] | None = None, source: str = "source", label: str = "label", score: str = "p") -> list[dict]:

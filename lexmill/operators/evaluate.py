@@ -1,28 +1,22 @@
 """Ranking and threshold metrics of scored binary labels, per group, on distinct-score counts.
 
 Everything starts from one partial aggregate, the counts of both labels at each distinct score of a
-group. Running totals over descending scores are taken in two levels (score buckets, then scores in
-a bucket), so that no window holds all distinct scores of a group.
+group. Running totals over descending scores are taken in two levels: range partitions of (group, score), which a sample
+of the scores themselves cuts evenly wherever they lie, then the scores in one. No window holds all distinct scores
+of a group, be they bunched, negative or unbounded. Null scores count as the least.
 """
 
 from __future__ import annotations
 
 import math
-from functools import reduce
-from operator import and_
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.numeric import ratio
-
-BUCKETS = 1024
-
-
-def null_safe(left: DataFrame, right: DataFrame, on: list[str]) -> DataFrame:
-    """left joined with right on columns whose nulls are equal to each other; the columns once."""
-    same = [F.col(f"_l.{c}").eqNullSafe(F.col(f"_r.{c}")) for c in on]
-    found = left.alias("_l").join(right.alias("_r"), reduce(and_, same))
-    return found.select(*[F.col(f"_l.{c}") for c in left.columns], *[F.col(f"_r.{c}") for c in right.columns if c not in on])
+from . import ordering
+from .ordering import null_safe
 
 
 def score_counts(df: DataFrame, by: list[str], label: str = "label", score: str = "p") -> DataFrame:
@@ -34,34 +28,33 @@ def score_counts(df: DataFrame, by: list[str], label: str = "label", score: str
 def cumulative(df: DataFrame, by: list[str], label: str = "label", score: str = "p") -> DataFrame:
     """score_counts with ctp and cfp (scores at least this one), pos and neg (whole group), and whether the
     point stays when collinear points of the curve are dropped."""
-    counts = score_counts(df, by, label, score).withColumn("_bucket", F.least(F.greatest(F.floor(F.col("score") * BUCKETS), F.lit(-1)), F.lit(BUCKETS)))
-    per = counts.groupBy(*by, "_bucket").agg(F.sum("tp").alias("btp"), F.sum("fp").alias("bfp"), F.max("score").alias("top"), F.min("score").alias("low"))
-    # The neighbours of a bucket's border scores lie in the buckets next to it.
-    edge = counts.groupBy(*by, "_bucket").agg(F.max_by(F.struct("tp", "fp"), "score").alias("first"))
-    group = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    down = group.orderBy(F.desc("_bucket"))
+    counts = ordering.ranged(score_counts(df, by, label, score), by, [F.desc("score")])
+    cell = [*by, "_cell"]
+    # The point after the last of a cell is the first of the next one.
+    per = counts.groupBy(*cell).agg(F.sum("tp").alias("btp"), F.sum("fp").alias("bfp"), F.min_by(F.struct("tp", "fp"), "_at").alias("first"))
+    group = Window.partitionBy(*by)
+    down = group.orderBy("_cell")
     before = down.rowsBetween(Window.unboundedPreceding, -1)
-    buckets = (
-        null_safe(per, edge, [*by, "_bucket"])
-        .withColumn("atp", F.coalesce(F.sum("btp").over(before), F.lit(0)))
+    cells = (
+        per.withColumn("atp", F.coalesce(F.sum("btp").over(before), F.lit(0)))
         .withColumn("afp", F.coalesce(F.sum("bfp").over(before), F.lit(0)))
         .withColumn("pos", F.sum("btp").over(group))
         .withColumn("neg", F.sum("bfp").over(group))
         .withColumn("below", F.lead("first").over(down))
-        .withColumn("above", F.lag("low").over(down))
-        .select(*by, "_bucket", "atp", "afp", "pos", "neg", "below", "above")
+        .withColumn("top", F.row_number().over(down) == 1)
+        .select(*cell, "atp", "afp", "pos", "neg", "below", "top")
     )
-    inner = Window.partitionBy(*by, "_bucket").orderBy(F.desc("score"))
+    inner = Window.partitionBy(*cell).orderBy("_at")
     run = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     placed = (
         counts.withColumn("ctp", F.sum("tp").over(run)).withColumn("cfp", F.sum("fp").over(run))
-        .withColumn("after", F.lead(F.struct("tp", "fp")).over(inner)).withColumn("inside", F.lag("score").over(inner))
+        .withColumn("after", F.lead(F.struct("tp", "fp")).over(inner)).withColumn("head", F.row_number().over(inner) == 1)
     )
-    joined = null_safe(placed, buckets, [*by, "_bucket"])
+    joined = null_safe(placed, cells, cell)
     nxt = F.coalesce("after", "below")
     return joined.select(
         *by, "score", "tp", "fp", (F.col("atp") + F.col("ctp")).alias("ctp"), (F.col("afp") + F.col("cfp")).alias("cfp"), "pos", "neg",
-        (nxt.isNull() | F.coalesce("inside", "above").isNull() | (nxt["tp"] != F.col("tp")) | (nxt["fp"] != F.col("fp"))).alias("corner"),
+        (nxt.isNull() | (F.col("top") & F.col("head")) | (nxt["tp"] != F.col("tp")) | (nxt["fp"] != F.col("fp"))).alias("corner"),
     )
 
 
@@ -130,8 +123,9 @@ def binary_metrics(df: DataFrame, by: list[str] | None = None, threshold: float
 
 
 def subtype_frame(df: DataFrame, label: str = "label", provenance: str = "provenance") -> DataFrame:
-    """All negatives joined by each positive provenance: the rows of each subtype, in column ``subtype``.
-    Only the distinct provenances, a handful of values, are crossed with the negatives."""
+    """All negatives joined by each positive provenance: the rows of each subtype, in column ``subtype``. Positives without a
+    provenance are of no subtype. Only the distinct provenances, a handful of values, are crossed with the negatives."""
+    df = df.where((F.col(label) == 0) | F.col(provenance).isNotNull())
     kinds = df.where(F.col(label) == 1).agg(F.collect_set(provenance).alias("kinds"))
     subtype = F.explode("kinds").alias("subtype")
     negatives = df.where(F.col(label) == 0).join(F.broadcast(kinds)).select(*df.columns, subtype)  # one row of distinct values
@@ -149,10 +143,12 @@ def best_thresholds(df: DataFrame, caps: list[float], by: list[str] | None = Non
     recall, fpr = ratio(F.col("ctp"), F.col("pos")), ratio(F.col("cfp"), F.col("neg"))
     seen = frame.select(*key, F.col("score").alias("threshold"), recall.alias("recall"), fpr.alias("fpr"))
     top = frame.groupBy(*key).agg(F.max("score").alias("top"))
-    # The next double over a positive one has the next bit pattern; its unit in the last place depends on its binade.
-    e = F.floor(F.log2("top"))
-    unit = F.pow(F.lit(2.0), F.greatest(F.when(F.pow(F.lit(2.0), e) > F.col("top"), e - 1).when(F.pow(F.lit(2.0), e + 1) <= F.col("top"), e + 1).otherwise(e) - 52, F.lit(-1074)))
-    over = F.when(F.col("top") > 0, F.col("top") + unit).otherwise(F.lit(5e-324))
+    # The next double over x lies a unit in the last place away, which depends on the binade of |x|; half of it over a negative power of two.
+    size = F.abs("top")
+    e = F.floor(F.log2(size))
+    e = F.when(F.pow(F.lit(2.0), e) > size, e - 1).when(F.pow(F.lit(2.0), e + 1) <= size, e + 1).otherwise(e)
+    e = F.when((F.col("top") < 0) & (F.pow(F.lit(2.0), e) == size), e - 1).otherwise(e)
+    over = F.when(F.col("top") == 0, F.lit(5e-324)).otherwise(F.col("top") + F.pow(F.lit(2.0), F.greatest(e - 52, F.lit(-1074))))
     every = seen.unionByName(top.select(*key, over.alias("threshold"), F.lit(0.0).alias("recall"), F.lit(0.0).alias("fpr")))
     capped = every.withColumn("max_fpr", F.explode(F.array(*[F.lit(c) for c in caps]))).where("fpr <= max_fpr")
     best = F.max_by(F.struct("threshold", "recall", "fpr"), F.struct(F.col("recall").alias("a"), (-F.col("fpr")).alias("b"), (-F.col("threshold")).alias("c")))
@@ -202,27 +198,37 @@ def early_stop(history: DataFrame, key: str, epoch: str = "epoch", least: int =
     return better.withColumn("since", F.col(epoch) - last).withColumn("stop", (F.col(epoch) >= least) & (F.col("since") >= patience))
 
 
+def bootstrap_runs(df: DataFrame, iterations: int = 1000, seed: int = 0, label: str = "label", score: str = "p", cell: int = 4096) -> DataFrame:
+    """run, auc of resamples within each class; without both classes no rows. Resampling n rows is a multinomial draw on
+    the counts of distinct scores: a splitting tree deals a run's draws to cells of ``cell`` consecutive scores, each
+    cell draws its scores for a block of runs, and the pairs of scores in different cells follow from the cells' totals."""
+    places = ordering.ranked(score_counts(df, [], label, score), [], [F.asc("score")]).select(F.floor(F.col("rank") / cell).alias("_node"), "rank", "tp", "fp")
+    sums = ordering.settled(places.groupBy("_node").agg(F.sum("tp").cast("double").alias("tp"), F.sum("fp").cast("double").alias("fp")))
+    pos, neg = sums.agg(F.coalesce(F.sum("tp"), F.lit(0.0)), F.coalesce(F.sum("fp"), F.lit(0.0))).first()
+    if not pos or not neg:
+        return df.sparkSession.createDataFrame([], "run long, auc double")
+    drawn = ordering.split_draws(sums, ["tp", "fp"], [int(pos), int(neg)], iterations, seed)
+
+    def inside(key: tuple, scores: pa.Table, some: pa.Table) -> pa.Table:
+        node, block = (k.as_py() for k in key)
+        order, at = np.argsort(scores.column("rank").to_numpy()), np.argsort(some.column("_run").to_numpy())
+        rng = np.random.default_rng([seed % 2**63, 1 << 20, node, block])
+        got = []
+        for name in ("tp", "fp"):
+            p, n = scores.column(name).to_numpy()[order].astype(np.float64), some.column(name).to_numpy()[at]
+            got.append(rng.multinomial(n, p / p.sum()) if p.sum() else np.zeros((len(n), len(p)), np.int64))
+        t, f = got
+        pairs = (t * (np.cumsum(f, axis=1) - f / 2)).sum(axis=1)
+        return pa.table({"run": some.column("_run").to_numpy()[at], "node": np.full(len(at), node), "t": t.sum(axis=1), "f": f.sum(axis=1), "pairs": pairs})
+
+    blocks = F.explode(F.sequence(F.lit(0).cast("long"), F.lit((iterations - 1) // ordering.RUNS).cast("long")))
+    scores = places.select("*", blocks.alias("_block"))
+    some = drawn.withColumn("_block", F.floor(F.col("_run") / ordering.RUNS))
+    cells = scores.groupBy("_node", "_block").cogroup(some.groupBy("_node", "_block")).applyInArrow(inside, "run long, node long, t long, f long, pairs double")
+    below = F.coalesce(F.sum("f").over(Window.partitionBy("run").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return cells.withColumn("_below", below).groupBy("run").agg((F.sum(F.col("pairs") + F.col("t").cast("double") * F.col("_below")) / (F.lit(float(pos)) * F.lit(float(neg)))).alias("auc"))
+
+
 def bootstrap_auc(df: DataFrame, iterations: int = 1000, seed: int = 0, label: str = "label", score: str = "p") -> DataFrame:
-    """low, median, high: 2.5, 50 and 97.5 percent points (linear between ranks) of the AUC of resamples within
-    each class. Resampling n rows is a multinomial draw on the counts of distinct scores."""
-    import numpy as np
-    import pandas as pd
-
-    counts = score_counts(df.withColumn("_all", F.lit(1)), ["_all"], label, score).groupBy("_all").agg(F.sort_array(F.collect_list(F.struct("score", "tp", "fp"))).alias("c"))
-    runs = df.sparkSession.range(iterations).join(F.broadcast(counts))  # one row: the distinct scores
-
-    def draw(batches):
-        for b in batches:
-            out = []
-            for i, c in zip(b["id"], b["c"], strict=True):
-                tp, fp = np.array([x["tp"] for x in c]), np.array([x["fp"] for x in c])
-                if not tp.sum() or not fp.sum():
-                    out.append(None)
-                    continue
-                rng = np.random.default_rng([seed, int(i)])
-                t, f = rng.multinomial(tp.sum(), tp / tp.sum()), rng.multinomial(fp.sum(), fp / fp.sum())
-                out.append(float((t * (np.cumsum(f) - f / 2)).sum() / (t.sum() * f.sum())))
-            yield pd.DataFrame({"auc": pd.Series(out, dtype="float64")})
-
-    drawn = runs.mapInPandas(draw, "auc double")
-    return drawn.agg(*[F.percentile("auc", F.lit(q)).alias(n) for n, q in (("low", 0.025), ("median", 0.5), ("high", 0.975))])
+    """low, median, high: 2.5, 50 and 97.5 percent points (linear between ranks) of the AUC of bootstrap_runs; nulls without both classes."""
+    return bootstrap_runs(df, iterations, seed, label, score).agg(*[F.percentile("auc", F.lit(q)).alias(n) for n, q in (("low", 0.025), ("median", 0.5), ("high", 0.975))])

@@ -8,6 +8,7 @@ import json
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..functions.text import normalize, text_hash
+from .ordering import hash_tree
 
 FIELDS = ["source", "domain", "provenance", "generator_family", "editor_family", "transformation_family", "split"]
 SCHEMA = T.StructType(
@@ -110,13 +111,28 @@ def digest(value) -> str:
     return hashlib.sha256(canonical_json(value).encode()).hexdigest()
 
 
+def canonical_column(value: Column, kind: T.DataType) -> Column:
+    """value with the fields of structs and the entries of maps in the order of their names, at every depth."""
+    if isinstance(kind, T.StructType):
+        fields = [canonical_column(value[f.name], f.dataType).alias(f.name) for f in sorted(kind.fields, key=lambda f: f.name)]
+        return F.when(value.isNotNull(), F.struct(*fields)) if fields else value
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: canonical_column(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.map_from_entries(F.array_sort(F.transform(F.map_entries(value), lambda e: F.struct(e["key"].alias("key"), canonical_column(e["value"], kind.valueType).alias("value")))))
+    return value
+
+
+def row_digest(df: DataFrame) -> Column:
+    """SHA-256 of a row as JSON, its keys in order and nulls kept: independent of the order of columns, fields and entries."""
+    row = F.struct(*[canonical_column(F.col(f"`{f.name}`"), f.dataType).alias(f.name) for f in sorted(df.schema.fields, key=lambda f: f.name)])
+    return F.sha2(F.to_json(row, {"ignoreNullFields": "false"}), 256)
+
+
 def table_digest(df: DataFrame, order: list[str]) -> str:
-    """Digest of rows in order, streamed to the driver a partition at a time: memory stays bounded."""
-    h = hashlib.sha256()
-    for row in df.orderBy(*order).toLocalIterator(prefetchPartitions=True):
-        h.update(canonical_json(row.asDict(recursive=True)).encode())
-        h.update(b"\n")
-    return h.hexdigest()
+    """Digest of rows in order (rows that tie, by their own digests): the root of a hash tree over row_digest, the same at any
+    number of partitions and in any order of the input; of no rows, the digest of nothing."""
+    return hash_tree(df, [F.col(c) for c in order], row_digest(df)) or hashlib.sha256().hexdigest()
 
 
 def metadata_manifest(df: DataFrame, metadata: dict) -> dict:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -9,8 +10,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import numeric, text as tx
 from ..functions.stylometry import FUNCTION_WORDS, NAMES, PER_100
 from ..operators import audit, calibrate, evaluate, features, models, records, sampling
+from ..session import shared_folder
 from ..sources import adapters, files
-from ..streaming.argmin import best_rows, run_once
+from ..streaming.argmin import BestRowStore, source_revision
 from .fixtures import CONV_SQL, CORPUS_SQL, LABELLED_SQL, PROMPTS_SQL, SCORED_SQL, SEED, UNIT, canon_sql, conversations, corpus, labelled, prompts, scored, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -145,10 +147,19 @@ def hierarchical_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("group_id", "ord", "stratum", F.round("weight", 9).alias("weight"))
 
 
-@query("SELECT epoch, s AS stratum, mass FROM (VALUES (1, 'expert_edited_ai', 0.25::DOUBLE), (1, 'llm_edited_ai', 0.5::DOUBLE), (1, 'raw_ai', 0.25::DOUBLE), (2, 'expert_edited_ai', 0.4::DOUBLE), (2, 'llm_edited_ai', 0.35::DOUBLE), (2, 'raw_ai', 0.25::DOUBLE), (3, 'expert_edited_ai', 0.5::DOUBLE), (3, 'llm_edited_ai', 0.3::DOUBLE), (3, 'raw_ai', 0.2::DOUBLE), (4, 'expert_edited_ai', 0.5::DOUBLE), (4, 'llm_edited_ai', 0.3::DOUBLE), (4, 'raw_ai', 0.2::DOUBLE)) t(epoch, s, mass)")
+_STRATUM = "CASE provenance WHEN 'human' THEN 'expert_edited_ai' WHEN 'raw_ai' THEN 'raw_ai' ELSE 'llm_edited_ai' END"
+_MIX_SQL = ", ".join(f"({e}, '{k}', {v}::DOUBLE)" for e in range(1, 5) for k, v in CURRICULUM[min(e, 3) - 1].items())
+
+
+@query(f"WITH {CONV_SQL}, m(epoch, s, mass) AS (VALUES {_MIX_SQL}), c AS (SELECT group_id, {_STRATUM} AS s FROM conv), l AS (SELECT s, count(DISTINCT group_id) AS n, count(*) AS rows FROM c GROUP BY s), w AS (SELECT epoch, c.s, mass / l.n / count(*) OVER (PARTITION BY epoch, c.s, group_id) AS w FROM c JOIN l USING (s) JOIN m ON m.s = c.s) SELECT epoch::INT AS epoch, s AS stratum, count(*) AS n, round(sum(w), 6) AS mass, round(max(w), 9) AS heaviest FROM w GROUP BY epoch, s")
 def curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = [(e, k, v) for e in range(1, 5) for k, v in sampling.curriculum_mix(e, CURRICULUM).items()]
-    return spark.createDataFrame(rows, "epoch int, stratum string, mass double")
+    """Rows, mass and heaviest row of each stratum of the conversations in each epoch of the curriculum."""
+    c, out = conversations(spark, sf_dir), None
+    for epoch in range(1, 5):
+        w = sampling.hierarchical_weights(c, sampling.curriculum_mix(epoch, CURRICULUM), F.expr(_STRATUM), "group_id")
+        n = w.groupBy("stratum").agg(F.count("*").alias("n"), F.round(F.sum("weight"), 6).alias("mass"), F.round(F.max("weight"), 9).alias("heaviest")).withColumn("epoch", F.lit(epoch))
+        out = n if out is None else out.unionByName(n)
+    return out
 
 
 @query(f"WITH {LABELLED_SQL} SELECT id, row_number() OVER (ORDER BY {_rank_sql('id')}, id)::INT AS position FROM labelled")
@@ -398,6 +409,35 @@ def binary_metrics_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(evaluate.binary_metrics(d, ["grp"]))
 
 
+def _wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items scored outside 0 to 1 (prices, of either sign) and, in a second column, all scores bunched within a millionth over 0."""
+    hit = F.when(F.col("l_returnflag") == "R", 1).otherwise(0)
+    p = F.col("l_extendedprice") - 30000 + 5000 * hit
+    return table(spark, sf_dir, "lineitem").select(F.col("l_linestatus").alias("grp"), hit.alias("label"), p.alias("p"), (F.pow(F.lit(2.0), F.lit(-40.0)) * (p + 40000)).alias("q"))
+
+
+_WIDE_SQL = "lines AS (SELECT l_linestatus AS grp, CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS label, l_extendedprice - 30000 + 5000 * CASE WHEN l_returnflag = 'R' THEN 1 ELSE 0 END AS p0 FROM lineitem)"
+_RANKING = "round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc, round(tpr_at_1pct_fpr, 6) AS tpr_at_1pct_fpr, round(partial_auc, 6) AS partial_auc"
+
+
+@query(f"WITH {_WIDE_SQL}, wide AS (SELECT *, p0 AS p FROM lines), {_metrics_sql('grp', 'wide')} SELECT grp, {_RANKING} FROM r")
+def ranking_unbounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(evaluate.ranking(evaluate.cumulative(_wide(spark, sf_dir), ["grp"]), ["grp"]))
+
+
+@query(f"WITH {_WIDE_SQL}, wide AS (SELECT *, (p0 + 40000) * 2.0::DOUBLE ** -40 AS p FROM lines), {_metrics_sql('grp', 'wide')} SELECT grp, {_RANKING} FROM r")
+def ranking_bunched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(evaluate.ranking(evaluate.cumulative(_wide(spark, sf_dir), ["grp"], score="q"), ["grp"]))
+
+
+@query(f"""WITH {_WIDE_SQL}, s AS (SELECT p0 AS p, sum(label)::DOUBLE AS tp, sum(1 - label)::DOUBLE AS fp FROM lines GROUP BY 1),
+c AS (SELECT p, sum(tp) OVER d / sum(tp) OVER () AS recall, sum(fp) OVER d / sum(fp) OVER () AS fpr FROM s WINDOW d AS (ORDER BY p DESC ROWS UNBOUNDED PRECEDING) UNION ALL SELECT max(p) + 1e-9, 0, 0 FROM s),
+points AS (SELECT cap AS max_fpr, p AS threshold, recall, fpr FROM c, (VALUES (0.0::DOUBLE), (0.01::DOUBLE), (0.05::DOUBLE)) v(cap) WHERE fpr <= cap QUALIFY row_number() OVER (PARTITION BY cap ORDER BY recall DESC, fpr, p) = 1)
+SELECT max_fpr, round(threshold, 6) AS threshold, round(recall, 6) AS recall, round(fpr, 6) AS fpr FROM points""")
+def operating_points_unbounded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(evaluate.best_thresholds(_wide(spark, sf_dir), [0.0, 0.01, 0.05]))
+
+
 @query(f"WITH {SCORED_SQL} SELECT id, round(ln(greatest(1e-6, least(1 - 1e-6, p)) / (1 - greatest(1e-6, least(1 - 1e-6, p)))), 6) AS logit, round(1 / (1 + exp(-p)), 6) AS sigmoid, round(label * 0.9::DOUBLE + 0.05, 6) AS smoothed FROM scored")
 def score_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = scored(spark, sf_dir)
@@ -418,20 +458,23 @@ def fit_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _round(models.fit_gap(evaluate.binary_metrics(train), evaluate.binary_metrics(dev).join(F.broadcast(humans))))  # one row
 
 
-_HISTORY = [(1, 0.80, 0.70, 0.10), (2, 0.82, 0.71, 0.20), (3, None, 0.99, 0.0), (4, 0.82, 0.71, 0.20), (5, 0.81, 0.90, 0.05), (6, 0.79, 0.90, 0.05)]
-_HISTORY_SQL = "h AS (SELECT * FROM (VALUES (1, 0.80::DOUBLE, 0.70::DOUBLE, 0.10::DOUBLE), (2, 0.82, 0.71, 0.20), (3, NULL, 0.99, 0.0), (4, 0.82, 0.71, 0.20), (5, 0.81, 0.90, 0.05), (6, 0.79, 0.90, 0.05)) t(epoch, roc_auc, pr_auc, human_fpr))"
+#: A history of epochs from the corpus: the metrics of each sixth of the scored documents.
+_HISTORY_SQL = f"""{SCORED_SQL}, ep AS (SELECT 1 + ord % 6 AS epoch, * FROM scored), {_metrics_sql("epoch", "ep")}, h AS (SELECT epoch, round(roc_auc, 6) AS roc_auc, round(pr_auc, 6) AS pr_auc, round(human_fpr, 6) AS human_fpr FROM r JOIN m USING (epoch))"""
+
 
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(evaluate.binary_metrics(scored(spark, sf_dir).withColumn("epoch", 1 + F.col("ord") % 6), ["epoch"]))
 
-@query(f"WITH {_HISTORY_SQL} SELECT epoch, roc_auc FROM h ORDER BY roc_auc DESC NULLS LAST, pr_auc DESC, human_fpr, epoch LIMIT 1")
+
+@query(f"WITH {_HISTORY_SQL} SELECT epoch, roc_auc FROM h ORDER BY h.roc_auc DESC NULLS LAST, pr_auc DESC NULLS LAST, human_fpr NULLS LAST, epoch LIMIT 1")
 def best_checkpoint(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = spark.createDataFrame(_HISTORY, "epoch int, roc_auc double, pr_auc double, human_fpr double").withColumn("kept", -F.col("human_fpr"))
-    return evaluate.best_epoch(h, ["roc_auc", "pr_auc", "kept"]).select("epoch", "roc_auc")
+    h = _history(spark, sf_dir).withColumn("kept", -F.col("human_fpr"))
+    return _round(evaluate.best_epoch(h, ["roc_auc", "pr_auc", "kept"]).select("epoch", "roc_auc"))
 
 
-@query(f"WITH {_HISTORY_SQL}, b AS (SELECT *, max(pr_auc) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM h), i AS (SELECT epoch, prior IS NULL OR pr_auc > prior AS improved FROM b), s AS (SELECT epoch, epoch - max(epoch) FILTER (improved) OVER (ORDER BY epoch) AS since FROM i) SELECT epoch, since, epoch >= 3 AND since >= 2 AS stop FROM s")
+@query(f"WITH {_HISTORY_SQL}, hp AS (SELECT *, max(pr_auc) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM h), i AS (SELECT epoch, prior IS NULL OR pr_auc > prior AS improved FROM hp), hs AS (SELECT epoch, epoch - max(epoch) FILTER (improved) OVER (ORDER BY epoch) AS since FROM i) SELECT epoch, since, epoch >= 3 AND since >= 2 AS stop FROM hs")
 def early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
-    h = spark.createDataFrame(_HISTORY, "epoch int, roc_auc double, pr_auc double, human_fpr double")
-    return evaluate.early_stop(h, "pr_auc").select("epoch", "since", "stop")
+    return evaluate.early_stop(_history(spark, sf_dir), "pr_auc").select("epoch", "since", "stop")
 
 
 @query(f"WITH {SCORED_SQL}, a AS (SELECT id, label FROM scored WHERE ord % 11 <> 0), b AS (SELECT id, CASE WHEN ord % 17 = 0 THEN 1 - label ELSE label END AS label FROM scored WHERE ord % 7 <> 0) SELECT id, CASE WHEN b.label IS NULL THEN 'missing' WHEN a.label IS NULL THEN 'foreign' ELSE 'label' END AS problem FROM a FULL JOIN b USING (id) WHERE a.label IS NULL OR b.label IS NULL OR a.label <> b.label")
@@ -509,6 +552,27 @@ def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.select("doc_id", live.alias("n_windows"), F.aggregate(F.flatten("w"), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
 
 
+@query("WITH w AS (SELECT doc_id, list_transform(string_split_regex(text, '[ \\n]+'), lambda x: length(x)::INT) AS i FROM documents), s AS (SELECT doc_id, i, greatest(len(i) - 16, 0) AS m FROM w), t AS (SELECT doc_id, i, list_distinct([0, m // 2, m]) AS a FROM s), u AS (SELECT doc_id, i, unnest(list_sort(a)) AS a, generate_subscripts(a, 1) AS g FROM t), z AS (SELECT doc_id, g, list_resize(i[a + 1:a + 16], 16, 0) AS w FROM u UNION ALL SELECT doc_id, g, list_resize([]::INT[], 16, 0) FROM t, (VALUES (2), (3)) v(g) WHERE g > len(a)) SELECT doc_id, g::INT AS window_no, array_to_string(w, ' ') AS ids FROM z")
+def token_window_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The three windows of 16 themselves, a word's id being its length."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", "[ \n]+"), lambda w: F.length(w)).alias("i"))
+    w = d.select("doc_id", F.posexplode(numeric.pad_windows(F.col("i"), 16)).alias("at", "w"))
+    return w.select("doc_id", (F.col("at") + 1).cast("int").alias("window_no"), F.array_join(F.transform("w", lambda x: x.cast("string")), " ").alias("ids"))
+
+
+_DOC_TFIDF = _TFIDF.replace("FROM benchmark", "FROM documents")
+
+
+@query(f"WITH x AS (SELECT doc_id AS id, list_filter(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}_]+'), lambda v: length(v) > 1) AS w FROM documents), t AS (SELECT id, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]))) AS term FROM x), {_DOC_TFIDF}")
+def word_tfidf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(features.tfidf(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), features.word_ngrams(F.col("text"))))
+
+
+@query(f"WITH x AS (SELECT doc_id AS id, unnest(list_filter(string_split_regex(lower(text), '[\\x09-\\x0D ]+'), lambda v: v <> '')) AS v FROM documents), y AS (SELECT id, ' ' || v || ' ' AS v FROM x), t AS (SELECT id, unnest(list_concat(CASE WHEN length(v) <= 3 THEN [v] ELSE list_transform(range(1, length(v) - 1), lambda i: substring(v, i, 3)) END, CASE WHEN length(v) >= 4 THEN list_transform(range(1, length(v) - 2), lambda i: substring(v, i, 4)) ELSE [] END, CASE WHEN length(v) >= 5 THEN list_transform(range(1, length(v) - 3), lambda i: substring(v, i, 5)) ELSE [] END)) AS term FROM y), {_DOC_TFIDF}")
+def char_wb_tfidf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _round(features.tfidf(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), features.char_ngrams(F.col("text"))))
+
+
 # --- models, streams, files: no SQL form -----------------------------------------------------------------------------
 
 
@@ -523,15 +587,45 @@ def _with_style(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.join(features.stylometric_features(d), "id")
 
 
+@query()
+def encoded_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token windows of 256 ids, z-scores and label of every labelled document."""
+    import public_tokenizers
+
+    d = labelled(spark, sf_dir).select("id", "label", "text")
+    return features.encoded_windows(d, public_tokenizers.path("word_bpe_49k.json"), 256, features.fit_normalizer(features.stylometric_features(d)))
+
+
+@query()
+def fusion_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = _with_style(spark, sf_dir)
+    return models.predictions(models.train_fusion(x.where("split = 'train'"))(x.where("split <> 'train'")))
+
+
 @query()
 def mlp_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     x = _with_style(spark, sf_dir)
     return models.predictions(models.train_structural(x.where("split = 'train'"))(x.where("split <> 'train'")))
 
 
-@query()
+_PLATT_SQL = f"""{SCORED_SQL}, sizes AS (SELECT source, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, source DESC) AS i FROM scored GROUP BY source),
+dealt(i, source, fold, loads) AS (
+  SELECT 0::BIGINT, NULL::VARCHAR, 0, [0, 0, 0, 0, 0]::BIGINT[]
+  UNION ALL SELECT s.i, s.source, (list_position(d.loads, list_min(d.loads)) - 1)::INT, list_transform(d.loads, lambda x, j: x + CASE WHEN j = list_position(d.loads, list_min(d.loads)) THEN s.n ELSE 0 END)
+  FROM dealt d JOIN sizes s ON s.i = d.i + 1),
+pts AS (SELECT id, fold, label, ln(greatest(1e-6, least(1 - 1e-6, p)) / (1 - greatest(1e-6, least(1 - 1e-6, p)))) AS x FROM scored JOIN dealt USING (source)),
+step(k, m, a, b) AS (
+  SELECT 0, m::INT, 0.0::DOUBLE, 0.0::DOUBLE FROM range(5) t(m)
+  UNION ALL SELECT k + 1, m, a - (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b - (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) FROM (
+    SELECT k, m, a, b, sum((q - label) * x) + 1e-6 * a AS g0, sum(q - label) AS g1, sum(q * (1 - q) * x * x) + 1e-6 AS h00, sum(q * (1 - q) * x) AS h01, sum(q * (1 - q)) AS h11
+    FROM (SELECT k, m, a, b, x, label, 1 / (1 + exp(-(a * x + b))) AS q FROM step JOIN pts ON pts.fold <> step.m WHERE k < 25) GROUP BY k, m, a, b))
+SELECT id, pts.fold, round(1 / (1 + exp(-(a * x + b))), 6) AS calibrated FROM pts JOIN step ON step.m = pts.fold AND k = 25"""
+
+
+@query(f"WITH RECURSIVE {_PLATT_SQL}")
 def platt_crossfit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return calibrate.crossfit_platt(scored(spark, sf_dir).select("id", "source", "label", "p"), 5, "source")
+    d = calibrate.crossfit_platt(scored(spark, sf_dir).select("id", "source", "label", "p"), 5, "source")
+    return _round(d.select("id", "fold", "calibrated"))
 
 
 @query()
@@ -539,15 +633,18 @@ def bootstrap_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.bootstrap_auc(scored(spark, sf_dir), 1000, SEED)
 
 
+@query()
+def bootstrap_auc_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over as many distinct scores as there are prices."""
+    return evaluate.bootstrap_auc(_wide(spark, sf_dir), 200, SEED)
+
+
 @query("SELECT user_id, event_type, event_id, value FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY value, event_id) = 1")
 def stream_argmin(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = f"{sf_dir}/events.parquet"
-    schema = spark.read.parquet(path).schema
-    folder, _, name = path.rpartition("/")
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", name).parquet(folder)
-    import uuid
-
-    return run_once(spark, best_rows(stream, ["user_id", "event_type"], F.struct("value", "event_id"), ["event_id", "value"]), f"argmin_{uuid.uuid4().hex}")
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    store = BestRowStore(spark, f"{shared_folder(spark)}/argmin-{uuid.uuid4().hex}", ["user_id", "event_type"], F.struct("value", "event_id"), ["event_id", "value"], source_revision(spark, sf_dir, "events.parquet"))
+    return store.run(stream)
 
 
 @query()

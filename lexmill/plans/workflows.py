@@ -182,10 +182,60 @@ def external_report(scored: DataFrame, threshold: float) -> dict[str, DataFrame]
     }
 
 
+def train_run(spark: SparkSession, base: str, out: str, hidden: int = 48, steps: int = 100, seed: int = 17, threshold: float = 0.5) -> dict:
+    """Fits the structural model on the train role, stores it with its normaliser, and reports the development role, which must have both labels."""
+    from ..operators import features, models
+
+    parts = files.read_partitions(spark, base)
+    flat = {r: parts[r].join(features.stylometric_features(parts[r]), "id").persist() for r in ("train", "development")}
+    try:
+        if flat["development"].select("label").distinct().count() < 2:
+            raise ValueError("the development role needs both labels")
+        score = models.train_structural(flat["train"], hidden, seed, steps, save=out)
+        scored = score(flat["development"]).withColumn("p", F.col("probability"))
+        report = evaluate.binary_metrics(scored, None, threshold).first().asDict()
+    finally:
+        for df in flat.values():
+            df.unpersist()
+    files.write_json(report, f"{out}/development_metrics.json")
+    return report
+
+
+def control_run(spark: SparkSession, base: str, out: str, **settings) -> dict:
+    """train_run, then text-free predictions of the calibration role by the model as it was stored."""
+    from ..operators import features, models
+
+    report = train_run(spark, base, out, **settings)
+    rows = files.read_partition(spark, base, "calibration")
+    files.write_predictions(models.predictions(models.load_structural(spark, out)(rows.join(features.stylometric_features(rows), "id"))), f"{out}/calibration_predictions.jsonl")
+    return {"variant": "structural", "model": f"{out}/model", "development": report, "calibration_predictions": f"{out}/calibration_predictions.jsonl"}
+
+
+def external_run(spark: SparkSession, rows: DataFrame, folder: str, order: str = "ord") -> dict:
+    """An outside benchmark scored by a stored model at its stored threshold; all parts of the model must be there."""
+    from ..operators import features, models
+
+    if not files.exists(f"{folder}/calibration.json"):
+        raise FileNotFoundError(f"{folder}/calibration.json is missing")
+    record = files.read_json(f"{folder}/calibration.json")
+    score = models.load_structural(spark, folder)
+    flat = adapters.external_rows(rows, order)
+    scored = score(flat.join(features.stylometric_features(flat), "id")).withColumn("p", F.col("probability")).persist()
+    try:
+        tables = {k: [r.asDict() for r in v.collect()] for k, v in external_report(scored, record["threshold"]).items()}  # one row a scenario
+    finally:
+        scored.unpersist()
+    report = {"variant": record["variant"], "calibrated_threshold": record["threshold"], "aggregate": tables["aggregate"][0], "per_scenario": {r.pop("scenario"): r for r in tables["scenario"]}, "per_scenario_family": {r.pop("scenario_family"): r for r in tables["scenario_family"]}}
+    files.write_json(report, f"{folder}/external_metrics.json")
+    return report
+
+
 def main(argv: list[str] | None = None) -> None:
     """python -m lexmill.plans.workflows COMMAND ...: audit PATH, manifest PATH, baseline ROWS OUT, calibrate PREDICTIONS
-    ROWS OUT, operating-point ROWS MODEL, seal ROWS OUT METADATA. Tables are Parquet, predictions JSON lines."""
+    ROWS OUT, operating-point ROWS MODEL, external ROWS MODEL, train BASE OUT, control BASE OUT, diagnose TRAIN DEVELOPMENT,
+    seal ROWS OUT METADATA. Tables are Parquet, predictions and the roles below a base JSON lines."""
     import argparse
+    import json
 
     from ..session import get_session
 
@@ -203,6 +253,13 @@ def main(argv: list[str] | None = None) -> None:
     command("baseline", "rows", "out").add_argument("--variant", choices=["word", "char"], default="word")
     command("calibrate", "predictions", "rows", "out").add_argument("--folds", type=int, default=5)
     command("operating-point", "rows", "model").add_argument("--max-fpr", type=float, default=0.05)
+    command("external", "rows", "model")
+    for name in ("train", "control"):
+        c = command(name, "base", "out")
+        c.add_argument("--hidden", type=int, default=48)
+        c.add_argument("--steps", type=int, default=100)
+        c.add_argument("--seed", type=int, default=17)
+    command("diagnose", "train", "development").add_argument("--iterations", type=int, default=1000)
     seal = command("seal", "rows", "out", "metadata")
     seal.add_argument("--pairs", type=int, default=2500)
     seal.add_argument("--seed", type=int, default=20260904)
@@ -221,6 +278,14 @@ def main(argv: list[str] | None = None) -> None:
         print(calibration_report(files.read_predictions(spark, a.predictions), table(a.rows), a.out, a.folds))
     elif a.command == "operating-point":
         print(calibrate_saved(spark, table(a.rows), a.model, a.max_fpr))
+    elif a.command == "external":
+        rows = table(a.rows)
+        print(json.dumps(external_run(spark, rows if "ord" in rows.columns else rows.withColumn("ord", F.monotonically_increasing_id()), a.model), indent=2))
+    elif a.command in ("train", "control"):
+        run = train_run if a.command == "train" else control_run
+        print(json.dumps(run(spark, a.base, a.out, hidden=a.hidden, steps=a.steps, seed=a.seed), indent=2))
+    elif a.command == "diagnose":
+        print(json.dumps(fit_diagnostics(table(a.train), table(a.development), a.iterations), indent=2))
     else:
         print(seal_cohort(table(a.rows), a.out, a.pairs, a.seed, files.read_json(a.metadata))["manifest_sha256"])
 

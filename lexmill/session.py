@@ -21,16 +21,24 @@ def get_session(app: str = "lexmill", master: str | None = None, **conf: str) ->
     return b.getOrCreate()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which the driver and all executors share; where that is unset, a folder below
+    the warehouse in local mode, and an error on a cluster."""
+    sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not where:
+        if not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        where = f"{spark.conf.get('spark.sql.warehouse.dir')}/lexmill-checkpoint"
+    return where.rstrip("/")
+
+
 def settled(df: DataFrame) -> DataFrame:
-    """df cut from its lineage by a reliable checkpoint. Range partitions are dealt by a sample that differs from job to
-    job, so whatever numbers them must see one dealing only, also when an executor is lost. The folder is that of
-    ``spark.checkpoint.dir``; unset, a folder below the warehouse in local mode, and an error on a cluster."""
-    spark, sc = df.sparkSession, df.sparkSession.sparkContext
+    """df cut from its lineage by a reliable checkpoint in the shared folder. Range partitions are dealt by a sample that
+    differs from job to job, so whatever numbers them must see one dealing only, also when an executor is lost."""
+    sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        where = spark.conf.get("spark.checkpoint.dir", None)
-        if not where and not (sc.master.startswith("local") and not sc.master.startswith("local-cluster")):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(where or f"{spark.conf.get('spark.sql.warehouse.dir')}/lexmill-checkpoint")
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
 
 

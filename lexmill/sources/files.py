@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.records import ROLES, SCHEMA
@@ -56,6 +58,18 @@ def exists(path: str) -> bool:
     return fs.exists(where)
 
 
+def names(path: str) -> list[str]:
+    """Names in a folder, in order; none where there is no folder."""
+    _, fs, where = _file_system(path)
+    return sorted(f.getPath().getName() for f in fs.listStatus(where) if not f.getPath().getName().startswith(".")) if fs.exists(where) else []
+
+
+def remove(path: str) -> None:
+    """Deletes a file or folder, if there is one."""
+    _, fs, where = _file_system(path)
+    fs.delete(where, True)
+
+
 def write_json(value, path: str) -> None:
     """A report: sorted keys, indented, ending in a newline; written beside its place and put there at once."""
     jvm, fs, where = _file_system(path)
@@ -86,9 +100,36 @@ def append_history(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def file_manifest(spark: SparkSession, folder: str) -> DataFrame:
-    """path (relative), sha256, bytes of every file below a folder, hashed where the file is read."""
+def _streamed_sha256(path: str, piece: int = 1 << 20) -> str:
+    """SHA-256 of one file, ``piece`` bytes at a time, where pyarrow opens its file system."""
+    from pyarrow import fs
+
+    store, name = fs.FileSystem.from_uri(path if "://" in path or not path.startswith("file:") else "file://" + path.removeprefix("file:"))
+    h = hashlib.sha256()
+    with store.open_input_stream(name) as f:
+        while data := f.read(piece):
+            h.update(data)
+    return h.hexdigest()
+
+
+def file_manifest(spark: SparkSession, folder: str, large: int = 1 << 28) -> DataFrame:
+    """path (relative), sha256, bytes of every file below a folder, hashed where the file is read. Files of under ``large`` bytes are
+    hashed as they are scanned; larger ones, which no row could hold, by tasks that stream them in pieces of 1 MiB,
+    the longest dealt out first. Those need a file system that pyarrow opens as well."""
     base = spark._jvm.org.apache.hadoop.fs.Path(folder)
     root = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/") + "/"
+    at = root.split(":", 1)[-1].lstrip("/")
+    relative = F.expr("substring(path, instr(path, '{0}') + {1})".format(at.replace("'", "''"), len(at))).alias("path")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
-    return files.select(F.expr("substring(path, instr(path, '{0}') + {1})".format(root.split(":", 1)[-1].lstrip("/").replace("'", "''"), len(root.split(":", 1)[-1].lstrip("/")))).alias("path"), F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    small = files.where(F.col("length") < large).select(relative, F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    big = sorted(((r["length"], r["path"]) for r in files.where(F.col("length") >= large).select("path", "length").collect()), reverse=True)  # names, not contents
+    if not big:
+        return small
+    tasks = min(len(big), max(1, 4 * spark.sparkContext.defaultParallelism))
+
+    def run(batch: pa.Table) -> pa.Table:
+        paths = batch.column("path").to_pylist()
+        return pa.table({"path": pa.array(paths, pa.string()), "sha256": pa.array([_streamed_sha256(p) for p in paths], pa.string()), "bytes": batch.column("bytes")})
+
+    dealt = spark.createDataFrame([(p, n, i % tasks) for i, (n, p) in enumerate(big)], "path string, bytes long, _turn int")
+    return small.unionByName(dealt.groupBy("_turn").applyInArrow(run, "path string, sha256 string, bytes long").select(relative, "sha256", "bytes"))
