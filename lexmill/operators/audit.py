@@ -50,7 +50,7 @@ def near_pairs(df: DataFrame, threshold: float = 0.85, across: bool = True, key:
         raise ValueError("the threshold must be over 0 and at most 1")
     sets = settled(_hashed_sets(df.select(F.col(key).alias("k"), F.col(split).alias("s"), F.col(text).alias("t")), "k", "t").where(F.size("g") > 0))
     often = np.zeros(SKETCH, np.int64)
-    for b, n in sets.select(F.pmod(F.explode("g"), F.lit(SKETCH)).alias("b")).groupBy("b").count().collect():  # at most SKETCH rows
+    for b, n in sets.select(F.explode(F.transform("g", lambda x: F.pmod(x, F.lit(SKETCH)))).alias("b")).groupBy("b").count().collect():  # at most SKETCH rows
         often[b] = n
 
     def prefixes(batches):

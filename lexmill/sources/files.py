@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
@@ -102,9 +103,15 @@ def append_history(df: DataFrame, path: str) -> None:
 
 def _streamed_sha256(path: str, piece: int = 1 << 20) -> str:
     """SHA-256 of one file, ``piece`` bytes at a time, where pyarrow opens its file system."""
+    from urllib.parse import quote
+
     from pyarrow import fs
 
-    store, name = fs.FileSystem.from_uri(path if "://" in path or not path.startswith("file:") else "file://" + path.removeprefix("file:"))
+    scheme, _, rest = path.partition(":")
+    if scheme == "file":
+        store, name = fs.LocalFileSystem(), "/" + rest.lstrip("/")
+    else:
+        store, name = fs.FileSystem.from_uri(f"{scheme}:{quote(rest, safe='/:@')}")
     h = hashlib.sha256()
     with store.open_input_stream(name) as f:
         while data := f.read(piece):
@@ -115,13 +122,19 @@ def _streamed_sha256(path: str, piece: int = 1 << 20) -> str:
 def file_manifest(spark: SparkSession, folder: str, large: int = 1 << 28) -> DataFrame:
     """path (relative), sha256, bytes of every file below a folder, hashed where the file is read. Files of under ``large`` bytes are
     hashed as they are scanned; larger ones, which no row could hold, by tasks that stream them in pieces of 1 MiB,
-    the longest dealt out first. Those need a file system that pyarrow opens as well."""
+    the longest dealt out first. Those need a file system that pyarrow opens as well. A scan passes over empty files, so these are told by its
+    list of names."""
+    from urllib.parse import unquote
+
     base = spark._jvm.org.apache.hadoop.fs.Path(folder)
     root = base.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(base).toString().rstrip("/") + "/"
     at = root.split(":", 1)[-1].lstrip("/")
     relative = F.expr("substring(path, instr(path, '{0}') + {1})".format(at.replace("'", "''"), len(at))).alias("path")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     small = files.where(F.col("length") < large).select(relative, F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"))
+    named = [(re.sub(r"^(\w+):/+(?=[^/])", r"\1:/", unquote(f)) if f.startswith("file:") else unquote(f),) for f in files.inputFiles()]
+    empty = spark.createDataFrame(named, "path string").join(files.select("path"), "path", "left_anti")
+    small = small.unionByName(empty.select(relative, F.lit(hashlib.sha256().hexdigest()).alias("sha256"), F.lit(0).cast("long").alias("bytes")))
     big = sorted(((r["length"], r["path"]) for r in files.where(F.col("length") >= large).select("path", "length").collect()), reverse=True)  # names, not contents
     if not big:
         return small

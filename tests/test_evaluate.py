@@ -96,6 +96,49 @@ def test_checked_join(spark):
             calibrate.checked_join(spark.createDataFrame(bad, "id string, label int, probability double"), rows)
 
 
+def test_what_checked_join_refuses(spark):
+    """Repeated ids on either side, null labels, null ids, probabilities that are null or no number."""
+    make = lambda rows: spark.createDataFrame(rows, "id string, label int, probability double")
+    plain = [("a", 0, 0.1), ("b", 1, 0.5)]
+    for left, right, told in (
+        ([("a", 0, 0.1), ("a", 0, 0.1), ("b", None, 0.5)], plain, {("a", "repeated"), ("b", "label")}),
+        (plain, [("a", 0, 0.1), ("b", 1, 0.5), ("b", 1, 0.5)], {("b", "repeated")}),
+        ([("a", 0, 0.1), ("b", None, 0.5)], [("a", 0, 0.1), ("b", None, 0.5)], {("b", "label")}),
+        ([("a", 0, 0.1), (None, 1, 0.5)], [("a", 0, 0.1), (None, 1, 0.5)], {(None, "missing"), (None, "foreign")}),
+    ):
+        rows = make(left).drop("probability")
+        assert {tuple(r) for r in calibrate.join_problems(make(right), rows).collect()} == told
+        with pytest.raises(ValueError):
+            calibrate.checked_join(make(right), rows)
+    for p in (None, float("nan"), -0.1):
+        with pytest.raises(ValueError):
+            calibrate.checked_join(make([("a", 0, p), ("b", 1, 0.5)]), make(plain).drop("probability"))
+
+
+def test_positives_without_provenance_are_of_no_subtype(spark):
+    df = spark.createDataFrame([(0, None, 0.1), (0, "x", 0.2), (1, "raw", 0.9), (1, None, 0.8)], "label int, provenance string, p double")
+    assert sorted(tuple(r) for r in evaluate.subtype_frame(df).select("subtype", "label", "p").collect()) == [("raw", 0, 0.1), ("raw", 0, 0.2), ("raw", 1, 0.9)]
+
+
+def test_all_folds_in_the_same_passes(spark):
+    """Each fold's scaler is the Newton solution on the others; separable scores end too."""
+    rng = __import__("random").Random(4)
+    rows = [(f"g{i % 7}", int(rng.random() < 0.4), round(rng.random(), 2)) for i in range(200)]
+    rows = [(g, y, min(1.0, p + 0.2 * y)) for g, y, p in rows]
+    out = calibrate.crossfit_platt(spark.createDataFrame(rows, "lineage_id string, label int, p double"), 4).collect()
+    assert len(out) == 200
+    for fold in range(4):
+        held = {r["lineage_id"] for r in out if r["fold"] == fold}
+        kept = spark.createDataFrame([r for r in rows if r[0] not in held], "lineage_id string, label int, p double")
+        slope, intercept = calibrate.fit_platt(kept)
+        for r in out:
+            if r["fold"] == fold:
+                x = min(max(r["p"], 1e-6), 1 - 1e-6)
+                assert r["calibrated"] == pytest.approx(1 / (1 + math.exp(-(slope * math.log(x / (1 - x)) + intercept))), abs=1e-9)
+    apart = spark.createDataFrame([(f"g{i}", i % 2, 0.9 if i % 2 else 0.1) for i in range(8)], "lineage_id string, label int, p double")
+    assert calibrate.fit_platt(apart)[0] > 1
+
+
 def test_windows(spark):
     f = lambda n: spark.range(1).selectExpr(f"transform(sequence(1, {n}), x -> cast(x as int)) i").select(numeric.pad_windows(__import__("pyspark").sql.functions.col("i"), 4).alias("w")).first()["w"]
     assert f(12) == [[1, 2, 3, 4], [5, 6, 7, 8], [9, 10, 11, 12]]

@@ -241,3 +241,64 @@ def test_baseline_and_calibration(spark, tmp_path):
     assert gap["auc_gap"] == 0 and gap["bootstrap"]["low"] <= gap["bootstrap"]["median"] <= gap["bootstrap"]["high"]
     with pytest.raises(ValueError, match="sealed"):
         workflows.baseline_run(rec(spark, {"split": "sealed_test", "sealed": True}), str(tmp_path))
+
+
+def test_null_splits_and_flags_are_violations(spark):
+    """What is null keeps no rule."""
+    rows = [("a", None, False, True), ("b", "train", None, True), ("c", "sealed_test", None, False), ("d", "sealed_test", True, None), ("e", "sealed_test", True, False), ("f", "train", False, None), ("g", None, True, False)]
+    df = spark.createDataFrame([(i, r[0], f"l{i}", f"text {i} of its own", r[1], r[2], r[3], None) for i, r in enumerate(rows)], "ord long, id string, lineage_id string, text string, split string, sealed boolean, train_eligible boolean, parent_id string")
+    got = {(r["rule"], r["id"]) for r in audit.violations(df, near=False).collect()}
+    assert got == {("unknown_split", "a"), ("unknown_split", "g"), ("sealed_elsewhere", "g"), ("sealed_elsewhere", "b"), ("sealed_test_flags", "c"), ("sealed_test_flags", "d")}
+
+
+def test_large_files_are_streamed(spark, tmp_path):
+    """Files over the limit are hashed in pieces by tasks, to the same result; 3 GB take no more memory than a piece."""
+    import hashlib
+    import tracemalloc
+
+    (tmp_path / "deep er").mkdir()
+    for i, n in enumerate([0, 5, 3000, 700_000]):
+        (tmp_path / "deep er" / f"f {i}").write_bytes(bytes(range(256)) * (n // 256) + b"x" * (n % 256))
+    small = {tuple(r) for r in files.file_manifest(spark, str(tmp_path)).collect()}
+    assert small == {tuple(r) for r in files.file_manifest(spark, str(tmp_path), large=1000).collect()} and len(small) == 4
+    assert ("deep er/f 2", hashlib.sha256((tmp_path / "deep er" / "f 2").read_bytes()).hexdigest(), 3000) in small
+    with open(tmp_path / "sparse", "wb") as f:
+        f.truncate(3 << 30)
+    tracemalloc.start()
+    digest = files._streamed_sha256(f"file:{tmp_path}/sparse")
+    assert tracemalloc.get_traced_memory()[1] < 50e6
+    tracemalloc.stop()
+    zeros, want = bytes(1 << 20), hashlib.sha256()
+    for _ in range(3 << 10):
+        want.update(zeros)
+    assert digest == want.hexdigest()
+    assert ("sparse", digest, 3 << 30) in {tuple(r) for r in files.file_manifest(spark, str(tmp_path)).collect()}
+
+
+def test_near_pairs_of_many_edits(spark):
+    """Sets just over and under the threshold, equal texts, one word texts and blanks, against all pairs."""
+    rng = __import__("random").Random(8)
+    base = [[f"w{rng.randrange(400)}" for _ in range(60)] for _ in range(12)]
+    rows = []
+    for i in range(150):
+        w = list(rng.choice(base))
+        for _ in range(rng.choice([0, 0, 1, 1, 2, 3])):
+            w[rng.randrange(60)] = f"e{rng.randrange(30)}"
+        rows.append((f"d{i:03}", " ".join(w), "train" if i % 2 else "test"))
+    rows += [("x1", "one", "train"), ("x2", "ONE ", "test"), ("x3", " ", "train"), ("x4", None, "test"), ("x5", "two words", None)]
+    df = spark.createDataFrame(rows, "id string, text string, split string")
+    sets = {}
+    for i, t, _ in rows:
+        w = (t or "").lower().split()
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    for t in (0.85, 0.6, 1.0):
+        want = {(a, b): len(sets[a] & sets[b]) / len(sets[a] | sets[b]) for a, _, sa in rows for b, _, sb in rows if a < b and sa != sb and sa and sb and sets[a] & sets[b]}
+        got = {(r["a"], r["b"]): r["jaccard"] for r in audit.near_pairs(df, t).collect()}
+        assert got == pytest.approx({k: v for k, v in want.items() if v >= t}) and got
+
+
+def test_contamination_by_either_join(spark):
+    docs = spark.createDataFrame([(i, f"a b c d e f {i} a b c d e") for i in range(20)] + [(99, None)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, "x A b  C d e"), (2, "nothing shared with any of these"), (3, None)], "item_id long, text string")
+    got = [sorted(tuple(r) for r in audit.contamination(docs, items, "doc_id", "item_id", most=m).collect()) for m in (1 << 20, 0)]
+    assert got[0] == got[1] == [(i, 1, 1) for i in range(20)]

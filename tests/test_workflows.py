@@ -62,9 +62,44 @@ def test_feature_cache(spark, tmp_path):
     df = spark.createDataFrame([("a", "One two."), ("b", "Three!"), ("b", "Three!"), (None, None)], "id string, text string")
     flat = lambda d: sorted((tuple(r) for r in d.select("id", *NAMES).collect()), key=repr)
     first = features.cached_features(df, path)
-    assert flat(first) == flat(features.stylometric_features(df)) and spark.read.parquet(path).count() == 3
+    assert flat(first) == flat(features.stylometric_features(df)) and spark.read.option("recursiveFileLookup", True).parquet(f"{path}/rows").count() == 3
     more = df.unionByName(spark.createDataFrame([("a", "another text")], "id string, text string"))
-    assert flat(features.cached_features(more, path)) == flat(features.stylometric_features(more)) and spark.read.parquet(path).count() == 4
+    assert flat(features.cached_features(more, path)) == flat(features.stylometric_features(more)) and spark.read.option("recursiveFileLookup", True).parquet(f"{path}/rows").count() == 4
+    assert flat(features.cached_features(more, path)) == flat(features.stylometric_features(more)) and len(files.names(f"{path}/commits")) == 2
+    assert features.cached_features(df.limit(0), str(tmp_path / "empty")).count() == 0
+
+
+def test_two_writers_of_one_cache(spark, tmp_path):
+    """Both start before either commits: all rows are written twice, and read once."""
+    from concurrent.futures import ThreadPoolExecutor
+    from threading import Barrier
+
+    path = str(tmp_path / "cache")
+    df = spark.createDataFrame([(f"k{i}", f"Text number {i}. Again!") for i in range(50)], "id string, text string")
+    met, inner = Barrier(2), features._snapshot
+    seen = []
+
+    def together(p):
+        commits = inner(p)
+        if len(seen) < 2:
+            seen.append(1)
+            met.wait(60)
+        return commits
+
+    features._snapshot = together
+    try:
+        with ThreadPoolExecutor(2) as pool:
+            done = list(pool.map(lambda _: features.cached_features(df, path), range(2)))
+    finally:
+        features._snapshot = inner
+    assert spark.read.option("recursiveFileLookup", True).parquet(f"{path}/rows").count() == 100 and len(inner(path)) == 2
+    want = sorted(tuple(r) for r in features.stylometric_features(df).select("id", *NAMES).collect())
+    for frame in (*done, features.cached_features(df, path)):
+        assert sorted(tuple(r) for r in frame.select("id", *NAMES).collect()) == want
+    assert len(inner(path)) == 2
+    left = spark.createDataFrame([("k1", "Text number 1. Again!")], "id string, text string")
+    left.selectExpr("'half' _mark").write.parquet(f"{path}/rows/killed")  # a writer that never committed
+    assert features.cached_features(left, path).count() == 1
 
 
 def test_inputs_and_runs(spark, tmp_path):
@@ -105,6 +140,15 @@ def test_saved_model_and_fusion(spark, tmp_path):
     assert record["max_fpr"] == 0.05 and files.read_json(f"{folder}/calibration.json")["threshold"] == record["threshold"]
     with pytest.raises(ValueError, match="features"):
         models.load_structural(spark, folder, NAMES[::-1])
+    for partition in ("train", "development", "calibration"):
+        files.write_roles(df.where(F.col("split") == partition), str(tmp_path / "roles"), [partition])
+    report = workflows.control_run(spark, str(tmp_path / "roles"), str(tmp_path / "control"), steps=20)
+    assert report["development"]["n"] == 40 and files.read_predictions(spark, report["calibration_predictions"]).count() == 40
+    outside = df.where("split = 'calibration'").select("text", (1 - F.col("label")).alias("binary_label"), F.lit("C").alias("test_split"), "source", F.lit("f").alias("scenario_family"), F.monotonically_increasing_id().alias("ord"))
+    told = workflows.external_run(spark, outside.withColumnRenamed("source", "scenario"), folder)
+    assert told["aggregate"]["n"] == 40 and set(told["per_scenario"]) == {"s0", "s1"} and files.read_json(f"{folder}/external_metrics.json")["calibrated_threshold"] == record["threshold"]
+    with pytest.raises(FileNotFoundError):
+        workflows.external_run(spark, outside, str(tmp_path / "control"))
     fused = models.train_fusion(train)(rest).selectExpr("label", "probability as p")
     assert evaluate.binary_metrics(fused).first()["roc_auc"] > 0.9
 
@@ -137,3 +181,32 @@ def test_boundaries_cohort_progress(spark):
     for n in (4, 5, 3, 20):
         p.onQueryProgress(type("E", (), {"progress": type("P", (), {"numInputRows": n})}))
     assert told == ["12 rows", "32 rows"]
+
+
+def test_commands(spark, tmp_path, capsys, monkeypatch):
+    """The command line, on files, in the session of the tests."""
+    monkeypatch.setattr("lexmill.session.get_session", lambda *a, **k: spark)
+    base = str(tmp_path)
+    df = corpus(spark)
+    files.write_roles(df, f"{base}/roles", records.ROLES)
+    df.write.parquet(f"{base}/rows")
+    workflows.main(["audit", f"{base}/rows"])
+    assert eval(capsys.readouterr().out) == dict.fromkeys(sorted(records.ROLES), 40)
+    workflows.main(["manifest", f"{base}/roles"])
+    assert sum(len(line.split()) == 3 for line in capsys.readouterr().out.splitlines()) >= 3
+    workflows.main(["train", f"{base}/roles", f"{base}/model", "--steps", "10"])
+    assert json.loads(capsys.readouterr().out)["n"] == 40
+    workflows.main(["operating-point", f"{base}/rows", f"{base}/model"])
+    assert "threshold" in capsys.readouterr().out
+    outside = df.select("text", (1 - F.col("label")).alias("binary_label"), F.lit("C").alias("test_split"), F.col("source").alias("scenario"), F.lit("f").alias("scenario_family"))
+    outside.write.parquet(f"{base}/outside")
+    workflows.main(["external", f"{base}/outside", f"{base}/model"])
+    assert json.loads(capsys.readouterr().out)["aggregate"]["n"] == 120
+    df.selectExpr("id", "lineage_id", "label", "source", "0.2 + 0.5 * label + 0.1 * (length(text) % 3) as p").write.parquet(f"{base}/scored")
+    workflows.main(["diagnose", f"{base}/scored", f"{base}/scored", "--iterations", "20"])
+    assert json.loads(capsys.readouterr().out)["auc_gap"] == 0
+    files.write_predictions(spark.read.parquet(f"{base}/scored").withColumn("probability", F.col("p").cast("double")), f"{base}/predictions")
+    workflows.main(["calibrate", f"{base}/predictions", f"{base}/scored", f"{base}/out", "--folds", "3"])
+    assert set(files.read_json(f"{base}/out/calibration.json")) == {"ranking", "platt", "crossfit", "operating_points"}
+    with pytest.raises(SystemExit):
+        workflows.main(["unknown"])
