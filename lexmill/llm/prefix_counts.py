@@ -10,6 +10,10 @@ gives the count at every prefix in one pass, without re-encoding. The pass runs
 words at once in numpy; pretokens never share tokens, so a text's count at a prefix is the sum over
 its whole pretokens plus the count inside the last, cut one.
 
+prefix_table stores, for each text, the counts at all its prefixes as differences, two bytes a character; count_at and fit_at answer from
+that table alone, for any prefix or budget, what token_counts answers for one. Where a prefix splits otherwise than the text (inside a special
+string, 're, 've or 'll, or where normalization joins characters) the pretokens of the prefix itself are counted.
+
 Semantics: null text counts as empty (0 tokens); repeated rows each get a row; extra columns are
 ignored; special strings inside texts count one token, as the library does by default; long texts are counted
 whole; an empty table gives an empty result.
@@ -19,19 +23,20 @@ from __future__ import annotations
 
 import json
 import re
-from itertools import accumulate
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import BYTE, map_batches, mix, powers, slices
+from .common import BYTE, SPACE, map_batches, mix, powers, slices
 
 #: Stands for a special string among pretokens; no pretoken holds a blank.
 SPECIAL = " special"
 #: Characters for which Python's own classes and lower() agree with the library's; other texts are
 #: split by the library's normalizer and pre-tokenizer.
 PLAIN = re.compile(r"[\x09-\x0d\x20-\x7eÀ-ÿ]*")
+CHUNK = re.compile(r"[^\x09-\x0d ]+")
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
 
 
@@ -110,6 +115,8 @@ class PrefixCounter:
         self.inner = _Table(h[~ends_a], ids_a[~ends_a])
         self.final = _Table(h[ends_a], ids_a[ends_a]) if suffix else self.inner
         self.cache_size, self.cache = cache, {SPECIAL: 1}
+        self.inner_size, self.folded = cache // 2, {}
+        self._forget()
 
     @staticmethod
     def _hash(words: list[bytes]) -> np.ndarray:
@@ -214,22 +221,101 @@ class PrefixCounter:
             out, off = self.prefixes([w.encode("utf-8", "surrogateescape") for w in new], every=False)
             self.cache.update(zip(new, out[off[1:] - 1].tolist(), strict=True))
 
-    def counts(self, texts: list[str], limit: int = 0) -> list[tuple[int, int, int]]:
-        """For each text: its count, and the leading whole pretokens and their tokens that fit in limit."""
-        split = [self.pieces(t) for t in texts]
-        self.learn(set().union(*split))
-        out = []
-        for s in split:
-            run = list(map(self.cache.__getitem__, s))
-            total = sum(run)
-            if total <= limit:
-                out.append((total, len(s), total))
+    def count(self, text: str) -> int:
+        """The count of one short text."""
+        words = self.pieces(text)
+        self.learn(set(words))
+        return sum(map(self.cache.__getitem__, words))
+
+    def _forget(self) -> None:
+        """Inner counts: a word's number, and by number where its counts begin in the pool and how many they are."""
+        self.number, self.pool, self.first, self.size = {}, np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def learn_inner(self, words: set[str]) -> None:
+        """Puts the counts at each character of words not yet known into the bounded pool."""
+        new = words - self.number.keys()
+        if len(self.number) + len(new) > self.inner_size:
+            self._forget()
+            new = words
+        if not new:
+            return
+        new = list(new)
+        blobs = [w.encode() for w in new]
+        out, off = self.prefixes(blobs)
+        raw = np.frombuffer(b"".join(blobs), np.uint8)
+        ends = np.append((raw[1:] & 0xC0) != 0x80, True)  # the last byte of each character
+        size = np.fromiter(map(len, new), np.int64, len(new))
+        first = len(self.pool) + np.cumsum(size) - size
+        self.pool, self.first, self.size = np.concatenate([self.pool, out[ends]]), np.concatenate([self.first, first]), np.concatenate([self.size, size])
+        self.number |= zip(new, range(len(self.number), len(self.number) + len(new)), strict=True)
+        for w in {"'re", "'ve", "'ll"}.intersection(new):  # cut after the second character they are two pretokens
+            at = self.first[self.number[w]]
+            self.pool[at + 1] = self.pool[at] + self.count(w[1])
+
+    def inner_counts(self, word: str) -> np.ndarray:
+        i = self.number[word]
+        return self.pool[self.first[i] : self.first[i] + self.size[i]]
+
+    def _fold(self, text: str) -> str | None:
+        """The normalized text, if normalization takes it character by character to as many; else None."""
+        for ch in set(text) - self.folded.keys():
+            self.folded[ch] = self.library.normalizer.normalize_str(ch) if not ch.isspace() else ""
+        out = [self.folded[ch] for ch in text]
+        whole = "".join(out)
+        return whole if all(len(x) == 1 for x in out) and self.library.normalizer.normalize_str(text) == whole else None
+
+    def spans(self, text: str) -> list[tuple[int, str | np.ndarray]]:
+        """(first character, word) of the pretokens of a text in order, or (first character, counts at each of its characters)
+        where prefixes split otherwise."""
+        out: list[tuple[int, str | np.ndarray]] = []
+        for m in CHUNK.finditer(text):
+            chunk, at = m[0], m.start()
+            if any(x in chunk for x in self.special) or not PLAIN.fullmatch(chunk) and self._fold(chunk) is None:
+                out.append((at, np.array([self.count(chunk[:j]) for j in range(1, len(chunk) + 1)], np.int32)))
+            elif PLAIN.fullmatch(chunk):
+                out += [(at + w.start(), w[0]) for w in SPLIT.finditer(chunk.lower())]
             else:
-                cum = np.fromiter(accumulate(run), np.int64, len(run))
-                k = int(np.searchsorted(cum, limit, side="right"))
-                out.append((total, k, int(cum[k - 1]) if k else 0))
+                for s, (a, _) in self.library.pre_tokenizer.pre_tokenize_str(self._fold(chunk)):
+                    out.append((at + a, bytes(self.letters[c] for c in s).decode()))
         return out
 
+    def _table(self, text: str) -> np.ndarray:
+        spans = self.spans(text)
+        self.learn_inner({w for _, w in spans if isinstance(w, str)})
+        table, before = np.zeros(len(text), np.int32), 0
+        for i, (a, w) in enumerate(spans):
+            inner = self.inner_counts(w) if isinstance(w, str) else w
+            end = spans[i + 1][0] if i + 1 < len(spans) else len(text)
+            table[a : a + len(inner)] = before + inner
+            before += int(inner[-1])
+            table[a + len(inner) : end] = before  # between words the count stays
+        return table
+
+    def tables(self, texts: list[str]) -> list[np.ndarray]:
+        """For each text the counts at all its prefixes: entry j - 1 is that of the first j characters. Plain texts go
+        through numpy together: all characters but blanks belong to their words, in order."""
+        plain = [bool(PLAIN.fullmatch(t)) and not any(x in t for x in self.special) for t in texts]
+        own = [t for t, p in zip(texts, plain, strict=True) if p]
+        split = [SPLIT.findall(t.lower()) for t in own]
+        self.learn_inner(set().union(*split))
+        words = np.fromiter(map(len, split), np.int64, len(split))
+        ids = np.fromiter((i for s in split for i in map(self.number.__getitem__, s)), np.int64, int(words.sum()))
+        size, first = self.size[ids], self.first[ids]
+        flat = self.pool[np.repeat(first - (np.cumsum(size) - size), size) + np.arange(size.sum())]
+        whole = self.pool[first + size - 1].astype(np.int64)
+        before = np.concatenate([[0], np.cumsum(whole)])
+        began = np.concatenate([[0], np.cumsum(words)])
+        flat = flat + np.repeat(before[:-1] - np.repeat(before[began[:-1]], words), size)
+        raw = np.frombuffer("".join(own).encode("latin-1"), np.uint8)
+        chars = np.fromiter(map(len, own), np.int64, len(own))
+        where = np.zeros(len(raw), np.int64)
+        where[np.flatnonzero(~SPACE[raw])] = np.arange(1, len(flat) + 1)
+        where = np.maximum.accumulate(where)  # between words the count stays
+        lead = np.concatenate([[0], np.cumsum(size)])[began[:-1]]
+        table = np.where(where > np.repeat(lead, chars), np.concatenate([[0], flat])[where], 0).astype(np.int32)
+        parts = iter(np.split(table, np.cumsum(chars)[:-1])) if own else iter(())
+        return [next(parts) if p else self._table(t) for t, p in zip(texts, plain, strict=True)]
+
     def count_prefix(self, text: str, chars: int) -> int:
         """The exact count of text[:chars], from the prefix table of its cut pretoken."""
         words = self.pieces(text[:chars])
@@ -249,32 +335,61 @@ def counter(path: str) -> PrefixCounter:
     return _COUNTERS[path]
 
 
+def count_at(table: np.ndarray, chars: int) -> int:
+    """The count of the first ``chars`` characters."""
+    return int(table[min(chars, len(table)) - 1]) if chars > 0 and len(table) else 0
+
+
+def fit_at(table: np.ndarray, limit: int) -> tuple[int, int]:
+    """The longest prefix of at most ``limit`` tokens, in characters, and its count."""
+    fits = np.flatnonzero(table <= limit)
+    return (int(fits[-1]) + 1, int(table[fits[-1]])) if len(fits) else (0, 0)
+
+
+def unpack(deltas: bytes) -> np.ndarray:
+    """The counts that prefix_table stored."""
+    return np.cumsum(np.frombuffer(deltas, "<i2"), dtype=np.int64)
+
+
+def prefix_table(docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, n_chars, deltas: the stored table of every row of docs, for unpack(). One narrow pass."""
+
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        c = counter(path)
+        for at, k in slices(batch.column(1), 1024, 1 << 21):
+            found = c.tables([t or "" for t in batch.column(1).slice(at, k).to_pylist()])
+            blobs = [np.diff(t, prepend=0).astype("<i2").tobytes() for t in found]
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, k), pa.array([len(t) for t in found], pa.int64()), pa.array(blobs, pa.binary())], names=[key, "n_chars", "deltas"])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield from run(batch)
+
+    return docs.select(docs[key].cast("long").alias(key), docs[text].alias("text")).mapInArrow(each, f"{key} long, n_chars long, deltas binary")
+
+
 def token_counts(docs: DataFrame, path: str, limit: int = 2048, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, n_bytes, n_tokens, over_limit, fit_words, fit_tokens for every row of docs.
+    """doc_id, n_bytes, n_tokens, over_limit, fit_chars, fit_tokens for every row of docs.
 
-    n_tokens is the library's count of the whole text; fit_words and fit_tokens answer the budget
-    question: how many leading pretokens, with how many tokens, fit in ``limit``. One narrow pass, no
-    shuffle; memory is one batch of rows and the bounded cache of word counts.
+    n_tokens is the library's count of the whole text, the last entry of its prefix table; fit_chars and fit_tokens answer the budget
+    question from the same table: the longest prefix that fits in ``limit`` tokens, to the character. One narrow pass, no
+    shuffle; memory is a slice of rows with their tables and the bounded caches of words.
     """
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         c = counter(path)
-        out = []
-        texts = [t or "" for t in batch.column(1).to_pylist()]
-        for at, k in slices(batch.column(1), 1024, 1 << 22):
-            out += c.counts(texts[at : at + k], limit)
+        out, size = [], []
+        for at, k in slices(batch.column(1), 1024, 1 << 21):
+            texts = [t or "" for t in batch.column(1).slice(at, k).to_pylist()]
+            size += [len(t.encode()) for t in texts]
+            for t in c.tables(texts):
+                n = count_at(t, len(t))
+                out.append((n, *((len(t), n) if n <= limit else fit_at(t, limit))))
         n = np.array([x[0] for x in out], np.int64)
         return pa.RecordBatch.from_arrays(
-            [
-                batch.column(0),
-                pa.array([len(t.encode()) for t in texts], pa.int64()),
-                pa.array(n),
-                pa.array(n > limit),
-                pa.array([x[1] for x in out], pa.int64()),
-                pa.array([x[2] for x in out], pa.int64()),
-            ],
-            names=[key, "n_bytes", "n_tokens", "over_limit", "fit_words", "fit_tokens"],
+            [batch.column(0), pa.array(size, pa.int64()), pa.array(n), pa.array(n > limit), pa.array([x[1] for x in out], pa.int64()), pa.array([x[2] for x in out], pa.int64())],
+            names=[key, "n_bytes", "n_tokens", "over_limit", "fit_chars", "fit_tokens"],
         )
 
     src = docs.select(docs[key].cast("long").alias(key), docs[text].alias("text"))
-    return map_batches(src, run, f"{key} long, n_bytes long, n_tokens long, over_limit boolean, fit_words long, fit_tokens long")
+    return map_batches(src, run, f"{key} long, n_bytes long, n_tokens long, over_limit boolean, fit_chars long, fit_tokens long")

@@ -134,10 +134,30 @@ def test_token_counts(spark, odd, none, docs):
     assert prefix_counts.token_counts(none, WORD_BPE).count() == 0
 
 
-def test_budget_counts_special_strings():
+def test_stored_tables_answer_any_prefix(spark, odd, none, docs):
+    """Each stored count is the library's of that prefix; budgets are met to the character."""
     c = prefix_counts.counter(WORD_BPE)
-    got = c.counts(["hello world " * 3000 + "<|endoftext|> end", "<|endoftext|> " * 5 + "end", "a <|endoftext|> b"], 4)
-    assert got == [(6002, 4, 4), (6, 4, 4), (3, 3, 3)]
+    rng = random.Random(3)
+    texts = ["", " ", "don't STOP!! we'll they've you're x'll'd 'rex", "日本語の文章 Ünï <|endoftext|> a<|endoftext|>b!!<|startoftext|>x", "как İstanbul ΑΣ e\u0301 a\u0327x", "hello <|endoftext|> end", "a\x1cb\u2028c\u00a0d e \x00f", "_under_score 12345 ٣٤ ² ﬁ ẞ"]
+    texts += ["".join(rng.choice("aAbé'!- \n_1ß日Ωe\u0301İ<|>s't") for _ in range(40)) for _ in range(60)] + [r["text"][:120] for r in docs.limit(10).collect()]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: prefix_counts.unpack(r["deltas"]) for r in prefix_counts.prefix_table(df, WORD_BPE).collect()}
+    for i, t in enumerate(texts):
+        want = [len(c.library.encode(t[: j + 1], add_special_tokens=False).ids) for j in range(len(t))]
+        assert got[i].tolist() == want
+        assert prefix_counts.count_at(got[i], 7) == (want[min(7, len(t)) - 1] if t else 0) and prefix_counts.count_at(got[i], 0) == 0
+        fits = [j + 1 for j, n in enumerate(want) if n <= 5]
+        assert prefix_counts.fit_at(got[i], 5) == ((fits[-1], want[fits[-1] - 1]) if fits else (0, 0))
+    assert prefix_counts.prefix_table(odd, WORD_BPE).count() == len(ODD) and prefix_counts.prefix_table(none, WORD_BPE).count() == 0
+    small = prefix_counts.PrefixCounter(WORD_BPE, cache=20)  # the pool of words is emptied again and again
+    assert [t[-1] for t in small.tables(texts) if len(t)] == [got[i][-1] for i, t in enumerate(texts) if t]
+
+
+def test_budgets(spark):
+    texts = ["hello world " * 3000 + "<|endoftext|> end", "<|endoftext|> " * 5 + "end", "a <|endoftext|> b", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_tokens"], r["fit_chars"], r["fit_tokens"]) for r in prefix_counts.token_counts(df, WORD_BPE, 4).collect()}
+    assert got == {0: (6002, 24, 4), 1: (6, 56, 4), 2: (3, 17, 3), 3: (0, 0, 0)}
 
 
 def test_words_of_all_scripts_are_short(docs):
