@@ -15,10 +15,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ord, id, text, label, source, domain, provenance of the labelled documents."""
-    d, y = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    """ord, id, text, label, source, domain, provenance of the labelled documents. Labels go to the documents while they are few, so
+    that no texts are shuffled."""
+    d, y = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     human = F.col("label") == 0
-    return d.join(y.select("doc_id", F.col("quality").alias("label")), "doc_id").select(
+    return d.join(F.broadcast(y) if y.count() <= 1 << 20 else y, "doc_id").select(
         F.col("doc_id").alias("ord"), F.concat(F.lit("doc:"), F.col("doc_id").cast("string")).alias("id"), "text", "label", "source", F.col("lang").alias("domain"),
         F.when(human, "human").when(F.col("doc_id") % 2 == 0, "raw_ai").otherwise("expert_edit").alias("provenance"),
     )

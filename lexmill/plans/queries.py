@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import numeric, text as tx
 from ..functions.stylometry import FUNCTION_WORDS, NAMES, PER_100
 from ..operators import audit, calibrate, evaluate, features, models, records, sampling
-from ..session import shared_folder
+from ..session import broadcast_up_to, shared_folder
 from ..sources import adapters, files
 from ..streaming.argmin import BestRowStore, source_revision
 from .fixtures import CONV_SQL, CORPUS_SQL, LABELLED_SQL, PROMPTS_SQL, SCORED_SQL, SEED, UNIT, canon_sql, conversations, corpus, labelled, prompts, scored, table
@@ -576,14 +576,20 @@ def char_wb_tfidf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- models, streams, files: no SQL form -----------------------------------------------------------------------------
 
 
+def _split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The labelled documents with their split, which is worked out on ids and labels alone."""
+    d = labelled(spark, sf_dir)
+    return d.join(broadcast_up_to(sampling.stratified_split(d.select("id", "label"), SEED).select("id", "split")), "id")
+
+
 @query()
 def tfidf_lr_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = sampling.stratified_split(labelled(spark, sf_dir), SEED)
+    d = _split(spark, sf_dir)
     return models.predictions(models.train_tfidf(d.where("split = 'train'"))(d.where("split <> 'train'")))
 
 
 def _with_style(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = sampling.stratified_split(labelled(spark, sf_dir), SEED)
+    d = _split(spark, sf_dir)
     return d.join(features.stylometric_features(d), "id")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def get_session(app: str = "lexmill", master: str | None = None, **conf: str) -> SparkSession:
@@ -42,6 +42,21 @@ def settled(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as a compressed Parquet table in the shared folder: for what is large and read again and again."""
+    import uuid
+
+    path = f"{shared_folder(df.sparkSession)}/lexmill-table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def broadcast_up_to(df: DataFrame, rows: int = 1 << 18) -> DataFrame:
+    """df, settled, to be broadcast if it has at most so many rows, and joined by a shuffle if it has more."""
+    kept = settled(df)
+    return F.broadcast(kept) if kept.count() <= rows else kept
+
+
 def spread(df: DataFrame) -> DataFrame:
     """df over all cores: a scan of fewer splits than cores is dealt out anew before costly row-wise work; a large one,
     already in many, is left as it is, without a shuffle. Behind an exchange adaptive execution sizes the partitions,
