@@ -4,8 +4,10 @@ A k-mer of K units is chosen if the least hash of its inner S-mers lies at its f
 That depends on the k-mer alone, so an edit elsewhere never changes which k-mers of a passage are
 chosen: they are context-free anchors. Units are words, and the characters of words over LONG characters
 (scripts without blanks), whatever the text's length.
-The fingerprint is the SIZE least hashes of the distinct chosen k-mers (32 bits each, as hex digits),
-and the likeness of two fingerprints estimates the Jaccard similarity of the chosen sets.
+The fingerprint, a summary, is the SIZE least hashes of the distinct chosen k-mers (32 bits each, as hex digits),
+and the likeness of two fingerprints estimates the Jaccard similarity of the chosen sets. All anchors with their
+places are in anchor_table; passages matches two such tables by position: anchors that both texts have at the same distance
+from each other are one shared passage, however long the texts are.
 
 Semantics: null text is empty; texts with fewer than K units have their whole unit sequence as the one
 k-mer; long texts are read whole; the fingerprint of a text without units is ''; two empty fingerprints
@@ -23,12 +25,11 @@ from .common import Scratch
 K, S, SIZE, LONG = 4, 2, 64, 24
 
 
-def anchors(text: Column) -> Column:
-    """The sorted array of the SIZE least distinct closed-syncmer hashes, 32 bits each."""
+def _chosen(text: Column, value) -> Column:
+    """value(place, 64-bit hash) of every chosen k-mer of a text, in order; places count units."""
     words = F.filter(F.split(F.translate(text, "\t\n\x0b\f\r", "     "), " ", -1), lambda w: w != "")
     letters = lambda w: F.filter(F.split(w, "", -1), lambda c: c != "")
     units = F.flatten(F.transform(words, lambda w: F.when(F.length(w) > LONG, letters(w)).otherwise(F.array(w))))
-    empty = F.array().cast("array<bigint>")
     hashes = F.transform(units, lambda w: F.xxhash64(w))
 
     def choose(u: Column) -> Column:
@@ -41,15 +42,34 @@ def anchors(text: Column) -> Column:
                 last = F.get(s, i + width)
                 least = F.array_min(F.slice(s, i + 1, width + 1))
                 whole = F.xxhash64(*[F.get(s, i + j) for j in range(0, K, S)])
-                return F.when(last.isNotNull() & ((h == least) | (last == least)), F.shiftrightunsigned(whole, 32))
+                return F.when(last.isNotNull() & ((h == least) | (last == least)), value(i, whole))
 
             return F.filter(F.transform(s, pick), lambda x: x.isNotNull())
 
         many = F.element_at(F.transform(F.array(inner), mers), 1)
-        return F.when(n >= K, many).when(n > 0, F.array(F.shiftrightunsigned(F.xxhash64(u), 32))).otherwise(empty)
+        return F.when(n >= K, many).when(n > 0, F.array(value(F.lit(0), F.xxhash64(u)))).otherwise(F.filter(F.array(value(F.lit(0), F.lit(0).cast("long"))), lambda x: F.lit(False)))
+
+    return F.element_at(F.transform(F.array(hashes), choose), 1)  # computed once, bound by the lambda
+
+
+def anchors(text: Column) -> Column:
+    """The sorted array of the SIZE least distinct closed-syncmer hashes, 32 bits each."""
+    return F.slice(F.sort_array(F.array_distinct(_chosen(text, lambda i, h: F.shiftrightunsigned(h, 32)))), 1, SIZE)
+
+
+def anchor_table(documents: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, place, anchor: every chosen k-mer of every row, 64 bits each, with the number of its first unit. A null text is empty and has none."""
+    found = _chosen(F.coalesce(F.col(text), F.lit("")), lambda i, h: F.struct(i.cast("int").alias("place"), h.alias("anchor")))
+    return documents.select(F.col(key), F.explode(found).alias("_a")).select(key, "_a.place", "_a.anchor")
+
 
-    chosen = F.element_at(F.transform(F.array(hashes), choose), 1)  # computed once, bound by the lambda
-    return F.slice(F.sort_array(F.array_distinct(chosen)), 1, SIZE)
+def passages(left: DataFrame, right: DataFrame, least: int = 3, key: str = "doc_id") -> DataFrame:
+    """left_<key>, right_<key>, distance, matches, first, last: for each pair of rows of two anchor tables and each distance between
+    places, how many anchors match there, if at least ``least``, and the places of the first and last in the left row.
+    Tables meet by anchor, so this is for a table against a smaller one (a benchmark, a list of passages): a row for each common anchor."""
+    both = left.select(F.col(key).alias(f"left_{key}"), F.col("place").alias("_l"), "anchor").join(right.select(F.col(key).alias(f"right_{key}"), F.col("place").alias("_r"), "anchor"), "anchor")
+    runs = both.groupBy(f"left_{key}", f"right_{key}", (F.col("_r") - F.col("_l")).alias("distance")).agg(F.count("*").alias("matches"), F.min("_l").alias("first"), F.max("_l").alias("last"))
+    return runs.where(F.col("matches") >= least)
 
 
 def as_text(anchor_array: Column) -> Column:

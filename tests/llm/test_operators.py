@@ -491,6 +491,27 @@ def test_syncmers_are_context_free(spark):
     assert len(a[0]) == fingerprints.SIZE and len(a[0] & a[1]) > 30
 
 
+def test_passages_are_found_by_position(spark, odd, none):
+    """A passage of 60 words in texts of 3,000 to 20,000 words is found where it stands; the summary of 64 hashes would miss most."""
+    rng = random.Random(7)
+    word = lambda: f"w{rng.randrange(5000)}"
+    planted = [" ".join(word() for _ in range(60)) for _ in range(30)]
+    places, texts = [], []
+    for i, p in enumerate(planted):
+        n = [3000, 10_000, 20_000][i % 3]
+        at = rng.randrange(n)
+        w = [word() for _ in range(n)]
+        texts.append((i, " ".join([*w[:at], p, *w[at:]]), "x"))
+        places.append(at)
+    docs = spark.createDataFrame(texts, "doc_id long, text string, anchor string")
+    found = fingerprints.passages(fingerprints.anchor_table(spark.createDataFrame(list(enumerate(planted)), "doc_id long, text string")), fingerprints.anchor_table(docs)).collect()
+    hits = {r["left_doc_id"] for r in found if r["left_doc_id"] == r["right_doc_id"] and r["distance"] == places[r["left_doc_id"]] and r["matches"] >= 20}
+    assert len(hits) >= 0.9 * len(planted)
+    assert all(r["left_doc_id"] == r["right_doc_id"] for r in found)
+    table = {r[0]: r[1] for r in fingerprints.anchor_table(odd).groupBy("doc_id").count().collect()}
+    assert 1 not in table and 2 not in table and table[9] == 1 and fingerprints.anchor_table(none).count() == 0
+
+
 def test_embedding_join(spark, none):
     rng = np.random.default_rng(8)
     centres = rng.normal(size=(40, 16))
