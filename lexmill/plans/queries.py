@@ -292,6 +292,15 @@ def metadata_manifest_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.public_rows(corpus(spark, sf_dir))
 
 
+@query(f"""WITH {CORPUS_SQL}, leaves AS (SELECT id, sha256('{{"id":"' || id || '","lineage_id":"' || lineage_id || '","ord":' || ord || ',"split":"' || split || '"}}') AS d FROM corpus),
+placed AS (SELECT d, row_number() OVER (ORDER BY id, d) - 1 AS i FROM leaves), runs AS (SELECT i // 4096 AS i, sha256(string_agg(d, '' ORDER BY i)) AS d FROM placed GROUP BY 1)
+SELECT (SELECT count(*) FROM leaves) AS records, CASE WHEN count(*) = 1 THEN max(d) ELSE sha256(string_agg(d, '' ORDER BY i)) END AS record_digest FROM runs""")
+def record_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The root of the hash tree over the rows in the order of their ids."""
+    d = corpus(spark, sf_dir).select("split", "ord", "id", "lineage_id")
+    return d.agg(F.count("*").alias("records")).withColumn("record_digest", F.lit(records.table_digest(d, ["id"])))
+
+
 # --- metrics ----------------------------------------------------------------------------------------------------
 
 
