@@ -11,7 +11,8 @@ MIN_CHARS, hashed as wholes. As in winnowing, every run of that size holds one a
 lines alone; but no minimum of a few line hashes stands for a window, since it would be shared with other,
 shorter runs, whose earliest place hides the others. Both kinds of windows together reach to a run's ends,
 which is the extension both ways. So a fingerprint needs its earliest occurrence only: one partial
-aggregate finds it, one join of positions the later ones, whose lines go. First occurrences stay.
+aggregate finds it, one join of positions the later ones, whose lines go. First occurrences stay, but for repeats that overlap
+themselves: of five equal lines of 75 characters in a row, a run of two stands again one line on, so only the first line stays.
 
 Semantics: lines are equal if they agree but for blanks at their ends; blank lines alone are no run;
 null text stays null, empty text empty, rows without an id stay as they are; rows that repeat an id with

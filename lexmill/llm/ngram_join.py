@@ -227,7 +227,8 @@ def ngram_join(documents: DataFrame, n: int = 5, num: int = 3, den: int = 4, tex
 def keep_one(documents: DataFrame, n: int = 5, num: int = 3, den: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of documents, all their columns, of which one stays of each group of near duplicates: that of the least
     id, and of the least text hash among rows of one id. Rows are told by id and text, so a text that has no near
-    duplicate stays even if another row of its id goes, and of equal rows one stays. Texts without words all stay."""
+    duplicate stays even if another row of its id goes, and of equal rows one stays. Texts without words all stay, and so do rows
+    without an id, which are near duplicates of nothing, not even of each other."""
     groups = Scratch(documents.sparkSession, "groups").save(_groups(documents, n, num, den, text, key).where("n > 0 and component_id is not null"))
     stays = groups.where("id is not null").groupBy("component_id").agg(F.min(F.struct("id", "mark")).alias("s"))
     told = groups.groupBy("component_id", "id", "mark").agg(F.count("*").alias("times")).join(stays, "component_id")

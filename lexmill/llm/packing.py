@@ -9,7 +9,8 @@ by their rank among the documents of their length, a distributed numbering.
 
 Semantics: null text is an empty document (one end token); repeated rows are packed as rows of their
 own; only documents over the limit are cut, from their end into whole pieces, so that the first piece
-may be shorter; extra columns are ignored; an empty table gives an empty result.
+may be shorter; rows without an id are packed like others, in the place of null among equal lengths; documents of one length are alike to
+the plan and take places by id; extra columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
