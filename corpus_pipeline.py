@@ -15,28 +15,33 @@ from lexmill.llm.common import Scratch, read
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents whose quality score is under 0.3; learns from the labelled rows it is given."""
+    """Drops documents whose quality score is under 0.3; learns from the labelled rows it is given. Null and wordless texts score 0 and go;
+    rows without an id are scored like others, and repeated rows stay or go together."""
     model = quality.fit(docs, read(spark, sf_dir, "labels"))
     return quality.keep_good(docs, model, 0.3)
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents without a letter or whose language no class is at least even odds for."""
+    """Drops documents without a letter (null texts among them) or whose language no class is at least even odds for. Null languages
+    are not learned from; repeated rows stay or go together."""
     return language_id.keep_known(docs, language_id.fit(docs), 0.5)
 
 
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cuts later repeated runs of lines out of the texts; no row goes."""
+    """Cuts later repeated runs of lines out of the texts; no row goes. Null texts and rows without an id stay as they are; n_chars follows the text where it
+    was cut, also to nothing."""
     cut = line_dedup.dedup_lines(docs)
     return cut.withColumn("n_chars", F.when(F.col("_removed").isNull(), F.col("n_chars")).otherwise(F.length("text").cast("long"))).select(*docs.columns)
 
 
 def ngram_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one row, that of the least id, of each group of near duplicates; texts without words all stay."""
+    """Keeps one row, that of the least id, of each group of near duplicates; texts without words and rows without an id all stay, of
+    equal rows with an id one."""
     return ngram_join.keep_one(docs).select(*docs.columns)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The place of every piece of every row it is given in sequences of 2,048 tokens; a null text is an end token, repeated rows are packed each."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
