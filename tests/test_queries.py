@@ -24,8 +24,14 @@ def test_rows_only(spark):
     assert q["file_manifest"](spark, SF).count() == 14
     p = q["platt_crossfit"](spark, SF)
     assert p.count() == q["confusion_matrix"](spark, SF).selectExpr("tn + fp + fn + tp").first()[0]
-    assert p.where("calibrated is null or calibrated < 0 or calibrated > 1").count() == 0
-    assert set(q["tfidf_lr_scores"](spark, SF).columns) == {"id", "label", "probability"}
+    for name in ("tfidf_lr_scores", "fusion_scores"):
+        got = q[name](spark, SF).collect()
+        assert got and all(0 < r["probability"] < 1 for r in got) and len({r["id"] for r in got}) == len(got)
+    low, mid, high = q["bootstrap_auc_lineitem"](spark, SF).first()
+    auc = q["ranking_unbounded"](spark, SF).agg({"roc_auc": "avg"}).first()[0]
+    assert low < mid < high and abs(mid - auc) < 0.05
+    windows = q["encoded_windows"](spark, SF).collect()
+    assert len(windows) == p.count() and all(len(r["windows"]) == 3 and {len(w) for w in r["windows"]} == {256} and len(r["features"]) == 23 for r in windows)
 
 
 def test_entry(spark):
