@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import Scratch, global_order, map_batches
+from .common import Scratch, global_order, map_batches, slices
 
 COMMON = re.compile(r"[\x00-ɏ]*")
 
@@ -85,14 +85,15 @@ def pieces(docs: DataFrame, path: str, limit: int, end_id: int = 0, text: str =
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         t = tokens(path)
         row, no, start, length, crc = [], [], [], [], []
-        for i, s in enumerate(batch.column(1).to_pylist()):
-            ids = np.append(t.ids(s or ""), np.uint32(end_id)).astype("<u4")
-            for k, (a, n) in enumerate(cut(len(ids), limit)):
-                row.append(i)
-                no.append(k)
-                start.append(a)
-                length.append(n)
-                crc.append(zlib.crc32(ids[a : a + n].tobytes()))
+        for at, some in slices(batch.column(1)):
+            for i, s in enumerate(batch.column(1).slice(at, some).to_pylist(), at):
+                ids = np.append(t.ids(s or ""), np.uint32(end_id)).astype("<u4")
+                for k, (a, n) in enumerate(cut(len(ids), limit)):
+                    row.append(i)
+                    no.append(k)
+                    start.append(a)
+                    length.append(n)
+                    crc.append(zlib.crc32(ids[a : a + n].tobytes()))
         return pa.RecordBatch.from_arrays(
             [batch.column(0).take(pa.array(row, pa.int64())), pa.array(no, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())],
             names=[key, "piece", "start", "length", "ids_crc32"],
