@@ -6,6 +6,7 @@ executor are written as Parquet below ``spark.checkpoint.dir``.
 
 from __future__ import annotations
 
+import ctypes
 import uuid
 from collections.abc import Iterator
 
@@ -57,6 +58,14 @@ def crc32_mod(col: str | Column, n: int) -> Column:
     return F.pmod(F.crc32(F.col(col).cast("string") if isinstance(col, str) else col.cast("string")), F.lit(n))
 
 
+def give_back() -> None:
+    """Returns what a finished task has freed to the system: workers live on, and what they kept would add up over tasks and stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
+
+
 def map_batches(df: DataFrame, fn, schema: str | T.StructType) -> DataFrame:
     """mapInArrow over pandas-free batches: fn(pa.RecordBatch) -> pa.RecordBatch | pa.Table | None."""
 
@@ -66,6 +75,7 @@ def map_batches(df: DataFrame, fn, schema: str | T.StructType) -> DataFrame:
                 out = fn(batch)
                 if out is not None:
                     yield from out.to_batches() if isinstance(out, pa.Table) else [out]
+        give_back()
 
     return df.mapInArrow(run, schema)
 
