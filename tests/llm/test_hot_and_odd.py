@@ -47,6 +47,19 @@ def test_clustered_vectors_are_not_replicated_everywhere(spark):
     assert seen["pivots"] == 20 and seen["classes"] == 1200 and seen["replicas"] < 0.5 * 20 * 1200
 
 
+def test_vectors_without_structure_travel_to_blocks(spark, monkeypatch):
+    """All cells are in reach of all vectors here; what is shuffled is a vector times the blocks, not times cells and their parts."""
+    monkeypatch.setattr(embedding_join, "HOME_BLOCK", 100)
+    rng = np.random.default_rng(6)
+    v = rng.normal(size=(1000, 64)).astype(np.float32).astype(float)
+    v[500:520] = v[3] + rng.normal(size=(20, 64)) * 0.2  # not of single precision
+    seen: dict = {}
+    got = {r["vec_id"]: r["n_links"] for r in embedding_join.near_vectors(_vectors(spark, [(i, x.tolist()) for i, x in enumerate(v)]), 0.9, cell_rows=25, seen=seen).collect()}
+    u = v / np.linalg.norm(v, axis=1, keepdims=True)
+    assert got == dict(enumerate(((u @ u.T >= 0.9).sum(1) - 1).tolist())) and sum(got.values()) > 20
+    assert seen["pivots"] == 40 and seen["replicas"] > 20 * 1000 and seen["sent"] <= 20 * 1000
+
+
 def test_one_labelled_id_in_most_rows(spark):
     """What the driver gets is a row an id."""
     rng = random.Random(1)
