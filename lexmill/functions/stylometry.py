@@ -1,10 +1,13 @@
-"""Twenty-three stylometric features as one struct of doubles, without a UDF."""
+"""Twenty-three stylometric features as one struct of doubles, worked out on Arrow batches of texts by whole arrays of characters."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, functions as F
+from collections.abc import Iterator
 
-from .text import SPACES, strip
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, functions as F, types as T
 
 #: What counts as a word.
 WORD = r"[A-Za-z]+(?:'[A-Za-z]+)?"
@@ -21,75 +24,122 @@ NAMES = [
 ]
 
 
-def _bind(value: Column, fn) -> Column:
-    """fn(value) with value computed once."""
-    return F.element_at(F.transform(F.array(value), fn), 1)
-
-
-def _sum(a: Column, f=lambda x: x) -> Column:
-    return F.aggregate(a, F.lit(0.0), lambda s, x: s + f(x).cast("double"))
-
-
-def _mean(a: Column) -> Column:
-    return F.when(F.size(a) == 0, F.lit(0.0)).otherwise(_sum(a) / F.size(a))
-
-
-def _std(a: Column) -> Column:
-    """Population deviation; 0 for fewer than two values. The mean is bound: inside a lambda it would be computed anew
-    for every element."""
-    return F.when(F.size(a) < 2, F.lit(0.0)).otherwise(_bind(_mean(a), lambda m: F.sqrt(_sum(a, lambda x: F.pow(x - m, F.lit(2))) / F.size(a))))
-
-
-def _skew(a: Column) -> Column:
-    return _bind(F.struct(_mean(a).alias("m"), _std(a).alias("s")), lambda v: F.when(v["s"] == 0, F.lit(0.0)).otherwise(_sum(a, lambda x: F.pow((x - v["m"]) / v["s"], F.lit(3))) / F.size(a)))
-
-
-def _entropy(window: Column) -> Column:
-    n = F.length(window)
-
-    def of(chars: Column) -> Column:
-        # runs of equal characters in sorted order: fold (previous, run length, sum of c log2 c)
-        start = F.struct(F.lit("").alias("c"), F.lit(0.0).alias("k"), F.lit(0.0).alias("s"))
-        gain = lambda k: F.when(k > 0, k * F.log2(k)).otherwise(F.lit(0.0))
-
-        def step(a: Column, c: Column) -> Column:
-            same = a["c"] == c
-            return F.struct(c.alias("c"), F.when(same, a["k"] + 1.0).otherwise(F.lit(1.0)).alias("k"), F.when(same, a["s"]).otherwise(a["s"] + gain(a["k"])).alias("s"))
-
-        total = F.aggregate(chars, start, step, lambda a: a["s"] + gain(a["k"]))
-        return F.log2(n.cast("double")) - total / n
-
-    return F.when(n == 0, F.lit(0.0)).otherwise(_bind(F.array_sort(F.filter(F.split(window, ""), lambda c: c != "")), of))
-
-
-def _hapax(w: Column) -> Column:
-    """Types that occur once, by the neighbours in sorted order."""
-    return _bind(F.array_sort(w), lambda a: F.size(F.filter(F.transform(a, lambda x, i: (F.get(a, i - 1).eqNullSafe(x)) | (F.get(a, i + 1).eqNullSafe(x))), lambda repeated: ~repeated)))
+#: Characters that are worked on at once, one text at least.
+SLICE = 1 << 18
+_SPACE = np.array([*range(9, 14), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000], np.uint32)
+_FUNCTION_WORDS = frozenset(w.encode() for w in FUNCTION_WORDS)
+
+
+def _spread(total: np.ndarray, row: np.ndarray, x: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Mean and population deviation of the values x of each row, both 0 without values, and the sums of the third powers of deviations."""
+    mean = np.bincount(row, x, total) / np.maximum(n, 1)
+    off = x - mean[row]
+    return mean, np.where(n < 2, 0.0, np.sqrt(np.bincount(row, off * off, total) / np.maximum(n, 1))), np.bincount(row, off**3, total)
+
+
+def _parts(total: int, row: np.ndarray, cut: np.ndarray, solid: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row and words of the parts that cuts (the characters that end a part) leave, of those that hold a solid character."""
+    edge = cut.copy()
+    edge[1:] |= row[1:] != row[:-1]  # a first character starts a part as one behind a cut does
+    part = np.cumsum(edge)
+    count = int(part[-1]) + 1 if len(part) else 0
+    holds = np.bincount(part[solid & ~cut], minlength=count) > 0
+    of = np.zeros(count, np.int64)
+    of[part] = row
+    return of[holds], np.bincount(part[word], minlength=count)[holds].astype(float)
+
+
+def _measure(texts: list[str]) -> np.ndarray:
+    """One row of NAMES a text."""
+    total = len(texts)
+    size = np.array([len(t) for t in texts], np.int64)
+    c = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+    row = np.repeat(np.arange(total), size)
+    at = np.arange(len(c)) - np.repeat(np.cumsum(size) - size, size)
+    inner = np.concatenate([row[1:] == row[:-1], [False]])[: len(c)]  # the next character is of the same text
+    letter = ((c | 32) >= 97) & ((c | 32) <= 122) & (c < 128)
+    # A word: letters, and an apostrophe with letters once; what follows a second apostrophe is a word of its own.
+    before = np.concatenate([[False], letter[:-1] & inner[:-1]])[: len(c)]
+    after = np.concatenate([letter[1:], [False]])[: len(c)] & inner
+    link = (c == 39) & before & after
+    begin = np.flatnonzero(letter & ~before)
+    end = np.flatnonzero(letter & ~after) + 1  # of runs of letters
+    if len(begin):
+        joined = np.concatenate([[False], link[end[:-1]] & (begin[1:] == end[:-1] + 1)])  # to the run before
+        first = np.flatnonzero(~joined)
+        place = np.arange(len(begin)) - np.repeat(first, np.diff(np.append(first, len(begin))))
+        starts = np.flatnonzero(place % 2 == 0)
+        last = np.append(starts[1:], len(begin)) - 1
+        start, stop, quoted = begin[starts], end[last], last > starts
+    else:
+        start, stop, quoted = begin, end, np.zeros(0, bool)
+    who, long = row[start], (stop - start).astype(float)
+    n = np.bincount(who, minlength=total).astype(float)
+    d = np.maximum(n, 1.0)
+    # Words by their number among the slice's distinct ones.
+    low = np.where(letter, c | 32, c).astype(np.uint32)
+    raw = np.where(low < 128, low, 0).astype(np.uint8)
+    bound = np.concatenate([[0], np.cumsum(stop - start)]).astype(np.int32)
+    chars = raw[np.arange(bound[-1]) + np.repeat(start - bound[:-1], stop - start)]
+    coded = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(bound), pa.py_buffer(np.ascontiguousarray(chars))]).dictionary_encode()
+    code, words = coded.indices.to_numpy().astype(np.int64), coded.dictionary.to_pylist()
+    pairs, times = np.unique(who * max(1, len(words)) + code, return_counts=True)
+    types, hapax = (np.bincount(x // max(1, len(words)), minlength=total) for x in (pairs, pairs[times == 1]))
+    common = np.array([w in _FUNCTION_WORDS for w in words], bool)
+    is_start = np.zeros(len(c), bool)
+    is_start[start] = True
+    solid = ~np.isin(c, _SPACE)
+
+    # A sentence ends at runs of its marks: all of them are cuts, and parts without solid characters go.
+    of, length = _parts(total, row, (c == 46) | (c == 33) | (c == 63), solid, is_start)
+    sentences = np.bincount(of, minlength=total).astype(float)
+    s_mean, s_std, s_third = _spread(total, of, length, sentences)
+    # A paragraph ends where the white space between solid characters holds two newlines.
+    lines = np.cumsum(c == 10)
+    marks = np.flatnonzero(solid)
+    gap = np.zeros(len(c), bool)
+    if len(marks) > 1:
+        gap[marks[1:][lines[marks[1:]] - lines[marks[:-1]] >= 2]] = True
+    edge = np.cumsum(gap | np.concatenate([[True], ~inner[:-1]])[: len(c)])
+    of_solid, part = row[marks], edge[marks]
+    heads = np.flatnonzero(np.concatenate([[True], (part[1:] != part[:-1]) | (of_solid[1:] != of_solid[:-1])]))[: len(marks)]
+    p_row = of_solid[heads]
+    held = np.bincount(edge[start], minlength=(edge[-1] + 1) if len(edge) else 1)
+    p_count = np.bincount(p_row, minlength=total).astype(float)
+    _, p_std, _ = _spread(total, p_row, held[part[heads]].astype(float), p_count)
+    w_mean, w_std, _ = _spread(total, who, long, n)
+    # Entropy of windows of 128 characters.
+    windows = np.maximum(1, -(-size // 128))
+    window = np.repeat(np.cumsum(windows) - windows, size) + at // 128
+    seen = np.sort(window.astype(np.int64) << 21 | c)
+    heads = np.flatnonzero(np.concatenate([[True], seen[1:] != seen[:-1]]))[: len(seen)]
+    k = np.diff(np.append(heads, len(seen))).astype(float)
+    filled = np.bincount(window, minlength=int(windows.sum())).astype(float)
+    e = np.where(filled > 0, np.log2(np.maximum(filled, 1)) - np.bincount(seen[heads] >> 21, k * np.log2(k), int(windows.sum())) / np.maximum(filled, 1), 0.0)
+    e_mean, e_std, _ = _spread(total, np.repeat(np.arange(total), windows), e, windows.astype(float))
+    skew = np.where(s_std == 0, 0.0, s_third / np.where(s_std == 0, 1.0, s_std) ** 3 / np.maximum(sentences, 1))
+    marks = [100.0 * np.bincount(row[c == ord(x)], minlength=total) / d for x in PER_100.values()]
+    return np.stack([
+        n, sentences, s_mean, s_std, skew, p_count, p_std, types / d, hapax / d, w_mean, w_std, 1 - types / d,
+        np.bincount(who[quoted], minlength=total) / d, np.bincount(who[common[code]], minlength=total) / d, *marks, e_mean, e_std,
+    ], axis=1)
+
+
+def _rows(texts: pa.Array) -> Iterator[np.ndarray]:
+    off = np.concatenate([[0], np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy().astype(np.int64))])
+    a = 0
+    while a < len(texts):
+        z = max(a + 1, int(np.searchsorted(off, off[a] + SLICE, side="right")) - 1)
+        yield _measure([t or "" for t in texts.slice(a, z - a).to_pylist()])
+        a = z
+
+
+@F.arrow_udf(T.StructType([T.StructField(n, T.DoubleType()) for n in NAMES]))
+def _features(texts: pa.Array) -> pa.Array:
+    m = np.concatenate([*_rows(texts), np.zeros((0, len(NAMES)))])
+    return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(m[:, i])) for i in range(len(NAMES))], NAMES)
 
 
 def features(text: Column) -> Column:
     """A struct of the features in NAMES, all doubles; null text counts as empty."""
-    t = F.coalesce(text, F.lit(""))
-    lower = F.transform(F.regexp_extract_all(t, F.lit(f"({WORD})"), F.lit(1)), lambda w: F.lower(w))
-    parts = lambda pattern: F.filter(F.split(t, pattern), lambda s: strip(s) != "")
-    length = lambda a: F.transform(a, lambda s: F.size(F.regexp_extract_all(s, F.lit(f"({WORD})"), F.lit(1))).cast("double"))
-    size = F.greatest(F.length(t), F.lit(1))
-    windows = F.transform(F.sequence(F.lit(0), size - 1, F.lit(128)), lambda i: F.substring(t, i + 1, F.lit(128)))
-    # Each array is computed once: a struct of arrays is bound, then the features are read from it.
-    base = F.struct(lower.alias("w"), length(parts("[.!?]+")).alias("s"), length(parts(rf"\n{SPACES}*\n")).alias("p"), F.transform(windows, _entropy).alias("e"))
-
-    def build(b: Column) -> Column:
-        w, s, p, e = b["w"], b["s"], b["p"], b["e"]
-        n = F.size(w).cast("double")
-        d = F.greatest(n, F.lit(1.0))
-        types = F.size(F.array_distinct(w))
-        lengths = F.transform(w, lambda x: F.length(x).cast("double"))
-        count = lambda c: (F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))).cast("double")
-        values = [
-            n, F.size(s).cast("double"), _mean(s), _std(s), _skew(s), F.size(p).cast("double"), _std(p), types / d, _hapax(w) / d,
-            _bind(lengths, _mean), _bind(lengths, _std), 1 - types / d, F.size(F.filter(w, lambda x: F.contains(x, F.lit("'")))) / d,
-            F.size(F.filter(w, lambda x: x.isin(FUNCTION_WORDS))) / d, *[100.0 * count(c) / d for c in PER_100.values()], _mean(e), _std(e),
-        ]
-        return F.struct(*[v.cast("double").alias(k) for k, v in zip(NAMES, values, strict=True)])
-
-    return _bind(base, build)
+    return _features(text)

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions import numeric, text as tx
 from ..functions.stylometry import FUNCTION_WORDS, NAMES, PER_100
 from ..operators import audit, calibrate, evaluate, features, models, records, sampling
-from ..session import broadcast_up_to, shared_folder
+from ..session import broadcast_up_to, shared_folder, written
 from ..sources import adapters, files
 from ..streaming.argmin import BestRowStore, source_revision
 from .fixtures import CONV_SQL, CORPUS_SQL, LABELLED_SQL, PROMPTS_SQL, SCORED_SQL, SEED, UNIT, canon_sql, conversations, corpus, labelled, prompts, scored, table
@@ -533,7 +533,7 @@ def feature_norm_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_STYLE_SQL} SELECT doc_id, {', '.join(f'round(({n} - avg({n}) OVER ()) / (CASE WHEN stddev_pop({n}) OVER () = 0 THEN 1 ELSE stddev_pop({n}) OVER () END), 4) AS {n}' for n in NAMES)} FROM style")
 def feature_zscores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _style(spark, sf_dir)
+    f = written(_style(spark, sf_dir))  # read twice, 23 numbers a text
     z = features.normalize_features(f, features.fit_normalizer(f))
     return z.select("doc_id", *[F.round(n, 4).alias(n) for n in NAMES])
 
@@ -598,8 +598,9 @@ def tfidf_lr_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _with_style(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the features, which are worked out once; while few, they go to the texts, so that no texts are shuffled."""
     d = _split(spark, sf_dir)
-    return d.join(features.stylometric_features(d), "id")
+    return d.join(broadcast_up_to(features.stylometric_features(d)), "id")
 
 
 @query()

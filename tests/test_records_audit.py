@@ -2,6 +2,7 @@
 
 import json
 import math
+import random
 import re
 import unicodedata
 
@@ -106,6 +107,23 @@ def test_audit_passes(spark):
         audit.near_pairs(rec(spark, {}), 0)
 
 
+def test_stylometry_of_many_texts_at_once(spark):
+    """Whatever stands before and after it in a batch, a text has the values it has alone; no element-wise lambdas in the plan."""
+    rng = random.Random(11)
+    parts = ["a", "It's", "o'n'e", "'", "''", " ", "\n", "\n \n", "\u2028", ".", "?!", "...", "the", "É", "\U0001f600", "-", "word " * 40, "\x1c", "\n\n\n"]
+    texts = [None, "", " ", "\n\n", "."] + ["".join(rng.choices(parts, k=rng.randint(1, 30))) for _ in range(120)]
+    alone = [stylometry._measure([t or ""])[0] for t in texts]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, text string").coalesce(1)
+    got = features.stylometric_features(df)
+    assert "lambda" not in got._jdf.queryExecution().toString()
+    for r in got.collect():
+        assert [r[n] for n in stylometry.NAMES] == pytest.approx(alone[r["id"]].tolist(), abs=1e-9)
+        t = texts[r["id"]] or ""
+        words = [w.lower() for w in re.findall(r"[A-Za-z]+(?:'[A-Za-z]+)?", t)]
+        assert r["word_count"] == len(words) and r["hapax_rate"] == pytest.approx(sum(words.count(w) == 1 for w in words) / max(1, len(words)))
+        assert r["sentence_count"] == sum(bool(s.strip()) for s in re.split(r"[.!?]+", t)) and r["paragraph_count"] == sum(bool(s.strip()) for s in re.split(r"\n\s*\n", t))
+
+
 def test_near_pairs_against_brute_force(spark):
     import random
 
