@@ -210,3 +210,15 @@ def test_commands(spark, tmp_path, capsys, monkeypatch):
     assert set(files.read_json(f"{base}/out/calibration.json")) == {"ranking", "platt", "crossfit", "operating_points"}
     with pytest.raises(SystemExit):
         workflows.main(["unknown"])
+
+
+def test_token_ids_in_steps(spark):
+    """Ids are the library's, null and empty texts included, however few characters go through it at once."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    texts = [None, "", "A text.", "ééé \U0001f600 " * 50, "words and words " * 200, None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, text string").coalesce(1)
+    want = {i: features._tokenizer(path).encode(t or "", add_special_tokens=False).ids for i, t in enumerate(texts)}
+    for step in (1, 700, 1 << 18):
+        assert {r["id"]: r["i"] for r in df.select("id", features.token_ids(F.col("text"), path, step).alias("i")).collect()} == want
