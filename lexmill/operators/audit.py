@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.text import canonical, shingles, strip
-from ..session import settled, spread
+from ..session import give_back, settled, spread
 
 SPLITS = ["train", "development", "calibration", "sealed_test"]
 #: Rules in the order of their ranks.
@@ -33,6 +33,8 @@ def _violation(rule: int, df: DataFrame, other: Column | None = None, other_spli
 
 #: Buckets of the frequency sketch by which shingles are ordered, and 64-bit words of the bitmaps that sets are compared by.
 SKETCH, WORDS = 1 << 17, 8
+#: Shingles that are worked on at once, one set at least.
+SHINGLES = 1 << 17
 
 
 def _hashed_sets(df: DataFrame, key: str, text: str, n: int = 5) -> DataFrame:
@@ -53,8 +55,17 @@ def near_pairs(df: DataFrame, threshold: float = 0.85, across: bool = True, key:
     for b, n in sets.select(F.explode(F.transform("g", lambda x: F.pmod(x, F.lit(SKETCH)))).alias("b")).groupBy("b").count().collect():  # at most SKETCH rows
         often[b] = n
 
-    def prefixes(batches):
+    def slices(batches):
         for batch in batches:
+            off, a = batch.column(2).offsets.to_numpy().astype(np.int64), 0
+            while a < batch.num_rows:
+                z = max(a + 1, int(np.searchsorted(off, off[a] + SHINGLES, side="right")) - 1)
+                yield batch.slice(a, z - a)
+                a = z
+            give_back()
+
+    def prefixes(batches):
+        for batch in slices(batches):
             row, left, size, hashes, maps = [], [], [], [], []
             for i, g in enumerate(batch.column(2)):
                 h = g.values.to_numpy()

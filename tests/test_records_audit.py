@@ -293,6 +293,16 @@ def test_large_files_are_streamed(spark, tmp_path):
     assert ("sparse", digest, 3 << 30) in {tuple(r) for r in files.file_manifest(spark, str(tmp_path)).collect()}
 
 
+def test_near_pairs_in_slices(spark, monkeypatch):
+    """However few shingles are worked on at once, pairs are the same; no array of a whole batch is made."""
+    words = [f"w{i}" for i in range(40)]
+    rows = [(i, "train" if i % 2 else "development", " ".join(words[: 20 + i % 5] + [f"x{i // 4}"] * 3)) for i in range(60)]
+    df = spark.createDataFrame(rows, "id int, split string, text string").coalesce(1)
+    plain = sorted(map(tuple, audit.near_pairs(df, 0.6).collect()))
+    monkeypatch.setattr(audit, "SHINGLES", 50)
+    assert sorted(map(tuple, audit.near_pairs(df, 0.6).collect())) == plain and plain
+
+
 def test_near_pairs_of_many_edits(spark):
     """Sets just over and under the threshold, equal texts, one word texts and blanks, against all pairs."""
     rng = __import__("random").Random(8)
