@@ -28,9 +28,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import slices, text_bytes
+from .common import mix, powers, slices, text_bytes
 
 CHUNK, LONG, MARK = 10_000_000, 60, "▁"
 _MODELS: dict = {}
@@ -85,20 +86,77 @@ class Cutter:
     def _classes(self, points: np.ndarray) -> np.ndarray:
         return np.where(points == ord(MARK), self.EDGE + 1, np.minimum(points, self.EDGE))
 
-    def words(self, text: str) -> list[str]:
-        if not text:
-            return []
-        s = MARK + text.replace(" ", MARK)
+    def cut(self, texts: list[str | None]) -> tuple[str, np.ndarray, np.ndarray, np.ndarray]:
+        """All texts end to end as one string and as code points, the borders of its words, and how many words each text has."""
+        parts = [MARK + t.replace(" ", MARK) if t else "" for t in texts]
+        s = "".join(parts)
         points = self._points(s)
-        c = self._classes(points)
-        joint = self.joint[c[:-1], c[1:]]
+        if not s:
+            return s, points, np.zeros(1, np.int64), np.zeros(len(texts), np.int64)
+        c = self._classes(points).astype(np.int32)
+        joint = self.joint.reshape(-1)[c[:-1] * np.int32(len(self.joint)) + c[1:]]
         odd = c == self.EDGE
-        if odd.any() and len(self.wide):
+        if len(self.wide) and odd.any():
             at = np.flatnonzero(odd[:-1] | odd[1:])
-            pairs = self._pairs(points)[at]
+            pairs = (points[at].astype(np.uint64) << np.uint64(32)) | points[at + 1]
             joint[at] = self.wide[np.minimum(np.searchsorted(self.wide, pairs), len(self.wide) - 1)] == pairs
-        at = (np.flatnonzero(~joint) + 1).tolist()
-        return [s[a:b] for a, b in zip([0, *at], [*at, len(s)], strict=True)]
+        ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
+        joint[ends[(ends > 0) & (ends < len(s))] - 1] = False  # texts end words
+        borders = np.concatenate([[0], np.flatnonzero(~joint) + 1, [len(s)]])
+        return s, points, borders, np.diff(np.searchsorted(borders, np.append(0, ends)))
+
+    def words(self, text: str) -> list[str]:
+        s, _, borders, _ = self.cut([text])
+        return [s[i:k] for i, k in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)]
+
+
+_CODES = np.random.default_rng(0x51CE).integers(1, 2**63, 1 << 16, dtype=np.uint64)
+
+
+def span_hashes(points: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """64-bit hashes of what lies between neighbouring borders."""
+    p, inv = powers(len(points) + 1)
+    run = np.zeros(len(points) + 1, np.uint64)
+    np.cumsum((_CODES[points & 0xFFFF] + (points >> 16)) * p[: len(points)], out=run[1:])
+    run = run[borders]
+    return mix((run[1:] - run[:-1]) * inv[borders[:-1]] + np.diff(borders).astype(np.uint64))
+
+
+class Numbers:
+    """Distinct 64-bit hashes numbered as they come (0, 1, ...), in open addressing, whole arrays at a time."""
+
+    def __init__(self) -> None:
+        self.hashes = np.zeros(0, np.uint64)
+        self.slots = np.full(1 << 10, -1, np.int32)
+
+    def _home(self, h: np.ndarray) -> np.ndarray:
+        return (h & np.uint64(len(self.slots) - 1)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The number of each hash, or -1."""
+        out = np.full(len(h), -1, np.int64)
+        left, at = np.arange(len(h)), self._home(h)
+        while len(left) and len(self.hashes):
+            got = self.slots[at]
+            same = (got >= 0) & (self.hashes[got] == h[left])
+            out[left[same]] = got[same]
+            on = (got >= 0) & ~same
+            left, at = left[on], (at[on] + 1) & (len(self.slots) - 1)
+        return out
+
+    def add(self, h: np.ndarray) -> None:
+        """h: distinct, and none of them there."""
+        left = np.arange(len(self.hashes), len(self.hashes) + len(h), dtype=np.int32)
+        self.hashes = np.concatenate([self.hashes, h])
+        if 2 * len(self.hashes) > len(self.slots):
+            self.slots = np.full(1 << (4 * len(self.hashes)).bit_length(), -1, np.int32)
+            left = np.arange(len(self.hashes), dtype=np.int32)
+        at = self._home(self.hashes[left])
+        while len(left):
+            free = self.slots[at] < 0
+            self.slots[at[free]] = left[free]  # of several for one slot, one stays
+            on = self.slots[at] != left
+            left, at = left[on], (at[on] + 1) & (len(self.slots) - 1)
 
 
 _CUTTERS: dict[str, Cutter] = {}
@@ -230,10 +288,10 @@ def _chunk_words(path: str):
 
 def _distinct(cut_: Cutter, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(word, chunk): the distinct words of each chunk, sorted."""
-    now, seen = None, set()
+    now, seen, words = None, Numbers(), []
 
     def told() -> Iterator[pa.RecordBatch]:
-        words = sorted(w for w in seen if len(w) <= LONG)
+        words.sort()
         for a in range(0, len(words), 50_000):
             part = pa.array(words[a : a + 50_000], pa.string())
             yield pa.RecordBatch.from_arrays([part, pa.array(np.full(len(part), now, np.int64))], names=["word", "chunk"])
@@ -241,10 +299,16 @@ def _distinct(cut_: Cutter, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
     for chunk, part in _chunks(batches):
         if chunk != now:
             yield from told()
-            now, seen = chunk, set()
-        for t in part.column(1).to_pylist():
-            if t:
-                seen.update(cut_.words(t))
+            now, seen, words = chunk, Numbers(), []
+        for a, k in slices(part.column(1), 256, 1 << 18):
+            s, points, borders, _ = cut_.cut(part.column(1).slice(a, k).to_pylist())
+            h = span_hashes(points, borders)
+            fresh = np.flatnonzero(seen.find(h) < 0)
+            h, first = np.unique(h[fresh], return_index=True)
+            seen.add(h)
+            fresh = fresh[first]
+            fresh = fresh[borders[fresh + 1] - borders[fresh] <= LONG]
+            words += [s[i:j] for i, j in zip(borders[fresh].tolist(), borders[fresh + 1].tolist(), strict=True)]
     yield from told()
 
 
@@ -325,21 +389,49 @@ def _joined(table: np.ndarray, ids: np.ndarray) -> str:
     return t[1:] if t.startswith(" ") else t
 
 
+class Dictionary:
+    """Finds words by hash and compares them character by character, so that equal hashes of different words do no harm."""
+
+    def __init__(self, names: list[pa.Array]):
+        words = pa.chunked_array(names, pa.string()).combine_chunks()
+        self.n = len(words)
+        self.points = Cutter._points(text_bytes(words)[0].tobytes().decode())
+        self.borders = np.concatenate([[0], np.cumsum(pc.utf8_length(words).to_numpy())]).astype(np.int64)
+        h, self.which = np.unique(span_hashes(self.points, self.borders), return_index=True)
+        self.numbers = Numbers()
+        self.numbers.add(h)
+
+    def find(self, points: np.ndarray, borders: np.ndarray) -> np.ndarray:
+        """The number of each word between borders, which lie end to end over all points, or -1."""
+        which = self.numbers.find(span_hashes(points, borders))
+        size = np.diff(borders)
+        there = which >= 0
+        if not there.any():
+            return which
+        which[there] = self.which[which[there]]
+        there &= np.diff(self.borders)[which] == size
+        at = np.repeat(np.where(there, self.borders[which] - borders[:-1], -borders[:-1]), size) + np.arange(len(points))
+        apart = np.flatnonzero(self.points[np.minimum(at, len(self.points) - 1)] != points)
+        there[np.searchsorted(borders, apart, side="right") - 1] = False
+        return np.where(there, which, -1)
+
+
 def _apply(path: str, key: str, digest: bool):
     def run(texts: pa.Table, known: pa.Table) -> pa.Table:
         cut_ = cutter(path)
         table = _pieces_as_bytes(path) if digest else None
-        index: dict[str, int] = {}
-        starts, sizes, values, at = [], [], [], 0
+        index: dict[str, int] = {}  # of words beyond the dictionary
+        names, starts, sizes, values, at = [], [], [], [], 0
         for t in _unpack(known.column("blob")):
             ids = t.column("ids").combine_chunks()
             off, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype(np.int32)
-            for w in t.column("word").to_pylist():
-                index[w] = len(index)
+            names.append(t.column("word").combine_chunks())
             starts.append(off[:-1] + at)
             sizes.append(np.diff(off))
             values.append(flat)
             at += len(flat)
+        dictionary = Dictionary(names)
+        del names
         start = np.concatenate(starts or [np.zeros(0, np.int64)]).astype(np.int64)
         size = np.concatenate(sizes or [np.zeros(0, np.int64)]).astype(np.int64)
         value = np.concatenate(values or [np.zeros(0, np.int32)])
@@ -348,22 +440,25 @@ def _apply(path: str, key: str, digest: bool):
             keys.append(t.column(0))
             column = t.column(1).combine_chunks()
             for a, k in slices(column, 128, 1 << 18):
-                split = [cut_.words(x) for x in column.slice(a, k).to_pylist()]
-                new = [w for w in set().union(*split) if w not in index]
-                if new:
-                    more = by_library(new, path)
-                    for w in new:
-                        index[w] = len(index)
-                    n = np.array([len(m) for m in more], np.int64)
-                    start = np.concatenate([start, len(value) + np.cumsum(n) - n])
-                    size = np.concatenate([size, n])
-                    value = np.concatenate([value, *more])
-                which = np.array([index[w] for s in split for w in s], np.int64)
+                s, points, borders, counts = cut_.cut(column.slice(a, k).to_pylist())
+                which = dictionary.find(points, borders)
+                other = np.flatnonzero(which < 0)
+                if len(other):
+                    split = [s[i:j] for i, j in zip(borders[other].tolist(), borders[other + 1].tolist(), strict=True)]
+                    new = [w for w in set(split) if w not in index]
+                    if new:
+                        more = by_library(new, path)
+                        for w in new:
+                            index[w] = dictionary.n + len(index)
+                        n = np.array([len(m) for m in more], np.int64)
+                        start = np.concatenate([start, len(value) + np.cumsum(n) - n])
+                        size = np.concatenate([size, n])
+                        value = np.concatenate([value, *more])
+                    which[other] = np.fromiter(map(index.__getitem__, split), np.int64, len(split))
                 n = size[which]
                 ends = np.cumsum(n)
                 flat = value[np.repeat(start[which] - ends + n, n) + np.arange(int(ends[-1]) if len(ends) else 0)]
-                words = np.cumsum([len(s) for s in split])
-                cuts = np.concatenate([[0], np.concatenate([[0], ends])[words]]).astype(np.int32)
+                cuts = np.concatenate([[0], np.concatenate([[0], ends])[np.cumsum(counts)]]).astype(np.int32)
                 lists.append(pa.ListArray.from_arrays(pa.array(cuts), pa.array(flat, pa.int32())))
                 if digest:
                     digests += [hashlib.sha256(_joined(table, flat[i:j]).encode()).hexdigest() for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)]

@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import public_tokenizers
 from pyspark.sql import functions as F
@@ -87,6 +88,24 @@ def pieces():
     return sentencepiece.SentencePieceProcessor(model_file=PIECES)
 
 
+@pytest.mark.parametrize("collide", [False, True])
+def test_sentencepiece_words_by_hash(monkeypatch, collide):
+    """Words of many texts are cut and looked up at once, and equal hashes of different words change nothing."""
+    m = sentencepiece_lattice
+    rng = random.Random(1)
+    texts = ["", None, " ", "▁x▁", "\U0001f600 hi", "x" * 300] + ["".join(rng.choice("ab ▁éпривет日本\U0001f600\n.") for _ in range(rng.randint(0, 40))) for _ in range(100)]
+    c = m.cutter(PIECES)
+    if collide:
+        monkeypatch.setattr(m, "span_hashes", lambda points, borders: np.diff(borders).astype(np.uint64) % np.uint64(3))
+    s, points, borders, counts = c.cut(texts)
+    words = [s[i:k] for i, k in zip(borders, borders[1:], strict=False)]
+    assert words == [w for t in texts if t for w in c.words(t)] and counts.tolist() == [len(c.words(t)) if t else 0 for t in texts]
+    known = sorted(set(words))[::2]
+    found = m.Dictionary([pa.array(known[:20]), pa.array(known[20:])]).find(points, borders).tolist()
+    assert all(known[k] == w for w, k in zip(words, found, strict=True) if k >= 0)
+    assert any(k >= 0 for k in found) and (collide or all((k >= 0) == (w in known) for w, k in zip(words, found, strict=True)))
+
+
 def test_sentencepiece(spark, odd, none, docs):
     sp = pieces()
     spaced = spark.createDataFrame([(1, " a"), (2, "a  b"), (3, " " * 40), (4, "▁▁a▁ b"), (5, "trail "), (6, "\t\n x")], "doc_id long, text string")
