@@ -247,7 +247,8 @@ def _groups(documents: DataFrame, n: int, num: int, den: int, text: str, key: st
     docs = documents.select(documents[key].cast("long").alias("id"), documents[text].alias("text"))
     described = scratch.save(_describe(docs.withColumn("mark", F.xxhash64("text")), n))
     sketch = _sketch(described.where("block is not null"))
-    rows = described.where("block is null").select("id", "n", "sig", "mark")
+    rows = scratch.save(described.where("block is null").select("id", "n", "sig", "mark"))
+    scratch.drop(described)  # most of it is the parts of the sketch
     classes = scratch.save(rows.where("sig is not null and id is not null").groupBy("sig").agg(F.min("id").alias("rep")))
     prefixes = scratch.save(
         _prefixes(docs, n, sketch, num, den).alias("p").join(classes.alias("c"), (F.col("p.id") == F.col("c.rep")) & (F.col("p.sig") == F.col("c.sig")))
@@ -263,20 +264,25 @@ def _groups(documents: DataFrame, n: int, num: int, den: int, text: str, key: st
     )
     entries = prefixes.select("id", "n", F.posexplode("keys").alias("pos", "key")).select("key", "id", "n", F.col("pos").cast("long").alias("pos"))
     shared = scratch.save(entries.join(leaders, "key"))
+    scratch.drop(leaders)
     lead = scratch.save(shared.where(shuffled == F.col("lead")).select("key", F.col("id").alias("lid"), F.col("n").alias("l_n"), F.col("pos").alias("l_pos")))
     met = shared.where(shuffled != F.col("lead")).join(lead, "key").where(_possible("", "l_", num, den))
     met = scratch.save(met.select(F.least("id", "lid").alias("a"), F.greatest("id", "lid").alias("b")).distinct())
+    scratch.drop(lead)
     about = prefixes.select("id", "n", "bits")
     side = lambda p: about.select(F.col("id").alias(p), F.col("n").alias(f"{p}_n"), F.col("bits").alias(f"{p}_bits"))
     tried = scratch.save(met.join(side("a"), "a").join(side("b"), "b").where(_near("a_", "b_", num, den)).select("a", "b"))
+    scratch.drop(met)
     links = _verify(docs, tried, n, num, den, scratch)
     label = scratch.save(components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch))
     # What is left: pairs of one bucket in different components. One of such two is outside the bucket's most common one.
     marked = scratch.save(shared.drop("lead").join(label, "id", "left").select("key", "id", "n", "pos", F.coalesce("component", "id").alias("label")))
+    scratch.drop(shared, label)
     counted = scratch.save(marked.groupBy("key", "label").agg(F.count("*").alias("m")).groupBy("key").agg(F.max_by("label", F.struct("m", "label")).alias("most"), F.count("*").alias("labels")).where("labels > 1").drop("labels"))
     # A pair is looked at where it first meets: rows know their document's last few such n-grams before this one.
     before = Window.partitionBy("id").orderBy("pos").rowsBetween(-LOOK_BACK, -1)
     mixed = scratch.save(marked.join(counted, "key").join(about.select("id", "bits"), "id").withColumn("before", F.collect_list("key").over(before)))
+    scratch.drop(marked, counted, prefixes)
     few = mixed.where("label <> most").select("key", *[F.col(c).alias(f"x_{c}") for c in ("id", "n", "pos", "bits", "label", "before")])
     short = lambda p: F.col(f"{p}pos") < F.col(f"{p}n") - F.ceil(F.col(f"{p}n") * (2 * num) / (num + den)) + 1
     smaller_x = F.struct("x_n", "x_id") < F.struct("n", "id")
@@ -287,10 +293,11 @@ def _groups(documents: DataFrame, n: int, num: int, den: int, text: str, key: st
         .where(_possible("", "x_", num, den) & _near("", "x_", num, den) & ~F.arrays_overlap("before", "x_before"))
         .select(F.least("id", "x_id").alias("a"), F.greatest("id", "x_id").alias("b"))
     )
-    rest = scratch.save(second.distinct())
-    rest = scratch.save(rest.join(tried, ["a", "b"], "left_anti"))
+    apart = scratch.save(second.distinct())
+    rest = scratch.save(apart.join(tried, ["a", "b"], "left_anti"))
+    scratch.drop(mixed, apart, tried)
     links = links.unionByName(_verify(docs, rest, n, num, den, scratch))
     comp = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch)
     known = scratch.save(classes.join(comp, F.col("rep") == F.col("id"), "left").select("sig", F.coalesce("component", "rep").alias("component_id")))
-    scratch.drop(shared, lead, met, marked, counted, mixed, prefixes, leaders)
+    scratch.drop(rest)
     return rows.join(known, "sig", "left").select("id", "mark", "n", F.coalesce("component_id", "id").alias("component_id"))
