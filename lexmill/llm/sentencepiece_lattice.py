@@ -31,7 +31,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import mix, powers, slices, text_bytes
+from .common import give_back, mix, powers, slices, text_bytes
 
 CHUNK, LONG, MARK = 10_000_000, 60, "▁"
 _MODELS: dict = {}
@@ -113,13 +113,25 @@ class Cutter:
 _CODES = np.random.default_rng(0x51CE).integers(1, 2**63, 1 << 16, dtype=np.uint64)
 
 
+#: Characters that are hashed at once, one word at least.
+BLOCK = 1 << 17
+
+
 def span_hashes(points: np.ndarray, borders: np.ndarray) -> np.ndarray:
-    """64-bit hashes of what lies between neighbouring borders."""
-    p, inv = powers(len(points) + 1)
-    run = np.zeros(len(points) + 1, np.uint64)
-    np.cumsum((_CODES[points & 0xFFFF] + (points >> 16)) * p[: len(points)], out=run[1:])
-    run = run[borders]
-    return mix((run[1:] - run[:-1]) * inv[borders[:-1]] + np.diff(borders).astype(np.uint64))
+    """64-bit hashes of what lies between neighbouring borders, which do not depend on where it lies."""
+    out = np.zeros(len(borders) - 1, np.uint64)
+    a = 0
+    while a < len(out):
+        z = min(len(out), max(a + 1, int(np.searchsorted(borders, borders[a] + BLOCK, side="right")) - 1))
+        at = borders[a : z + 1] - borders[a]
+        c = points[borders[a] : borders[z]]
+        p, inv = powers(len(c) + 1)
+        run = np.zeros(len(c) + 1, np.uint64)
+        np.cumsum((_CODES[c & 0xFFFF] + (c >> 16)) * p[: len(c)], out=run[1:])
+        run = run[at]
+        out[a:z] = mix((run[1:] - run[:-1]) * inv[at[:-1]] + np.diff(at).astype(np.uint64))
+        a = z
+    return out
 
 
 class Numbers:
@@ -310,6 +322,8 @@ def _distinct(cut_: Cutter, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Re
             fresh = fresh[borders[fresh + 1] - borders[fresh] <= LONG]
             words += [s[i:j] for i, j in zip(borders[fresh].tolist(), borders[fresh + 1].tolist(), strict=True)]
     yield from told()
+    del seen, words
+    give_back()
 
 
 def _chunk_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,6 +341,8 @@ def _chunk_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts.append(part)
     if parts:
         yield told()
+    del parts
+    give_back()
 
 
 def _chunk_dictionaries(path: str):
@@ -353,15 +369,15 @@ def _dictionaries(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
 
     def told() -> Iterator[pa.RecordBatch]:
         t = pa.Table.from_batches(held).sort_by("word").combine_chunks()  # in order, words pack well
+        held.clear()
         lists = t.column("chunks").combine_chunks()
-        chunk, parent = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(t)), np.diff(lists.offsets.to_numpy()))
+        t = t.select(["word", "ids"])
+        chunk, parent = lists.flatten().to_numpy(zero_copy_only=False), np.repeat(np.arange(len(t), dtype=np.int32), np.diff(lists.offsets.to_numpy()))
         order = np.argsort(chunk, kind="stable")
         cuts = np.flatnonzero(np.diff(chunk[order])) + 1
-        out_c, out_b = [], []
         for who in np.split(order, cuts) if len(order) else []:
-            out_c.append(int(chunk[who[0]]))
-            out_b.append(_pack(t.select(["word", "ids"]).take(pa.array(np.sort(parent[who]))).combine_chunks()))
-        yield pa.RecordBatch.from_arrays([pa.array(out_c, pa.int64()), pa.array(out_b, pa.binary())], names=["chunk", "blob"])
+            blob = _pack(t.take(pa.array(np.sort(parent[who]))).combine_chunks())
+            yield pa.RecordBatch.from_arrays([pa.array(chunk[who[:1]], pa.int64()), pa.array([blob], pa.binary())], names=["chunk", "blob"])
 
     for b in batches:
         held.append(encoded(b))
@@ -371,6 +387,8 @@ def _dictionaries(path: str, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.R
             held, rows = [], 0
     if rows:
         yield from told()
+    del held
+    give_back()
 
 
 def _unpack(blobs: pa.ChunkedArray) -> Iterator[pa.Table]:
@@ -417,7 +435,7 @@ class Dictionary:
 
 
 def _apply(path: str, key: str, digest: bool):
-    def run(texts: pa.Table, known: pa.Table) -> pa.Table:
+    def one(texts: pa.Table, known: pa.Table) -> pa.Table:
         cut_ = cutter(path)
         table = _pieces_as_bytes(path) if digest else None
         index: dict[str, int] = {}  # of words beyond the dictionary
@@ -466,6 +484,11 @@ def _apply(path: str, key: str, digest: bool):
         out = {key: pa.concat_arrays([c for k in keys for c in k.chunks]) if keys else pa.array([], pa.int64()), "ids": pa.concat_arrays(lists) if lists else none}
         return pa.table(out | ({"decoded_sha256": pa.array(digests, pa.string())} if digest else {}))
 
+    def run(texts: pa.Table, known: pa.Table) -> pa.Table:
+        out = one(texts, known)
+        give_back()
+        return out
+
     return run
 
 

@@ -6,6 +6,7 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -106,6 +107,27 @@ def test_sentencepiece_words_by_hash(monkeypatch, collide):
     assert any(k >= 0 for k in found) and (collide or all((k >= 0) == (w in known) for w, k in zip(words, found, strict=True)))
 
 
+def test_sentencepiece_memory_of_workers(monkeypatch):
+    """Hashing many words holds little beside them, wherever blocks end; encodings leave chunk by chunk; what is freed goes back."""
+    m = sentencepiece_lattice
+    rng = np.random.default_rng(4)
+    points = rng.integers(97, 123, 2_000_000).astype(np.uint32)
+    borders = np.concatenate([[0], np.unique(rng.integers(1, len(points), 250_000)), [len(points)]])
+    tracemalloc.start()
+    h = m.span_hashes(points, borders)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 20_000_000
+    alone = [m.span_hashes(points[i:k], np.array([0, k - i]))[0] for i, k in zip(borders[:300], borders[1:301], strict=True)]
+    assert h[:300].tolist() == alone
+    monkeypatch.setattr(m, "BLOCK", 3, raising=False)
+    assert m.span_hashes(points[: borders[300]], borders[:301]).tolist() == alone
+    back = []
+    monkeypatch.setattr(m, "give_back", lambda: back.append(1), raising=False)
+    words = pa.RecordBatch.from_arrays([pa.array(["▁a", "▁the"]), pa.array([[1, 2, 3], [2]]), pa.array([0b111, 0b10001])], names=["word", "chunks", "borders"])
+    assert [(b.num_rows, b.column(0).to_pylist()) for b in m._dictionaries(PIECES, iter([words]))] == [(1, [1]), (1, [2]), (1, [3])] and back == [1]
+
+
 def test_sentencepiece(spark, odd, none, docs):
     sp = pieces()
     spaced = spark.createDataFrame([(1, " a"), (2, "a  b"), (3, " " * 40), (4, "▁▁a▁ b"), (5, "trail "), (6, "\t\n x")], "doc_id long, text string")
