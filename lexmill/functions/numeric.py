@@ -43,6 +43,12 @@ def unit_hash(key: Column) -> Column:
     return F.conv(F.substring(F.sha2(key, 256), 1, 8), 16, 10).cast("double") / 4294967296.0
 
 
+def window_starts(ids: Column, width: int) -> Column:
+    """Where the begin, middle and end windows of ``width`` ids start, from 0, without repeats; null has one at 0, as an empty list."""
+    n = F.greatest(F.size(ids) - width, F.lit(0))
+    return F.array_distinct(F.array(F.lit(0), F.floor(n / 2).cast("int"), n))
+
+
 def pad_windows(ids: Column, width: int) -> Column:
     """Begin, middle and end windows of ``width`` ids, starts without repeats, padded with zeros to three
     windows of equal width."""
@@ -54,6 +60,4 @@ def pad_windows(ids: Column, width: int) -> Column:
         got = F.transform(starts, window)
         return F.concat(got, F.array_repeat(F.array_repeat(F.lit(0).cast("int"), width), 3 - F.size(starts)))
 
-    n = F.greatest(F.size(ids) - width, F.lit(0))
-    starts = F.array_distinct(F.array(F.lit(0), F.floor(n / 2).cast("int"), n))
-    return F.element_at(F.transform(F.array(starts), build), 1)
+    return F.element_at(F.transform(F.array(window_starts(ids, width)), build), 1)

@@ -556,9 +556,9 @@ def char_wb_tfidf(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH w AS (SELECT doc_id, list_transform(string_split_regex(text, '[ \\n]+'), lambda x: length(x)::INT) AS i FROM documents), s AS (SELECT doc_id, i, greatest(len(i) - 16, 0) AS m FROM w), t AS (SELECT doc_id, i, unnest(list_distinct([0, m // 2, m])) AS a FROM s) SELECT doc_id, count(*)::INT AS n_windows, sum(list_sum(i[a + 1:a + 16]))::BIGINT AS total FROM t GROUP BY 1")
 def token_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").select("doc_id", F.transform(F.split("text", "[ \n]+"), lambda w: F.length(w)).alias("i"))
-    w = d.select("doc_id", numeric.pad_windows(F.col("i"), 16).alias("w"))
-    live = F.size(F.filter("w", lambda x: F.exists(x, lambda v: v > 0)))
-    return w.select("doc_id", live.alias("n_windows"), F.aggregate(F.flatten("w"), F.lit(0).cast("bigint"), lambda a, x: a + x).alias("total"))
+    total = F.aggregate(F.flatten("w"), F.lit(0).cast("bigint"), lambda a, x: a + x)
+    w = d.select("doc_id", F.size(numeric.window_starts(F.col("i"), 16)).alias("n"), numeric.pad_windows(F.col("i"), 16).alias("w")).select("doc_id", "n", total.alias("total"))
+    return w.groupBy("doc_id").agg(F.sum("n").cast("int").alias("n_windows"), F.sum("total").alias("total"))
 
 
 @query("WITH w AS (SELECT doc_id, list_transform(string_split_regex(text, '[ \\n]+'), lambda x: length(x)::INT) AS i FROM documents), s AS (SELECT doc_id, i, greatest(len(i) - 16, 0) AS m FROM w), t AS (SELECT doc_id, i, list_distinct([0, m // 2, m]) AS a FROM s), u AS (SELECT doc_id, i, unnest(list_sort(a)) AS a, generate_subscripts(a, 1) AS g FROM t), z AS (SELECT doc_id, g, list_resize(i[a + 1:a + 16], 16, 0) AS w FROM u UNION ALL SELECT doc_id, g, list_resize([]::INT[], 16, 0) FROM t, (VALUES (2), (3)) v(g) WHERE g > len(a)) SELECT doc_id, g::INT AS window_no, array_to_string(w, ' ') AS ids FROM z")

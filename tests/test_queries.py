@@ -56,3 +56,17 @@ def test_tfidf_vectors_keep_every_term(spark):
         assert sorted(round(float(x), 9) for x in got[key].values) == sorted(round(r["weight"], 9) for r in want if r["id"] == key)
     new = spark.createDataFrame([("n", "w1 w2 unseen")], "id string, text string")
     assert features.tfidf_vectors(df, new, features.word_ngrams).first()["features"].numNonzeros() == 3
+
+
+@pytest.mark.parametrize("name", ["token_windows", "token_window_rows"])
+def test_token_windows_of_odd_texts(spark, tmp_path, name):
+    """Blank, empty and null texts have one window, and rows of one id are counted together."""
+    import duckdb
+
+    rows = [(i, t) for i, t in enumerate(["", " ", "\n \n", None, "a b", "a " * 17, "a " * 18, " a" * 16, "á\U0001f600 z", "\t\r\n"])] + [(4, "x"), (3, None), (0, ""), (None, "b c"), (None, "d")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    want = con.execute(registry.oracle_sql()[name])
+    df = registry.queries()[name](spark, str(tmp_path))
+    assert as_rows(df.columns, df.collect()) == as_rows([d[0] for d in want.description], want.fetchall())
